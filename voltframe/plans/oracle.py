@@ -255,4 +255,191 @@ WHERE (tool = 'get_generation' AND NOT EXISTS (SELECT 1 FROM g WHERE g.responden
          AND CAST(r.period AS DATE) BETWEEN q.start AND q."end"))
 """
 
+# ---------------------------------------------------------------- step 5: pages and chunks
+PAGES_CONV = """SELECT 'conv-' || CAST(conv_id AS VARCHAR) || '.pdf' AS source_pdf,
+  CAST(turn + 1 AS INTEGER) AS page_number, text AS page_text FROM conversations"""
+PAGES_DOC = """SELECT 'doc-' || CAST(doc_id AS VARCHAR) || '.pdf' AS source_pdf,
+  CAST(1 AS INTEGER) AS page_number, text AS page_text FROM documents"""
+PAGES_SRC = """SELECT source || '.pdf' AS source_pdf,
+  CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS page_number,
+  text AS page_text FROM documents"""
+
+
+def normalize_sql(col: str) -> str:
+    lines = f"regexp_split_to_array(coalesce({col}, ''), {q(LINE_BREAK)})"
+    clean = (f"list_transform({lines}, lambda l: regexp_replace(regexp_replace(l, '[ \\t]{{2,}}', ' ', 'g'), "
+             f"{q(WS + '+' + chr(92) + 'z')}, ''))")
+    return f"array_to_string(list_filter({clean}, lambda l: l <> ''), chr(10))"
+
+
+def strip_sql(col: str) -> str:
+    return f"regexp_replace({col}, {q('^' + WS + '+|' + WS + '+' + chr(92) + 'z')}, '', 'g')"
+
+
+def chunks_sql(pages: str) -> str:
+    """CTE chain ending in ``chunks(chunk_id, source_pdf, page_number, chunk_index, text)``."""
+    n_win = f"CASE WHEN nt <= {CHUNK_TOKENS} THEN 1 ELSE CAST(ceil((nt - {CHUNK_TOKENS}) / {STEP}.0) AS BIGINT) + 1 END"
+    return f"""pg AS ({pages}),
+tk AS (SELECT source_pdf, page_number, regexp_extract_all({normalize_sql('page_text')}, {q(TOKEN_PATTERN)}) AS tokens
+       FROM pg),
+ne AS (SELECT *, len(tokens) AS nt FROM tk WHERE len(tokens) > 0),
+cy AS (SELECT *, lag(array_to_string(list_slice(tokens, greatest(1, nt - {OVERLAP_TOKENS - 1}), nt), ''))
+         OVER (PARTITION BY source_pdf ORDER BY page_number) AS carry FROM ne),
+wn AS (SELECT source_pdf, page_number, carry, tokens, unnest(range({n_win})) AS win FROM cy),
+tx AS (SELECT source_pdf, page_number, CAST(win AS INTEGER) AS chunk_index,
+         {strip_sql(f"(CASE WHEN win = 0 THEN coalesce(carry, '') ELSE '' END) || array_to_string(list_slice(tokens, win * {STEP} + 1, win * {STEP} + {CHUNK_TOKENS}), '')")} AS text
+       FROM wn),
+chunks AS (SELECT sha256(source_pdf || '|' || CAST(page_number AS VARCHAR) || '|' || CAST(chunk_index AS VARCHAR)
+                         || '|' || text) AS chunk_id, source_pdf, page_number, chunk_index, text
+           FROM tx WHERE text <> '')"""
+
+
+SQL["normalize_pages"] = f"""
+WITH pg AS ({PAGES_DOC})
+SELECT source_pdf, page_number, {normalize_sql('page_text')} AS page_text FROM pg
+"""
+
+SQL["page_chunks"] = f"""
+WITH {chunks_sql(PAGES_DOC)}
+SELECT chunk_id, source_pdf, page_number, chunk_index, text FROM chunks
+"""
+
+SQL["cross_page_carry"] = f"""
+WITH {chunks_sql(PAGES_CONV)}
+SELECT chunk_id, source_pdf, page_number, chunk_index, text FROM chunks
+"""
+
+SQL["chunk_ids"] = f"""
+WITH {chunks_sql(PAGES_SRC)}
+SELECT chunk_id, source_pdf, page_number, chunk_index FROM chunks
+"""
+
+# ---------------------------------------------------------------- step 6: store and ingest
+_STORE = """store AS (SELECT chunk_id FROM chunks
+  WHERE source_pdf IN (SELECT 'doc-' || CAST(doc_id AS VARCHAR) || '.pdf' FROM labels))"""
+
+SQL["incremental_chunks"] = f"""
+WITH {chunks_sql(PAGES_DOC)}, {_STORE}
+SELECT chunk_id, source_pdf, page_number, chunk_index FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM store)
+"""
+
+SQL["ingest_stats"] = f"""
+WITH {chunks_sql(PAGES_DOC)}, {_STORE},
+per AS (SELECT source_pdf, count(*) AS n_chunks,
+               count(*) FILTER (WHERE chunk_id NOT IN (SELECT chunk_id FROM store)) AS n_new
+        FROM chunks GROUP BY source_pdf),
+docs AS (SELECT DISTINCT source_pdf FROM pg)
+SELECT docs.source_pdf, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_new, 0) AS n_new,
+       coalesce(n_chunks, 0) - coalesce(n_new, 0) AS n_skipped
+FROM docs LEFT JOIN per USING (source_pdf)
+"""
+
+# ---------------------------------------------------------------- step 7: retrieval
+SQL["topk_cosine"] = f"""
+WITH ex AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+cen AS (SELECT label, list(m ORDER BY pos) AS centroid
+        FROM (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM ex GROUP BY label, pos) GROUP BY label),
+sc AS (SELECT cen.label, e.vec_id,
+              round(list_cosine_similarity(cen.centroid, CAST(e.embedding AS DOUBLE[])), 6) AS similarity_score
+       FROM cen, embeddings e),
+rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity_score DESC, vec_id) AS rank FROM sc)
+SELECT label, rank, vec_id, similarity_score FROM rk WHERE rank <= {DEFAULT_K}
+"""
+
+
+def hashed_sql(src: str, id_col: str, text_col: str, name: str) -> str:
+    """CTEs ``{name}_v(id, bucket, x FLOAT)`` and ``{name}_n(id, n)`` for the hashing vectoriser."""
+    lead = q("^" + WS + "+")
+    return f"""{name}_t AS (SELECT {id_col} AS id, unnest(regexp_extract_all({text_col}, {q(TOKEN_PATTERN)})) AS tok FROM {src}),
+{name}_h AS (SELECT id, md5(regexp_replace(tok, {lead}, '')) AS h FROM {name}_t),
+{name}_w AS (SELECT id, CAST(('0x' || substr(h, 1, 8))::BIGINT % {HASH_DIM} AS INTEGER) AS bucket,
+                    sum(CASE WHEN ('0x' || substr(h, 9, 2))::INTEGER < 128 THEN 1 ELSE -1 END) AS w
+             FROM {name}_h GROUP BY ALL HAVING sum(CASE WHEN ('0x' || substr(h, 9, 2))::INTEGER < 128 THEN 1 ELSE -1 END) <> 0),
+{name}_nn AS (SELECT id, sqrt(sum(CAST(w AS DOUBLE) * w)) AS norm FROM {name}_w GROUP BY id),
+{name}_v AS (SELECT id, bucket, CAST(CAST(w AS DOUBLE) / norm AS FLOAT) AS x FROM {name}_w JOIN {name}_nn USING (id)
+             WHERE norm > 0),
+{name}_n AS (SELECT id, sqrt(sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS n FROM {name}_v GROUP BY id)"""
+
+
+HITS = f"""{chunks_sql(PAGES_DOC)},
+{hashed_sql('chunks', 'chunk_id', 'text', 'cv')},
+qsrc AS (SELECT item_id, text FROM benchmark),
+{hashed_sql('qsrc', 'item_id', 'text', 'qv')},
+dots AS (SELECT qv_v.id AS query_id, cv_v.id AS chunk_id, sum(CAST(qv_v.x AS DOUBLE) * CAST(cv_v.x AS DOUBLE)) AS d
+         FROM qv_v JOIN cv_v ON qv_v.bucket = cv_v.bucket GROUP BY ALL),
+allpairs AS (SELECT qv_n.id AS query_id, cv_n.id AS chunk_id, coalesce(d, 0.0) / (qv_n.n * cv_n.n) AS s
+             FROM qv_n CROSS JOIN cv_n LEFT JOIN dots ON dots.query_id = qv_n.id AND dots.chunk_id = cv_n.id),
+ranked AS (SELECT query_id, chunk_id, round(s, 6) AS similarity_score,
+                  row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, chunk_id) AS rank FROM allpairs),
+hits AS (SELECT r.query_id, CAST(r.rank AS INTEGER) AS rank, r.chunk_id, c.text AS chunk_text, c.source_pdf, c.page_number,
+                r.similarity_score
+         FROM ranked r JOIN chunks c ON c.chunk_id = r.chunk_id WHERE r.rank <= {DEFAULT_K})"""
+
+SQL["search_hits"] = f"""
+WITH {HITS}
+SELECT query_id, rank, chunk_id, source_pdf, page_number, similarity_score FROM hits
+"""
+
+# ---------------------------------------------------------------- step 8: citations and answers
+def stem_sql(col: str) -> str:
+    return f"CASE WHEN regexp_matches({col}, '^.+\\.[^.]+$') THEN regexp_replace({col}, '\\.[^.]+$', '') ELSE {col} END"
+
+
+def alias_sql(col: str) -> str:
+    return case_map(col, CITATION_ALIASES, stem_sql(col))
+
+
+SQL["citation_alias"] = f"""
+WITH names AS (SELECT source_pdf FROM ({PAGES_CONV}) UNION SELECT source_pdf FROM ({PAGES_DOC})
+               UNION SELECT source || '.pdf' FROM documents)
+SELECT source_pdf, {alias_sql('source_pdf')} AS alias FROM names
+"""
+
+_CTX = f"""ctx AS (SELECT query_id, count(*) AS n_hits,
+  string_agg('[' || ({alias_sql('source_pdf')}) || ' p.' || CAST(page_number AS VARCHAR) || ']' || chr(10) || chunk_text,
+             {q(CONTEXT_SEPARATOR)} ORDER BY rank) AS context FROM hits GROUP BY query_id)"""
+
+SQL["context_blocks"] = f"""
+WITH {HITS}, {_CTX}
+SELECT query_id, n_hits, context FROM ctx
+"""
+
+
+def prompt_sql(context: str, query: str) -> str:
+    import string as _s
+
+    values = {"refusal": q(REFUSAL), "context": context, "query": query}
+    parts = []
+    for lit, field, _, _ in _s.Formatter().parse(PROMPT_TEMPLATE):
+        if lit:
+            parts.append(q(lit))
+        if field is not None:
+            parts.append(values[field])
+    return " || ".join(parts)
+
+
+SQL["prompt_rows"] = f"""
+WITH {HITS}, {_CTX}
+SELECT b.item_id AS query_id, b.text AS question, ctx.context IS NULL AS refused,
+  CASE WHEN ctx.context IS NOT NULL THEN {prompt_sql('ctx.context', 'b.text')} END AS prompt,
+  CASE WHEN ctx.context IS NULL THEN {q(REFUSAL)} END AS response
+FROM benchmark b LEFT JOIN ctx ON ctx.query_id = b.item_id
+"""
+
+_ANS = f"""ans AS (SELECT conv_id, turn,
+  CASE WHEN conv_id % 3 = 0 THEN text || ' [conv-' || CAST(conv_id AS VARCHAR) || ' p.' || CAST(turn + 1 AS VARCHAR) || ']'
+       WHEN conv_id % 3 = 1 THEN {q(REFUSAL)} ELSE text END AS answer
+  FROM conversations WHERE role = 'assistant')"""
+
+SQL["uncited_answers"] = f"""
+WITH {_ANS}
+SELECT conv_id, turn, answer FROM ans
+WHERE trim(answer) <> '' AND trim(answer) <> {q(REFUSAL)} AND NOT regexp_matches(trim(answer), {q(CITATION_PATTERN)})
+"""
+
+SQL["refusals"] = f"""
+WITH {_ANS}
+SELECT conv_id, turn FROM ans WHERE trim(answer) = {q(REFUSAL)}
+"""
+
 __all__ = ["SQL"]

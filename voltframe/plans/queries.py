@@ -11,11 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltframe.constants import DEFAULT_K
+from voltframe.operators import chunks as CH
+from voltframe.operators import cite as CT
+from voltframe.operators import ingest as IN
+from voltframe.operators import retrieve as RT
 from voltframe.operators import summaries as S
+from voltframe.operators import vectorize as VZ
 from voltframe.operators import tools as TL
 from voltframe.plans import relations as R
 from voltframe.sources import facts as FA
+from voltframe.session import checkpoint_dir
 from voltframe.sources import landed_pages as LP
+from voltframe.sources import store as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -156,3 +164,131 @@ def q_tool_unknown(spark: SparkSession, sf: str) -> DataFrame:
 @register("tool_no_data")
 def q_tool_no_data(spark: SparkSession, sf: str) -> DataFrame:
     return TL.tool_no_data(parsed_requests(spark, sf), generation(spark, sf), region_facts(spark, sf))
+
+
+# ---------------------------------------------------------------- step 5: pages and chunks
+def pages_conv(spark: SparkSession, sf: str) -> DataFrame:
+    return R.pages_from_conversations(R.table(spark, sf, "conversations"))
+
+
+def pages_doc(spark: SparkSession, sf: str) -> DataFrame:
+    return R.pages_from_documents(R.table(spark, sf, "documents"))
+
+
+def pages_src(spark: SparkSession, sf: str) -> DataFrame:
+    return R.pages_by_source(R.table(spark, sf, "documents"))
+
+
+@register("normalize_pages")
+def q_normalize_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return CH.normalize_pages(pages_doc(spark, sf))
+
+
+@register("page_chunks")
+def q_page_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return CH.chunk_pages(pages_doc(spark, sf))
+
+
+@register("cross_page_carry")
+def q_cross_page_carry(spark: SparkSession, sf: str) -> DataFrame:
+    return CH.chunk_pages(pages_conv(spark, sf))
+
+
+@register("chunk_ids")
+def q_chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return CH.chunk_pages(pages_src(spark, sf)).select("chunk_id", "source_pdf", "page_number", "chunk_index")
+
+
+# ---------------------------------------------------------------- step 6: store and ingest
+def labelled_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents ingested by an earlier run: those that carry a label."""
+    docs = R.table(spark, sf, "documents").join(R.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    return R.pages_from_documents(docs)
+
+
+def earlier_store_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return CH.chunk_pages(labelled_pages(spark, sf)).select("chunk_id")
+
+
+@register("incremental_chunks")
+def q_incremental_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = CH.chunk_pages(pages_doc(spark, sf))
+    return ST.new_chunks(chunks, earlier_store_ids(spark, sf)).select(
+        "chunk_id", "source_pdf", "page_number", "chunk_index"
+    )
+
+
+@register("ingest_stats")
+def q_ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
+    pages = pages_doc(spark, sf)
+    return IN.ingest_stats(pages, CH.chunk_pages(pages), earlier_store_ids(spark, sf))
+
+
+# ---------------------------------------------------------------- step 7: retrieval
+@register("topk_cosine")
+def q_topk_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = R.table(spark, sf, "embeddings")
+    centroids = RT.label_centroids(vectors).withColumnRenamed("label", "query_id")
+    hits = RT.topk_cosine(vectors, centroids, k=DEFAULT_K, corpus_id="vec_id")
+    return hits.select(F.col("query_id").alias("label"), "rank", "vec_id", "similarity_score")
+
+
+def doc_chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunk vectors of every document, materialised once in the shared checkpoint folder
+    (the top-k, the metadata join and the context all read it)."""
+    checkpoint_dir(spark)
+    chunks = CH.chunk_pages(pages_doc(spark, sf)).checkpoint(eager=True)
+    return IN.vectorize_chunks(chunks).checkpoint(eager=True)
+
+
+def question_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    qs = R.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return VZ.hash_vectors(qs, "query_id", "text")
+
+
+def search(spark: SparkSession, sf: str) -> DataFrame:
+    vecs = doc_chunk_vectors(spark, sf)
+    hits = RT.topk_cosine(vecs, question_vectors(spark, sf), k=DEFAULT_K, corpus_id="chunk_id")
+    return RT.hits_with_metadata(hits, vecs)
+
+
+@register("search_hits")
+def q_search_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return search(spark, sf).select("query_id", "rank", "chunk_id", "source_pdf", "page_number", "similarity_score")
+
+
+# ---------------------------------------------------------------- step 8: citations and answers
+@register("citation_alias")
+def q_citation_alias(spark: SparkSession, sf: str) -> DataFrame:
+    names = (
+        pages_conv(spark, sf).select("source_pdf")
+        .unionByName(pages_doc(spark, sf).select("source_pdf"))
+        .unionByName(R.table(spark, sf, "documents").select(F.concat("source", F.lit(".pdf")).alias("source_pdf")))
+        .distinct()
+    )
+    return CT.with_alias(names)
+
+
+@register("context_blocks")
+def q_context_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return CT.context_blocks(search(spark, sf))
+
+
+@register("prompt_rows")
+def q_prompt_rows(spark: SparkSession, sf: str) -> DataFrame:
+    questions = R.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return CT.prompt_rows(questions, CT.context_blocks(search(spark, sf)))
+
+
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    return CT.check_answers(R.answers_from_conversations(R.table(spark, sf, "conversations")))
+
+
+@register("uncited_answers")
+def q_uncited_answers(spark: SparkSession, sf: str) -> DataFrame:
+    return answers(spark, sf).where("uncited").select("conv_id", "turn", "answer")
+
+
+@register("refusals")
+def q_refusals(spark: SparkSession, sf: str) -> DataFrame:
+    return answers(spark, sf).where("refusal").select("conv_id", "turn")

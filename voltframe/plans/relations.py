@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltframe.constants import REFUSAL, REGION_CODES, REGION_NAMES
+from voltframe.operators.layout import spread
 from voltframe.operators.ordinal import row_number_in_group
 
 # Colloquial / raw region spellings used by the request mapping, indexed by nation % 8.
@@ -30,8 +31,13 @@ SERIES_NAMES = {"D": "Demand", "NG": "Net generation", "TI": "Total interchange"
 TI_OFFSET = 245.0
 
 
+TEXT_TABLES = {"documents", "conversations", "benchmark", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A test table; text tables get one scan partition per core at least (regex work)."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def _lit_map(d: dict[str, str]) -> Column:
