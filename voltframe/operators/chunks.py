@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from voltframe.constants import CHUNK_TOKENS, OVERLAP_TOKENS
 from voltframe.functions.text import chunk_id, normalize_text, strip_ws, tokenize
 from voltframe.operators.ordinal import row_number_in_group
+from voltframe.session import materialize
 
 STEP = CHUNK_TOKENS - OVERLAP_TOKENS
 
@@ -48,25 +49,43 @@ def window_count(n: F.Column) -> F.Column:
     return F.when(n <= CHUNK_TOKENS, F.lit(1)).otherwise(F.ceil((n - CHUNK_TOKENS) / F.lit(STEP)) + 1).cast("int")
 
 
-def page_windows(tok: DataFrame) -> DataFrame:
-    """One row per window: ``source_pdf, page_number, window, raw`` (unstripped text)."""
-    n = F.size("tokens")
-    texts = F.transform(
+def _window_texts(tokens: F.Column) -> F.Column:
+    n = F.size(tokens)
+    return F.transform(
         F.sequence(F.lit(0), window_count(n) - 1),
-        lambda i: F.array_join(F.slice("tokens", i * STEP + 1, CHUNK_TOKENS), ""),
+        lambda i: F.array_join(F.slice(tokens, i * STEP + 1, CHUNK_TOKENS), ""),
     )
-    return tok.select("source_pdf", "page_number", F.posexplode(texts).alias("window", "raw"))
 
 
-def page_tails(tok: DataFrame) -> DataFrame:
-    """Last ``OVERLAP_TOKENS`` tokens of each non-empty page as text (clamped slice)."""
-    n = F.size("tokens")
-    tail = F.slice("tokens", F.greatest(F.lit(1), n - (OVERLAP_TOKENS - 1)), OVERLAP_TOKENS)
-    return tok.select("source_pdf", "page_number", F.array_join(tail, "").alias("tail"))
+def _tail_text(tokens: F.Column) -> F.Column:
+    n = F.size(tokens)
+    tail = F.slice(tokens, F.greatest(F.lit(1), n - (OVERLAP_TOKENS - 1)), OVERLAP_TOKENS)
+    return F.array_join(tail, "")
 
 
-def page_carry(tails: DataFrame, bucket_width: int = 4096) -> DataFrame:
-    """``source_pdf, page_number, carry``: the tail of the previous non-empty page."""
+def page_windows(pages: DataFrame, normalized: bool = False) -> DataFrame:
+    """One pass over the page text: one row per window with
+    ``source_pdf, page_number, n_tokens, window, raw`` and, on window 0 only, ``tail``
+    (the page's last ``OVERLAP_TOKENS`` tokens, clamped for short pages).
+
+    No filter here: a page without tokens yields one empty window (dropped later), so no
+    predicate can be pushed below the scan's repartitioning into a single task.
+    """
+    text = F.col("page_text") if normalized else normalize_text("page_text")
+    tok = pages.select("source_pdf", "page_number", tokenize(text).alias("tokens"))
+    per_page = tok.select(
+        "source_pdf", "page_number", F.size("tokens").alias("n_tokens"),
+        _window_texts(F.col("tokens")).alias("texts"), _tail_text(F.col("tokens")).alias("tail"),
+    )
+    return per_page.select(
+        "source_pdf", "page_number", "n_tokens", F.posexplode("texts").alias("window", "raw"), "tail"
+    ).withColumn("tail", F.when(F.col("window") == 0, F.col("tail")))
+
+
+def page_carry(first_windows: DataFrame, bucket_width: int = 4096) -> DataFrame:
+    """``source_pdf, page_number, carry``: the tail of the previous non-empty page of the
+    same document. Input: one row per non-empty page with ``tail``."""
+    tails = first_windows.select("source_pdf", "page_number", "tail")
     ordered = row_number_in_group(
         tails, ["source_pdf"], F.floor(F.col("page_number") / bucket_width), ["page_number"], "ord"
     )
@@ -74,22 +93,32 @@ def page_carry(tails: DataFrame, bucket_width: int = 4096) -> DataFrame:
     return ordered.select("source_pdf", "page_number", "ord").join(prev, ["source_pdf", "ord"]).drop("ord")
 
 
-def chunk_pages(pages: DataFrame, normalized: bool = False) -> DataFrame:
-    """Pages ``(source_pdf, page_number, page_text)`` -> chunks
-    ``(chunk_id, source_pdf, page_number, chunk_index, text)``."""
-    if not normalized:
-        pages = normalize_pages(pages)
-    tok = tokenized_pages(pages)
-    windows = page_windows(tok)
-    carry = page_carry(page_tails(tok))
-    first = windows.where(F.col("window") == 0).join(carry, ["source_pdf", "page_number"], "left").select(
+def chunk_windows(windows: DataFrame) -> DataFrame:
+    """Windows (see :func:`page_windows`) -> chunks with carry and ids."""
+    first = windows.where((F.col("window") == 0) & (F.col("n_tokens") > 0))
+    carry = page_carry(first)
+    first_text = first.join(carry, ["source_pdf", "page_number"], "left").select(
         "source_pdf", "page_number", "window", F.concat(F.coalesce("carry", F.lit("")), F.col("raw")).alias("raw")
     )
-    rest = windows.where(F.col("window") > 0)
-    chunks = first.unionByName(rest).select(
+    rest = windows.where(F.col("window") > 0).select("source_pdf", "page_number", "window", "raw")
+    chunks = first_text.unionByName(rest).select(
         "source_pdf", "page_number", F.col("window").cast("int").alias("chunk_index"), strip_ws("raw").alias("text")
     ).where(F.col("text") != "")
     return chunks.select(
         chunk_id("source_pdf", "page_number", "chunk_index", "text").alias("chunk_id"),
         "source_pdf", "page_number", "chunk_index", "text",
     )
+
+
+def chunk_pages(pages: DataFrame, normalized: bool = False, materialize_windows: bool = True) -> DataFrame:
+    """Pages ``(source_pdf, page_number, page_text)`` -> chunks
+    ``(chunk_id, source_pdf, page_number, chunk_index, text)``.
+
+    The window table is consumed by three branches (rest windows, first windows, carry);
+    by default it is written once to the shared checkpoint folder so page text is read
+    and tokenised exactly once.
+    """
+    windows = page_windows(pages, normalized)
+    if materialize_windows:
+        windows = materialize(windows, "page-windows")
+    return chunk_windows(windows)

@@ -75,3 +75,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for a written intermediate table."""
     return os.path.join(checkpoint_dir(spark), "tables", name)
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+
+    Used where several branches of a plan consume the same expensive intermediate: the
+    lineage is cut (a lost executor does not recompute it), and unlike an RDD checkpoint
+    the Parquet copy keeps column pruning and filter pushdown for each consumer.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
