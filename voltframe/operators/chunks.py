@@ -69,7 +69,7 @@ def page_windows(pages: DataFrame, normalized: bool = False) -> DataFrame:
     (the page's last ``OVERLAP_TOKENS`` tokens, clamped for short pages).
 
     No filter here: a page without tokens yields one empty window (dropped later), so no
-    predicate can be pushed below the scan's repartitioning into a single task.
+    predicate is pushed below the scan's repartitioning into a single task.
     """
     text = F.col("page_text") if normalized else normalize_text("page_text")
     tok = pages.select("source_pdf", "page_number", tokenize(text).alias("tokens"))
@@ -77,8 +77,11 @@ def page_windows(pages: DataFrame, normalized: bool = False) -> DataFrame:
         "source_pdf", "page_number", F.size("tokens").alias("n_tokens"),
         _window_texts(F.col("tokens")).alias("texts"), _tail_text(F.col("tokens")).alias("tail"),
     )
+    # posexplode_outer: the plain generator makes Catalyst infer ``size(texts) > 0`` and
+    # push that predicate (tokeniser inlined) below the scan's repartitioning. The array
+    # always has >= 1 element, so the outer form yields the same rows.
     return per_page.select(
-        "source_pdf", "page_number", "n_tokens", F.posexplode("texts").alias("window", "raw"), "tail"
+        "source_pdf", "page_number", "n_tokens", F.posexplode_outer("texts").alias("window", "raw"), "tail"
     ).withColumn("tail", F.when(F.col("window") == 0, F.col("tail")))
 
 

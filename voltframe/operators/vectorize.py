@@ -31,7 +31,13 @@ from voltframe.functions.vectors import term_bucket, term_sign
 
 def term_weights(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM) -> DataFrame:
     """Sparse signed counts ``(id, bucket, w)``; cancelled coordinates (w = 0) are dropped."""
-    terms = df.select(id_col, F.explode(tokenize(text_col)).alias("tok")).select(id_col, term_of("tok").alias("term"))
+    # explode_outer: no inferred ``size(tokens) > 0`` filter (which would tokenise twice,
+    # below the id repartitioning); the NULL token of an empty text is dropped after.
+    terms = (
+        df.select(id_col, F.explode_outer(tokenize(text_col)).alias("tok"))
+        .where(F.col("tok").isNotNull())
+        .select(id_col, term_of("tok").alias("term"))
+    )
     return (
         terms.groupBy(id_col, term_bucket("term", dim).alias("bucket"))
         .agg(F.sum(term_sign("term")).alias("w"))

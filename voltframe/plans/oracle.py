@@ -28,8 +28,8 @@ from voltframe.constants import (
     REGION_CODES,
     REGION_NAMES,
     SERIES_LABELS,
-    TOKEN_PATTERN,
-    WS,
+    TOKEN_PATTERN_RE2 as TOKEN_PATTERN,
+    WS_RE2 as WS,
 )
 from voltframe.plans import relations as R
 
