@@ -141,11 +141,16 @@ def parse_pages(pages: DataFrame, kind: str = "generation", mode: str = "quarant
     checked = validate_records(explode_envelope(pages, schema, keep), kind, keep)
     good = checked.where(F.col("reject_reason").isNull()).select(*(keep or []), *columns)
     if mode == "strict":
-        guard = F.when(
-            F.col("reject_reason").isNotNull(),
-            F.raise_error(F.concat(F.lit("invalid record: "), F.col("reject_reason"))),
+        # The guard sits inside a kept column so column pruning cannot drop it.
+        fail = F.raise_error(F.concat(F.lit("invalid record: "), F.col("reject_reason")))
+        good = checked.select(
+            *(keep or []),
+            *[
+                (F.when(F.col("reject_reason").isNotNull(), fail.cast(checked.schema[c].dataType))
+                 .otherwise(F.col(c)).alias(c) if c == "period" else F.col(c))
+                for c in columns
+            ],
         )
-        good = checked.select(*(keep or []), *columns, guard.alias("__guard")).drop("__guard")
     rejects = checked.where(F.col("reject_reason").isNotNull()).select(
         *(keep or []), F.to_json("raw").alias("raw_record"), "reject_reason"
     )
