@@ -442,4 +442,23 @@ WITH {_ANS}
 SELECT conv_id, turn FROM ans WHERE trim(answer) = {q(REFUSAL)}
 """
 
+# ---------------------------------------------------------------- stream and SQL functions
+SQL["stream_ingest"] = f"""
+WITH {chunks_sql(PAGES_DOC)}
+SELECT chunk_id, source_pdf, page_number, chunk_index FROM chunks
+"""
+
+SQL["tool_table_function"] = f"""
+WITH g AS ({GEN}),
+sel AS (SELECT * FROM g WHERE respondent = 'CISO' AND period >= TIMESTAMP '2024-01-03 00:00:00'
+        AND period < TIMESTAMP '2024-01-10 00:00:00'),
+per AS (SELECT type_name, {dsum()} AS total, count(*) AS n, min(period) AS lo, max(period) AS hi
+        FROM sel GROUP BY type_name)
+SELECT 'CISO' AS region, sum(n) OVER () AS rows, {ts_text('min(lo) OVER ()')} AS period_start,
+       {ts_text('max(hi) OVER ()')} AS period_end, type_name,
+       CAST(row_number() OVER (ORDER BY total DESC, type_name) AS INTEGER) AS fuel_rank,
+       CAST(round(total, 1) AS DOUBLE) AS mwh
+FROM per
+"""
+
 __all__ = ["SQL"]

@@ -292,3 +292,30 @@ def q_uncited_answers(spark: SparkSession, sf: str) -> DataFrame:
 @register("refusals")
 def q_refusals(spark: SparkSession, sf: str) -> DataFrame:
     return answers(spark, sf).where("refusal").select("conv_id", "turn")
+
+
+# ---------------------------------------------------------------- incremental stream and SQL functions
+@register("stream_ingest")
+def q_stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents table ingested by a file stream (availableNow) into a fresh store."""
+    import os
+    import uuid
+
+    from voltframe.schema import PAGES  # noqa: F401
+    from voltframe.streaming.incremental import ingest_stream
+
+    base = os.path.join(checkpoint_dir(spark), "stream-ingest", uuid.uuid4().hex)
+    docs_schema = R.table(spark, sf, "documents").schema
+    ingest_stream(
+        spark, sf, os.path.join(base, "store"), os.path.join(base, "_checkpoint"),
+        to_pages=R.pages_from_documents, source_schema=docs_schema, glob="documents.parquet",
+    )
+    return ST.read_store(spark, os.path.join(base, "store")).select("chunk_id", "source_pdf", "page_number", "chunk_index")
+
+
+@register("tool_table_function")
+def q_tool_table_function(spark: SparkSession, sf: str) -> DataFrame:
+    from voltframe.plans.sql_functions import register_tool_functions
+
+    register_tool_functions(spark, generation(spark, sf), region_facts(spark, sf))
+    return spark.sql("SELECT * FROM get_generation('caiso', '2024-01-03', '2024-01-09')")
