@@ -39,13 +39,16 @@ def l2_normalize(a: Column | str, as_float: bool = True) -> Column:
     return F.when(n > 0, F.transform(_c(a), lambda v: (v.cast("double") / n).cast(t)))
 
 
-def term_bucket(term: Column | str, dim: int = HASH_DIM) -> Column:
-    """Feature index of a term: first 8 hex digits of its MD5, modulo ``dim``."""
-    h = F.md5(_c(term))
-    return (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % F.lit(dim)).cast("int")
+def term_hash(term: Column | str) -> Column:
+    """Hex MD5 of a term (computed once; bucket and sign both read it)."""
+    return F.md5(_c(term))
 
 
-def term_sign(term: Column | str) -> Column:
-    """+1 / -1 from the next MD5 byte, so collisions cancel on average."""
-    h = F.md5(_c(term))
-    return F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") < 128, F.lit(1)).otherwise(F.lit(-1))
+def term_bucket(h: Column | str, dim: int = HASH_DIM) -> Column:
+    """Feature index from a term hash: its first 8 hex digits modulo ``dim``."""
+    return (F.conv(F.substring(_c(h), 1, 8), 16, 10).cast("bigint") % F.lit(dim)).cast("int")
+
+
+def term_sign(h: Column | str) -> Column:
+    """+1 / -1 from the next hash byte, so collisions cancel on average."""
+    return F.when(F.conv(F.substring(_c(h), 9, 2), 16, 10).cast("int") < 128, F.lit(1)).otherwise(F.lit(-1))

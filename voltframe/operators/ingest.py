@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voltframe.operators.chunks import chunk_pages
 from voltframe.operators.vectorize import hash_vectors
+from voltframe.session import materialize
 from voltframe.sources.store import append_vectors, new_chunks, read_store
 
 
@@ -55,13 +56,14 @@ def ingest(pages: DataFrame, store_path: str) -> DataFrame:
     """Ingest a page table into the store; returns per-document statistics.
 
     The anti-join against stored ids comes before vectorising, so known chunks are never
-    embedded again. The chunk table is checkpointed (shared checkpoint folder) so the
-    statistics and the write see the same chunks without recomputing the chunker.
+    embedded again. The chunk table and the statistics are written once to the shared
+    checkpoint folder, so both consumers see the same chunks without re-running the
+    chunker, and the statistics describe the store as it was before this run's append.
     """
     spark = pages.sparkSession
-    chunks = chunk_pages(pages).checkpoint(eager=True)
+    chunks = materialize(chunk_pages(pages), "ingest-chunks")
     store = read_store(spark, store_path)
-    stats = ingest_stats(pages.select("source_pdf"), chunks, store).checkpoint(eager=True)
+    stats = materialize(ingest_stats(pages.select("source_pdf"), chunks, store), "ingest-stats")
     fresh = new_chunks(chunks, store)
     append_vectors(vectorize_chunks(fresh), store_path)
     return stats

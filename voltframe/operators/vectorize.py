@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from voltframe.constants import HASH_DIM
 from voltframe.functions.text import term_of, tokenize
-from voltframe.functions.vectors import term_bucket, term_sign
+from voltframe.functions.vectors import term_bucket, term_hash, term_sign
 
 
 def term_weights(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM) -> DataFrame:
@@ -36,13 +36,10 @@ def term_weights(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM)
     terms = (
         df.select(id_col, F.explode_outer(tokenize(text_col)).alias("tok"))
         .where(F.col("tok").isNotNull())
-        .select(id_col, term_of("tok").alias("term"))
-    )
-    return (
-        terms.groupBy(id_col, term_bucket("term", dim).alias("bucket"))
-        .agg(F.sum(term_sign("term")).alias("w"))
-        .where(F.col("w") != 0)
+        .select(id_col, term_hash(term_of("tok")).alias("h"))
+        .select(id_col, term_bucket("h", dim).alias("bucket"), term_sign("h").alias("s"))
     )
+    return terms.groupBy(id_col, "bucket").agg(F.sum("s").alias("w")).where(F.col("w") != 0)
 
 
 def hash_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM,
@@ -54,9 +51,10 @@ def hash_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM,
     sparse = weights.groupBy(id_col).agg(
         F.collect_list("bucket").alias("__i"), F.collect_list(F.col("w").cast("double")).alias("__w")
     )
-    return sparse.select(id_col, _densify(dim)("__i", "__w").alias("embedding")).where(
-        F.col("embedding").isNotNull()
-    )
+    # Every id here has at least one non-zero coordinate (zero weights were dropped and
+    # ids without terms never reach the group), so no vector is zero and no filter on the
+    # UDF result is needed (one would be pushed below it and run the UDF twice).
+    return sparse.select(id_col, _densify(dim)("__i", "__w").alias("embedding"))
 
 
 def _densify(dim: int):

@@ -21,7 +21,7 @@ from voltframe.operators import vectorize as VZ
 from voltframe.operators import tools as TL
 from voltframe.plans import relations as R
 from voltframe.sources import facts as FA
-from voltframe.session import checkpoint_dir
+from voltframe.session import checkpoint_dir, materialize
 from voltframe.sources import landed_pages as LP
 from voltframe.sources import store as ST
 
@@ -236,9 +236,8 @@ def q_topk_cosine(spark: SparkSession, sf: str) -> DataFrame:
 def doc_chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Chunk vectors of every document, materialised once in the shared checkpoint folder
     (the top-k, the metadata join and the context all read it)."""
-    checkpoint_dir(spark)
-    chunks = CH.chunk_pages(pages_doc(spark, sf)).checkpoint(eager=True)
-    return IN.vectorize_chunks(chunks).checkpoint(eager=True)
+    chunks = materialize(CH.chunk_pages(pages_doc(spark, sf)), "doc-chunks")
+    return materialize(IN.vectorize_chunks(chunks), "doc-chunk-vectors")
 
 
 def question_vectors(spark: SparkSession, sf: str) -> DataFrame:
