@@ -109,7 +109,9 @@ def q_mix_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- step 3: landed pages
 def landed(spark: SparkSession, sf: str) -> DataFrame:
-    return R.landed_generation_pages(R.table(spark, sf, "events"))
+    """Pages landed to storage (a table in the shared folder), then read back: parsing
+    runs over many files in parallel instead of a few coalesced shuffle partitions."""
+    return materialize(R.landed_generation_pages(R.table(spark, sf, "events")), "landed-pages")
 
 
 @register("page_parse")

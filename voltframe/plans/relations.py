@@ -31,11 +31,12 @@ SERIES_NAMES = {"D": "Demand", "NG": "Net generation", "TI": "Total interchange"
 TI_OFFSET = 245.0
 
 
-TEXT_TABLES = {"documents", "conversations", "benchmark", "pages"}
+# Tables whose rows get per-row regex/JSON work; they are spread over all cores.
+TEXT_TABLES = {"documents", "conversations", "benchmark", "pages", "events"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table; text tables get one scan partition per core at least (regex work)."""
+    """A test table; tables with per-row text work get at least one scan partition per core."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     return spread(df) if name in TEXT_TABLES else df
 
