@@ -68,3 +68,33 @@ def test_citation_match(spark):
     rows = ["See [Silver Star p.4].", "no tag", "[x p.]", "[ER23-2309 Index p.12] ok"]
     df = spark.createDataFrame([(r,) for r in rows], "a string")
     assert [r[0] for r in df.select(TX.has_citation("a")).collect()] == [True, False, False, True]
+
+
+def test_answer_checks(spark):
+    from voltframe.constants import REFUSAL
+    from voltframe.operators.cite import check_answers
+
+    rows = [(1, ""), (2, REFUSAL), (3, "Fact. [Silver Star p.4]"), (4, "Fact without tag."), (5, "Odd [x p.] tag"),
+            (6, "  " + REFUSAL + "  ")]
+    df = spark.createDataFrame(rows, "id int, answer string")
+    got = {r.id: (r.uncited, r.refusal) for r in check_answers(df).collect()}
+    assert got == {1: (False, False), 2: (False, True), 3: (False, False), 4: (True, False), 5: (True, False),
+                   6: (False, True)}
+
+
+def test_context_and_prompt(spark):
+    from voltframe.constants import CONTEXT_SEPARATOR, REFUSAL
+    from voltframe.operators.cite import context_blocks, prompt_rows
+
+    hits = spark.createDataFrame(
+        [(1, 2, "second", "may2026.pdf", 3), (1, 1, "first", "x/report.v2.pdf", 1)],
+        "query_id long, rank int, chunk_text string, source_pdf string, page_number int",
+    )
+    ctx = context_blocks(hits)
+    c = ctx.first()
+    assert c.context == "[report.v2 p.1]\nfirst" + CONTEXT_SEPARATOR + "[EIA EPM May 2026 p.3]\nsecond"
+    qs = spark.createDataFrame([(1, "what?"), (2, "nothing?")], "query_id long, question string")
+    out = {r.query_id: r for r in prompt_rows(qs, ctx).collect()}
+    assert out[2].refused and out[2].response == REFUSAL and out[2].prompt is None
+    p = out[1].prompt
+    assert p.endswith("QUESTION: what?\n") and c.context in p and REFUSAL in p

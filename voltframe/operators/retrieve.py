@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from voltframe.constants import DEFAULT_K
 
-DEFAULT_QUERY_BUDGET = 256 * 1024 * 1024  # bytes of float64 query matrix per broadcast
+DEFAULT_QUERY_BUDGET = 64 * 1024 * 1024  # bytes of float64 query matrix per broadcast
 
 
 def _unit_rows(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -461,4 +461,17 @@ SELECT 'CISO' AS region, sum(n) OVER () AS rows, {ts_text('min(lo) OVER ()')} AS
 FROM per
 """
 
+GEN_LARGE = f"""SELECT CAST(l_shipdate AS TIMESTAMP) AS period,
+  {pick(REGION_CODES, 'l_suppkey')} AS respondent,
+  l_returnflag || l_linestatus AS type_name,
+  l_quantity AS value
+FROM lineitem"""
+
+SQL["fuel_share_large"] = f"""
+WITH g AS ({GEN_LARGE}), {_MIX}
+SELECT respondent, type_name, CAST(mwh_dec AS DOUBLE) AS mwh, fuel_rank,
+  CASE WHEN total_mwh <> 0 THEN CAST(mwh_dec AS DOUBLE) / total_mwh * 100.0 ELSE 0.0 END AS share_pct
+FROM rk
+"""
+
 __all__ = ["SQL"]

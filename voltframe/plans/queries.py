@@ -320,3 +320,12 @@ def q_tool_table_function(spark: SparkSession, sf: str) -> DataFrame:
 
     register_tool_functions(spark, generation(spark, sf), region_facts(spark, sf))
     return spark.sql("SELECT * FROM get_generation('caiso', '2024-01-03', '2024-01-09')")
+
+
+@register("fuel_share_large")
+def q_fuel_share_large(spark: SparkSession, sf: str) -> DataFrame:
+    """Fuel mix and shares over the large generation relation (lineitem)."""
+    facts = R.generation_from_lineitem(R.table(spark, sf, "lineitem"))
+    return S.fuel_share(S.fuel_mix(facts)).select(
+        "respondent", "type_name", "mwh", F.col("fuel_rank").cast("long").alias("fuel_rank"), "share_pct"
+    )

@@ -22,22 +22,46 @@ _CORE_CONF = {
 }
 
 
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def scale_conf(input_bytes: int, cores: int) -> dict[str, str]:
+    """Sizing for a job reading ``input_bytes`` on ``cores`` executor cores.
+
+    Scan splits of 256 MB; the initial shuffle partition count covers the input at
+    ~256 MB per partition (at least 2 waves of the cluster's cores), and adaptive
+    execution coalesces what turns out small at runtime. E.g. 100 TB on 8,000 cores:
+    409,600 initial shuffle partitions, each task well inside executor memory.
+    """
+    parts = max(2 * cores, -(-input_bytes // TARGET_PARTITION_BYTES))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(TARGET_PARTITION_BYTES),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TARGET_PARTITION_BYTES),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * TARGET_PARTITION_BYTES),
+    }
+
+
 def get_session(
     master: str | None = None,
     app_name: str = "voltframe",
     shuffle_partitions: int | None = None,
     extra_conf: dict[str, str] | None = None,
+    input_bytes: int | None = None,
+    cores: int | None = None,
 ) -> SparkSession:
     """Return a session with the settings above.
 
-    ``master`` is only applied when given (on a cluster the launcher decides).
-    ``shuffle_partitions`` should be sized so one shuffle partition stays around
-    128-256 MB at the target scale; local tests use the core count.
+    ``master`` is only applied when given (on a cluster the launcher decides). Either
+    pass ``shuffle_partitions`` directly (local tests use the core count) or the expected
+    ``input_bytes`` and ``cores`` to size partitions with :func:`scale_conf`.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(_CORE_CONF)
+    if input_bytes is not None and cores is not None:
+        conf.update(scale_conf(input_bytes, cores))
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})
