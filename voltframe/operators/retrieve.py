@@ -99,24 +99,29 @@ def topk_cosine(
     """
     q_type = queries.schema[query_id].dataType
     c_type = corpus.schema[corpus_id].dataType
-    qs = queries.select(query_id, query_vec).where(F.size(query_vec) > 0)
-    n_q = qs.count()
-    if n_q == 0:
-        return corpus.sparkSession.createDataFrame(
-            [], f"query_id {q_type.simpleString()}, rank int, {corpus_id} {c_type.simpleString()}, similarity_score double"
-        )
-    dim = qs.select(F.max(F.size(query_vec))).first()[0]
-    per_batch = max(1, query_budget_bytes // (8 * max(dim, 1)))
-    n_batches = -(-n_q // per_batch)
-    parts = []
-    for b in range(n_batches):
-        part = qs if n_batches == 1 else qs.where(F.pmod(F.xxhash64(query_id), F.lit(n_batches)) == b)
-        rows = part.collect()  # bounded by the byte budget above
-        if not rows:
-            continue
-        q_ids = [r[0] for r in rows]
-        q_mat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows])
-        parts.append(_search_batch(corpus, q_ids, q_mat, k, corpus_id, vec_col, q_type, c_type))
+    # The question batch is small by contract; cache it so its count, its width and its
+    # collection do not recompute the vectoriser three times.
+    qs = queries.select(query_id, query_vec).where(F.size(query_vec) > 0).cache()
+    try:
+        n_q, dim = qs.agg(F.count(F.lit(1)), F.max(F.size(query_vec))).first()
+        if n_q == 0:
+            return corpus.sparkSession.createDataFrame(
+                [], f"query_id {q_type.simpleString()}, rank int, {corpus_id} {c_type.simpleString()}, "
+                "similarity_score double"
+            )
+        per_batch = max(1, query_budget_bytes // (8 * max(dim, 1)))
+        n_batches = -(-n_q // per_batch)
+        parts = []
+        for b in range(n_batches):
+            part = qs if n_batches == 1 else qs.where(F.pmod(F.xxhash64(query_id), F.lit(n_batches)) == b)
+            rows = part.collect()  # bounded by the byte budget above
+            if not rows:
+                continue
+            q_ids = [r[0] for r in rows]
+            q_mat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows])
+            parts.append(_search_batch(corpus, q_ids, q_mat, k, corpus_id, vec_col, q_type, c_type))
+    finally:
+        qs.unpersist()
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
