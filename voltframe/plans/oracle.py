@@ -474,4 +474,27 @@ SELECT respondent, type_name, CAST(mwh_dec AS DOUBLE) AS mwh, fuel_rank,
 FROM rk
 """
 
+REG_K = f"""SELECT r.*, CAST(json_extract(e.props, '$.k') AS INTEGER) AS k
+FROM ({REG.replace('FROM events', ', event_id FROM events')}) r JOIN events e USING (event_id)"""
+
+SQL["region_page_parse"] = f"""
+WITH r AS ({REG_K})
+SELECT period, respondent, respondent_name, type, type_name, value_units,
+  CASE WHEN k = {R.K_NAN_VALUE} THEN NULL ELSE value END AS value
+FROM r WHERE type IN ('D', 'NG', 'TI') AND k NOT IN ({', '.join(str(x) for x in _BAD)})
+"""
+
+SQL["tool_table_function_interchange"] = f"""
+WITH r AS ({REG}),
+sel AS (SELECT * FROM r WHERE respondent = 'SWPP' AND type IN ('D', 'NG', 'TI')
+        AND period >= TIMESTAMP '2024-01-01 00:00:00' AND period < TIMESTAMP '2024-01-31 00:00:00'),
+per AS (SELECT type, {dsum()} AS total, count(*) AS n FROM sel GROUP BY type)
+SELECT 'SWPP' AS region, sum(n) OVER () AS rows, type, {case_map('type', SERIES_LABELS, 'type')} AS series,
+  CAST(round(total, 1) AS DOUBLE) AS total_mwh,
+  CASE WHEN max(CASE WHEN type = 'TI' THEN total END) OVER () > 0 THEN {q(POSITION_EXPORTER)}
+       WHEN max(CASE WHEN type = 'TI' THEN total END) OVER () < 0 THEN {q(POSITION_IMPORTER)}
+       WHEN max(CASE WHEN type = 'TI' THEN total END) OVER () = 0 THEN {q(POSITION_BALANCED)} END AS position
+FROM per
+"""
+
 __all__ = ["SQL"]

@@ -329,3 +329,19 @@ def q_fuel_share_large(spark: SparkSession, sf: str) -> DataFrame:
     return S.fuel_share(S.fuel_mix(facts)).select(
         "respondent", "type_name", "mwh", F.col("fuel_rank").cast("long").alias("fuel_rank"), "share_pct"
     )
+
+
+@register("region_page_parse")
+def q_region_page_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Region-data pages (D/NG/TI) landed, read back and validated into R facts."""
+    pages = materialize(R.landed_region_pages(R.table(spark, sf, "events")), "landed-region-pages")
+    good, _ = LP.parse_pages(pages, "region")
+    return good
+
+
+@register("tool_table_function_interchange")
+def q_tool_table_function_interchange(spark: SparkSession, sf: str) -> DataFrame:
+    from voltframe.plans.sql_functions import register_tool_functions
+
+    register_tool_functions(spark, generation(spark, sf), region_facts(spark, sf))
+    return spark.sql("SELECT * FROM get_demand_and_interchange('spp', '2024-01-01', '2024-01-30')")

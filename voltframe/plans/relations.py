@@ -236,3 +236,42 @@ def landed_generation_pages(events: DataFrame) -> DataFrame:
     raw = raw_generation_records(events)
     hour_bucket = F.floor(F.col("period").cast("timestamp").cast("long") / 3600)
     return land_pages(raw, "respondent", hour_bucket, ["period", "event_id"])
+
+
+def raw_region_records(events: DataFrame) -> DataFrame:
+    """Region facts as the API would send them (``type`` instead of ``fueltype``), with the
+    same text-level variations as the generation records."""
+    base = events.select("*", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    resp = code_of(F.col("user_id"))
+    t = F.coalesce(F.try_element_at(_lit_map(EVENT_TYPE_SERIES), F.col("event_type")), F.col("event_type"))
+    period = hour_of(F.col("ts"))
+    value = F.when(t == "TI", F.col("value") - F.lit(TI_OFFSET)).otherwise(F.col("value"))
+    k = F.col("k")
+    snake = k == K_SNAKE_KEYS
+    type_name = F.coalesce(F.try_element_at(_lit_map(SERIES_NAMES), t), capitalized(F.col("event_type")))
+    record = F.struct(
+        F.when(k == K_MONTH_PERIOD, F.date_format(period, "yyyy-MM"))
+        .otherwise(F.date_format(period, "yyyy-MM-dd'T'HH")).alias("period"),
+        F.when(k != K_NO_RESPONDENT, resp).alias("respondent"),
+        F.when(~snake, region_name(resp)).alias("respondent-name"),
+        F.when(snake, region_name(resp)).alias("respondent_name"),
+        t.alias("type"),
+        F.when(~snake, type_name).alias("type-name"),
+        F.when(snake, type_name).alias("type_name"),
+        F.when(k == K_VALUE_WITH_UNIT, F.concat(value.cast("string"), F.lit(" MWh")))
+        .when(k == K_NAN_VALUE, F.lit("nan")).otherwise(value.cast("string")).alias("value"),
+        F.when(~snake, F.lit("megawatthours")).alias("value-units"),
+        F.when(snake, F.lit("megawatthours")).alias("value_units"),
+    )
+    return base.where(t.isin("D", "NG", "TI")).select(
+        resp.alias("respondent"), period.alias("period"), "event_id", record.alias("record")
+    )
+
+
+def landed_region_pages(events: DataFrame) -> DataFrame:
+    """Region-data pages (type facet D/NG/TI applied at the source), 5,000 records each."""
+    from voltframe.sources.landed_pages import land_pages
+
+    raw = raw_region_records(events)
+    hour_bucket = F.floor(F.col("period").cast("timestamp").cast("long") / 3600)
+    return land_pages(raw, "respondent", hour_bucket, ["period", "event_id"])
