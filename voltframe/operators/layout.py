@@ -13,7 +13,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     round-robin repartitioned (deterministic on retry, and immune to hot keys); large
     inputs already have enough splits and pass through without a shuffle.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view of the plan available (e.g. a remote session)
+        return df
+    return df.repartition(target) if current < target else df

@@ -343,7 +343,7 @@ sc AS (SELECT cen.label, e.vec_id,
               round(list_cosine_similarity(cen.centroid, CAST(e.embedding AS DOUBLE[])), 6) AS similarity_score
        FROM cen, embeddings e),
 rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity_score DESC, vec_id) AS rank FROM sc)
-SELECT label, rank, vec_id, similarity_score FROM rk WHERE rank <= {DEFAULT_K}
+SELECT label, CAST(rank AS INTEGER) AS rank, vec_id, similarity_score FROM rk WHERE rank <= {DEFAULT_K}
 """
 
 
@@ -454,7 +454,7 @@ sel AS (SELECT * FROM g WHERE respondent = 'CISO' AND period >= TIMESTAMP '2024-
         AND period < TIMESTAMP '2024-01-10 00:00:00'),
 per AS (SELECT type_name, {dsum()} AS total, count(*) AS n, min(period) AS lo, max(period) AS hi
         FROM sel GROUP BY type_name)
-SELECT 'CISO' AS region, sum(n) OVER () AS rows, {ts_text('min(lo) OVER ()')} AS period_start,
+SELECT 'CISO' AS region, CAST(sum(n) OVER () AS BIGINT) AS rows, {ts_text('min(lo) OVER ()')} AS period_start,
        {ts_text('max(hi) OVER ()')} AS period_end, type_name,
        CAST(row_number() OVER (ORDER BY total DESC, type_name) AS INTEGER) AS fuel_rank,
        CAST(round(total, 1) AS DOUBLE) AS mwh
@@ -489,7 +489,7 @@ WITH r AS ({REG}),
 sel AS (SELECT * FROM r WHERE respondent = 'SWPP' AND type IN ('D', 'NG', 'TI')
         AND period >= TIMESTAMP '2024-01-01 00:00:00' AND period < TIMESTAMP '2024-01-31 00:00:00'),
 per AS (SELECT type, {dsum()} AS total, count(*) AS n FROM sel GROUP BY type)
-SELECT 'SWPP' AS region, sum(n) OVER () AS rows, type, {case_map('type', SERIES_LABELS, 'type')} AS series,
+SELECT 'SWPP' AS region, CAST(sum(n) OVER () AS BIGINT) AS rows, type, {case_map('type', SERIES_LABELS, 'type')} AS series,
   CAST(round(total, 1) AS DOUBLE) AS total_mwh,
   CASE WHEN max(CASE WHEN type = 'TI' THEN total END) OVER () > 0 THEN {q(POSITION_EXPORTER)}
        WHEN max(CASE WHEN type = 'TI' THEN total END) OVER () < 0 THEN {q(POSITION_IMPORTER)}

@@ -59,6 +59,11 @@ def hour_of(ts: Column) -> Column:
     return F.date_trunc("hour", ts).cast("timestamp_ntz")
 
 
+def hour_number(period: Column) -> Column:
+    """Hours since 1970-01-01 of a ``timestamp_ntz`` (no session time zone involved)."""
+    return F.datediff(F.to_date(period), F.lit("1970-01-01").cast("date")).cast("long") * 24 + F.hour(period)
+
+
 def capitalized(s: Column) -> Column:
     return F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 30))
 
@@ -234,7 +239,7 @@ def landed_generation_pages(events: DataFrame) -> DataFrame:
     from voltframe.sources.landed_pages import land_pages
 
     raw = raw_generation_records(events)
-    hour_bucket = F.floor(F.col("period").cast("timestamp").cast("long") / 3600)
+    hour_bucket = hour_number(F.col("period"))
     return land_pages(raw, "respondent", hour_bucket, ["period", "event_id"])
 
 
@@ -273,5 +278,5 @@ def landed_region_pages(events: DataFrame) -> DataFrame:
     from voltframe.sources.landed_pages import land_pages
 
     raw = raw_region_records(events)
-    hour_bucket = F.floor(F.col("period").cast("timestamp").cast("long") / 3600)
+    hour_bucket = hour_number(F.col("period"))
     return land_pages(raw, "respondent", hour_bucket, ["period", "event_id"])
