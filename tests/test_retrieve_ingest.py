@@ -63,3 +63,16 @@ def test_ingest_is_resumable_and_keeps_stale_chunks(spark):
     s3 = {r.source_pdf: r for r in ingest(changed, store).collect()}
     assert (s3["a.pdf"].n_new, s3["a.pdf"].n_skipped) == (1, 1)
     assert read_store(spark, store).count() == 3          # the stale page-2 chunk stays (T15)
+
+
+def test_new_chunks_both_join_forms_agree(spark):
+    from voltframe.sources.store import new_chunks
+
+    chunks = spark.createDataFrame([(f"id{i}", i) for i in range(50)], "chunk_id string, n int")
+    store = spark.createDataFrame([(f"id{i}",) for i in range(0, 200, 3)], "chunk_id string")
+    plain = {r.chunk_id for r in new_chunks(chunks, store).collect()}
+    reduced = new_chunks(chunks, store, broadcast_limit=1000)
+    assert "BroadcastExchange" in reduced._jdf.queryExecution().executedPlan().toString()
+    assert {r.chunk_id for r in reduced.collect()} == plain
+    assert {r.chunk_id for r in new_chunks(chunks, store, broadcast_limit=10).collect()} == plain
+    assert plain == {f"id{i}" for i in range(50) if i % 3}

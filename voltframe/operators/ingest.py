@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voltframe.operators.chunks import chunk_pages
 from voltframe.operators.vectorize import hash_vectors
 from voltframe.session import materialize
-from voltframe.sources.store import append_vectors, new_chunks, read_store
+from voltframe.sources.store import BROADCAST_ID_LIMIT, append_vectors, read_store, stored_ids_among
 
 
 def mark_new(chunks: DataFrame, store: DataFrame) -> DataFrame:
@@ -18,7 +18,8 @@ def mark_new(chunks: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def ingest_stats(documents: DataFrame, chunks: DataFrame, store: DataFrame) -> DataFrame:
-    """Per document: ``source_pdf, n_chunks, n_new, n_skipped``.
+    """Per document: ``source_pdf, n_chunks, n_new, n_skipped``. ``store`` needs ``chunk_id``
+    only (the store itself or the stored ids that can match).
 
     ``documents`` lists every document seen (``source_pdf``); those without any chunk are
     kept with zeros, as the source counts them but embeds nothing.
@@ -62,8 +63,8 @@ def ingest(pages: DataFrame, store_path: str) -> DataFrame:
     """
     spark = pages.sparkSession
     chunks = materialize(chunk_pages(pages), "ingest-chunks")
-    store = read_store(spark, store_path)
-    stats = materialize(ingest_stats(pages.select("source_pdf"), chunks, store), "ingest-stats")
-    fresh = new_chunks(chunks, store)
+    known = stored_ids_among(chunks, read_store(spark, store_path), BROADCAST_ID_LIMIT)
+    stats = materialize(ingest_stats(pages.select("source_pdf"), chunks, known), "ingest-stats")
+    fresh = chunks.join(known, "chunk_id", "left_anti")
     append_vectors(vectorize_chunks(fresh), store_path)
     return stats

@@ -46,9 +46,10 @@ def write_facts(facts: DataFrame, path: str, partition_overwrite: bool = True) -
     """Write facts as Parquet partitioned by ``respondent`` and ``day``.
 
     Returns False and writes nothing when the frame is empty (checked with a one-row
-    probe, not a count). Rows are clustered by (respondent, day) so each task writes few
-    files; inside a file rows are sorted by period. With dynamic partition overwrite only
-    the partitions present in ``facts`` are replaced.
+    probe, not a count). Rows are clustered by (respondent, day) with a ``rebalance`` hint,
+    so each task writes few files while adaptive execution splits a hot (respondent, day)
+    across several tasks; inside a file rows are sorted by period. With dynamic partition
+    overwrite only the partitions present in ``facts`` are replaced.
     """
     if facts.isEmpty():
         return False
@@ -57,7 +58,7 @@ def write_facts(facts: DataFrame, path: str, partition_overwrite: bool = True) -
         facts.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     (
         facts.withColumn("day", F.to_date("period"))
-        .repartition("respondent", "day")
+        .hint("rebalance", "respondent", "day")
         .sortWithinPartitions("period", kind)
         .write.mode("overwrite")
         .partitionBy("respondent", "day")

@@ -29,9 +29,28 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHUNK_VECTORS).parquet(path)
 
 
-def new_chunks(chunks: DataFrame, store: DataFrame) -> DataFrame:
-    """Chunks whose id is not stored yet (set difference on the key)."""
-    return chunks.join(store.select("chunk_id"), "chunk_id", "left_anti")
+BROADCAST_ID_LIMIT = 1_000_000  # ~70 MB of hex ids
+
+
+def stored_ids_among(chunks: DataFrame, store: DataFrame, broadcast_limit: int | None = None) -> DataFrame:
+    """Stored ids, reduced to those that can match the batch when that is cheap.
+
+    With ``broadcast_limit`` and a batch whose distinct ids are counted at or below it,
+    the batch's ids are broadcast to semi-filter the store scan (only ``chunk_id`` is
+    read, nothing of the store is shuffled). Above the limit, or without one, all stored
+    ids are returned and the caller's join shuffles them.
+    """
+    ids = store.select("chunk_id")
+    if broadcast_limit is not None:
+        batch_ids = chunks.select("chunk_id").distinct()
+        if batch_ids.count() <= broadcast_limit:
+            ids = ids.join(F.broadcast(batch_ids), "chunk_id", "left_semi")
+    return ids
+
+
+def new_chunks(chunks: DataFrame, store: DataFrame, broadcast_limit: int | None = None) -> DataFrame:
+    """Chunks whose id is not stored yet (set difference on the key, a left-anti join)."""
+    return chunks.join(stored_ids_among(chunks, store, broadcast_limit), "chunk_id", "left_anti")
 
 
 def append_vectors(vectors: DataFrame, path: str) -> None:
