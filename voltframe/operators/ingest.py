@@ -49,8 +49,7 @@ def ingest_totals(stats: DataFrame) -> DataFrame:
 
 def vectorize_chunks(chunks: DataFrame) -> DataFrame:
     """Chunks plus their ``embedding`` (hashing vectoriser)."""
-    vecs = hash_vectors(chunks, "chunk_id", "text")
-    return chunks.join(vecs, "chunk_id")
+    return hash_vectors(chunks, "chunk_id", "text", keep=["source_pdf", "page_number", "chunk_index", "text"])
 
 
 def ingest(pages: DataFrame, store_path: str) -> DataFrame:

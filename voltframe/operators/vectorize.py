@@ -43,10 +43,23 @@ def term_weights(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM)
 
 
 def hash_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM,
-                 num_partitions: int | None = None) -> DataFrame:
-    """``(id, embedding ARRAY<FLOAT>)`` unit vectors; texts whose vector is 0 are dropped."""
+                 num_partitions: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``(id, embedding ARRAY<FLOAT>)`` unit vectors; texts whose vector is 0 are dropped.
+
+    ``keep`` carries other columns of ``df`` along: the rows and their vectors come from
+    one hash exchange on the id (reused by both sides), so the join that re-attaches the
+    columns is co-partitioned and adds no shuffle.
+    """
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.select(id_col, text_col).repartition(n, id_col)
+    keep = [c for c in (keep or []) if c not in (id_col,)]
+    keyed = df.select(id_col, text_col, *[c for c in keep if c != text_col]).repartition(n, id_col)
+    vectors = _vectors(keyed.select(id_col, text_col), id_col, text_col, dim)
+    if not keep:
+        return vectors
+    return keyed.select(id_col, *keep).join(vectors, id_col)
+
+
+def _vectors(keyed: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
     weights = term_weights(keyed, id_col, text_col, dim)
     sparse = weights.groupBy(id_col).agg(
         F.collect_list("bucket").alias("__i"), F.collect_list(F.col("w").cast("double")).alias("__w")

@@ -237,9 +237,8 @@ def q_topk_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Chunk vectors of every document, materialised once in the shared checkpoint folder
-    (the top-k, the metadata join and the context all read it)."""
-    chunks = materialize(CH.chunk_pages(pages_doc(spark, sf)), "doc-chunks")
-    return materialize(IN.vectorize_chunks(chunks), "doc-chunk-vectors")
+    (the top-k and the metadata join both read it)."""
+    return materialize(IN.vectorize_chunks(CH.chunk_pages(pages_doc(spark, sf))), "doc-chunk-vectors")
 
 
 def question_vectors(spark: SparkSession, sf: str) -> DataFrame:
