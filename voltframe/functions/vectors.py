@@ -44,11 +44,11 @@ def term_hash(term: Column | str) -> Column:
     return F.md5(_c(term))
 
 
-def term_bucket(h: Column | str, dim: int = HASH_DIM) -> Column:
-    """Feature index from a term hash: its first 8 hex digits modulo ``dim``."""
-    return (F.conv(F.substring(_c(h), 1, 8), 16, 10).cast("bigint") % F.lit(dim)).cast("int")
-
-
-def term_sign(h: Column | str) -> Column:
-    """+1 / -1 from the next hash byte, so collisions cancel on average."""
-    return F.when(F.conv(F.substring(_c(h), 9, 2), 16, 10).cast("int") < 128, F.lit(1)).otherwise(F.lit(-1))
+def term_code(h: Column | str, dim: int = HASH_DIM) -> Column:
+    """Signed feature code ``bucket * 2 + negative`` from a hex term hash.
+
+    The first 8 hex digits modulo ``dim`` give the bucket; the next byte gives the sign
+    (-1 when it is >= 128). Both come from one conversion of the first 10 hex digits.
+    """
+    v = F.conv(F.substring(_c(h), 1, 10), 16, 10).cast("bigint")
+    return ((F.shiftright(v, 8) % F.lit(dim)) * 2 + (F.shiftright(v, 7) % 2)).cast("int")

@@ -1,17 +1,18 @@
-"""Corpus vectorisation: signed feature hashing, grouped in Spark.
+"""Corpus vectorisation: signed feature hashing, row-local in Spark.
 
 Default embedder (the source runs a local neural model, which is not available here):
-every token's term (token minus leading whitespace) is hashed with MD5; the first 8 hex
-digits modulo ``dim`` pick the coordinate and the next byte picks the sign (Weinberger
-et al., 2009). Coordinates are summed per text, then the vector is L2-normalised and
-stored as FLOAT. This is a *lexical* embedding: texts sharing words score high; it has
-no notion of synonyms. A model-backed embedder can replace it through
-:func:`vectorize_with_model` (``predict_batch_udf``).
-
-Plan: the input is hash-partitioned by id once; token explosion, the ``(id, bucket)``
-sum and the per-id gathering of at most ``dim`` coordinates all reuse that
-partitioning, so text is shuffled once and term rows never are. Turning the sparse
-coordinates into a dense unit vector is an Arrow-batched pandas UDF (numpy scatter).
+every term of a text (a maximal run of non-whitespace, i.e. a token without its leading
+whitespace) is hashed with MD5; the first 8 hex digits modulo ``dim`` pick the
+coordinate and the next byte picks the sign (Weinberger et al., 2009). Coordinates are
+summed per text, then the vector is L2-normalised and stored as FLOAT. This is a
+*lexical* embedding: texts sharing words score high; it has no notion of synonyms. A
+model-backed embedder can replace it through :func:`vectorize_with_model`
+(``predict_batch_udf``).
+
+Plan: a vector depends on its own row only, so vectorising is a narrow projection with
+no shuffle. The JVM extracts the terms and hashes each one inside a ``transform`` into
+one signed code per term (``bucket * 2 + negative``); an Arrow-batched pandas UDF turns
+a whole batch of code arrays into dense unit vectors with a single ``bincount``.
 """
 
 from __future__ import annotations
@@ -20,68 +21,62 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltframe.constants import HASH_DIM
-from voltframe.functions.text import term_of, tokenize
-from voltframe.functions.vectors import term_bucket, term_hash, term_sign
+from voltframe.constants import HASH_DIM, NOT_WS
+from voltframe.functions.vectors import term_code, term_hash
 
+TERM_PATTERN = NOT_WS + "+"
 
-def term_weights(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM) -> DataFrame:
-    """Sparse signed counts ``(id, bucket, w)``; cancelled coordinates (w = 0) are dropped."""
-    # explode_outer: no inferred ``size(tokens) > 0`` filter (which would tokenise twice,
-    # below the id repartitioning); the NULL token of an empty text is dropped after.
-    terms = (
-        df.select(id_col, F.explode_outer(tokenize(text_col)).alias("tok"))
-        .where(F.col("tok").isNotNull())
-        .select(id_col, term_hash(term_of("tok")).alias("h"))
-        .select(id_col, term_bucket("h", dim).alias("bucket"), term_sign("h").alias("s"))
-    )
-    return terms.groupBy(id_col, "bucket").agg(F.sum("s").alias("w")).where(F.col("w") != 0)
+
+def term_codes(text: Column | str, dim: int = HASH_DIM) -> Column:
+    """``ARRAY<INT>``: per term of ``text``, ``bucket * 2 + (1 if its sign is -1)``."""
+    t = F.col(text) if isinstance(text, str) else text
+    hashes = F.transform(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(TERM_PATTERN), 0), term_hash)
+    return F.transform(hashes, lambda h: term_code(h, dim))
 
 
 def hash_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM,
-                 num_partitions: int | None = None, keep: list[str] | None = None) -> DataFrame:
-    """``(id, embedding ARRAY<FLOAT>)`` unit vectors; texts whose vector is 0 are dropped.
+                 keep: list[str] | None = None) -> DataFrame:
+    """``(id, [keep...], embedding ARRAY<FLOAT>)`` unit vectors; texts whose vector is 0
+    (no terms, or every coordinate cancelled) are dropped.
 
-    ``keep`` carries other columns of ``df`` along: the rows and their vectors come from
-    one hash exchange on the id (reused by both sides), so the join that re-attaches the
-    columns is co-partitioned and adds no shuffle.
+    Row-local: the input keeps its partitioning and nothing is shuffled.
     """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keep = [c for c in (keep or []) if c not in (id_col,)]
-    keyed = df.select(id_col, text_col, *[c for c in keep if c != text_col]).repartition(n, id_col)
-    vectors = _vectors(keyed.select(id_col, text_col), id_col, text_col, dim)
-    if not keep:
-        return vectors
-    return keyed.select(id_col, *keep).join(vectors, id_col)
-
-
-def _vectors(keyed: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
-    weights = term_weights(keyed, id_col, text_col, dim)
-    sparse = weights.groupBy(id_col).agg(
-        F.collect_list("bucket").alias("__i"), F.collect_list(F.col("w").cast("double")).alias("__w")
+    keep = [c for c in (keep or []) if c != id_col]
+    coded = df.select(id_col, *keep, term_codes(text_col, dim).alias("__codes"))
+    # The UDF is marked non-deterministic only so that the NULL filter below is not
+    # pushed beneath it (that would evaluate the UDF a second time inside the filter).
+    vec = _densify(dim).asNondeterministic()
+    return (
+        coded.select(id_col, *keep, vec("__codes").alias("embedding"))
+        .where(F.col("embedding").isNotNull())
     )
-    # Every id here has at least one non-zero coordinate (zero weights were dropped and
-    # ids without terms never reach the group), so no vector is zero and no filter on the
-    # UDF result is needed (one would be pushed below it and run the UDF twice).
-    return sparse.select(id_col, _densify(dim)("__i", "__w").alias("embedding"))
 
 
 def _densify(dim: int):
-    """pandas UDF: (indices, weights) -> unit FLOAT vector of width ``dim`` (NULL if zero)."""
+    """pandas UDF: signed term codes -> unit FLOAT vector of width ``dim`` (NULL if zero).
+
+    One ``bincount`` per Arrow batch over ``row * dim + bucket`` builds every vector of the
+    batch at once; the result is exact (integer sums), normalised in float64.
+    """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def densify(idx: pd.Series, w: pd.Series) -> pd.Series:
-        out = []
-        for i, v in zip(idx, w):
-            d = np.zeros(dim, dtype=np.float64)
-            d[np.asarray(i, dtype=np.int64)] = np.asarray(v, dtype=np.float64)
-            n = np.sqrt(np.dot(d, d))
-            out.append((d / n).astype(np.float32) if n > 0 else None)
-        return pd.Series(out, dtype=object)
+    def densify(codes: pd.Series) -> pd.Series:
+        n = len(codes)
+        lengths = np.fromiter((len(c) for c in codes), dtype=np.int64, count=n)
+        flat = np.concatenate([np.asarray(c, dtype=np.int64) for c in codes]) if lengths.sum() else \
+            np.zeros(0, dtype=np.int64)
+        rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
+        weights = 1.0 - 2.0 * (flat & 1)
+        dense = np.bincount(rows * dim + (flat >> 1), weights=weights, minlength=n * dim).reshape(n, dim)
+        norms = np.sqrt(np.einsum("ij,ij->i", dense, dense))
+        ok = norms > 0
+        unit = np.zeros((n, dim), dtype=np.float32)
+        unit[ok] = (dense[ok] / norms[ok, None]).astype(np.float32)
+        return pd.Series([unit[i] if ok[i] else None for i in range(n)], dtype=object)
 
     return densify
 
