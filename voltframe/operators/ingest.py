@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltframe.operators.chunks import chunk_pages
+from voltframe.operators.layout import spread
 from voltframe.operators.vectorize import hash_vectors
 from voltframe.session import materialize
 from voltframe.sources.store import BROADCAST_ID_LIMIT, append_vectors, read_store, stored_ids_among
@@ -61,6 +62,8 @@ def ingest(pages: DataFrame, store_path: str) -> DataFrame:
     chunker, and the statistics describe the store as it was before this run's append.
     """
     spark = pages.sparkSession
+    # A micro-batch of a few large files is a few scan splits; give the chunker all cores.
+    pages = spread(pages)
     chunks = materialize(chunk_pages(pages), "ingest-chunks")
     known = stored_ids_among(chunks, read_store(spark, store_path), BROADCAST_ID_LIMIT)
     stats = materialize(ingest_stats(pages.select("source_pdf"), chunks, known), "ingest-stats")
