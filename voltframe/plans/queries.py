@@ -202,28 +202,33 @@ def q_chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- step 6: store and ingest
-def labelled_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents ingested by an earlier run: those that carry a label."""
-    docs = R.table(spark, sf, "documents").join(R.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
-    return R.pages_from_documents(docs)
+def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of every document, written once to the shared folder (two consumers)."""
+    return materialize(CH.chunk_pages(pages_doc(spark, sf)), "doc-chunks")
 
 
-def earlier_store_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return CH.chunk_pages(labelled_pages(spark, sf)).select("chunk_id")
+def earlier_store_ids(spark: SparkSession, sf: str, chunks: DataFrame) -> DataFrame:
+    """Ids an earlier ingest stored: the chunks of the documents that carry a label.
+
+    Chunking is per document, so these are the labelled documents' rows of ``chunks``
+    (a semi-join on the document name, not a second chunking run).
+    """
+    labelled = R.table(spark, sf, "labels").select(R.document_source(F.col("doc_id")).alias("source_pdf"))
+    return chunks.join(labelled, "source_pdf", "left_semi").select("chunk_id")
 
 
 @register("incremental_chunks")
 def q_incremental_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = CH.chunk_pages(pages_doc(spark, sf))
-    return ST.new_chunks(chunks, earlier_store_ids(spark, sf)).select(
+    chunks = doc_chunks(spark, sf)
+    return ST.new_chunks(chunks, earlier_store_ids(spark, sf, chunks)).select(
         "chunk_id", "source_pdf", "page_number", "chunk_index"
     )
 
 
 @register("ingest_stats")
 def q_ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
-    pages = pages_doc(spark, sf)
-    return IN.ingest_stats(pages, CH.chunk_pages(pages), earlier_store_ids(spark, sf))
+    chunks = doc_chunks(spark, sf)
+    return IN.ingest_stats(pages_doc(spark, sf), chunks, earlier_store_ids(spark, sf, chunks))
 
 
 # ---------------------------------------------------------------- step 7: retrieval

@@ -155,10 +155,15 @@ def pages_from_conversations(conversations: DataFrame) -> DataFrame:
     )
 
 
+def document_source(doc_id: Column) -> Column:
+    """File name of a document: ``doc-<id>.pdf``."""
+    return F.concat(F.lit("doc-"), doc_id.cast("string"), F.lit(".pdf"))
+
+
 def pages_from_documents(documents: DataFrame) -> DataFrame:
     """Long pages: one single-page document per row."""
     return documents.select(
-        F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_pdf"),
+        document_source(F.col("doc_id")).alias("source_pdf"),
         F.lit(1).alias("page_number"),
         F.col("text").alias("page_text"),
     )
