@@ -18,6 +18,7 @@ from voltframe.operators import ingest as IN
 from voltframe.operators import retrieve as RT
 from voltframe.operators import summaries as S
 from voltframe.operators import vectorize as VZ
+from voltframe.operators.layout import spread
 from voltframe.operators import tools as TL
 from voltframe.plans import relations as R
 from voltframe.sources import facts as FA
@@ -110,8 +111,9 @@ def q_mix_summary(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- step 3: landed pages
 def landed(spark: SparkSession, sf: str) -> DataFrame:
     """Pages landed to storage (a table in the shared folder), then read back: parsing
-    runs over many files in parallel instead of a few coalesced shuffle partitions."""
-    return materialize(R.landed_generation_pages(R.table(spark, sf, "events")), "landed-pages")
+    runs over many files in parallel instead of a few coalesced shuffle partitions.
+    A few large page files are spread over all cores (a no-op when there are enough)."""
+    return spread(materialize(R.landed_generation_pages(R.table(spark, sf, "events")), "landed-pages"))
 
 
 @register("page_parse")
@@ -338,7 +340,7 @@ def q_fuel_share_large(spark: SparkSession, sf: str) -> DataFrame:
 @register("region_page_parse")
 def q_region_page_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Region-data pages (D/NG/TI) landed, read back and validated into R facts."""
-    pages = materialize(R.landed_region_pages(R.table(spark, sf, "events")), "landed-region-pages")
+    pages = spread(materialize(R.landed_region_pages(R.table(spark, sf, "events")), "landed-region-pages"))
     good, _ = LP.parse_pages(pages, "region")
     return good
 
