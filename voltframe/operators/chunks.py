@@ -14,23 +14,23 @@ Rules (per document, pages in page-number order):
 * ``chunk_id`` = SHA-256 of ``source|page|index|text``.
 
 Physical plan: windows are built per page inside one expression (no shuffle). The carry
-needs the previous non-empty page, found without a per-document sort: non-empty pages
-get a skew-safe ordinal (see :mod:`voltframe.operators.ordinal`), tails are joined to
-the next ordinal, and only first windows are joined with that carry. Page text never
-moves through a shuffle; only tails (<= 100 tokens) and first windows do.
+needs the previous non-empty page, found without a per-document sort: first windows are
+partitioned by (document, page bucket), ``lag`` runs inside a bucket and a small
+per-bucket summary bridges bucket boundaries. Later windows never move through a
+shuffle; first windows move once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltframe.constants import CHUNK_TOKENS, OVERLAP_TOKENS
-from voltframe.functions.text import chunk_id, normalize_text, strip_ws, tokenize
-from voltframe.operators.ordinal import row_number_in_group
+from voltframe.functions.text import chunk_id, has_text, normalize_text, strip_ws, tokenize
 from voltframe.session import materialize
 
 STEP = CHUNK_TOKENS - OVERLAP_TOKENS
+CARRY_BUCKET = 4096  # pages of one document per carry task, at most
 
 
 def normalize_pages(pages: DataFrame) -> DataFrame:
@@ -85,35 +85,62 @@ def page_windows(pages: DataFrame, normalized: bool = False) -> DataFrame:
     ).withColumn("tail", F.when(F.col("window") == 0, F.col("tail")))
 
 
-def page_carry(first_windows: DataFrame, bucket_width: int = 4096) -> DataFrame:
-    """``source_pdf, page_number, carry``: the tail of the previous non-empty page of the
-    same document. Input: one row per non-empty page with ``tail``."""
-    tails = first_windows.select("source_pdf", "page_number", "tail")
-    ordered = row_number_in_group(
-        tails, ["source_pdf"], F.floor(F.col("page_number") / bucket_width), ["page_number"], "ord"
+def first_windows_with_carry(first: DataFrame, n_parts: int, bucket_width: int = CARRY_BUCKET) -> DataFrame:
+    """First windows (one row per non-empty page: ``source_pdf, page_number, window, raw,
+    tail``) with ``raw`` prefixed by the tail of the previous non-empty page of the same
+    document.
+
+    Skew-safe without a per-document sort: rows are hash-partitioned by (document, page
+    bucket) and ``lag`` runs inside each bucket, so a task holds at most ``bucket_width``
+    pages of one document however large the document is. The first page of a bucket takes
+    the last tail of the nearest earlier non-empty bucket, from a per-bucket summary
+    (rows / ``bucket_width`` rows). Page text moves through one shuffle; the summary
+    join reuses the bucket partitioning of the large side.
+    """
+    b = "__vf_b"
+    keyed = first.select(
+        "source_pdf", "page_number", "window", "raw", "tail",
+        F.floor(F.col("page_number") / bucket_width).alias(b),
+    ).repartition(n_parts, "source_pdf", b)
+    in_bucket = Window.partitionBy("source_pdf", b).orderBy("page_number")
+    lagged = keyed.select(
+        "source_pdf", b, "page_number", "window", "raw",
+        F.lag("tail").over(in_bucket).alias("__vf_in"),
+        (F.row_number().over(in_bucket) == 1).alias("__vf_head"),
+    )
+    last = keyed.groupBy("source_pdf", b).agg(F.max_by("tail", "page_number").alias("__vf_last"))
+    by_bucket = Window.partitionBy("source_pdf").orderBy(b)
+    prev = last.select("source_pdf", b, F.lag("__vf_last").over(by_bucket).alias("__vf_prev"))
+    carry = F.when(F.col("__vf_head"), F.col("__vf_prev")).otherwise(F.col("__vf_in"))
+    return lagged.join(prev, ["source_pdf", b], "left").select(
+        "source_pdf", "page_number", "window", F.concat(F.coalesce(carry, F.lit("")), F.col("raw")).alias("raw")
     )
-    prev = ordered.select("source_pdf", (F.col("ord") + 1).alias("ord"), F.col("tail").alias("carry"))
-    return ordered.select("source_pdf", "page_number", "ord").join(prev, ["source_pdf", "ord"]).drop("ord")
 
 
-def chunk_windows(windows: DataFrame) -> DataFrame:
+def chunk_windows(windows: DataFrame, bucket_width: int = CARRY_BUCKET) -> DataFrame:
     """Windows (see :func:`page_windows`) -> chunks with carry and ids."""
     first = windows.where((F.col("window") == 0) & (F.col("n_tokens") > 0))
-    carry = page_carry(first)
-    first_text = first.join(carry, ["source_pdf", "page_number"], "left").select(
-        "source_pdf", "page_number", "window", F.concat(F.coalesce("carry", F.lit("")), F.col("raw")).alias("raw")
-    )
+    # First windows carry most of the text of short pages and all the per-row work after
+    # the carry (strip, hashing, vectorising). Adaptive execution would coalesce their
+    # shuffle by bytes into very few tasks, so the partition count is explicit: as many
+    # as the window table has splits (grows with the input).
+    n_parts = max(windows.rdd.getNumPartitions(), windows.sparkSession.sparkContext.defaultParallelism)
+    first_text = first_windows_with_carry(first, n_parts, bucket_width)
     rest = windows.where(F.col("window") > 0).select("source_pdf", "page_number", "window", "raw")
-    chunks = first_text.unionByName(rest).select(
+    # "Strips to empty" is tested as "has no non-whitespace character": the same rows, but a
+    # scan that stops at the first character instead of a second strip (a filter on the
+    # stripped text would be pushed below the projection and strip every chunk twice).
+    chunks = first_text.unionByName(rest).where(has_text("raw")).select(
         "source_pdf", "page_number", F.col("window").cast("int").alias("chunk_index"), strip_ws("raw").alias("text")
-    ).where(F.col("text") != "")
+    )
     return chunks.select(
         chunk_id("source_pdf", "page_number", "chunk_index", "text").alias("chunk_id"),
         "source_pdf", "page_number", "chunk_index", "text",
     )
 
 
-def chunk_pages(pages: DataFrame, normalized: bool = False, materialize_windows: bool = True) -> DataFrame:
+def chunk_pages(pages: DataFrame, normalized: bool = False, materialize_windows: bool = True,
+                bucket_width: int = CARRY_BUCKET) -> DataFrame:
     """Pages ``(source_pdf, page_number, page_text)`` -> chunks
     ``(chunk_id, source_pdf, page_number, chunk_index, text)``.
 
@@ -124,4 +151,4 @@ def chunk_pages(pages: DataFrame, normalized: bool = False, materialize_windows:
     windows = page_windows(pages, normalized)
     if materialize_windows:
         windows = materialize(windows, "page-windows")
-    return chunk_windows(windows)
+    return chunk_windows(windows, bucket_width)
