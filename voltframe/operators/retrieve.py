@@ -134,10 +134,22 @@ def topk_cosine(
     )
 
 
-def hits_with_metadata(hits: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Attach chunk text and citation metadata; missing metadata gets ``""`` / ``-1``."""
+HITS_BROADCAST_LIMIT = 1_000_000  # hit rows (ids, ranks, scores: ~100 MB) sent to every executor
+
+
+def hits_with_metadata(hits: DataFrame, vectors: DataFrame, max_hits: int | None = None) -> DataFrame:
+    """Attach chunk text and citation metadata; missing fields get ``""`` / ``-1``.
+
+    ``hits`` are rows of ``vectors`` (unique ids), so each matches exactly one metadata
+    row and an inner join keeps every hit. With ``max_hits`` (a proven bound such as k x
+    number of questions) at or below :data:`HITS_BROADCAST_LIMIT`, the hits are broadcast
+    and the corpus side is scanned in place, never shuffled; beyond it the join is left to
+    adaptive execution.
+    """
     meta = vectors.select("chunk_id", F.col("text").alias("chunk_text"), "source_pdf", "page_number")
-    return hits.join(meta, "chunk_id", "left").select(
+    if max_hits is not None and max_hits <= HITS_BROADCAST_LIMIT:
+        hits = F.broadcast(hits)
+    return hits.join(meta, "chunk_id").select(
         "query_id", "rank", "chunk_id", "chunk_text",
         F.coalesce("source_pdf", F.lit("")).alias("source_pdf"),
         F.coalesce("page_number", F.lit(-1)).alias("page_number"),

@@ -6,6 +6,7 @@ operator group of the inventory on them. Column names equal those of the oracle
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -256,7 +257,9 @@ def question_vectors(spark: SparkSession, sf: str) -> DataFrame:
 def search(spark: SparkSession, sf: str) -> DataFrame:
     vecs = doc_chunk_vectors(spark, sf)
     hits = RT.topk_cosine(vecs, question_vectors(spark, sf), k=DEFAULT_K, corpus_id="chunk_id")
-    return RT.hits_with_metadata(hits, vecs)
+    # At most k hits per question: a proven bound for broadcasting the hits.
+    max_hits = DEFAULT_K * spark.read.parquet(os.path.join(sf, "benchmark.parquet")).count()
+    return RT.hits_with_metadata(hits, vecs, max_hits=max_hits)
 
 
 @register("search_hits")
