@@ -9,7 +9,13 @@ from voltframe.operators.chunks import chunk_pages
 from voltframe.operators.layout import spread
 from voltframe.operators.vectorize import hash_vectors
 from voltframe.session import materialize
-from voltframe.sources.store import BROADCAST_ID_LIMIT, append_vectors, read_store, stored_ids_among
+from voltframe.sources.store import (
+    BROADCAST_ID_LIMIT,
+    append_vectors,
+    read_store,
+    store_exists,
+    stored_ids_among,
+)
 
 
 def mark_new(chunks: DataFrame, store: DataFrame) -> DataFrame:
@@ -65,7 +71,10 @@ def ingest(pages: DataFrame, store_path: str) -> DataFrame:
     # A micro-batch of a few large files is a few scan splits; give the chunker all cores.
     pages = spread(pages)
     chunks = materialize(chunk_pages(pages), "ingest-chunks")
-    known = stored_ids_among(chunks, read_store(spark, store_path), BROADCAST_ID_LIMIT)
+    store = read_store(spark, store_path)
+    # A store that does not exist yet holds no ids: no need to size the batch's ids.
+    known = (stored_ids_among(chunks, store, BROADCAST_ID_LIMIT) if store_exists(spark, store_path)
+             else store.select("chunk_id"))
     stats = materialize(ingest_stats(pages.select("source_pdf"), chunks, known), "ingest-stats")
     fresh = chunks.join(known, "chunk_id", "left_anti")
     append_vectors(vectorize_chunks(fresh), store_path)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from voltframe.schema import CHUNK_VECTORS
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def store_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -24,7 +24,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Stored chunk vectors; an empty frame with the declared schema if none exist yet."""
-    if not _exists(spark, path):
+    if not store_exists(spark, path):
         return spark.createDataFrame([], CHUNK_VECTORS)
     return spark.read.schema(CHUNK_VECTORS).parquet(path)
 
