@@ -35,14 +35,29 @@ def row_number_in_group(
     every row of a higher bucket (e.g. ``floor(id / 4096)`` for order ``id``). Ties in
     ``order_cols`` are broken arbitrarily, as with ``row_number``.
     """
+    return numbered_with_group_sizes(df, group_cols, bucket, order_cols, out_col)[0]
+
+
+def numbered_with_group_sizes(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    bucket: Column,
+    order_cols: Sequence[str | Column],
+    out_col: str,
+    size_col: str = "group_size",
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`row_number_in_group` plus ``(group_cols, size_col)``: rows per group, summed
+    from the per-bucket counts the numbering needs anyway (no second pass over ``df``)."""
     b, n, off = "__vf_bucket", "__vf_n", "__vf_off"
     keyed = df.withColumn(b, bucket)
     counts = keyed.groupBy(*group_cols, b).agg(F.count(F.lit(1)).alias(n))
     running = Window.partitionBy(*group_cols).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group_cols, b, F.coalesce(F.sum(n).over(running), F.lit(0)).alias(off))
     inner = Window.partitionBy(*group_cols, b).orderBy(*order_cols)
-    return (
+    numbered = (
         keyed.join(offsets, [*group_cols, b])
         .withColumn(out_col, (F.col(off) + F.row_number().over(inner)).cast("long"))
         .drop(b, off)
     )
+    sizes = counts.groupBy(*group_cols).agg(F.sum(n).alias(size_col))
+    return numbered, sizes

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from voltframe.constants import GENERATION_COLUMNS, PAGE_LIMIT, REGION_COLUMNS
 from voltframe.functions.parse import number_is_bad, parse_number, parse_period, period_is_wellformed
-from voltframe.operators.ordinal import row_number_in_group
+from voltframe.operators.ordinal import numbered_with_group_sizes
 from voltframe.schema import RAW_GENERATION_RECORD, RAW_REGION_RECORD, envelope
 
 
@@ -36,9 +36,8 @@ def land_pages(
     per-key ordinal is the skew-safe one; a page holds at most ``page_limit`` records, so
     no group is unbounded.
     """
-    numbered = row_number_in_group(records, [key_col], bucket, order_cols, "__rn")
+    numbered, totals = numbered_with_group_sizes(records, [key_col], bucket, order_cols, "__rn", "total")
     page = F.floor((F.col("__rn") - 1) / page_limit).cast("long")
-    totals = records.groupBy(key_col).agg(F.count(F.lit(1)).alias("total"))
     pages = numbered.groupBy(key_col, page.alias("__page")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("__rn"), F.col(record_col).alias("r")))).alias("__recs")
     )
