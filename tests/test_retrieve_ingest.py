@@ -76,3 +76,20 @@ def test_new_chunks_both_join_forms_agree(spark):
     assert {r.chunk_id for r in reduced.collect()} == plain
     assert {r.chunk_id for r in new_chunks(chunks, store, broadcast_limit=10).collect()} == plain
     assert plain == {f"id{i}" for i in range(50) if i % 3}
+
+
+def test_python_term_codes_equal_sql_term_codes(spark):
+    """The vectoriser's memoised Python codes equal the SQL expression form (which the
+    DuckDB oracle reproduces), including every Unicode whitespace separator."""
+    from voltframe.operators.vectorize import _Codes, term_codes
+
+    seps = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0",
+            " ", " ", " ", " ", " ", " ", " ", " ", "　"]
+    words = ["alpha", "Beta", "é", "漢字", "x1", "zero​width", "dash-ed", "a"]
+    texts = [sep.join(words[i % len(words):] + words[: i % len(words)]) + sep for i, sep in enumerate(seps)]
+    texts += ["", "   ", "single"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    sql = {r.i: list(r.c) for r in df.select("i", term_codes("t").alias("c")).collect()}
+    codes = _Codes(384)
+    for i, t in enumerate(texts):
+        assert [codes[x] for x in t.split()] == sql[i], repr(t)
