@@ -46,14 +46,18 @@ def parse_requests(requests: DataFrame) -> DataFrame:
     ``start``/``end`` are NULL when not strict ``YYYY-MM-DD``; such requests select
     nothing (the source raises instead; a table job must not fail on one row).
     """
+    # The decoded fields come out of a one-element generator: filters on them (valid
+    # range, known region) then stay above it instead of being pushed down with the JSON
+    # decode inlined once per column reference. One decode per request, NULLs for bad JSON.
     a = F.from_json(F.col("args"), ARGS_SCHEMA)
-    return requests.withColumn("_a", a).select(
+    decoded = requests.select("request_id", "tool", F.inline_outer(F.array(a)))
+    return decoded.select(
         "request_id",
         "tool",
-        F.col("_a.region").alias("region_raw"),
-        region_code(F.col("_a.region")).alias("region"),
-        parse_iso_date(F.col("_a.start")).alias("start"),
-        parse_iso_date(F.col("_a.end")).alias("end"),
+        F.col("region").alias("region_raw"),
+        region_code(F.col("region")).alias("region"),
+        parse_iso_date(F.col("start")).alias("start"),
+        parse_iso_date(F.col("end")).alias("end"),
     )
 
 
