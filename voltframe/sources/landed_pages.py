@@ -124,8 +124,11 @@ def _typed(kind_col: str, columns: list[str]) -> list[Column]:
 def validate_records(exploded: DataFrame, kind: str = "generation", keep: list[str] | None = None) -> DataFrame:
     """Typed columns plus ``reject_reason`` (NULL for a good record)."""
     kind_col, columns = ("fueltype", GENERATION_COLUMNS) if kind == "generation" else ("type", REGION_COLUMNS)
-    return exploded.select(*(keep or []), *_typed(kind_col, columns), _reason(kind_col).alias("reject_reason"),
-                           F.col("rec").alias("raw"))
+    # Typed columns and reason are built in one projection and come out of a one-element
+    # generator: a filter on ``reject_reason`` then stays above it, instead of being pushed
+    # down with every parse check inlined and the parses run a second time.
+    checked = F.struct(*_typed(kind_col, columns), _reason(kind_col).alias("reject_reason"), F.col("rec").alias("raw"))
+    return exploded.select(*(keep or []), F.inline_outer(F.array(checked)))
 
 
 def parse_pages(pages: DataFrame, kind: str = "generation", mode: str = "quarantine",
