@@ -93,3 +93,18 @@ def test_python_term_codes_equal_sql_term_codes(spark):
     codes = _Codes(384)
     for i, t in enumerate(texts):
         assert [codes[x] for x in t.split()] == sql[i], repr(t)
+
+
+def test_metadata_join_broadcasts_bounded_hits(spark):
+    vecs = spark.createDataFrame(
+        [(f"c{i}", f"text {i}", "a.pdf" if i % 2 else None, i, [float(i % 3 == 0), 1.0, float(i)]) for i in range(30)],
+        "chunk_id string, text string, source_pdf string, page_number int, embedding array<float>",
+    )
+    qs = spark.createDataFrame([(1, [1.0, 1.0, 0.0]), (2, [0.0, 1.0, 5.0])], "query_id int, embedding array<float>")
+    hits = RT.topk_cosine(vecs, qs, k=3)
+    plain = sorted(tuple(r) for r in RT.hits_with_metadata(hits, vecs).collect())
+    bounded = RT.hits_with_metadata(hits, vecs, max_hits=3 * 2)
+    plan = bounded._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildLeft" in plan
+    assert sorted(tuple(r) for r in bounded.collect()) == plain
+    assert len(plain) == 6 and {r[4] for r in plain} <= {"a.pdf", ""}

@@ -108,3 +108,19 @@ def test_row_number_in_group_equals_window(spark):
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k")))
     assert got.select("g", "k", "rn").exceptAll(want.select("g", "k", F.col("rn").cast("long"))).count() == 0
     assert got.count() == 20000
+
+
+def test_parse_requests_bad_json_gives_one_row_of_nulls(spark):
+    reqs = spark.createDataFrame(
+        [(1, "get_generation", json.dumps({"region": "caiso", "start": "2024-01-02", "end": "2024-01-03"})),
+         (2, "get_generation", "not json"),
+         (3, "get_generation", None)],
+        "request_id long, tool string, args string",
+    )
+    got = {r.request_id: r for r in TL.parse_requests(reqs).collect()}
+    assert len(got) == 3
+    assert (got[1].region, got[1].start, got[1].end) == ("CISO", dt.date(2024, 1, 2), dt.date(2024, 1, 3))
+    for i in (2, 3):
+        assert (got[i].region_raw, got[i].region, got[i].start, got[i].end) == (None, None, None, None)
+    days = TL.request_days(TL.parse_requests(reqs))
+    assert sorted((r.request_id, r.day) for r in days.collect()) == [(1, dt.date(2024, 1, 2)), (1, dt.date(2024, 1, 3))]
