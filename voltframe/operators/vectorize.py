@@ -36,7 +36,7 @@ from voltframe.constants import HASH_DIM, NOT_WS
 from voltframe.functions.vectors import term_code, term_hash
 
 TERM_PATTERN = NOT_WS + "+"
-CODE_CACHE_LIMIT = 1 << 20  # distinct terms memoised per worker (~100 MB at most)
+CODE_CACHE_LIMIT = 500_000  # distinct terms memoised per Python worker (~50 MB); cleared when full
 
 
 def term_codes(text: Column | str, dim: int = HASH_DIM) -> Column:
