@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. Adaptive execution re-plans joins from runtime sizes
 # (broadcast only below ``autoBroadcastJoinThreshold``), coalesces small shuffle
@@ -82,18 +84,22 @@ def get_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` as the cluster sets it. Only when it is unset
-    (local tests) a private folder is created and registered.
+    Read from ``spark.checkpoint.dir`` as the cluster sets it. Where it is unset, a folder
+    already given to ``setCheckpointDir`` is used; failing that, a session whose executors
+    are threads of this process (``local[...]``, as in tests) gets a private folder, and
+    any other session an error, because executors would each write to a disk of their own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="voltframe-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(shared)
+        return shared
+    if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="voltframe-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -101,16 +107,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "tables", name)
 
 
-def materialize(df, name: str):
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
     Used where several branches of a plan consume the same expensive intermediate: the
     lineage is cut (a lost executor does not recompute it), and unlike an RDD checkpoint
-    the Parquet copy keeps column pruning and filter pushdown for each consumer.
+    the Parquet copy keeps column pruning and filter pushdown for each consumer. A caller
+    that has consumed the table frees it with :func:`drop_materialized`.
     """
-    import uuid
-
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_materialized(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`materialize`; nothing reads them any more.
+
+    Only folders directly below the shared ``tables`` folder are deleted.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        root = os.path.join(checkpoint_dir(spark), "tables")
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            if os.path.basename(os.path.dirname(folder)) != "tables":
+                raise ValueError(f"{folder} is not a table below {root}")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
