@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltframe.llm import line_dedup, mixing
+from voltframe.llm import line_dedup, mixing, quality_rules
 from voltframe.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,59 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     cleaned = line_dedup.remove_boilerplate(docs)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@register("op7_quality_rules", oracle=quality_rules.ORACLE_SQL)
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents judged against their language's and source's own thresholds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality_rules.judge(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register("op9_secret_scan")
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: known shapes and strings that take too many tokens."""
+    import public_tokenizers
+
+    from voltframe.llm import bpe, secrets_scan
+
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    found = secrets_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"), count("random"))
+
+
+@register("op10_embedding_dedup")
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.9 or more among all vectors, and one vector kept of each group."""
+    from voltframe.llm import embedding_dedup
+
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@register("op2_html_text")
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    from voltframe.llm import html_text
+
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
+@register("op5_quality_model")
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels that are not held out."""
+    from voltframe.llm import quality_model
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality_model.fit(docs, labels.where(~quality_model.held_out("doc_id")))
+    scored = quality_model.score(docs, model, keep_text=False)
+    return scored.select(
+        "doc_id", quality_model.held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
