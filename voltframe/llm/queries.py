@@ -123,3 +123,12 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", quality_model.held_out("doc_id").alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@register("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words that repeated 35-word windows cover."""
+    from voltframe.llm import substring_dedup
+
+    cleaned = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
