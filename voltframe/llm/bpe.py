@@ -43,6 +43,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# Fixed value: the split pattern of the rank files, in which a blank belongs to what follows.
+BLANK_LED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 MEMO_PIECES = 400_000  # strings remembered, and as many of the time before
 MAX_VOCAB_BYTES = 64 * 1024 * 1024
 ROWS_PER_QUERY = 4_000_000  # token-position rows that one recursive query may hold
@@ -161,16 +164,17 @@ class Codec:
             self.duck.unregister("incoming")
         self.names = {i: str(i) for i in self.ranks.values()}
         self.byte_ids = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
-        self.whole = regex.compile(r"\s (?:\s|$)").search
+        # Texts that must not be cut before blanks: all of them under any other pattern.
+        self.whole = regex.compile(r"\s (?:\s|$)" if pattern == BLANK_LED_PATTERN else "").search
         self.memo: dict[str, bytes] = {}  # piece or blank-led part -> its ids as int32 bytes
         self.older: dict[str, bytes] = {}
 
     def encode_batch(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Token ids of every text.
 
-        A text is cut before each blank first, and the ids of a cut part are remembered:
-        no match of the pattern goes over such a cut unless the blank stands within a run
-        of white space, and a text with such a run is not cut.
+        Under the blank-led pattern a text is cut before each blank first, and the ids of a
+        cut part are remembered: no match of that pattern goes over such a cut unless the
+        blank stands within a run of white space, and a text with such a run is not cut.
         """
         if len(self.memo) > MEMO_PIECES:
             self.older, self.memo = self.memo, {}
