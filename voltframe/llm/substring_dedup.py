@@ -55,7 +55,7 @@ WINDOW = 35
 K = 8
 HOT_LIMIT = 4096
 STEP_BYTES = 2_000_000  # text bytes cut together
-KEY = ["k1", "k2"]
+KEY = ["__k1", "__k2"]  # of the texts; elsewhere k1, k2
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -150,26 +150,27 @@ def _bounds(words: list[bytes]) -> tuple[bytes, list[int], list[int]]:
     return b" ".join(words), np.concatenate([[0], ends[:-1] + 1]).tolist(), ends.tolist()
 
 
-def _each_text(batches: Iterator[pa.RecordBatch]):
+def _each_text(batches: Iterator[pa.RecordBatch], text_col: str):
     """Rows of texts with runs, once for each key (equal keys are neighbours or in other tasks)."""
     before = None
     for batch in batches:
         for i in range(batch.num_rows):
-            key = (batch.column("k1")[i].as_py(), batch.column("k2")[i].as_py())
+            key = tuple(batch.column(c)[i].as_py() for c in KEY)
             if key != before:
                 before = key
-                yield key, batch.column("weight")[i].as_py(), batch.column("runs")[i].as_py(), _words(batch.column("text")[i].as_py())
+                weight, runs, text = (batch.column(c)[i].as_py() for c in ("__weight", "__runs", text_col))
+                yield key, weight, runs, _words(text)
 
 
-def pack(texts: DataFrame, window: int) -> DataFrame:
-    """Packed strings ``mini, k1, k2, start, weight, packed`` of texts with ``runs``."""
+def pack(texts: DataFrame, window: int, text_col: str = "text") -> DataFrame:
+    """Packed strings ``mini, k1, k2, start, weight, packed`` of texts with their runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         names = ["mini", "k1", "k2", "start", "weight", "packed"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
         out = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-        for (k1, k2), weight, runs, words in _each_text(batches):
+        for (k1, k2), weight, runs, words in _each_text(batches, text_col):
             joined, starts, ends = _bounds(words)
             for r in runs:
                 packed = joined[starts[r["start"]]:ends[r["start"] + r["n"] + window - 2]]
@@ -253,7 +254,7 @@ def bucket_spans(packed: DataFrame, window: int) -> DataFrame:
     return packed.repartition("mini").sortWithinPartitions("mini").mapInArrow(run, "k1 long, k2 long, a int, b int")
 
 
-def hot_windows(texts: DataFrame, window: int) -> DataFrame:
+def hot_windows(texts: DataFrame, window: int, text_col: str = "text") -> DataFrame:
     """``w1, w2, k1, k2, a, weight``: the digest and place of each window of the runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +262,7 @@ def hot_windows(texts: DataFrame, window: int) -> DataFrame:
 
         names = ["w1", "w2", "k1", "k2", "a", "weight"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        for (k1, k2), weight, runs, words in _each_text(batches):
+        for (k1, k2), weight, runs, words in _each_text(batches, text_col):
             joined, starts, ends = _bounds(words)
             rows = []
             for r in runs:
@@ -274,23 +275,23 @@ def hot_windows(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(run, "w1 long, w2 long, k1 long, k2 long, a int, weight long")
 
 
-def hot_spans(texts: DataFrame, window: int) -> DataFrame:
+def hot_spans(texts: DataFrame, window: int, text_col: str = "text") -> DataFrame:
     """Spans of hot minimisers, by counting window digests with a map-side part."""
-    windows = materialize(hot_windows(texts, window).distinct(), "hot-windows")
+    windows = materialize(hot_windows(texts, window, text_col).distinct(), "hot-windows")
     often = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where(F.col("n") > 1).select("w1", "w2")
     return windows.join(often, ["w1", "w2"], "left_semi").select("k1", "k2", "a", (F.col("a") + window).alias("b"))
 
 
 def without_spans(texts: DataFrame, text_col: str) -> DataFrame:
-    """``texts`` with the words in ``spans`` (array of (a, b)) removed from the text."""
-    kept = [f for f in texts.schema if f.name not in ("spans", *KEY)]
+    """``texts`` with the words in ``__spans`` (array of (a, b)) removed from the text."""
+    kept = [f for f in texts.schema if f.name not in ("__spans", *KEY)]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, text_col):
                 text, n_words, n_removed = [], [], []
-                for t, spans in zip(part.column(text_col).to_pylist(), part.column("spans").to_pylist()):
+                for t, spans in zip(part.column(text_col).to_pylist(), part.column("__spans").to_pylist()):
                     words = _words(t)
                     gone = np.zeros(len(words) + 1, dtype=np.int32)
                     for s in spans or ():
@@ -313,20 +314,20 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     joined by one space), ``n_words`` and ``n_removed`` (long)."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_words", "n_removed")])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("k1", F.xxhash64(text)).withColumn("k2", F.xxhash64(F.concat(F.lit("\n"), text)))
-    cuts = materialize(cut(keyed.select(*KEY, F.col(text_col).alias("text")), window, k), "super-kmers")
-    shared = materialize(cuts.groupBy("mini").agg(F.sum(F.greatest("times", F.floor(F.col("n") / 64))).alias("often")).where(F.col("often") > 1), "minimisers")
+    keyed = docs.withColumns(dict(zip(KEY, (F.xxhash64(text), F.xxhash64(F.concat(F.lit("\n"), text))))))
+    by_key = lambda df, *more: df.select(*(F.col(a).alias(b) for a, b in zip(("k1", "k2"), KEY)), *more)
+    cuts = materialize(cut(keyed.select(*(F.col(b).alias(a) for a, b in zip(("k1", "k2"), KEY)), F.col(text_col).alias("text")), window, k), "super-kmers")
+    shared = materialize(
+        cuts.groupBy("mini").agg(F.sum(F.greatest("times", F.floor(F.col("n") / 64))).alias("often")).where(F.col("often") > 1), "minimisers")
 
-    weights = cuts.where(F.col("start") == 0).groupBy(*KEY).agg(F.count(F.lit(1)).alias("weight"))
+    weights = by_key(cuts.where(F.col("start") == 0).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("weight")), F.col("weight").alias("__weight"))
     found = (
         cuts.join(shared.select("mini", (F.col("often") > hot_limit).alias("hot")), "mini")
-        .groupBy(*KEY, "hot").agg(F.collect_set(F.struct("mini", "start", "n")).alias("runs"))
+        .groupBy("k1", "k2", "hot").agg(F.collect_set(F.struct("mini", "start", "n")).alias("runs"))
     )
-    texts = keyed.withColumnRenamed(text_col, "text") if text_col != "text" else keyed
-    with_runs = lambda hot: texts.join(found.where(F.col("hot") == hot).drop("hot").join(weights, KEY), KEY)
-    spans = bucket_spans(pack(with_runs(False), window), window)
+    with_runs = lambda hot: keyed.join(by_key(found.where(F.col("hot") == hot), F.col("runs").alias("__runs")).join(weights, KEY), KEY)
+    spans = bucket_spans(pack(with_runs(False), window, text_col), window)
     if shared.where(F.col("often") > hot_limit).limit(1).count():
-        spans = spans.unionByName(hot_spans(with_runs(True), window))
-    gathered = spans.groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    out = without_spans(texts.join(gathered, KEY, "left"), "text")
-    return out.withColumnRenamed("text", text_col) if text_col != "text" else out
+        spans = spans.unionByName(hot_spans(with_runs(True), window, text_col))
+    gathered = by_key(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), F.col("spans").alias("__spans"))
+    return without_spans(keyed.join(gathered, KEY, "left"), text_col)
