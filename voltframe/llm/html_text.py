@@ -77,12 +77,14 @@ LINKS_OUTSIDE, LINKS_INSIDE = 0.33, 0.5
 _WORDS = re.compile(r"[^\W\d_]+")
 _NAME = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_RAW = re.compile(r"<(/?(?:script|style))\b", re.IGNORECASE)
 GOOD, BAD, UNDECIDED = 1, 0, None
 
 
 def _names(value: str | None) -> set[str]:
-    """Lower-case words of a class or id, camel case cut."""
-    return set(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value or "").lower()))
+    """Lower-case words of a class or id, with camel case cut and whole."""
+    value = value or ""
+    return set(_NAME.findall(value.lower())) | set(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
 
 
 def _is_other(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
@@ -178,8 +180,14 @@ def page_blocks(html: str | None) -> list[tuple[str, int, bool]]:
     markup does not rule out, in page order."""
     if not html:
         return []
+    html = html.replace("<![", "<!x[")  # marked sections are broken comments in HTML
+    last = html.rfind("<!--")
+    if last >= 0 and "-->" not in html[last:] and "--!>" not in html[last:]:
+        raw = [m.group(1) for m in _RAW.finditer(html, 0, last)]
+        if not raw or raw[-1].startswith("/"):  # a comment that nothing ends, not in a script
+            html = html[:last]
     parser = _Blocks()
-    parser.feed(html.replace("<![", "<!x["))  # marked sections are broken comments in HTML
+    parser.feed(html)
     parser.close()
     parser.cut()
     return parser.blocks
