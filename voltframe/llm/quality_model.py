@@ -173,7 +173,7 @@ def _forward(w: dict[str, np.ndarray], x: np.ndarray, count: np.ndarray):
 
 
 def train(x: np.ndarray, count: np.ndarray, label: np.ndarray, hidden: int = 16, gate: int = 8, epochs: int = 200,
-          rate: float = 0.02, decay: float = 1e-3, seed: int = 3) -> Model:
+          rate: float = 0.02, decay: float = 0.1, seed: int = 3) -> Model:
     """Fit the bag scorer by Adam on all bags at once; ``label`` is 0 or 1."""
     if len(label) == 0 or label.min() == label.max():
         return Model(np.zeros(WIDTH), np.ones(WIDTH), {}, float(label.mean()) if len(label) else 1.0)
