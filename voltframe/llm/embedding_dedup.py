@@ -9,11 +9,12 @@
    home cell it lies close to: the distance to the bisecting plane is at most ``visit``.
    For a pair at the threshold t on two sides of a plane, one of the two is within
    sqrt(2 - 2t) / 2 of it (0.224 at 0.9), so ``visit`` at that value finds every pair; in
-   many dimensions such a pair's step is rarely straight across the plane, and the default
-   of 0.1 is measured against brute force in the tests (recall 1.0 there).
+   many dimensions such a pair's step is rarely straight across the plane. Measured on random
+   64-dimensional pairs at a cosine of exactly 0.9 (20,000 vectors, 50 to 800 cells), 0.07
+   finds 99.2 %, and the default of 0.1 finds 99.97 % or more (all from 0.92 on).
 4. A cell with more rows than ``block_rows`` is cut into blocks by a hash of the id, and
    each pair of blocks is a task of its own, so no task holds a cell. Within a task one
-   matrix product gives the cosines. Two vectors with the same home are compared there;
+   matrix product gives the cosines of its rows at home with all others. Two vectors with the same home are compared there;
    two with different homes where one visits the other's home, and counted in one cell
    only. What leaves a task is one count per vector and a spanning forest of its links.
 5. The forests become components, and a component's smallest id is its representative.
@@ -43,8 +44,8 @@ MAX_CELLS = 4096
 ROWS_PER_CELL = 256
 SAMPLE_PER_CELL = 16
 VISIT = 0.1
-BLOCK_ROWS = 2048
-STEP_PRODUCTS = 4_000_000  # cosines with centroids held at once
+BLOCK_ROWS = 8192
+STEP_PRODUCTS = 4_000_000  # cosines held at once
 
 
 def _units(lists, dim: int) -> np.ndarray:
@@ -133,12 +134,20 @@ def _compare(x: pa.Table, threshold: float, same: bool) -> tuple[np.ndarray, np.
     visits = x.column("visits").combine_chunks()
     left = np.flatnonzero(side == 0)
     right = left if same else np.flatnonzero(side == 1)
-    if not len(left) or not len(right):
-        return ids[:0], ids[:0], ids[:0], ids[:0]
-    i, j = np.nonzero(vec[left] @ vec[right].T >= threshold)
-    a, b = left[i], right[j]
-    if same:
-        a, b = a[i < j], b[i < j]
+    # Only pairs with a row at home count: rows at home of one side against the other side.
+    pairs = [(left[home[left] == cell], right, False)]
+    if not same:
+        pairs.append((right[home[right] == cell], left, True))
+    found = [(ids[:0].astype(np.int64),) * 2]
+    for own, others, swapped in pairs:
+        step = max(1, STEP_PRODUCTS // max(len(others), 1))
+        for at in range(0, len(own), step):
+            i, j = np.nonzero(vec[own[at:at + step]] @ vec[others].T >= threshold)
+            a, b = own[at + i], others[j]
+            # Two rows at home meet twice: once from either side.
+            once = (home[b] != cell) | ((a < b) if same else np.full(len(a), not swapped))
+            found.append((a[once], b[once]))
+    a, b = (np.concatenate(x) for x in zip(*found))
     at_home = (home[a] == cell).astype(int) + (home[b] == cell)
     # Both at home: here. One at home: in the smaller of the two home cells, or here if the
     # pair does not meet in that one.
