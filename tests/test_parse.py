@@ -1,103 +1,127 @@
-"""Record parsing: the source's three model tests plus the trap rows (T2-T5, T25)."""
+"""Landed pages: records, envelopes, files and the manifest."""
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+import os
+import tempfile
 
+import pytest
+from pyspark.sql import functions as F
+
+from voltframe.functions.parse import parse_iso_date
 from voltframe.sources import landed_pages as LP
 
-RAW_ROW = {
-    "period": "2025-06-01T00",
-    "respondent": "CAISO",
-    "respondent-name": "California Independent System Operator",
-    "fueltype": "SUN",
-    "type-name": "Solar",
-    "value": "1234.5",
-    "value-units": "megawatthours",
+
+def record(**change):
+    """A good record; a field set to ``...`` is left out. The keys are the wire spellings."""
+    full = {
+        "period": "2023-11-05T17", "respondent": "MISO", "respondent-name": "Middle", "fueltype": "NUC",
+        "type-name": "Nuclear", "value": "88.25", "value-units": "MWh",
+    }
+    return {k: v for k, v in (full | {k.replace("_", "-") if k.replace("_", "-") in full else k: v for k, v in change.items()}).items() if v is not ...}
+
+
+def body(records, total="1", **more):
+    return json.dumps({"response": {"total": total, "data": records, **more}})
+
+
+def pages(spark, *bodies):
+    return spark.createDataFrame([(b,) for b in bodies], "body string")
+
+
+def test_both_key_spellings_and_types(spark):
+    snake = {"period": "2023-11-05", "respondent": "PJM", "respondent_name": "East", "fueltype": "OTH", "type_name": "Other", "value": 4, "value_units": "u"}
+    good, rejects = LP.parse_pages(pages(spark, body([record(), snake], total=2, frequency="hourly")))
+    rows = {r.respondent: r for r in good.collect()}
+    assert rejects.count() == 0 and len(rows) == 2
+    assert tuple(rows["MISO"]) == (dt.datetime(2023, 11, 5, 17), "MISO", "Middle", "NUC", "Nuclear", "MWh", 88.25)
+    assert tuple(rows["PJM"]) == (dt.datetime(2023, 11, 5), "PJM", "East", "OTH", "Other", "u", 4.0)
+
+
+@pytest.mark.parametrize("change,value", [({"value": None}, None), ({"value": ...}, None), ({"value": "nan"}, None), ({"value": 7}, 7.0), ({"value": "-1e3"}, -1000.0)])
+def test_values_that_pass(spark, change, value):
+    good, rejects = LP.parse_pages(pages(spark, body([record(**change)])))
+    assert [r.value for r in good.collect()] == [value] and rejects.count() == 0
+
+
+@pytest.mark.parametrize("change,reason", [
+    ({"value": ""}, "value: not a finite number"), ({"value": "9,5"}, "value: not a finite number"), ({"value": "null"}, "value: not a finite number"),
+    ({"value": "-inf"}, "value: not a finite number"), ({"value": "1e23"}, "value: out of range"), ({"period": "2023-11"}, "period: invalid"),
+    ({"period": "2023-11-05T7"}, "period: invalid"), ({"period": "2023-11-05T07:00:00Z"}, "period: invalid"), ({"period": "2023-02-30T01"}, "period: invalid"),
+    ({"period": ...}, "period: missing"), ({"respondent": None}, "respondent: missing"), ({"type_name": ...}, "type_name: missing"), ({"fueltype": ...}, "fueltype: missing"),
+])
+def test_records_that_are_rejected(spark, change, reason):
+    good, rejects = LP.parse_pages(pages(spark, body([record(**change), record()], total="2")))
+    assert [r.reject_reason for r in rejects.collect()] == [reason] and good.count() == 1
+
+
+BAD_PAGES = {
+    "{not json": "page: not JSON",
+    "": "page: not JSON",
+    '{"error": "busy"}': "page: response missing",
+    body([record()], total="abc"): "page: total not an integer",
+    body([record()], total="1.5"): "page: total not an integer",
+    body([record()], total=None): "page: total not an integer",
+    '{"response": {"total": "3"}}': "page: data not a list of records",
+    '{"response": {"total": "3", "data": {"period": "x"}}}': "page: data not a list of records",
 }
 
 
-def _pages(spark, records, total="1"):
-    body = json.dumps({"response": {"total": total, "data": records, "extra": 1}})
-    return spark.createDataFrame([(body,)], "body string")
-
-
-def test_generation_record_maps_aliases_and_parses_period(spark):
-    good, rejects = LP.parse_pages(_pages(spark, [RAW_ROW]))
-    r = good.first()
-    assert r.respondent_name == "California Independent System Operator"
-    assert r.type_name == "Solar"
-    assert r.value == 1234.5
-    assert r.period == dt.datetime(2025, 6, 1, 0, 0)
-    assert rejects.count() == 0
-
-
-def test_record_allows_null_value(spark):
-    good, _ = LP.parse_pages(_pages(spark, [{**RAW_ROW, "value": None}]))
-    assert good.first().value is None
-
-
-def test_envelope_coerces_string_total(spark):
-    ex = LP.explode_envelope(_pages(spark, [RAW_ROW], total="1"), LP.RAW_GENERATION_RECORD)
-    rows = ex.collect()
-    assert len(rows) == 1 and rows[0].total == 1
-
-
-def test_trap_rows(spark):
-    recs = [
-        {**RAW_ROW, "value": ""},                   # reject
-        {**RAW_ROW, "value": "1,234"},              # reject
-        {**RAW_ROW, "value": "null"},               # reject
-        {k: v for k, v in RAW_ROW.items() if k != "value"},  # missing -> null value
-        {**RAW_ROW, "value": "nan"},                # NaN -> null
-        {**RAW_ROW, "value": "inf"},                # reject (deviation T25)
-        {**RAW_ROW, "value": 7},                    # unquoted number
-        {**RAW_ROW, "period": "2025-06"},           # reject
-        {**RAW_ROW, "period": "2025-06-01T0"},      # reject (unpadded)
-        {**RAW_ROW, "period": "2025-06-01T00:00:00Z"},  # reject (zone)
-        {**RAW_ROW, "period": "2025-06-01"},        # date only: midnight
-        {**RAW_ROW, "period": "2025-13-45T00"},     # reject (impossible)
-        {k: v for k, v in RAW_ROW.items() if k != "type-name"},  # reject
-        {"period": "2025-06-01T05", "respondent": "CISO", "respondent_name": "n", "fueltype": "WND",
-         "type_name": "Wind", "value": "2", "value_units": "mwh"},  # snake_case keys
-    ]
-    good, rejects = LP.parse_pages(_pages(spark, recs, total=str(len(recs))))
-    reasons = sorted(r.reject_reason for r in rejects.collect())
-    assert reasons == sorted([
-        "value: not a finite number", "value: not a finite number", "value: not a finite number",
-        "value: not a finite number", "period: invalid", "period: invalid", "period: invalid",
-        "period: invalid", "type_name: missing",
-    ])
-    g = good.orderBy("period", "value").collect()
-    values = sorted((r.value for r in g), key=lambda v: (v is not None, v))
-    assert values == [None, None, 2.0, 7.0, 1234.5]
-    assert dt.datetime(2025, 6, 1, 0, 0) in {r.period for r in g}
-    assert any(r.type_name == "Wind" and r.value_units == "mwh" for r in g)
-
-
-def test_strict_mode_fails_on_bad_record(spark):
-    import pytest
-
-    good, _ = LP.parse_pages(_pages(spark, [RAW_ROW, {**RAW_ROW, "value": "x"}]), mode="strict")
-    with pytest.raises(Exception, match="invalid record"):
-        good.collect()
+@pytest.mark.parametrize("bad", list(BAD_PAGES))
+def test_unreadable_page_is_a_reject_or_an_error(spark, bad):
+    both = pages(spark, bad, body([record()]), body([], total="0"))
+    good, rejects = LP.parse_pages(both)
+    assert good.count() == 1
+    assert [(r.raw_record, r.reject_reason) for r in rejects.collect()] == [(bad, BAD_PAGES[bad])]
+    strict, _ = LP.parse_pages(both, mode="strict")
+    with pytest.raises(Exception, match="invalid page"):
+        strict.collect()
 
 
-def test_page_manifest_edges(spark):
+def test_strict_mode_raises_for_a_record_and_passes_clean_pages(spark):
+    clean = pages(spark, body([record(), record(period="2023-11-05T18")], total="2"))
+    assert LP.parse_pages(clean, mode="strict")[0].count() == 2
+    with pytest.raises(Exception, match="invalid record"):
+        LP.parse_pages(pages(spark, body([record(value="x")])), mode="strict")[0].collect()
+
+
+def test_files_of_one_page_and_of_many(spark):
+    folder = tempfile.mkdtemp(prefix="vf-pages-")
+    pretty = json.dumps(json.loads(body([record()])), indent=2)
+    os.mkdir(f"{folder}/whole")
+    for name, text in (("a.json", pretty), ("b.json", "{cut")):
+        with open(f"{folder}/whole/{name}", "w") as f:
+            f.write(text)
+    read = LP.read_landed_pages(spark, f"{folder}/whole", one_page_per_file=True)
+    assert {r.source_file: r.body for r in read.collect()} == {"a.json": pretty, "b.json": "{cut"}
+    good, rejects = LP.parse_pages(read, keep=["source_file"])
+    assert good.count() == 1 and [(r.source_file, r.raw_record) for r in rejects.collect()] == [("b.json", "{cut")]
+
+    two = pages(spark, body([record()]), body([record(), record()], total="2"))
+    LP.write_landed_pages(two, f"{folder}/lines")
+    assert LP.parse_pages(LP.read_landed_pages(spark, f"{folder}/lines"))[0].count() == 3
+    LP.write_landed_pages(two.withColumn("body", F.regexp_replace("body", ",", ",\n")), f"{folder}/files", one_page_per_file=True)
+    assert LP.parse_pages(LP.read_landed_pages(spark, f"{folder}/files", one_page_per_file=True))[0].count() == 3
+
+
+def test_manifest_sizes_lost_pages_and_requests(spark):
+    totals = {"none": 0, "under": 9, "exact": 10, "over": 11, "long": 35}
     rows = []
-    for key, total in [("a", 0), ("b", 4999), ("c", 5000), ("d", 5001), ("e", 10001)]:
-        offsets = [0] + list(range(5000, total, 5000))
-        for off in offsets:
-            if key == "e" and off == 5000:
-                continue  # a page that never landed
-            n = max(0, min(5000, total - off))
-            body = json.dumps({"response": {"total": str(total), "data": [RAW_ROW] * n}})
-            rows.append((key, off, body))
-    pages = spark.createDataFrame(rows, "key string, page_offset long, body string")
-    man = {(r.key, r.page_offset): (r.expected_rows, r.landed) for r in LP.page_manifest(pages, "key").collect()}
-    assert man[("a", 0)] == (0, True)
-    assert man[("b", 0)] == (4999, True) and ("b", 5000) not in man
-    assert man[("c", 0)] == (5000, True) and ("c", 5000) not in man
-    assert man[("d", 5000)] == (1, True)
-    assert man[("e", 5000)] == (5000, False) and man[("e", 10000)] == (1, True)
+    for key, total in totals.items():
+        for offset in range(0, max(total, 1), 10):
+            if (key, offset) != ("long", 20):
+                rows.append((key, offset, body([record()] * min(10, total - offset), total=str(total))))
+    landed = spark.createDataFrame(rows, "key string, page_offset long, body string")
+    asked = spark.createDataFrame([(k,) for k in [*totals, "unseen"]], "key string")
+    got = {(r.key, r.page_offset): (r.expected_rows, r.landed, r.landed_rows) for r in LP.page_manifest(landed, "key", 10, asked).collect()}
+    assert got == {
+        ("none", 0): (0, True, 0), ("under", 0): (9, True, 9), ("exact", 0): (10, True, 10), ("over", 0): (10, True, 10), ("over", 10): (1, True, 1),
+        ("long", 0): (10, True, 10), ("long", 10): (10, True, 10), ("long", 20): (10, False, None), ("long", 30): (5, True, 5), ("unseen", 0): (None, False, None),
+    }
+
+
+def test_dates_are_strict(spark):
+    df = spark.createDataFrame([("2025-06-01",), (" 2025-06-01",), ("2025-06-01 ",), ("2025-6-1",), ("2025-02-30",), (None,)], "t string")
+    assert [r[0] for r in df.select(parse_iso_date("t")).collect()] == [dt.date(2025, 6, 1)] + [None] * 5

@@ -21,7 +21,7 @@ def test_topk_matches_brute_force(spark):
     queries = rng.normal(size=(6, 16))
     cdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)], "vec_id long, embedding array<float>")
     qdf = spark.createDataFrame([(100 + j, v.tolist()) for j, v in enumerate(queries)], "query_id long, embedding array<double>")
-    got = RT.topk_cosine(cdf, qdf, k=5, corpus_id="vec_id", query_budget_bytes=8 * 16 * 2).collect()  # 3 batches
+    got = RT.topk_cosine(cdf, qdf, k=5, corpus_id="vec_id", corpus_block=50, query_block=4).collect()  # many blocks
     c = corpus.astype(np.float64)
     norms = np.linalg.norm(c, axis=1)
     for j, q in enumerate(queries):
@@ -44,8 +44,8 @@ def test_hash_vectors_unit_length_and_lexical(spark):
     df = spark.createDataFrame([(1, "grid load peak"), (2, "grid  load peak"), (3, "solar wind"), (4, "")],
                                "id long, text string")
     v = {r.id: np.array(r.embedding) for r in hash_vectors(df, "id", "text").collect()}
-    assert set(v) == {1, 2, 3}                            # empty text has no vector
-    assert all(abs(np.linalg.norm(x) - 1) < 1e-6 for x in v.values())
+    assert set(v) == {1, 2, 3, 4} and not v[4].any()      # empty text: the zero vector
+    assert all(abs(np.linalg.norm(v[i]) - 1) < 1e-6 for i in (1, 2, 3))
     assert np.allclose(v[1], v[2])                        # leading whitespace is not part of a term
 
 
@@ -65,17 +65,47 @@ def test_ingest_is_resumable_and_keeps_stale_chunks(spark):
     assert read_store(spark, store).count() == 3          # the stale page-2 chunk stays (T15)
 
 
-def test_new_chunks_both_join_forms_agree(spark):
+def test_new_chunks_is_the_difference_of_ids(spark):
     from voltframe.sources.store import new_chunks
 
     chunks = spark.createDataFrame([(f"id{i}", i) for i in range(50)], "chunk_id string, n int")
     store = spark.createDataFrame([(f"id{i}",) for i in range(0, 200, 3)], "chunk_id string")
-    plain = {r.chunk_id for r in new_chunks(chunks, store).collect()}
-    reduced = new_chunks(chunks, store, broadcast_limit=1000)
-    assert "BroadcastExchange" in reduced._jdf.queryExecution().executedPlan().toString()
-    assert {r.chunk_id for r in reduced.collect()} == plain
-    assert {r.chunk_id for r in new_chunks(chunks, store, broadcast_limit=10).collect()} == plain
-    assert plain == {f"id{i}" for i in range(50) if i % 3}
+    assert {r.chunk_id for r in new_chunks(chunks, store).collect()} == {f"id{i}" for i in range(50) if i % 3}
+
+
+def test_ingest_loses_and_doubles_nothing(spark):
+    """A page whose hash coordinates cancel is stored once; pages delivered twice are one
+    page; a replayed batch changes neither store nor log; no table stays behind."""
+    from voltframe.operators.ingest import ingest_totals
+    from voltframe.session import checkpoint_dir
+    from voltframe.streaming.incremental import ingest_log
+
+    base = tempfile.mkdtemp(prefix="vf-store-")
+    store = os.path.join(base, "store")
+    schema = "source_pdf string, page_number int, page_text string"
+    cancel = spark.createDataFrame([("z.pdf", 1, "w53 w37")], schema)
+    assert not np.array(hash_vectors(cancel, "source_pdf", "page_text").first().embedding).any()
+    tables = os.path.join(checkpoint_dir(spark).removeprefix("file:"), "tables")
+    before = set(os.listdir(tables)) if os.path.isdir(tables) else set()
+    assert [r.n_new for r in ingest(cancel, store, batch="0").collect()] == [1]
+    assert [r.n_new for r in ingest(cancel, store, batch="0").collect()] == [1]  # the first run's log
+    assert [r.n_new for r in ingest(cancel, store, batch="1").collect()] == [0]
+    assert read_store(spark, store).count() == 1
+    twice = spark.createDataFrame([("t.pdf", 1, "hello world")] * 2 + [("t.pdf", 2, "again")], schema)
+    assert tuple(ingest_totals(ingest(twice, store, batch="2")).first()) == (1, 2, 2, 0)
+    assert sorted(r.text for r in read_store(spark, store).where("source_pdf = 't.pdf'").collect()) == ["hello world", "hello worldagain"]
+    log = ingest_log(spark, store).orderBy("batch_id").collect()
+    assert [tuple(r) for r in log] == [(0, 1, 1, 0, 1, 0), (1, 1, 0, 1, 1, 1), (2, 2, 2, 0, 3, 1)]
+    assert (set(os.listdir(tables)) if os.path.isdir(tables) else set()) == before
+
+
+def test_equal_rows_do_not_add_up(spark):
+    """A corpus of copies: exactly k rows of each block leave, and the smallest ids win."""
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(3000)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "query_id long, embedding array<double>")
+    got = RT.topk_cosine(same, asked, k=4, corpus_id="vec_id", corpus_block=500)
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got.collect()) == [(q, i + 1, i) for q in (1, 2) for i in range(4)]
+    assert RT.topk_cosine(same, asked.limit(0), k=4, corpus_id="vec_id").count() == 0
 
 
 def test_python_term_codes_equal_sql_term_codes(spark):
@@ -95,16 +125,12 @@ def test_python_term_codes_equal_sql_term_codes(spark):
         assert [codes[x] for x in t.split()] == sql[i], repr(t)
 
 
-def test_metadata_join_broadcasts_bounded_hits(spark):
+def test_metadata_of_hits(spark):
     vecs = spark.createDataFrame(
         [(f"c{i}", f"text {i}", "a.pdf" if i % 2 else None, i, [float(i % 3 == 0), 1.0, float(i)]) for i in range(30)],
         "chunk_id string, text string, source_pdf string, page_number int, embedding array<float>",
     )
     qs = spark.createDataFrame([(1, [1.0, 1.0, 0.0]), (2, [0.0, 1.0, 5.0])], "query_id int, embedding array<float>")
-    hits = RT.topk_cosine(vecs, qs, k=3)
-    plain = sorted(tuple(r) for r in RT.hits_with_metadata(hits, vecs).collect())
-    bounded = RT.hits_with_metadata(hits, vecs, max_hits=3 * 2)
-    plan = bounded._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "BuildLeft" in plan
-    assert sorted(tuple(r) for r in bounded.collect()) == plain
-    assert len(plain) == 6 and {r[4] for r in plain} <= {"a.pdf", ""}
+    rows = RT.hits_with_metadata(RT.topk_cosine(vecs, qs, k=3), vecs).collect()
+    assert len(rows) == 6 and all(r.chunk_text == f"text {r.page_number}" for r in rows)
+    assert all(r.source_pdf == ("a.pdf" if r.page_number % 2 else "") for r in rows)

@@ -42,6 +42,7 @@ def test_list_documents(spark):
         fh.write(b"%PDF")
     names = sorted(r.source_pdf for r in list_documents(spark, d).collect())
     assert names == ["a.pdf", "b.pdf"]
+    assert [r.source_pdf for r in list_documents(spark, d).collect()] == names  # in name order
     with pytest.raises(FileNotFoundError):
         list_documents(spark, d, "*.docx")
 
@@ -68,3 +69,41 @@ def test_entry_smoke(spark):
         by_region[r.respondent] = by_region.get(r.respondent, 0.0) + r.share_pct
     assert all(abs(v - 100.0) < 1e-6 for v in by_region.values())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_partition_values_keep_their_type_and_the_session_its_mode(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="vf-facts-"), "gen")
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    facts = R.generation_from_events(R.table(spark, SF001, "events"))
+    write_facts(facts.withColumn("respondent", F.lit("007")).limit(5), path)
+    write_facts(facts.withColumn("respondent", F.lit("true")).limit(3), path)  # replaces no other partition
+    back = read_facts(spark, path)
+    assert {r[0] for r in back.select("respondent").distinct().collect()} == {"007", "true"} and back.count() == 8
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
+
+
+def test_shared_folder_is_required_off_local_threads(spark):
+    from types import SimpleNamespace
+
+    from voltframe import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return None
+
+    far = SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://cluster:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(far)
+
+
+def test_materialized_tables_are_dropped(spark):
+    from voltframe.session import drop_materialized, materialize
+
+    table = materialize(spark.range(10).selectExpr("id", "CAST(NULL AS INT) AS n"), "probe")
+    assert table.count() == 10
+    folder = os.path.dirname(table.inputFiles()[0].removeprefix("file:").replace("//", "/"))
+    assert os.path.isdir(folder)
+    drop_materialized(table)
+    assert not os.path.exists(folder)
+    with pytest.raises(ValueError, match="not a table"):
+        drop_materialized(R.table(spark, SF001, "nation"))

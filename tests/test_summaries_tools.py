@@ -122,5 +122,60 @@ def test_parse_requests_bad_json_gives_one_row_of_nulls(spark):
     assert (got[1].region, got[1].start, got[1].end) == ("CISO", dt.date(2024, 1, 2), dt.date(2024, 1, 3))
     for i in (2, 3):
         assert (got[i].region_raw, got[i].region, got[i].start, got[i].end) == (None, None, None, None)
-    days = TL.request_days(TL.parse_requests(reqs))
+    every = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(9)]
+    fact_days = spark.createDataFrame([("CISO", d) for d in every], "region string, day date")
+    days = TL.request_days(TL.parse_requests(reqs), fact_days, ["region"])
     assert sorted((r.request_id, r.day) for r in days.collect()) == [(1, dt.date(2024, 1, 2)), (1, dt.date(2024, 1, 3))]
+
+
+def test_sums_of_tiny_and_huge_values(spark):
+    tiny = gen(spark, [("A", h, "Gas", 4e-7) for h in range(10)])
+    assert S.fuel_mix(tiny).first().mwh == 4e-6
+    huge = gen(spark, [("A", 0, "Gas", 1e23), ("A", 1, "Gas", 2.0)])
+    assert S.fuel_mix(huge).first().mwh == 2.0  # validation rejects such a record; here it counts as missing
+
+
+def test_position_follows_the_reported_total(spark):
+    from voltframe.plans.sql_functions import register_tool_functions
+
+    facts = reg(spark, [("CISO", 0, "TI", 0.04), ("ERCO", 0, "TI", 0.06), ("PJM", 0, "TI", -0.05)])
+    got = {r.respondent: r.position for r in S.net_position(facts).collect()}
+    assert got == {"CISO": "balanced", "ERCO": "net exporter", "PJM": "net importer"}
+    register_tool_functions(spark, gen(spark, [("CISO", 0, "Gas", 1.0)]), facts)
+    for region, want in got.items():
+        row = spark.sql(f"SELECT position FROM get_demand_and_interchange('{region}', '2024-01-01', '2024-01-02')").first()
+        assert row.position == want
+
+
+def test_summary_lines(spark):
+    facts = gen(spark, [("A", 0, "Gas", 1234567.5), ("A", 5, "A very long fuel name indeed", 0.5)])
+    lines = [r.line for r in S.summary_lines(facts).orderBy("line_no").collect()]
+    assert lines == [
+        "A: 2 rows",
+        "  period:  2024-01-01 00:00:00 \u2192 2024-01-01 05:00:00",
+        f"    {'Gas':<22} {1234567.5:>14,.0f} MWh  ({100.0:4.1f}%)",
+        f"    {'A very long fuel name indeed':<22} {0.5:>14,.0f} MWh  ({0.0:4.1f}%)",
+    ]
+
+
+def test_a_request_for_thousands_of_years_is_clipped(spark):
+    facts = gen(spark, [("CISO", 0, "Gas", 1.0), ("CISO", 30, "Gas", 2.0)])
+    req = _requests(spark, [(1, "get_generation", "CISO", "0001-01-01", "9999-12-31"), (2, "get_generation", "PJM", "0001-01-01", "9999-12-31")])
+    parsed = TL.parse_requests(req)
+    days = TL.request_days(parsed, TL.daily_rollup(facts, "type_name").withColumnRenamed("respondent", "region"), ["region"])
+    assert days.count() == 2
+    assert [r.rows for r in TL.tool_generation(parsed, facts).collect()] == [2]
+    assert [r.request_id for r in TL.tool_no_data(parsed, facts, reg(spark, [("CISO", 0, "D", 1.0)])).collect()] == [2]
+
+
+def test_dispatch_results_of_every_kind(spark):
+    facts, regf = gen(spark, [("CISO", 0, "Gas", 1.26), ("CISO", 1, "Sun", 5.0)]), reg(spark, [("CISO", 0, "D", 3.0), ("CISO", 0, "TI", -2.0)])
+    req = _requests(spark, [(1, "get_generation", "caiso", "2024-01-01", "2024-01-01"), (2, "get_demand_and_interchange", "CISO", "2024-01-01", "2024-01-01"),
+                            (3, "get_generation", "PJM", "2024-01-01", "2024-01-01"), (4, "other", "PJM", "2024-01-01", "2024-01-01"), (5, None, "PJM", "x", "y")])
+    got = {r.request_id: json.loads(r.result) for r in TL.dispatch_results(req, facts, regf).collect()}
+    assert got[1] == {"region": "CISO", "rows": 2, "generation_mwh_by_fuel": {"Sun": 5.0, "Gas": 1.3}}
+    assert got[2]["totals"] == {"demand_mwh": 3.0, "total_interchange_mwh": -2.0} and got[2]["convention"]
+    assert got[3] == {"region": "PJM", "rows": 0, "note": TL.NOTE_NO_DATA}
+    assert got[4] == {"error": "unknown tool other"} and got[5] == {"error": "unknown tool None"}
+    single = {r.request_id: json.loads(r.result) for r in TL.dispatch_results(req, facts, regf, True, TL.NOTE_NO_DATA_RETURNED).collect()}
+    assert single[1]["period_start"] == "2024-01-01 00:00:00" and single[3]["note"] == TL.NOTE_NO_DATA_RETURNED

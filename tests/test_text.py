@@ -10,11 +10,6 @@ from voltframe.constants import NOT_WS, WS, WS_CHARS_RE2
 from voltframe.functions import text as TX
 
 
-def _norm_py(text: str) -> str:
-    lines = [re.sub(r"[ \t]{2,}", " ", line).rstrip() for line in text.splitlines()]
-    return "\n".join(line for line in lines if line.strip())
-
-
 def test_whitespace_class_equals_python_isspace(spark):
     # Every BMP code point (surrogates excluded): Spark's class must agree with str.isspace.
     cps = [c for c in range(0x10000) if not 0xD800 <= c <= 0xDFFF]
@@ -34,17 +29,18 @@ def test_re2_spelling_lists_the_same_set():
     assert got == want
 
 
-def test_normalize_matches_python_rules(spark):
-    samples = [
-        "a  b\t\tc \n\n  d\t\n",
-        "tab\tstays\nline\x0bvt\x85nel\x1cfs\u2028ls end\u00a0",
-        "trailing nbsp\u00a0\u00a0\nkeep  \x1f\n   \n",
-        "",
-        "\r\nwin\r\nlines\rmac",
-    ]
+def test_normalised_text_by_hand(spark):
+    samples = {
+        "one   two\t \tthree\n\n\n four\t\n": "one two three\n four",
+        "a\tb\nline\x0bup\x85next\x1cfile\u2028end\u00a0": "a\tb\nline\nup\nnext\nfile\nend",
+        "hard blank\u00a0\u00a0\nleft  \x1f\n   \n": "hard blank\nleft",
+        "": "",
+        "\r\nfirst\r\nsecond\rthird": "first\nsecond\nthird",
+        "   \n\t": "",
+    }
     df = spark.createDataFrame([(s,) for s in samples], "t string")
-    got = [r[0] for r in df.select(TX.normalize_text("t")).collect()]
-    assert got == [_norm_py(s) for s in samples]
+    got = {r.t: r.n for r in df.select("t", TX.normalize_text("t").alias("n")).collect()}
+    assert got == samples
     assert df.select(TX.normalize_text(F.lit(None).cast("string"))).first()[0] == ""
 
 
@@ -75,11 +71,11 @@ def test_answer_checks(spark):
     from voltframe.operators.cite import check_answers
 
     rows = [(1, ""), (2, REFUSAL), (3, "Fact. [Silver Star p.4]"), (4, "Fact without tag."), (5, "Odd [x p.] tag"),
-            (6, "  " + REFUSAL + "  ")]
+            (6, "  " + REFUSAL + "  "), (7, REFUSAL + "\n"), (8, " \n \t"), (9, None), (10, "\u00a0" + REFUSAL + "\u2028"), (11, "\nNo tag\n")]
     df = spark.createDataFrame(rows, "id int, answer string")
     got = {r.id: (r.uncited, r.refusal) for r in check_answers(df).collect()}
     assert got == {1: (False, False), 2: (False, True), 3: (False, False), 4: (True, False), 5: (True, False),
-                   6: (False, True)}
+                   6: (False, True), 7: (False, True), 8: (False, False), 9: (False, False), 10: (False, True), 11: (True, False)}
 
 
 def test_context_and_prompt(spark):

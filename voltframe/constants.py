@@ -138,5 +138,9 @@ TOKEN_PATTERN_RE2 = WS_RE2 + "*" + NOT_WS_RE2 + "+"
 # Hour-grain period formats accepted by the record parser (after hour padding).
 PERIOD_PATTERN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
 
+# Sums run as decimals; a record value of this size or more is a reject.
+VALUE_DECIMAL = "decimal(28,9)"
+VALUE_LIMIT = 1e18
+
 # Hashing vectoriser width (the source model's width).
 HASH_DIM = EMBED_DIM

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from voltframe.constants import PERIOD_PATTERN
+from voltframe.constants import PERIOD_PATTERN, VALUE_LIMIT
 
 
 def _c(col: Column | str) -> Column:
@@ -47,9 +47,15 @@ def number_is_bad(col: Column | str) -> Column:
     return c.isNotNull() & (d.isNull() | (F.abs(d) == F.lit(float("inf"))))
 
 
+def number_is_out_of_range(col: Column | str) -> Column:
+    """True for a finite number that exact sums cannot hold (:data:`VALUE_LIMIT` and above)."""
+    d = _c(col).try_cast("double")
+    return F.coalesce(~F.isnan(d) & (F.abs(d) >= F.lit(VALUE_LIMIT)), F.lit(False))
+
+
 def parse_iso_date(col: Column | str) -> Column:
-    """Strict ``YYYY-MM-DD`` -> date; anything else (including impossible days) -> NULL."""
-    c = F.trim(_c(col))
+    """Strict ``YYYY-MM-DD`` -> date; anything else (impossible days, blanks) -> NULL."""
+    c = _c(col)
     return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c.try_cast("date"))
 
 

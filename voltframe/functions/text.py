@@ -51,11 +51,6 @@ def strip_ws(col: Column | str) -> Column:
     return F.regexp_replace(_c(col), "^" + WS + "+|" + WS + r"+\z", "")
 
 
-def term_of(token: Column | str) -> Column:
-    """A token without its leading whitespace (the unit the vectoriser hashes)."""
-    return F.regexp_replace(_c(token), "^" + WS + "+", "")
-
-
 def has_text(col: Column | str) -> Column:
     """True when the string holds any non-whitespace character."""
     return _c(col).rlike(NOT_WS)

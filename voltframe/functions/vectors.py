@@ -1,4 +1,4 @@
-"""Vector expressions: cosine similarity and the hashing vectoriser's term features."""
+"""The hashing vectoriser's term features as expressions."""
 
 from __future__ import annotations
 
@@ -12,33 +12,6 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def dot(a: Column | str, b: Column | str) -> Column:
-    """Dot product of two equal-length numeric arrays, in double."""
-    return F.aggregate(
-        F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")),
-        F.lit(0.0),
-        lambda acc, v: acc + v,
-    )
-
-
-def l2_norm(a: Column | str) -> Column:
-    """Euclidean norm in double."""
-    return F.sqrt(F.aggregate(_c(a), F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")))
-
-
-def cosine(a: Column | str, b: Column | str) -> Column:
-    """Cosine similarity; NULL when either vector has norm 0."""
-    den = l2_norm(a) * l2_norm(b)
-    return F.when(den > 0, dot(a, b) / den)
-
-
-def l2_normalize(a: Column | str, as_float: bool = True) -> Column:
-    """Unit-length copy (FLOAT elements by default); NULL for a zero vector."""
-    n = l2_norm(a)
-    t = "float" if as_float else "double"
-    return F.when(n > 0, F.transform(_c(a), lambda v: (v.cast("double") / n).cast(t)))
-
-
 def term_hash(term: Column | str) -> Column:
     """Hex MD5 of a term (computed once; bucket and sign both read it)."""
     return F.md5(_c(term))

@@ -38,13 +38,6 @@ def normalize_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("page_text", normalize_text("page_text"))
 
 
-def tokenized_pages(pages: DataFrame) -> DataFrame:
-    """Non-empty pages with their token arrays."""
-    return pages.select("source_pdf", "page_number", tokenize("page_text").alias("tokens")).where(
-        F.size("tokens") > 0
-    )
-
-
 def window_count(n: F.Column) -> F.Column:
     return F.when(n <= CHUNK_TOKENS, F.lit(1)).otherwise(F.ceil((n - CHUNK_TOKENS) / F.lit(STEP)) + 1).cast("int")
 
@@ -122,9 +115,9 @@ def chunk_windows(windows: DataFrame, bucket_width: int = CARRY_BUCKET) -> DataF
     first = windows.where((F.col("window") == 0) & (F.col("n_tokens") > 0))
     # First windows carry most of the text of short pages and all the per-row work after
     # the carry (strip, hashing, vectorising). Adaptive execution would coalesce their
-    # shuffle by bytes into very few tasks, so the partition count is explicit: as many
-    # as the window table has splits (grows with the input).
-    n_parts = max(windows.rdd.getNumPartitions(), windows.sparkSession.sparkContext.defaultParallelism)
+    # shuffle by bytes into very few tasks, so the partition count is explicit: the
+    # session's shuffle partitions, which a job sizes to its input.
+    n_parts = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first_text = first_windows_with_carry(first, n_parts, bucket_width)
     rest = windows.where(F.col("window") > 0).select("source_pdf", "page_number", "window", "raw")
     # "Strips to empty" is tested as "has no non-whitespace character": the same rows, but a

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltframe.constants import CITATION_ALIASES, CONTEXT_SEPARATOR, PROMPT_TEMPLATE, REFUSAL
-from voltframe.functions.text import citation_tag, file_stem, has_citation
+from voltframe.functions.text import citation_tag, file_stem, has_citation, strip_ws
 
 
 def alias_for(source_pdf: Column | str) -> Column:
@@ -74,6 +74,10 @@ def uncited(answer: Column | str) -> Column:
 
 
 def check_answers(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
-    """Add ``uncited`` and ``refusal`` flags to a table of answers (stripped first)."""
-    a = F.trim(F.col(answer_col))
+    """Add ``uncited`` and ``refusal`` flags to a table of answers.
+
+    All white space around an answer is stripped first (model output often ends in a line
+    break); a NULL answer counts as empty.
+    """
+    a = strip_ws(F.coalesce(F.col(answer_col), F.lit("")))
     return answers.withColumn("uncited", uncited(a)).withColumn("refusal", a == REFUSAL)

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltframe.operators.chunks import chunk_pages
+from voltframe.operators.chunks import chunk_windows, page_windows
 from voltframe.operators.layout import spread
 from voltframe.operators.vectorize import hash_vectors
-from voltframe.session import materialize
-from voltframe.sources.store import (
-    BROADCAST_ID_LIMIT,
-    append_vectors,
-    read_store,
-    store_exists,
-    stored_ids_among,
-)
+from voltframe.session import drop_materialized, materialize
+from voltframe.sources.store import append_vectors, new_chunks, read_store, store_exists
+
+STATS = "source_pdf string, n_chunks long, n_new long, n_skipped long"
 
 
 def mark_new(chunks: DataFrame, store: DataFrame) -> DataFrame:
@@ -59,23 +57,39 @@ def vectorize_chunks(chunks: DataFrame) -> DataFrame:
     return hash_vectors(chunks, "chunk_id", "text", keep=["source_pdf", "page_number", "chunk_index", "text"])
 
 
-def ingest(pages: DataFrame, store_path: str) -> DataFrame:
+def one_page_each(pages: DataFrame) -> DataFrame:
+    """One row per (document, page): of a page delivered more than once, the smallest text.
+
+    Chunk ids are then unique within the batch, since each hashes its document, page and
+    index.
+    """
+    return pages.groupBy("source_pdf", "page_number").agg(F.min("page_text").alias("page_text"))
+
+
+def log_path(store_path: str, batch: str | None = None) -> str:
+    root = f"{store_path.rstrip('/')}/_ingest_log"
+    return root if batch is None else f"{root}/batch={batch}"
+
+
+def ingest(pages: DataFrame, store_path: str, batch: str | None = None) -> DataFrame:
     """Ingest a page table into the store; returns per-document statistics.
 
     The anti-join against stored ids comes before vectorising, so known chunks are never
-    embedded again. The chunk table and the statistics are written once to the shared
-    checkpoint folder, so both consumers see the same chunks without re-running the
-    chunker, and the statistics describe the store as it was before this run's append.
+    embedded again. The statistics are logged under the batch's name *before* anything is
+    appended, and a batch that is run again keeps the log of its first run: the append
+    finds its chunks stored and adds none, so a replay changes neither store nor log.
+
+    The window and chunk tables in the shared folder are deleted at the end.
     """
     spark = pages.sparkSession
+    logged = log_path(store_path, batch or uuid.uuid4().hex)
     # A micro-batch of a few large files is a few scan splits; give the chunker all cores.
-    pages = spread(pages)
-    chunks = materialize(chunk_pages(pages), "ingest-chunks")
+    windows = materialize(page_windows(one_page_each(spread(pages))), "ingest-windows")
+    chunks = materialize(chunk_windows(windows), "ingest-chunks")
     store = read_store(spark, store_path)
-    # A store that does not exist yet holds no ids: no need to size the batch's ids.
-    known = (stored_ids_among(chunks, store, BROADCAST_ID_LIMIT) if store_exists(spark, store_path)
-             else store.select("chunk_id"))
-    stats = materialize(ingest_stats(pages.select("source_pdf"), chunks, known), "ingest-stats")
-    fresh = chunks.join(known, "chunk_id", "left_anti")
-    append_vectors(vectorize_chunks(fresh), store_path)
-    return stats
+    if not store_exists(spark, f"{logged}/_SUCCESS"):
+        stats = ingest_stats(pages.select("source_pdf"), chunks, store)
+        stats.write.mode("overwrite").parquet(logged)
+    append_vectors(vectorize_chunks(new_chunks(chunks, store)), store_path)
+    drop_materialized(windows, chunks)
+    return spark.read.schema(STATS).parquet(logged)

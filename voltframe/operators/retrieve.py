@@ -1,83 +1,49 @@
 """Exact cosine top-k of many query vectors against a large vector table.
 
-Planned without a cross join: the query batch (checked against a byte budget) goes to
-every executor as a broadcast variable; each Arrow batch of the corpus is multiplied
-with it in one matrix product and only each query's best rows (k plus exact ties)
-leave the batch. A final ``row_number`` per query (planned as partial + final
-``WindowGroupLimit``) keeps k. Work is |queries| x |corpus| multiply-adds, but what
-moves through the shuffle is only k rows per query per batch.
-
-Queries beyond the budget are processed in several batches (one corpus pass each);
-none is dropped. Zero vectors are skipped (cosine is undefined for them).
+Corpus and queries are cut into blocks by a hash of their ids, and every pair of a corpus
+block and a query block is one task of a cogroup on the two block numbers: the corpus
+travels once for each query block (one, unless there are very many questions), the
+queries once for each corpus block. Nothing goes through the driver and nothing is
+broadcast. A task multiplies tiles of queries with its corpus block and lets exactly the
+best k rows of each query leave, ties broken by id, so equal rows (copies, or rows
+that share nothing with the question) do not add up. A final ``row_number`` per query
+(planned with a partial ``WindowGroupLimit``) keeps k of the blocks' rows.
+
+Zero vectors are skipped (cosine is undefined for them), and so are vectors of another
+length than the query's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltframe.constants import DEFAULT_K
 
-DEFAULT_QUERY_BUDGET = 64 * 1024 * 1024  # bytes of float64 query matrix per broadcast
+CORPUS_BLOCK = 16_384  # rows of the corpus held by one task
+QUERY_BLOCK = 4_096  # queries held by one task
+QUERY_TILE = 256  # queries multiplied at once
 
 
-def _unit_rows(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _unit_rows(vectors: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the rows of length ``dim`` with a norm, and which rows they are."""
+    rows = np.flatnonzero(np.asarray(pc.fill_null(pc.list_value_length(vectors), -1)) == dim)
+    m = np.asarray(vectors.take(pa.array(rows)).flatten(), dtype=np.float64).reshape(-1, dim)
     norms = np.linalg.norm(m, axis=1)
     ok = norms > 0
-    out = np.zeros_like(m)
-    out[ok] = m[ok] / norms[ok, None]
-    return out, ok
-
-
-def _local_topk(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the best k scores plus everything within 1e-6 of the k-th (ties)."""
-    if len(scores) <= k:
-        return np.arange(len(scores))
-    kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-    return np.nonzero(scores >= kth - 1e-6)[0]
-
-
-def _search_batch(corpus: DataFrame, q_ids: list, q_mat: np.ndarray, k: int, corpus_id: str, vec_col: str,
-                  q_type: T.DataType, c_type: T.DataType) -> DataFrame:
-    sc = corpus.sparkSession.sparkContext
-    q_unit, q_ok = _unit_rows(q_mat.astype(np.float64))
-    bc = sc.broadcast((np.asarray(q_ids, dtype=object)[q_ok], q_unit[q_ok]))
-    schema = T.StructType([
-        T.StructField("query_id", q_type, False),
-        T.StructField(corpus_id, c_type, False),
-        T.StructField("score", T.DoubleType(), False),
-    ])
+    return m[ok] / norms[ok, None], rows[ok]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, qn = bc.value
-        for pdf in batches:
-            if pdf.empty or len(qids) == 0:
-                continue
-            c = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            cn, ok = _unit_rows(c)
-            if not ok.any():
-                continue
-            ids = pdf[corpus_id].to_numpy()[ok]
-            sims = cn[ok] @ qn.T  # (rows, queries)
-            out_q, out_c, out_s = [], [], []
-            for j in range(sims.shape[1]):
-                col = sims[:, j]
-                keep = _local_topk(ids, col, k)
-                out_q.append(np.repeat(qids[j], len(keep)))
-                out_c.append(ids[keep])
-                out_s.append(col[keep])
-            yield pd.DataFrame({
-                "query_id": np.concatenate(out_q),
-                corpus_id: np.concatenate(out_c),
-                "score": np.concatenate(out_s),
-            })
-
-    return corpus.select(corpus_id, vec_col).mapInPandas(run, schema)
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the best k scores, equal ones by id."""
+    near = np.arange(len(scores))
+    if len(scores) > k:
+        near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    return near[np.lexsort((ids[near], -scores[near]))[:k]]
 
 
 def topk_cosine(
@@ -89,66 +55,66 @@ def topk_cosine(
     query_id: str = "query_id",
     query_vec: str = "embedding",
     digits: int = 6,
-    query_budget_bytes: int = DEFAULT_QUERY_BUDGET,
+    corpus_block: int = CORPUS_BLOCK,
+    query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """``query_id, rank, <corpus_id>, similarity_score`` for the k most similar rows.
 
     Ranking is by ``round(similarity, digits)`` descending, then ``corpus_id`` ascending,
     so results are deterministic across engines and partitionings. Fewer than k rows
-    come back when the corpus is smaller than k.
+    come back when the corpus is smaller than k. Both sides should be stored tables: they
+    are counted first, to size the blocks.
     """
-    q_type = queries.schema[query_id].dataType
-    c_type = corpus.schema[corpus_id].dataType
-    # The question batch is small by contract; cache it so its count, its width and its
-    # collection do not recompute the vectoriser three times.
-    qs = queries.select(query_id, query_vec).where(F.size(query_vec) > 0).cache()
-    try:
-        n_q, dim = qs.agg(F.count(F.lit(1)), F.max(F.size(query_vec))).first()
-        if n_q == 0:
-            return corpus.sparkSession.createDataFrame(
-                [], f"query_id {q_type.simpleString()}, rank int, {corpus_id} {c_type.simpleString()}, "
-                "similarity_score double"
-            )
-        per_batch = max(1, query_budget_bytes // (8 * max(dim, 1)))
-        n_batches = -(-n_q // per_batch)
-        parts = []
-        for b in range(n_batches):
-            part = qs if n_batches == 1 else qs.where(F.pmod(F.xxhash64(query_id), F.lit(n_batches)) == b)
-            rows = part.collect()  # bounded by the byte budget above
-            if not rows:
-                continue
-            q_ids = [r[0] for r in rows]
-            q_mat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows])
-            parts.append(_search_batch(corpus, q_ids, q_mat, k, corpus_id, vec_col, q_type, c_type))
-    finally:
-        qs.unpersist()
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    scored = cand.withColumn("similarity_score", F.round("score", digits))
+    parallel = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_corpus = max(-(-corpus.count() // corpus_block), parallel)
+    n_query = max(-(-queries.count() // query_block), 1)
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = corpus.select(F.col(corpus_id).alias("c_id"), F.col(vec_col).alias("c_vec"), block(corpus_id, n_corpus).alias("cb"), every(n_query, "qb"))
+    right = queries.select(F.col(query_id).alias("q_id"), F.col(query_vec).alias("q_vec"), block(query_id, n_query).alias("qb"), every(n_corpus, "cb"))
+    out = T.StructType([
+        T.StructField("query_id", queries.schema[query_id].dataType),
+        T.StructField(corpus_id, corpus.schema[corpus_id].dataType),
+        T.StructField("similarity_score", T.DoubleType()),
+    ])
+    names = out.names
+
+    def compare(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        found: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
+        if rows.num_rows and asked.num_rows:
+            c_vec, q_vec = rows.column("c_vec").combine_chunks(), asked.column("q_vec").combine_chunks()
+            c_ids, q_ids = rows.column("c_id").combine_chunks(), asked.column("q_id").combine_chunks()
+            for dim in pc.unique(pc.drop_null(pc.list_value_length(q_vec))).to_pylist():
+                q, q_rows = _unit_rows(q_vec, dim)
+                c, c_rows = _unit_rows(c_vec, dim)
+                if not len(q) or not len(c):
+                    continue
+                keys = np.array(c_ids.take(pa.array(c_rows)).to_pylist())
+                for at in range(0, len(q), QUERY_TILE):
+                    scores = np.round(c @ q[at:at + QUERY_TILE].T, digits) + 0.0
+                    for j in range(scores.shape[1]):
+                        best = _best(keys, scores[:, j], k)
+                        found.append((q_ids.take(pa.array(np.full(len(best), q_rows[at + j]))), c_ids.take(pa.array(c_rows[best])), scores[best, j]))
+        if not found:
+            return pa.table([pa.array([], t) for t in types], names=names)
+        return pa.table([pa.concat_arrays([f[0] for f in found]), pa.concat_arrays([f[1] for f in found]), pa.array(np.concatenate([f[2] for f in found]))], names=names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = [to_arrow_type(f.dataType) for f in out]
+    best = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(compare, out)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity_score").desc(), F.col(corpus_id).asc())
-    return (
-        scored.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", corpus_id, "similarity_score")
-    )
-
-
-HITS_BROADCAST_LIMIT = 1_000_000  # hit rows (ids, ranks, scores: ~100 MB) sent to every executor
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", corpus_id, "similarity_score")
 
 
-def hits_with_metadata(hits: DataFrame, vectors: DataFrame, max_hits: int | None = None) -> DataFrame:
+def hits_with_metadata(hits: DataFrame, vectors: DataFrame) -> DataFrame:
     """Attach chunk text and citation metadata; missing fields get ``""`` / ``-1``.
 
     ``hits`` are rows of ``vectors`` (unique ids), so each matches exactly one metadata
-    row and an inner join keeps every hit. With ``max_hits`` (a proven bound such as k x
-    number of questions) at or below :data:`HITS_BROADCAST_LIMIT`, the hits are broadcast
-    and the corpus side is scanned in place, never shuffled; beyond it the join is left to
-    adaptive execution.
+    row and an inner join keeps every hit. The join's strategy is left to adaptive
+    execution, which broadcasts the hits when they turn out small.
     """
     meta = vectors.select("chunk_id", F.col("text").alias("chunk_text"), "source_pdf", "page_number")
-    if max_hits is not None and max_hits <= HITS_BROADCAST_LIMIT:
-        hits = F.broadcast(hits)
     return hits.join(meta, "chunk_id").select(
         "query_id", "rank", "chunk_id", "chunk_text",
         F.coalesce("source_pdf", F.lit("")).alias("source_pdf"),

@@ -1,8 +1,10 @@
 """Fact summaries: fuel mix, shares, range bounds, interchange totals, net position.
 
-Sums run as ``decimal(28,6)`` and are turned into double once at the end, so totals do
-not depend on partition order (double addition is not associative). An all-null group
-sums to 0, as the source application's frame library does.
+Sums run as decimals and are turned into double once at the end, so totals do not depend
+on partition order (double addition is not associative). An all-null group sums to 0, as
+the source application's frame library does. Record validation rejects values that the
+decimal cannot hold, visibly; in facts from elsewhere such a value counts as missing
+instead of failing every sum.
 """
 
 from __future__ import annotations
@@ -17,16 +19,17 @@ from voltframe.constants import (
     POSITION_EXPORTER,
     POSITION_IMPORTER,
     SERIES_LABELS,
+    VALUE_DECIMAL,
 )
 from voltframe.functions.parse import timestamp_text
 
-DEC = "decimal(28,6)"
+DEC = VALUE_DECIMAL
 
 
 def dec_sum(col: str | Column) -> Column:
     """Order-independent sum; NULL-only groups give 0."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(F.sum(c.cast(DEC)), F.lit(0).cast(DEC))
+    return F.coalesce(F.sum(c.try_cast(DEC)), F.lit(0).cast(DEC))
 
 
 def to_double(col: str | Column, digits: int | None = None) -> Column:
@@ -103,24 +106,53 @@ def net_position(region_facts: DataFrame, by: Sequence[str] = ("respondent",)) -
     """
 
     def total_of(code: str) -> Column:
-        v = F.when(F.col("type") == code, F.col("value").cast("decimal(28,6)"))
+        v = F.when(F.col("type") == code, F.col("value").try_cast(DEC))
         has = F.max(F.when(F.col("type") == code, F.lit(1)))
-        return F.when(has == 1, F.coalesce(F.sum(v), F.lit(0).cast("decimal(28,6)")))
+        return F.when(has == 1, F.coalesce(F.sum(v), F.lit(0).cast(DEC)))
 
     wide = region_facts.groupBy(*by).agg(
         to_double(total_of("D"), 1).alias("demand_mwh"),
         to_double(total_of("NG"), 1).alias("net_generation_mwh"),
         to_double(total_of("TI"), 1).alias("total_interchange_mwh"),
     )
-    ti = F.col("total_interchange_mwh")
-    return wide.withColumn(
-        "position",
+    return wide.withColumn("position", position(F.col("total_interchange_mwh")))
+
+
+def position(ti: Column) -> Column:
+    """Net position from total interchange *as reported* (one decimal), so that the sign
+    stated always agrees with the number shown."""
+    return (
         F.when(ti > 0, F.lit(POSITION_EXPORTER))
         .when(ti < 0, F.lit(POSITION_IMPORTER))
-        .when(ti == 0, F.lit(POSITION_BALANCED)),
+        .when(ti == 0, F.lit(POSITION_BALANCED))
     )
 
 
+def _padded(c: Column, width: int, pad) -> Column:
+    """``c`` padded to ``width``; longer text is kept whole."""
+    return F.when(F.length(c) >= width, c).otherwise(pad(c, width, " "))
+
+
+def summary_lines(facts: DataFrame, by: str = "respondent") -> DataFrame:
+    """The printed summary as rows: ``by, line_no, line``.
+
+    Line 1 has the row count, line 2 the period range, and then each fuel, largest first,
+    has a line: name padded to 22, total in MWh (14 wide, thousands separated, no
+    decimals) and share (4 wide, one decimal). Numbers round half to even.
+    """
+    shares = fuel_share(fuel_mix(facts, [by]), [by])
+    pct = F.regexp_replace(F.format_number("share_pct", 1), ",", "")
+    fuel = F.concat(
+        F.lit("    "), _padded(F.col("type_name"), 22, F.rpad), F.lit(" "), _padded(F.format_number("mwh", 0), 14, F.lpad),
+        F.lit(" MWh  ("), _padded(pct, 4, F.lpad), F.lit("%)"))
+    fuels = shares.select(by, (F.col("fuel_rank") + 2).cast("int").alias("line_no"), fuel.alias("line"))
+    head = F.posexplode(F.array(
+        F.concat(F.col(by), F.lit(": "), F.format_number("rows", 0), F.lit(" rows")),
+        F.concat(F.lit("  period:  "), F.col("period_start"), F.lit(" \u2192 "), F.col("period_end"))))
+    heads = range_summary(facts, [by]).select(by, head.alias("pos", "line")).select(by, (F.col("pos") + 1).cast("int").alias("line_no"), "line")
+    return heads.unionByName(fuels)
+
+
 def mix_summary(facts: DataFrame, by: str = "respondent") -> DataFrame:
     """One record per group: region, top fuel, its share (1 decimal) and a sentence.
 

@@ -71,16 +71,25 @@ def valid_range(start: Column, end: Column) -> Column:
     return start.isNotNull() & end.isNotNull() & (end >= start)
 
 
-def request_days(parsed: DataFrame) -> DataFrame:
-    """One row per (request, day in its inclusive range); reversed ranges give none."""
+def request_days(parsed: DataFrame, fact_days: DataFrame, on: list[str]) -> DataFrame:
+    """One row per (request, day in its inclusive range); reversed ranges give none.
+
+    ``fact_days`` has a ``day`` per key of ``on``. Ranges are clipped to the first and last
+    day that the key has facts for, so a request for thousands of years makes no more rows
+    than there are days with facts; a key without facts gives none.
+    """
+    bounds = fact_days.groupBy(*on).agg(F.min("day").alias("__first"), F.max("day").alias("__last"))
     ok = parsed.where(F.col("region").isNotNull() & valid_range(F.col("start"), F.col("end")))
-    return ok.select("request_id", "region", F.explode(F.sequence("start", "end")).alias("day"))
+    clipped = ok.join(bounds, on).select(
+        "request_id", "tool", "region", F.greatest("start", "__first").alias("__from"), F.least("end", "__last").alias("__to"))
+    return clipped.where(F.col("__from") <= F.col("__to")).select(
+        "request_id", "tool", "region", F.explode(F.sequence("__from", "__to")).alias("day"))
 
 
 def daily_rollup(facts: DataFrame, key: str) -> DataFrame:
     """``(respondent, day, key)`` -> decimal sum, row count, first and last period."""
     return facts.groupBy("respondent", F.to_date("period").alias("day"), key).agg(
-        F.sum(F.col("value").cast(DEC)).alias("sum_dec"),
+        F.sum(F.col("value").try_cast(DEC)).alias("sum_dec"),
         F.count(F.lit(1)).alias("n"),
         F.min("period").alias("first_period"),
         F.max("period").alias("last_period"),
@@ -88,8 +97,8 @@ def daily_rollup(facts: DataFrame, key: str) -> DataFrame:
 
 
 def _per_request(parsed: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    days = request_days(parsed)
     roll = daily_rollup(facts, key).withColumnRenamed("respondent", "region")
+    days = request_days(parsed, roll, ["region"])
     joined = days.join(roll, ["region", "day"])
     per_key = joined.groupBy("request_id", "region", key).agg(
         F.coalesce(F.sum("sum_dec"), F.lit(0).cast(DEC)).alias("total_dec"),
@@ -143,14 +152,13 @@ def tool_no_data(parsed: DataFrame, generation: DataFrame, region_facts: DataFra
     single-turn tool's text is ``NOTE_NO_DATA_RETURNED``.
     """
     known = parsed.where(F.col("tool").isin(*KNOWN_TOOLS))
-    days = request_days(known)
     gen_keys = generation.select(F.col("respondent").alias("region"), F.to_date("period").alias("day")) \
         .distinct().withColumn("tool", F.lit(TOOL_GENERATION))
     reg_keys = region_facts.where(F.col("type").isin(*REGION_TYPES)) \
         .select(F.col("respondent").alias("region"), F.to_date("period").alias("day")) \
         .distinct().withColumn("tool", F.lit(TOOL_INTERCHANGE))
     keys = gen_keys.unionByName(reg_keys)
-    has_data = days.join(known.select("request_id", "tool"), "request_id") \
+    has_data = request_days(known, keys, ["tool", "region"]) \
         .join(keys, ["tool", "region", "day"], "left_semi").select("request_id").distinct()
     return known.join(has_data, "request_id", "left_anti").select(
         "request_id", "tool", "region", F.lit(0).cast("long").alias("rows"), F.lit(note).alias("note")
@@ -158,9 +166,12 @@ def tool_no_data(parsed: DataFrame, generation: DataFrame, region_facts: DataFra
 
 
 def tool_unknown(parsed_or_raw: DataFrame) -> DataFrame:
-    """Requests naming a tool that does not exist: ``request_id, tool, error``."""
+    """Requests naming a tool that does not exist: ``request_id, tool, error``.
+
+    A request without a tool name gets a message as well (it names ``None``).
+    """
     return parsed_or_raw.where(~F.coalesce(F.col("tool").isin(*KNOWN_TOOLS), F.lit(False))).select(
-        "request_id", "tool", F.concat(F.lit("unknown tool "), F.col("tool")).alias("error")
+        "request_id", "tool", F.concat(F.lit("unknown tool "), F.coalesce("tool", F.lit("None"))).alias("error")
     )
 
 
@@ -203,9 +214,31 @@ def interchange_results_json(rows: DataFrame) -> DataFrame:
     )
 
 
+def dispatch_results(requests: DataFrame, generation: DataFrame, region_facts: DataFrame,
+                     bounds: bool = False, note: str = NOTE_NO_DATA) -> DataFrame:
+    """Every request with its tool's answer as JSON: ``request_id, tool, result``.
+
+    The answer is the tool's result, ``{"region", "rows": 0, "note"}`` if the selection is
+    empty, or ``{"error"}`` for a tool that does not exist. ``bounds`` and ``note`` choose
+    between the agent's and the single-turn tool's form.
+    """
+    parsed = parse_requests(requests)
+    one = parsed.where(F.col("tool") == TOOL_GENERATION)
+    two = parsed.where(F.col("tool") == TOOL_INTERCHANGE)
+    name = lambda df, tool: df.select("request_id", F.lit(tool).alias("tool"), "result")
+    empty = tool_no_data(parsed, generation, region_facts, note).select(
+        "request_id", "tool", F.to_json(F.struct("region", "rows", "note")).alias("result"))
+    unknown = tool_unknown(parsed).select("request_id", "tool", F.to_json(F.struct("error")).alias("result"))
+    return (
+        name(tool_results_json(tool_generation(one, generation, bounds), bounds), TOOL_GENERATION)
+        .unionByName(name(interchange_results_json(tool_interchange(two, region_facts)), TOOL_INTERCHANGE))
+        .unionByName(empty).unionByName(unknown)
+    )
+
+
 __all__ = [
     "KNOWN_TOOLS", "NOTE_NO_DATA", "NOTE_NO_DATA_RETURNED", "TOOL_GENERATION", "TOOL_INTERCHANGE",
-    "dispatch_requests", "interchange_results_json", "parse_requests", "region_code", "request_days",
+    "dispatch_requests", "dispatch_results", "interchange_results_json", "parse_requests", "region_code", "request_days",
     "tool_generation", "tool_interchange", "tool_no_data", "tool_results_json", "tool_unknown",
     "valid_range", "valid_region",
 ]

@@ -72,23 +72,18 @@ def _codes_cache(dim: int) -> _Codes:
 
 def hash_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM,
                  keep: list[str] | None = None) -> DataFrame:
-    """``(id, [keep...], embedding ARRAY<FLOAT>)`` unit vectors; texts whose vector is 0
-    (no terms, or every coordinate cancelled) are dropped.
+    """``(id, [keep...], embedding ARRAY<FLOAT>)`` unit vectors, one for every row; a text
+    whose coordinates are all 0 (no terms, or every coordinate cancelled) has the zero
+    vector, which a search skips, and is stored like any other.
 
     Row-local: the input keeps its partitioning and nothing is shuffled.
     """
     keep = [c for c in (keep or []) if c != id_col]
-    # The UDF is marked non-deterministic only so that the NULL filter below is not
-    # pushed beneath it (that would evaluate the UDF a second time inside the filter).
-    vec = _embed(dim).asNondeterministic()
-    return (
-        df.select(id_col, *keep, vec(F.col(text_col)).alias("embedding"))
-        .where(F.col("embedding").isNotNull())
-    )
+    return df.select(id_col, *keep, _embed(dim)(F.col(text_col)).alias("embedding"))
 
 
 def _embed(dim: int):
-    """pandas UDF: text -> unit FLOAT vector of width ``dim`` (NULL if zero).
+    """pandas UDF: text -> unit FLOAT vector of width ``dim`` (zeros if there is none).
 
     One ``bincount`` per Arrow batch over ``row * dim + bucket`` builds every vector of the
     batch at once; the result is exact (integer sums), normalised in float64.
@@ -113,7 +108,7 @@ def _embed(dim: int):
         ok = norms > 0
         unit = np.zeros((n, dim), dtype=np.float32)
         unit[ok] = (dense[ok] / norms[ok, None]).astype(np.float32)
-        return pd.Series([unit[i] if ok[i] else None for i in range(n)], dtype=object)
+        return pd.Series(list(unit), dtype=object)
 
     return embed
 

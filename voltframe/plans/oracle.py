@@ -1,8 +1,8 @@
 """DuckDB SQL for every registered query (the correctness oracle).
 
-Each statement re-derives its answer from the raw test tables with plain SQL, written
-independently of the DataFrame code: range joins where the Spark side explodes days,
-``lag`` where the Spark side joins ordinals, cross joins where it multiplies matrices.
+Each statement re-derives its answer from the raw test tables with plain SQL: range joins
+where the Spark side explodes days, ``lag`` where the Spark side joins ordinals, cross
+joins where it multiplies matrices. Both sides share the fixed values and patterns.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from voltframe.constants import (
     LINE_BREAK,
     NAME_TO_CODE,
     NOTE_NO_DATA,
+    NOTE_NO_DATA_RETURNED,
     OVERLAP_TOKENS,
     PAGE_LIMIT,
     POSITION_BALANCED,
@@ -28,6 +29,7 @@ from voltframe.constants import (
     REGION_CODES,
     REGION_NAMES,
     SERIES_LABELS,
+    VALUE_DECIMAL,
     TOKEN_PATTERN_RE2 as TOKEN_PATTERN,
     WS_RE2 as WS,
 )
@@ -87,7 +89,7 @@ REQ = f"""SELECT CAST(c_custkey AS BIGINT) AS request_id,
   DATE '{R.REQUEST_EPOCH}' + CAST(c_custkey % 28 AS INTEGER) + CAST(c_custkey % 5 AS INTEGER) AS "end"
 FROM customer"""
 
-DEC = "DECIMAL(28,6)"
+DEC = VALUE_DECIMAL.upper()
 
 
 def dsum(col: str = "value") -> str:
@@ -202,13 +204,35 @@ SELECT CASE WHEN k = {R.K_NO_RESPONDENT} THEN NULL ELSE respondent END AS raw_re
 FROM g WHERE k IN ({', '.join(str(x) for x in _BAD)})
 """
 
+# Number of a record within its region and of its small page.
+SMALL = f"""n AS (SELECT g.*, (row_number() OVER (PARTITION BY respondent ORDER BY period, event_id) - 1) // {R.SMALL_PAGE} AS page FROM g)"""
+
 SQL["page_manifest"] = f"""
-WITH g AS ({GEN}), t AS (SELECT respondent, count(*) AS total FROM g GROUP BY respondent),
-p AS (SELECT respondent, total, unnest(range(0, total, {PAGE_LIMIT})) AS page_offset FROM t)
-SELECT respondent, CAST(page_offset AS BIGINT) AS page_offset,
-  CAST(least({PAGE_LIMIT}, total - page_offset) AS BIGINT) AS expected_rows, true AS landed,
-  CAST(least({PAGE_LIMIT}, total - page_offset) AS BIGINT) AS landed_rows
-FROM p
+WITH g AS ({GEN}), {SMALL},
+pg AS (SELECT respondent, page, count(*) AS n_rows FROM n GROUP BY respondent, page),
+landed AS (SELECT * FROM pg WHERE respondent <> '{R.LOST_REGION}' AND (page % 4 <> {R.LOST_PAGE} OR page = 0)),
+totals AS (SELECT respondent, count(*) AS total FROM g WHERE respondent IN (SELECT respondent FROM landed) GROUP BY respondent),
+asked AS (SELECT a.respondent, total FROM (SELECT unnest({lst(R.REQUESTED_REGIONS)}) AS respondent) a LEFT JOIN totals USING (respondent)),
+expected AS (SELECT respondent, total, unnest(range(0, greatest(1, coalesce(total, 1)), {R.SMALL_PAGE})) AS page_offset FROM asked)
+SELECT e.respondent, CAST(page_offset AS BIGINT) AS page_offset,
+  CAST(CASE WHEN total IS NOT NULL THEN least({R.SMALL_PAGE}, total - page_offset) END AS BIGINT) AS expected_rows,
+  l.n_rows IS NOT NULL AS landed, CAST(l.n_rows AS BIGINT) AS landed_rows
+FROM expected e LEFT JOIN landed l ON l.respondent = e.respondent AND l.page * {R.SMALL_PAGE} = e.page_offset
+"""
+
+SQL["page_file_parse"] = f"""
+WITH g AS ({GEN}), {SMALL}
+SELECT period, respondent, respondent_name, fueltype, type_name, value_units,
+  CASE WHEN k = {R.K_NAN_VALUE} THEN NULL ELSE value END AS value
+FROM n WHERE k NOT IN ({', '.join(str(x) for x in _BAD)})
+  AND page % 5 NOT IN ({R.PAGE_CUT_OFF}, {R.PAGE_BAD_TOTAL}, {R.PAGE_NO_DATA})
+"""
+
+SQL["page_envelope_rejects"] = f"""
+WITH g AS ({GEN}), {SMALL}, pg AS (SELECT DISTINCT respondent, page FROM n),
+r AS (SELECT CASE page % 5 WHEN {R.PAGE_CUT_OFF} THEN 'page: not JSON' WHEN {R.PAGE_BAD_TOTAL} THEN 'page: total not an integer'
+                  WHEN {R.PAGE_NO_DATA} THEN 'page: data not a list of records' END AS reject_reason FROM pg)
+SELECT reject_reason, count(*) AS pages FROM r WHERE reject_reason IS NOT NULL GROUP BY reject_reason
 """
 
 # ---------------------------------------------------------------- step 4: tools over requests
@@ -242,7 +266,7 @@ FROM per JOIN b ON per.request_id = b.request_id
 
 SQL["tool_unknown"] = f"""
 WITH q AS ({REQ})
-SELECT request_id, tool, 'unknown tool ' || tool AS error FROM q
+SELECT request_id, tool, 'unknown tool ' || coalesce(tool, 'None') AS error FROM q
 WHERE tool IS NULL OR tool NOT IN ('get_generation', 'get_demand_and_interchange')
 """
 
@@ -255,6 +279,58 @@ WHERE (tool = 'get_generation' AND NOT EXISTS (SELECT 1 FROM g WHERE g.responden
          AND CAST(r.period AS DATE) BETWEEN q.start AND q."end"))
 """
 
+SQL["tool_generation_agent"] = SQL["tool_generation"].replace("rows, period_start, period_end, type_name,", "rows, type_name,")
+
+
+def _dispatch_sql(bounds: bool, note: str) -> str:
+    """All tools' answers as JSON text, fuels by rank and series by name."""
+    period = """ || ',"period_start":"' || any_value(period_start) || '","period_end":"' || any_value(period_end) || '"'""" if bounds else ""
+    gen = f"""SELECT request_id, 'get_generation' AS tool, '{{"region":"' || any_value(region) || '"'{period}
+      || ',"rows":' || any_value(rows) || ',"generation_mwh_by_fuel":{{'
+      || string_agg('"' || type_name || '":' || CAST(mwh AS VARCHAR), ',' ORDER BY fuel_rank) || '}}}}' AS result
+      FROM ({SQL["tool_generation"]}) GROUP BY request_id"""
+    inter = f"""SELECT request_id, 'get_demand_and_interchange' AS tool, '{{"region":"' || any_value(region) || '","rows":' || any_value(rows)
+      || ',"totals":{{' || string_agg('"' || series || '":' || CAST(total_mwh AS VARCHAR), ',' ORDER BY series)
+      || '}},"convention":' || {q('"' + INTERCHANGE_CONVENTION + '"')} || '}}' AS result
+      FROM ({SQL["tool_interchange"]}) GROUP BY request_id"""
+    none = f"""SELECT request_id, tool, '{{"region":"' || region || '","rows":0,"note":"{note}"}}' AS result FROM ({SQL["tool_no_data"]})"""
+    unknown = f"""SELECT request_id, tool, '{{"error":"' || error || '"}}' AS result FROM ({SQL["tool_unknown"]})"""
+    return " UNION ALL ".join((gen, inter, none, unknown))
+
+
+SQL["dispatch_results"] = _dispatch_sql(False, NOTE_NO_DATA)
+SQL["dispatch_results_single_turn"] = _dispatch_sql(True, NOTE_NO_DATA_RETURNED)
+
+SQL["summary_lines"] = f"""
+WITH g AS ({GEN}), {_MIX},
+f AS (SELECT respondent, CAST(fuel_rank + 2 AS INTEGER) AS line_no,
+  '    ' || CASE WHEN length(type_name) >= 22 THEN type_name ELSE rpad(type_name, 22, ' ') END || ' '
+    || lpad(format('{{:,d}}', CAST(round_even(CAST(mwh_dec AS DOUBLE), 0) AS BIGINT)), 14, ' ') || ' MWh  ('
+    || printf('%4.1f', CASE WHEN total_mwh <> 0 THEN CAST(mwh_dec AS DOUBLE) / total_mwh * 100.0 ELSE 0.0 END) || '%)' AS line FROM rk),
+b AS (SELECT respondent, count(*) AS n, {ts_text('min(period)')} AS lo, {ts_text('max(period)')} AS hi FROM g GROUP BY respondent)
+SELECT respondent, line_no, line FROM f
+UNION ALL SELECT respondent, 1, respondent || ': ' || format('{{:,d}}', n) || ' rows' FROM b
+UNION ALL SELECT respondent, 2, '  period:  ' || lo || ' ' || chr(8594) || ' ' || hi FROM b
+"""
+
+SQL["facts_round_trip"] = f"""
+WITH g AS ({GEN})
+SELECT period, respondent, respondent_name, fueltype, type_name, value_units, value FROM g
+"""
+
+SQL["generation_sorted"] = f"""
+WITH g AS ({GEN})
+SELECT period, fueltype, row_number() OVER (ORDER BY period, fueltype) AS position FROM g
+WHERE respondent = 'CISO' AND period >= TIMESTAMP '2024-01-03 00:00:00' AND period < TIMESTAMP '2024-01-10 00:00:00'
+"""
+
+SQL["region_sorted"] = f"""
+WITH r AS ({REG})
+SELECT period, type, row_number() OVER (ORDER BY period, type) AS position FROM r
+WHERE respondent = 'SWPP' AND type IN ('D', 'NG', 'TI')
+  AND period >= TIMESTAMP '2024-01-01 00:00:00' AND period < TIMESTAMP '2024-01-31 00:00:00'
+"""
+
 # ---------------------------------------------------------------- step 5: pages and chunks
 PAGES_CONV = """SELECT 'conv-' || CAST(conv_id AS VARCHAR) || '.pdf' AS source_pdf,
   CAST(turn + 1 AS INTEGER) AS page_number, text AS page_text FROM conversations"""
@@ -334,6 +410,30 @@ SELECT docs.source_pdf, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_new, 0) AS
 FROM docs LEFT JOIN per USING (source_pdf)
 """
 
+_BLANK = "(turn % 3 = 1 OR conv_id % 5 = 2)"
+PAGES_BLANK = PAGES_CONV.replace("text AS page_text", f"""CASE WHEN {_BLANK} AND turn % 2 = 0 THEN '' WHEN {_BLANK} THEN ' ' || chr(10) || chr(9) || ' '
+  ELSE text END AS page_text""")
+
+SQL["blank_page_chunks"] = f"""
+WITH {chunks_sql(PAGES_BLANK)}
+SELECT chunk_id, source_pdf, page_number, chunk_index, text FROM chunks
+"""
+
+SQL["ingest_totals"] = f"""
+WITH {chunks_sql(PAGES_BLANK)}
+SELECT (SELECT count(DISTINCT source_pdf) FROM pg) AS n_documents, count(*) AS n_chunks, count(*) AS n_embedded, CAST(0 AS BIGINT) AS n_skipped
+FROM chunks
+"""
+
+SQL["ingest_replay"] = f"""
+WITH {chunks_sql(PAGES_CONV)},
+h AS (SELECT count(*) AS half FROM chunks WHERE CAST(regexp_extract(source_pdf, '[0-9]+') AS BIGINT) % 2 = 0),
+a AS (SELECT count(*) AS n FROM chunks)
+SELECT CAST(0 AS BIGINT) AS batch_id, half AS n_chunks, half AS n_embedded, CAST(0 AS BIGINT) AS n_skipped,
+       half AS embedded_so_far, CAST(0 AS BIGINT) AS skipped_so_far FROM h
+UNION ALL SELECT 1, n, n - half, half, n, half FROM h, a
+"""
+
 # ---------------------------------------------------------------- step 7: retrieval
 SQL["topk_cosine"] = f"""
 WITH ex AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
@@ -363,7 +463,7 @@ def hashed_sql(src: str, id_col: str, text_col: str, name: str) -> str:
 
 HITS = f"""{chunks_sql(PAGES_DOC)},
 {hashed_sql('chunks', 'chunk_id', 'text', 'cv')},
-qsrc AS (SELECT item_id, text FROM benchmark),
+qsrc AS (SELECT item_id, CASE WHEN item_id % 10 = 3 THEN ' ' || chr(9) || ' ' ELSE text END AS text FROM benchmark),
 {hashed_sql('qsrc', 'item_id', 'text', 'qv')},
 dots AS (SELECT qv_v.id AS query_id, cv_v.id AS chunk_id, sum(CAST(qv_v.x AS DOUBLE) * CAST(cv_v.x AS DOUBLE)) AS d
          FROM qv_v JOIN cv_v ON qv_v.bucket = cv_v.bucket GROUP BY ALL),
@@ -390,7 +490,8 @@ def alias_sql(col: str) -> str:
 
 
 SQL["citation_alias"] = f"""
-WITH names AS (SELECT source_pdf FROM ({PAGES_CONV}) UNION SELECT source_pdf FROM ({PAGES_DOC})
+WITH names AS (SELECT source_pdf FROM ({PAGES_CONV})
+               UNION SELECT CASE WHEN doc_id % 11 = 3 THEN {pick(list(CITATION_ALIASES), 'doc_id')} ELSE 'doc-' || CAST(doc_id AS VARCHAR) || '.pdf' END FROM documents
                UNION SELECT source || '.pdf' FROM documents)
 SELECT source_pdf, {alias_sql('source_pdf')} AS alias FROM names
 """
@@ -423,23 +524,26 @@ WITH {HITS}, {_CTX}
 SELECT b.item_id AS query_id, b.text AS question, ctx.context IS NULL AS refused,
   CASE WHEN ctx.context IS NOT NULL THEN {prompt_sql('ctx.context', 'b.text')} END AS prompt,
   CASE WHEN ctx.context IS NULL THEN {q(REFUSAL)} END AS response
-FROM benchmark b LEFT JOIN ctx ON ctx.query_id = b.item_id
+FROM qsrc b LEFT JOIN ctx ON ctx.query_id = b.item_id
 """
 
+_TAIL = "[" + ", ".join(" || ".join(["''", *(f"chr({ord(c)})" for c in t)]) for t in R.ANSWER_TAILS) + f"][CAST(turn % {len(R.ANSWER_TAILS)} AS INTEGER) + 1]"
 _ANS = f"""ans AS (SELECT conv_id, turn,
-  CASE WHEN conv_id % 3 = 0 THEN text || ' [conv-' || CAST(conv_id AS VARCHAR) || ' p.' || CAST(turn + 1 AS VARCHAR) || ']'
-       WHEN conv_id % 3 = 1 THEN {q(REFUSAL)} ELSE text END AS answer
-  FROM conversations WHERE role = 'assistant')"""
+  CASE WHEN conv_id % 17 = 5 THEN NULL WHEN conv_id % 17 = 6 THEN {_TAIL}
+       WHEN conv_id % 3 = 0 THEN text || ' [conv-' || CAST(conv_id AS VARCHAR) || ' p.' || CAST(turn + 1 AS VARCHAR) || ']' || {_TAIL}
+       WHEN conv_id % 3 = 1 THEN {_TAIL} || {q(REFUSAL)} || {_TAIL} ELSE {_TAIL} || text END AS answer
+  FROM conversations WHERE role = 'assistant'),
+said AS (SELECT *, {strip_sql("coalesce(answer, '')")} AS words FROM ans)"""
 
 SQL["uncited_answers"] = f"""
 WITH {_ANS}
-SELECT conv_id, turn, answer FROM ans
-WHERE trim(answer) <> '' AND trim(answer) <> {q(REFUSAL)} AND NOT regexp_matches(trim(answer), {q(CITATION_PATTERN)})
+SELECT conv_id, turn, answer FROM said
+WHERE words <> '' AND words <> {q(REFUSAL)} AND NOT regexp_matches(words, {q(CITATION_PATTERN)})
 """
 
 SQL["refusals"] = f"""
 WITH {_ANS}
-SELECT conv_id, turn FROM ans WHERE trim(answer) = {q(REFUSAL)}
+SELECT conv_id, turn FROM said WHERE words = {q(REFUSAL)}
 """
 
 # ---------------------------------------------------------------- stream and SQL functions
@@ -491,9 +595,9 @@ sel AS (SELECT * FROM r WHERE respondent = 'SWPP' AND type IN ('D', 'NG', 'TI')
 per AS (SELECT type, {dsum()} AS total, count(*) AS n FROM sel GROUP BY type)
 SELECT 'SWPP' AS region, CAST(sum(n) OVER () AS BIGINT) AS rows, type, {case_map('type', SERIES_LABELS, 'type')} AS series,
   CAST(round(total, 1) AS DOUBLE) AS total_mwh,
-  CASE WHEN max(CASE WHEN type = 'TI' THEN total END) OVER () > 0 THEN {q(POSITION_EXPORTER)}
-       WHEN max(CASE WHEN type = 'TI' THEN total END) OVER () < 0 THEN {q(POSITION_IMPORTER)}
-       WHEN max(CASE WHEN type = 'TI' THEN total END) OVER () = 0 THEN {q(POSITION_BALANCED)} END AS position
+  CASE WHEN max(CASE WHEN type = 'TI' THEN round(total, 1) END) OVER () > 0 THEN {q(POSITION_EXPORTER)}
+       WHEN max(CASE WHEN type = 'TI' THEN round(total, 1) END) OVER () < 0 THEN {q(POSITION_IMPORTER)}
+       WHEN max(CASE WHEN type = 'TI' THEN round(total, 1) END) OVER () = 0 THEN {q(POSITION_BALANCED)} END AS position
 FROM per
 """
 

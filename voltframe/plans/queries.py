@@ -7,12 +7,13 @@ operator group of the inventory on them. Column names equal those of the oracle
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voltframe.constants import DEFAULT_K
+from voltframe.constants import DEFAULT_K, NOTE_NO_DATA_RETURNED, REGION_TYPES
 from voltframe.operators import chunks as CH
 from voltframe.operators import cite as CT
 from voltframe.operators import ingest as IN
@@ -23,7 +24,7 @@ from voltframe.operators.layout import spread
 from voltframe.operators import tools as TL
 from voltframe.plans import relations as R
 from voltframe.sources import facts as FA
-from voltframe.session import checkpoint_dir, materialize
+from voltframe.session import checkpoint_dir, materialize, scratch_path
 from voltframe.sources import landed_pages as LP
 from voltframe.sources import store as ST
 
@@ -138,7 +139,28 @@ def q_page_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("page_manifest")
 def q_page_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    return LP.page_manifest(landed(spark, sf), "respondent")
+    """Small pages, some of which never landed, against the list of requested regions."""
+    pages = materialize(R.partly_landed_pages(R.table(spark, sf, "events")), "landed-pages")
+    requests = spark.createDataFrame([(r,) for r in R.REQUESTED_REGIONS], "respondent string")
+    return LP.page_manifest(pages, "respondent", R.SMALL_PAGE, requests)
+
+
+def saved_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages saved one to a file, some badly, and read back from the files."""
+    path = scratch_path(spark, f"saved-pages-{uuid.uuid4().hex}")
+    LP.write_landed_pages(R.saved_pages(R.table(spark, sf, "events")), path, one_page_per_file=True)
+    return LP.read_landed_pages(spark, path, one_page_per_file=True)
+
+
+@register("page_file_parse")
+def q_page_file_parse(spark: SparkSession, sf: str) -> DataFrame:
+    good, _ = LP.parse_pages(saved_files(spark, sf), "generation")
+    return good
+
+
+@register("page_envelope_rejects")
+def q_page_envelope_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return LP.reject_pages(saved_files(spark, sf)).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("pages"))
 
 
 # ---------------------------------------------------------------- step 4: tools over requests
@@ -171,6 +193,69 @@ def q_tool_no_data(spark: SparkSession, sf: str) -> DataFrame:
     return TL.tool_no_data(parsed_requests(spark, sf), generation(spark, sf), region_facts(spark, sf))
 
 
+@register("tool_generation_agent")
+def q_tool_generation_agent(spark: SparkSession, sf: str) -> DataFrame:
+    """The agent's variant, without the period bounds."""
+    p = parsed_requests(spark, sf).where(F.col("tool") == TL.TOOL_GENERATION)
+    return TL.tool_generation(p, generation(spark, sf), bounds=False).withColumn("fuel_rank", F.col("fuel_rank").cast("long"))
+
+
+@register("dispatch_results")
+def q_dispatch_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Every request with its tool's answer as JSON, in the agent's form."""
+    requests = R.requests_from_customer(R.table(spark, sf, "customer"))
+    return TL.dispatch_results(requests, generation(spark, sf), region_facts(spark, sf))
+
+
+@register("dispatch_results_single_turn")
+def q_dispatch_results_single_turn(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in the single-turn tool's form: period bounds, and its own no-data note."""
+    requests = R.requests_from_customer(R.table(spark, sf, "customer"))
+    return TL.dispatch_results(requests, generation(spark, sf), region_facts(spark, sf), bounds=True, note=NOTE_NO_DATA_RETURNED)
+
+
+@register("summary_lines")
+def q_summary_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return S.summary_lines(generation(spark, sf))
+
+
+@register("facts_round_trip")
+def q_facts_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Generation facts written partitioned and read back with the declared schema."""
+    path = scratch_path(spark, f"facts-{uuid.uuid4().hex}")
+    FA.write_facts(generation(spark, sf), path)
+    return FA.read_facts(spark, path)
+
+
+def positions(ordered: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` and the 1-based ``position`` of each row of a globally sorted frame.
+
+    The rows of each sorted partition are counted and the counts summed up over the
+    partitions; no task sees all rows.
+    """
+    numbered = materialize(ordered.select(*columns, F.monotonically_increasing_id().alias("__id")), "positions")
+    part = numbered.withColumn("__part", F.shiftright("__id", 33))
+    counts = part.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # one row per partition
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return part.join(starts, "__part").select(
+        *columns, (F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("position"))
+
+
+@register("generation_sorted")
+def q_generation_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    """The frame order of generation facts: position by (period, fuel)."""
+    ordered = FA.select_range(generation(spark, sf), "CISO", "2024-01-03", "2024-01-09", sort=True)
+    return positions(ordered, ["period", "fueltype"])
+
+
+@register("region_sorted")
+def q_region_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    """The frame order of region facts: position by (period, type)."""
+    ordered = FA.select_range(region_facts(spark, sf), "SWPP", "2024-01-01", "2024-01-30", types=REGION_TYPES, sort=True)
+    return positions(ordered, ["period", "type"])
+
+
 # ---------------------------------------------------------------- step 5: pages and chunks
 def pages_conv(spark: SparkSession, sf: str) -> DataFrame:
     return R.pages_from_conversations(R.table(spark, sf, "conversations"))
@@ -234,6 +319,36 @@ def q_ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
     return IN.ingest_stats(pages_doc(spark, sf), chunks, earlier_store_ids(spark, sf, chunks))
 
 
+@register("blank_page_chunks")
+def q_blank_page_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of documents with blank pages between and after others, or with blank pages only."""
+    return CH.chunk_pages(R.blank_pages(R.table(spark, sf, "conversations")))
+
+
+def fresh_store(spark: SparkSession) -> str:
+    return scratch_path(spark, f"store-{uuid.uuid4().hex}")
+
+
+@register("ingest_totals")
+def q_ingest_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Grand totals of an ingest into a fresh store, blank documents included."""
+    return IN.ingest_totals(IN.ingest(R.blank_pages(R.table(spark, sf, "conversations")), fresh_store(spark)))
+
+
+@register("ingest_replay")
+def q_ingest_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """The log of three batches: half of the documents, the same batch replayed, and then all
+    documents with every page delivered twice."""
+    from voltframe.streaming.incremental import ingest_log
+
+    pages, store = pages_conv(spark, sf), fresh_store(spark)
+    half = R.pages_from_conversations(R.table(spark, sf, "conversations").where(F.col("conv_id") % 2 == 0))
+    IN.ingest(half, store, batch="0")
+    IN.ingest(half, store, batch="0")
+    IN.ingest(pages.unionByName(pages), store, batch="1")
+    return ingest_log(spark, store)
+
+
 # ---------------------------------------------------------------- step 7: retrieval
 @register("topk_cosine")
 def q_topk_cosine(spark: SparkSession, sf: str) -> DataFrame:
@@ -249,17 +364,14 @@ def doc_chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(IN.vectorize_chunks(CH.chunk_pages(pages_doc(spark, sf))), "doc-chunk-vectors")
 
 
-def question_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    qs = R.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return VZ.hash_vectors(qs, "query_id", "text")
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    return R.questions_from_benchmark(R.table(spark, sf, "benchmark"))
 
 
 def search(spark: SparkSession, sf: str) -> DataFrame:
     vecs = doc_chunk_vectors(spark, sf)
-    hits = RT.topk_cosine(vecs, question_vectors(spark, sf), k=DEFAULT_K, corpus_id="chunk_id")
-    # At most k hits per question: a proven bound for broadcasting the hits.
-    max_hits = DEFAULT_K * spark.read.parquet(os.path.join(sf, "benchmark.parquet")).count()
-    return RT.hits_with_metadata(hits, vecs, max_hits=max_hits)
+    asked = VZ.hash_vectors(questions(spark, sf), "query_id", "question")
+    return RT.hits_with_metadata(RT.topk_cosine(vecs, asked, k=DEFAULT_K, corpus_id="chunk_id"), vecs)
 
 
 @register("search_hits")
@@ -270,10 +382,11 @@ def q_search_hits(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- step 8: citations and answers
 @register("citation_alias")
 def q_citation_alias(spark: SparkSession, sf: str) -> DataFrame:
+    docs = R.table(spark, sf, "documents")
     names = (
         pages_conv(spark, sf).select("source_pdf")
-        .unionByName(pages_doc(spark, sf).select("source_pdf"))
-        .unionByName(R.table(spark, sf, "documents").select(F.concat("source", F.lit(".pdf")).alias("source_pdf")))
+        .unionByName(R.file_names(docs))
+        .unionByName(docs.select(F.concat("source", F.lit(".pdf")).alias("source_pdf")))
         .distinct()
     )
     return CT.with_alias(names)
@@ -286,8 +399,7 @@ def q_context_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("prompt_rows")
 def q_prompt_rows(spark: SparkSession, sf: str) -> DataFrame:
-    questions = R.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return CT.prompt_rows(questions, CT.context_blocks(search(spark, sf)))
+    return CT.prompt_rows(questions(spark, sf), CT.context_blocks(search(spark, sf)))
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
@@ -308,10 +420,6 @@ def q_refusals(spark: SparkSession, sf: str) -> DataFrame:
 @register("stream_ingest")
 def q_stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """The documents table ingested by a file stream (availableNow) into a fresh store."""
-    import os
-    import uuid
-
-    from voltframe.schema import PAGES  # noqa: F401
     from voltframe.streaming.incremental import ingest_stream
 
     base = os.path.join(checkpoint_dir(spark), "stream-ingest", uuid.uuid4().hex)

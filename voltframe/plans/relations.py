@@ -12,7 +12,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltframe.constants import REFUSAL, REGION_CODES, REGION_NAMES
+from voltframe.constants import CITATION_ALIASES, PAGE_LIMIT, REFUSAL, REGION_CODES, REGION_NAMES
 from voltframe.operators.layout import spread
 from voltframe.operators.ordinal import row_number_in_group
 
@@ -188,18 +188,49 @@ def pages_by_source(documents: DataFrame, bucket_width: int = 4096) -> DataFrame
     )
 
 
+# What stands around an answer, by turn modulo the length of the list.
+ANSWER_TAILS = ["", "\n", "\t", "\u00a0", " \n "]
+
+
 def answers_from_conversations(conversations: DataFrame) -> DataFrame:
-    """Model answers to check: assistant turns, some with a citation tag appended and
-    some replaced by the refusal sentence."""
+    """Model answers to check: assistant turns, some with a citation tag appended, some
+    replaced by the refusal sentence, some empty or missing, all with white space around."""
     tag = F.concat(F.lit(" [conv-"), F.col("conv_id").cast("string"), F.lit(" p."),
                    (F.col("turn") + 1).cast("string"), F.lit("]"))
     m = F.col("conv_id") % 3
-    text = F.when(m == 0, F.concat(F.col("text"), tag)).when(m == 1, F.lit(REFUSAL)).otherwise(F.col("text"))
+    tail = code_of(F.col("turn"), ANSWER_TAILS)
+    text = (
+        F.when(F.col("conv_id") % 17 == 5, F.lit(None).cast("string"))
+        .when(F.col("conv_id") % 17 == 6, tail)
+        .when(m == 0, F.concat(F.col("text"), tag, tail))
+        .when(m == 1, F.concat(tail, F.lit(REFUSAL), tail))
+        .otherwise(F.concat(tail, F.col("text")))
+    )
     return conversations.where(F.col("role") == "assistant").select(
         F.col("conv_id"), F.col("turn"), text.alias("answer")
     )
 
 
+def questions_from_benchmark(benchmark: DataFrame) -> DataFrame:
+    """Questions; one in ten is blank, so that nothing can be found for it."""
+    text = F.when(F.col("item_id") % 10 == 3, F.lit(" \t ")).otherwise(F.col("text"))
+    return benchmark.select(F.col("item_id").alias("query_id"), text.alias("question"))
+
+
+def blank_pages(conversations: DataFrame) -> DataFrame:
+    """Conversation pages of which every third is blank, and all of one document in five."""
+    blank = (F.col("turn") % 3 == 1) | (F.col("conv_id") % 5 == 2)
+    text = F.when(blank & (F.col("turn") % 2 == 0), F.lit("")).when(blank, F.lit(" \n\t ")).otherwise(F.col("text"))
+    return pages_from_conversations(conversations.withColumn("text", text))
+
+
+def file_names(documents: DataFrame) -> DataFrame:
+    """File names, some of them known ones that have a fixed citation label."""
+    known = list(CITATION_ALIASES)
+    name = F.when(F.col("doc_id") % 11 == 3, code_of(F.col("doc_id"), known)).otherwise(document_source(F.col("doc_id")))
+    return documents.select(name.alias("source_pdf"))
+
+
 # Landed-record variations, keyed by the ``k`` property of an event (0..99). They stand in
 # for what a real API feed carries: snake_case keys, NaN readings, units pasted into the
 # number, month-only periods and records without a respondent.
@@ -239,13 +270,52 @@ def raw_generation_records(events: DataFrame) -> DataFrame:
     return g.select("respondent", "period", "event_id", record.alias("record"))
 
 
-def landed_generation_pages(events: DataFrame) -> DataFrame:
-    """Pages of 5,000 records per region in (period, event_id) order."""
+# Events of one hour and region are numbered in blocks of ids, so that the numbering has as
+# many tasks as the data needs: the hours of the data are few whatever its size.
+EVENT_BLOCK = 4096
+
+
+def event_bucket() -> Column:
+    """Bucket of an event in (period, event_id) order: its hour and its block of ids."""
+    return F.struct(hour_number(F.col("period")).alias("hour"), F.floor(F.col("event_id") / EVENT_BLOCK).alias("block"))
+
+
+def landed_generation_pages(events: DataFrame, page_limit: int = PAGE_LIMIT) -> DataFrame:
+    """Pages of ``page_limit`` records per region in (period, event_id) order."""
     from voltframe.sources.landed_pages import land_pages
 
-    raw = raw_generation_records(events)
-    hour_bucket = hour_number(F.col("period"))
-    return land_pages(raw, "respondent", hour_bucket, ["period", "event_id"])
+    return land_pages(raw_generation_records(events), "respondent", event_bucket(), ["period", "event_id"], page_limit=page_limit)
+
+
+# Pages saved badly, by the page's number in its request modulo five.
+SMALL_PAGE = 200
+PAGE_CUT_OFF, PAGE_BAD_TOTAL, PAGE_NO_DATA = 1, 3, 4
+
+
+def saved_pages(events: DataFrame) -> DataFrame:
+    """Small pages as saved: bodies span two lines, and some are cut off, lack their data or
+    state a total that is no number."""
+    pages = landed_generation_pages(events, SMALL_PAGE)
+    m = F.floor(F.col("page_offset") / SMALL_PAGE) % 5
+    body = (
+        F.when(m == PAGE_CUT_OFF, F.expr("substring(body, 1, length(body) - 3)"))
+        .when(m == PAGE_BAD_TOTAL, F.regexp_replace("body", r'"total":"\d+"', '"total":"many"'))
+        .when(m == PAGE_NO_DATA, F.lit('{"response":{"total":"7"}}'))
+        .otherwise(F.col("body"))
+    )
+    return pages.withColumn("body", F.regexp_replace(body, r"^\{", "{\n"))
+
+
+# A fetch that lost some pages: no page of one region, and one page in four of the others.
+LOST_REGION, LOST_PAGE = "PJM", 2
+REQUESTED_REGIONS = [*REGION_CODES, "NONE"]
+
+
+def partly_landed_pages(events: DataFrame) -> DataFrame:
+    """Small pages less those that never landed."""
+    pages = landed_generation_pages(events, SMALL_PAGE)
+    number = F.floor(F.col("page_offset") / SMALL_PAGE)
+    return pages.where((F.col("respondent") != LOST_REGION) & ((number % 4 != LOST_PAGE) | (number == 0)))
 
 
 def raw_region_records(events: DataFrame) -> DataFrame:
@@ -282,6 +352,4 @@ def landed_region_pages(events: DataFrame) -> DataFrame:
     """Region-data pages (type facet D/NG/TI applied at the source), 5,000 records each."""
     from voltframe.sources.landed_pages import land_pages
 
-    raw = raw_region_records(events)
-    hour_bucket = hour_number(F.col("period"))
-    return land_pages(raw, "respondent", hour_bucket, ["period", "event_id"])
+    return land_pages(raw_region_records(events), "respondent", event_bucket(), ["period", "event_id"])

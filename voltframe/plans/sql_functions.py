@@ -4,13 +4,25 @@
 end)`` read the fact views given at registration. They suit ad-hoc SQL and a handful of
 requests; whole request tables should use :mod:`voltframe.operators.tools`, whose
 day-exploded equi-join scales where a correlated range filter per request would not.
+
+Both aggregate first and run their windows per region over the few rows that are left; no
+window is without a partition. The net position follows the total as reported (one
+decimal), like :func:`voltframe.operators.summaries.position`.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltframe.constants import NAME_TO_CODE, REGION_TYPES, SERIES_LABELS
+from voltframe.constants import (
+    NAME_TO_CODE,
+    POSITION_BALANCED,
+    POSITION_EXPORTER,
+    POSITION_IMPORTER,
+    REGION_TYPES,
+    SERIES_LABELS,
+    VALUE_DECIMAL,
+)
 from voltframe.operators.tools import TOOL_GENERATION, TOOL_INTERCHANGE
 
 
@@ -39,12 +51,12 @@ RETURNS TABLE (region STRING, rows BIGINT, period_start STRING, period_end STRIN
 RETURN
   WITH sel AS (SELECT * FROM __vf_generation_facts
                WHERE respondent = {_code(f'{g}.region')} AND {_range(g)}),
-  per AS (SELECT type_name, coalesce(sum(CAST(value AS DECIMAL(28,6))), 0) AS total, count(*) AS n,
-                 min(period) AS lo, max(period) AS hi FROM sel GROUP BY type_name)
-  SELECT {_code(f'{g}.region')} AS region, sum(n) OVER () AS rows,
-         date_format(min(lo) OVER (), 'yyyy-MM-dd HH:mm:ss') AS period_start,
-         date_format(max(hi) OVER (), 'yyyy-MM-dd HH:mm:ss') AS period_end,
-         type_name, CAST(row_number() OVER (ORDER BY total DESC, type_name) AS INT) AS fuel_rank,
+  per AS (SELECT respondent, type_name, coalesce(sum(try_cast(value AS {VALUE_DECIMAL})), 0) AS total, count(*) AS n,
+                 min(period) AS lo, max(period) AS hi FROM sel GROUP BY respondent, type_name)
+  SELECT {_code(f'{g}.region')} AS region, sum(n) OVER (PARTITION BY respondent) AS rows,
+         date_format(min(lo) OVER (PARTITION BY respondent), 'yyyy-MM-dd HH:mm:ss') AS period_start,
+         date_format(max(hi) OVER (PARTITION BY respondent), 'yyyy-MM-dd HH:mm:ss') AS period_end,
+         type_name, CAST(row_number() OVER (PARTITION BY respondent ORDER BY total DESC, type_name) AS INT) AS fuel_rank,
          CAST(round(total, 1) AS DOUBLE) AS mwh
   FROM per
 """)
@@ -56,15 +68,17 @@ RETURNS TABLE (region STRING, rows BIGINT, type STRING, series STRING, total_mwh
 RETURN
   WITH sel AS (SELECT * FROM __vf_region_facts
                WHERE respondent = {_code(f'{i}.region')} AND type IN ({types}) AND {_range(i)}),
-  per AS (SELECT type, coalesce(sum(CAST(value AS DECIMAL(28,6))), 0) AS total, count(*) AS n
-          FROM sel GROUP BY type)
-  SELECT {_code(f'{i}.region')} AS region, sum(n) OVER () AS rows, type,
+  per AS (SELECT respondent, type, CAST(round(coalesce(sum(try_cast(value AS {VALUE_DECIMAL})), 0), 1) AS DOUBLE) AS total,
+                 count(*) AS n
+          FROM sel GROUP BY respondent, type),
+  pos AS (SELECT *, max(CASE WHEN type = 'TI' THEN total END) OVER (PARTITION BY respondent) AS ti,
+                 sum(n) OVER (PARTITION BY respondent) AS rows FROM per)
+  SELECT {_code(f'{i}.region')} AS region, rows, type,
          coalesce(try_element_at({_map_sql(SERIES_LABELS)}, type), type) AS series,
-         CAST(round(total, 1) AS DOUBLE) AS total_mwh,
-         CASE WHEN max(CASE WHEN type = 'TI' THEN total END) OVER () > 0 THEN 'net exporter'
-              WHEN max(CASE WHEN type = 'TI' THEN total END) OVER () < 0 THEN 'net importer'
-              WHEN max(CASE WHEN type = 'TI' THEN total END) OVER () = 0 THEN 'balanced' END AS position
-  FROM per
+         total AS total_mwh,
+         CASE WHEN ti > 0 THEN '{POSITION_EXPORTER}' WHEN ti < 0 THEN '{POSITION_IMPORTER}'
+              WHEN ti = 0 THEN '{POSITION_BALANCED}' END AS position
+  FROM pos
 """)
     return [g, i]
 

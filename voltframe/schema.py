@@ -56,14 +56,6 @@ def envelope(record: T.StructType) -> T.StructType:
     return T.StructType([T.StructField("response", inner)])
 
 
-REQUESTS = T.StructType(
-    [
-        T.StructField("request_id", T.LongType(), False),
-        T.StructField("tool", T.StringType(), True),
-        T.StructField("args", T.StringType(), True),
-    ]
-)
-
 PAGES = T.StructType(
     [
         T.StructField("source_pdf", T.StringType(), False),
@@ -85,15 +77,3 @@ CHUNKS = T.StructType(
 CHUNK_VECTORS = T.StructType(
     CHUNKS.fields + [T.StructField("embedding", T.ArrayType(T.FloatType(), False), False)]
 )
-
-HITS = T.StructType(
-    [
-        T.StructField("query_id", T.LongType(), False),
-        T.StructField("rank", T.IntegerType(), False),
-        T.StructField("chunk_id", T.StringType(), False),
-        T.StructField("chunk_text", T.StringType(), True),
-        T.StructField("source_pdf", T.StringType(), True),
-        T.StructField("page_number", T.IntegerType(), True),
-        T.StructField("similarity_score", T.DoubleType(), False),
-    ]
-)

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voltframe.constants import GENERATION_COLUMNS, REGION_COLUMNS, REGION_TYPES
 from voltframe.schema import GENERATION, REGION
@@ -54,13 +55,12 @@ def write_facts(facts: DataFrame, path: str, partition_overwrite: bool = True) -
     if facts.isEmpty():
         return False
     kind = "type" if "type" in facts.columns else "fueltype"
-    if partition_overwrite:
-        facts.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     (
         facts.withColumn("day", F.to_date("period"))
         .hint("rebalance", "respondent", "day")
         .sortWithinPartitions("period", kind)
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic" if partition_overwrite else "static")
         .partitionBy("respondent", "day")
         .parquet(path)
     )
@@ -68,8 +68,8 @@ def write_facts(facts: DataFrame, path: str, partition_overwrite: bool = True) -
 
 
 def read_facts(spark: SparkSession, path: str, kind: str = "generation") -> DataFrame:
-    """Read facts written by :func:`write_facts` with the declared schema."""
+    """Read facts written by :func:`write_facts` with the declared schema (partition values
+    are read as declared too, never inferred)."""
     schema = GENERATION if kind == "generation" else REGION
-    cols = [f.name for f in schema.fields]
-    df = spark.read.parquet(path)
-    return df.select(*[F.col(c).cast(schema[c].dataType) for c in cols])
+    declared = T.StructType([*schema.fields, T.StructField("day", T.DateType())])
+    return spark.read.schema(declared).parquet(path).select(*[f.name for f in schema.fields])

@@ -6,7 +6,9 @@ line), parsed with a declared schema (numbers and totals read as text so quoted
 unquoted numbers both work) and exploded into records. Record validation never raises
 by default: every record gets a ``reject_reason`` (NULL when good), and callers take the
 good side, the reject side, or ask for strict mode which fails the job on the first bad
-record like the source application's page validation.
+record like the source application's page validation. The same holds for pages: one whose
+envelope cannot be read (not JSON, no ``response``, ``total`` not an integer, ``data`` not
+a list of records) is a reject with its body, or an error in strict mode; no page vanishes.
 """
 
 from __future__ import annotations
@@ -16,11 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltframe.constants import GENERATION_COLUMNS, PAGE_LIMIT, REGION_COLUMNS
-from voltframe.functions.parse import number_is_bad, parse_number, parse_period, period_is_wellformed
+from voltframe.functions.parse import number_is_bad, number_is_out_of_range, parse_number, parse_period, period_is_wellformed
 from voltframe.operators.ordinal import numbered_with_group_sizes
 from voltframe.schema import RAW_GENERATION_RECORD, RAW_REGION_RECORD, envelope
 
 
+INTEGER = r"^\s*[+-]?\d+\s*$"
+
+
 # ----------------------------------------------------------------------------- landing
 def land_pages(
     records: DataFrame,
@@ -56,9 +61,13 @@ def land_pages(
     )
 
 
-def write_landed_pages(pages: DataFrame, path: str) -> None:
-    """Write pages as JSON lines (one page per line), replacing ``path``."""
-    pages.select("body").write.mode("overwrite").text(path)
+def write_landed_pages(pages: DataFrame, path: str, one_page_per_file: bool = False) -> None:
+    """Write pages as JSON lines (one page per line), or each page as a file of its own (its
+    body may then span lines), replacing ``path``."""
+    writer = pages.select("body").write.mode("overwrite")
+    if one_page_per_file:
+        writer = writer.option("maxRecordsPerFile", 1)
+    writer.text(path)
 
 
 def read_landed_pages(spark: SparkSession, path: str, one_page_per_file: bool = False) -> DataFrame:
@@ -67,24 +76,60 @@ def read_landed_pages(spark: SparkSession, path: str, one_page_per_file: bool =
     ``one_page_per_file`` reads each file whole (API responses saved as-is); otherwise
     every line is one page.
     """
-    reader = spark.read.option("wholetext", str(one_page_per_file).lower())
-    return reader.text(path).select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("body"))
+    return spark.read.text(path, wholetext=one_page_per_file).select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("body"))
 
 
 # ----------------------------------------------------------------------------- parsing
-def explode_envelope(pages: DataFrame, record_schema: T.StructType, keep: list[str] | None = None) -> DataFrame:
-    """Unwrap ``response``, coerce ``total`` to int, one row per record (``rec``)."""
-    keep = keep or []
-    env = F.from_json(F.col("body"), envelope(record_schema))
+def _page_reason(env: Column) -> Column:
+    """Why a page's envelope is unusable; NULL for a good page."""
+    response = env["response"]
     return (
-        pages.select(*keep, env.alias("__env"))
-        .select(
-            *keep,
-            F.col("__env.response.total").try_cast("int").alias("total"),
-            F.posexplode_outer("__env.response.data").alias("record_pos", "rec"),
-        )
-        .where(F.col("rec").isNotNull())
+        F.when(F.try_parse_json(F.col("body")).isNull(), F.lit("page: not JSON"))
+        .when(response.isNull(), F.lit("page: response missing"))
+        .when(~F.coalesce(response["total"].rlike(INTEGER), F.lit(False)) | response["total"].try_cast("long").isNull(), F.lit("page: total not an integer"))
+        .when(response["data"].isNull(), F.lit("page: data not a list of records"))
+    )
+
+
+def read_envelopes(pages: DataFrame, record_schema: T.StructType, keep: list[str] | None = None) -> DataFrame:
+    """One row per page: ``keep, body, total, data, page_reason`` (NULL for a good page).
+
+    Decoded once: the columns come out of a one-element generator, so that filters on them
+    stay above it.
+    """
+    env = F.from_json(F.col("body"), envelope(record_schema))
+    decoded = pages.select(*(keep or []), "body", env.alias("__env")).select(
+        *(keep or []), "body",
+        F.inline_outer(F.array(F.struct(
+            F.col("__env.response.total").try_cast("long").alias("total"),
+            F.col("__env.response.data").alias("data"),
+            _page_reason(F.col("__env")).alias("page_reason"),
+        ))),
     )
+    return decoded
+
+
+def reject_pages(pages: DataFrame, record_schema: T.StructType = RAW_GENERATION_RECORD, keep: list[str] | None = None) -> DataFrame:
+    """Pages whose envelope is unusable: ``keep, body, reject_reason``."""
+    bad = read_envelopes(pages, record_schema, keep).where(F.col("page_reason").isNotNull())
+    return bad.select(*(keep or []), "body", F.col("page_reason").alias("reject_reason"))
+
+
+def explode_envelope(pages: DataFrame, record_schema: T.StructType, keep: list[str] | None = None, strict: bool = False) -> DataFrame:
+    """One row per record of the readable pages: ``keep, total, record_pos, rec``.
+
+    Unreadable pages are in :func:`reject_pages`; with ``strict`` they fail the job.
+    """
+    keep = keep or []
+    env = read_envelopes(pages, record_schema, keep)
+    data = F.col("data")
+    if strict:
+        fail = F.raise_error(F.concat(F.lit("invalid "), F.col("page_reason"))).cast(env.schema["data"].dataType)
+        data = F.when(F.col("page_reason").isNotNull(), fail).otherwise(data)
+    else:
+        data = F.when(F.col("page_reason").isNull(), data)
+    exploded = env.select(*keep, "total", F.posexplode_outer(data).alias("record_pos", "rec"))
+    return exploded.where(F.col("record_pos").isNotNull())  # a page without records
 
 
 def _either(a: str, b: str) -> Column:
@@ -94,6 +139,7 @@ def _either(a: str, b: str) -> Column:
 def _reason(kind_col: str) -> Column:
     period = F.col("rec.period")
     checks = [
+        (F.col("rec").isNull(), "record: not an object"),
         (period.isNull(), "period: missing"),
         (~period_is_wellformed(period) | parse_period(period).isNull(), "period: invalid"),
         (F.col("rec.respondent").isNull(), "respondent: missing"),
@@ -101,6 +147,7 @@ def _reason(kind_col: str) -> Column:
         (F.col(f"rec.{kind_col}").isNull(), f"{kind_col}: missing"),
         (_either("type-name", "type_name").isNull(), "type_name: missing"),
         (number_is_bad(F.col("rec.value")), "value: not a finite number"),
+        (number_is_out_of_range(F.col("rec.value")), "value: out of range"),
     ]
     expr = None
     for cond, text in reversed(checks):
@@ -135,12 +182,12 @@ def parse_pages(pages: DataFrame, kind: str = "generation", mode: str = "quarant
                 keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Landed pages -> (good typed facts, rejects).
 
-    ``mode="strict"`` makes the good side fail the job at the first bad record.
-    Rejects keep the raw record as JSON text plus the reason.
+    ``mode="strict"`` makes the good side fail the job at the first bad record or page.
+    Rejects keep the raw record (of an unreadable page: its body) plus the reason.
     """
     schema = RAW_GENERATION_RECORD if kind == "generation" else RAW_REGION_RECORD
     columns = GENERATION_COLUMNS if kind == "generation" else REGION_COLUMNS
-    checked = validate_records(explode_envelope(pages, schema, keep), kind, keep)
+    checked = validate_records(explode_envelope(pages, schema, keep, mode == "strict"), kind, keep)
     good = checked.where(F.col("reject_reason").isNull()).select(*(keep or []), *columns)
     if mode == "strict":
         # The guard sits inside a kept column so column pruning cannot drop it.
@@ -156,25 +203,27 @@ def parse_pages(pages: DataFrame, kind: str = "generation", mode: str = "quarant
     rejects = checked.where(F.col("reject_reason").isNotNull()).select(
         *(keep or []), F.to_json("raw").alias("raw_record"), "reject_reason"
     )
-    return good, rejects
+    return good, rejects.unionByName(reject_pages(pages, schema, keep).withColumnRenamed("body", "raw_record"))
 
 
-def page_manifest(pages: DataFrame, key_col: str, page_limit: int = PAGE_LIMIT) -> DataFrame:
+def page_manifest(pages: DataFrame, key_col: str, page_limit: int = PAGE_LIMIT, requests: DataFrame | None = None) -> DataFrame:
     """Expected page offsets per request (``0`` plus ``range(limit, total, limit)``) against
     the pages actually landed: ``key, page_offset, expected_rows, landed, landed_rows``.
 
-    ``total`` is read from each landed page's envelope; a missing page shows
-    ``landed = false``.
+    ``total`` is read from the landed pages' envelopes and records are counted without
+    decoding them. ``requests`` lists the keys that were asked for: one of which no page
+    landed is expected to have its first page, of unknown size (``expected_rows`` NULL).
     """
-    env = F.from_json(F.col("body"), envelope(RAW_GENERATION_RECORD))
     landed = pages.select(
         key_col,
         "page_offset",
-        env["response"]["total"].try_cast("long").alias("total"),
-        F.size(env["response"]["data"]).alias("landed_rows"),
+        F.get_json_object("body", "$.response.total").try_cast("long").alias("total"),
+        F.json_array_length(F.get_json_object("body", "$.response.data")).cast("long").alias("landed_rows"),
     )
     totals = landed.groupBy(key_col).agg(F.max("total").alias("total"))
-    n_pages = F.greatest(F.lit(1), F.ceil(F.col("total") / page_limit))
+    if requests is not None:
+        totals = requests.select(key_col).distinct().join(totals, key_col, "left")
+    n_pages = F.greatest(F.lit(1), F.ceil(F.coalesce("total", F.lit(0)) / page_limit))
     expected = totals.select(
         key_col,
         "total",
@@ -182,8 +231,8 @@ def page_manifest(pages: DataFrame, key_col: str, page_limit: int = PAGE_LIMIT)
     ).select(
         key_col,
         (F.col("__p") * page_limit).cast("long").alias("page_offset"),
-        F.least(F.lit(page_limit), F.col("total") - F.col("__p") * page_limit).cast("long").alias("expected_rows"),
+        F.when(F.col("total").isNotNull(), F.least(F.lit(page_limit), F.col("total") - F.col("__p") * page_limit)).cast("long").alias("expected_rows"),
     )
-    return expected.join(landed.select(key_col, "page_offset", "landed_rows"), [key_col, "page_offset"], "left") \
-        .select(key_col, "page_offset", "expected_rows", F.col("landed_rows").isNotNull().alias("landed"),
-                F.col("landed_rows").cast("long").alias("landed_rows"))
+    seen = landed.select(key_col, "page_offset", "landed_rows", F.lit(True).alias("landed"))
+    return expected.join(seen, [key_col, "page_offset"], "left").select(
+        key_col, "page_offset", "expected_rows", F.coalesce("landed", F.lit(False)).alias("landed"), "landed_rows")

@@ -7,8 +7,6 @@ documents add new chunks and leave the old ones (nothing is pruned implicitly).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,28 +27,10 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHUNK_VECTORS).parquet(path)
 
 
-BROADCAST_ID_LIMIT = 1_000_000  # ~70 MB of hex ids
-
-
-def stored_ids_among(chunks: DataFrame, store: DataFrame, broadcast_limit: int | None = None) -> DataFrame:
-    """Stored ids, reduced to those that can match the batch when that is cheap.
-
-    With ``broadcast_limit`` and a batch whose distinct ids are counted at or below it,
-    the batch's ids are broadcast to semi-filter the store scan (only ``chunk_id`` is
-    read, nothing of the store is shuffled). Above the limit, or without one, all stored
-    ids are returned and the caller's join shuffles them.
-    """
-    ids = store.select("chunk_id")
-    if broadcast_limit is not None:
-        batch_ids = chunks.select("chunk_id").distinct()
-        if batch_ids.count() <= broadcast_limit:
-            ids = ids.join(F.broadcast(batch_ids), "chunk_id", "left_semi")
-    return ids
-
-
-def new_chunks(chunks: DataFrame, store: DataFrame, broadcast_limit: int | None = None) -> DataFrame:
-    """Chunks whose id is not stored yet (set difference on the key, a left-anti join)."""
-    return chunks.join(stored_ids_among(chunks, store, broadcast_limit), "chunk_id", "left_anti")
+def new_chunks(chunks: DataFrame, store: DataFrame) -> DataFrame:
+    """Chunks whose id is not stored yet (set difference on the key, a left-anti join whose
+    strategy is left to adaptive execution; only ``chunk_id`` is read from the store)."""
+    return chunks.join(store.select("chunk_id"), "chunk_id", "left_anti")
 
 
 def append_vectors(vectors: DataFrame, path: str) -> None:
@@ -61,7 +41,8 @@ def append_vectors(vectors: DataFrame, path: str) -> None:
 def list_documents(spark: SparkSession, directory: str, glob: str = "*.pdf") -> DataFrame:
     """Files matching ``glob`` directly in ``directory`` (non-recursive): ``path, source_pdf``.
 
-    Only file metadata is read (the content column is pruned). Raises when none match.
+    Only file metadata is read (the content column is pruned). Rows are in name order.
+    Raises when none match.
     """
     df = (
         spark.read.format("binaryFile")
@@ -72,8 +53,4 @@ def list_documents(spark: SparkSession, directory: str, glob: str = "*.pdf") ->
     )
     if df.isEmpty():
         raise FileNotFoundError(f"No {glob} files found in {directory}")
-    return df
-
-
-def store_path(base: str, name: str = "chunk_store") -> str:
-    return os.path.join(base, name)
+    return df.orderBy("source_pdf")

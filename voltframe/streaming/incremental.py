@@ -3,9 +3,9 @@
 New page files are picked up by a file-source stream; each micro-batch is ingested
 with :func:`voltframe.operators.ingest.ingest`, whose anti-join against the store makes a
 replayed batch a no-op, so the sink is idempotent under at-least-once delivery. The
-stream's checkpoint records which files were processed. Per-batch statistics are
-appended to ``<store>/_ingest_log`` with the batch id (running totals are a window over
-that log).
+stream's checkpoint records which files were processed. Per-batch statistics are written
+to ``<store>/_ingest_log`` under the batch id, once: a replayed batch keeps its first log
+(running totals are a window over that log).
 
 A document's pages must arrive in one file (as a document is ingested whole): the carry
 between pages is computed within a micro-batch.
@@ -13,13 +13,12 @@ between pages is computed within a micro-batch.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltframe.operators.ingest import ingest
+from voltframe.operators.ingest import STATS, ingest, log_path
 from voltframe.schema import PAGES
 
 
@@ -46,12 +45,10 @@ def ingest_stream(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     stream = reader.load(source_dir)
-    log_path = os.path.join(store_path, "_ingest_log")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         pages = to_pages(batch) if to_pages else batch
-        stats = ingest(pages, store_path)
-        stats.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(log_path)
+        ingest(pages, store_path, batch=str(batch_id))
 
     writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
@@ -65,11 +62,11 @@ def ingest_log(spark: SparkSession, store_path: str) -> DataFrame:
     """Per-batch, per-document statistics with running totals per batch order."""
     from pyspark.sql import Window
 
-    log = spark.read.parquet(os.path.join(store_path, "_ingest_log"))
-    per_batch = log.groupBy("batch_id").agg(
+    log = spark.read.schema(f"{STATS}, batch string").parquet(log_path(store_path))
+    per_batch = log.groupBy(F.col("batch").cast("long").alias("batch_id")).agg(
         F.sum("n_chunks").alias("n_chunks"), F.sum("n_new").alias("n_embedded"), F.sum("n_skipped").alias("n_skipped")
     )
-    w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)  # one row per batch
     return per_batch.select(
         "batch_id", "n_chunks", "n_embedded", "n_skipped",
         F.sum("n_embedded").over(w).alias("embedded_so_far"), F.sum("n_skipped").over(w).alias("skipped_so_far"),
