@@ -20,7 +20,6 @@ from voltframe.constants import (
     NOTE_NO_DATA,
     NOTE_NO_DATA_RETURNED,
     OVERLAP_TOKENS,
-    PAGE_LIMIT,
     POSITION_BALANCED,
     POSITION_EXPORTER,
     POSITION_IMPORTER,
