@@ -217,7 +217,7 @@ def near_links(distinct: DataFrame, radius: int, bucket_limit: int = BUCKET_LIMI
     ``distinct`` has one row per fingerprint: ``fp`` (long) and ``rep`` (long, not null).
     """
     parts = radius + 2
-    level, found = [(distinct, list(range(BITS)), 0)], []
+    found = []
     rows = distinct.select("fp", "rep", F.lit(0).alias("way"))
     ways = {0: list(range(BITS))}  # way -> the bits not yet in its key
     while True:
