@@ -52,8 +52,8 @@ from pyspark.sql import types as T
 from voltframe.session import materialize
 
 WINDOW = 35
-K = 8
-HOT_LIMIT = 4096
+K = 16  # longer than most lines that pages share, so that those do not draw windows together
+HOT_LIMIT = 20_000
 STEP_BYTES = 2_000_000  # text bytes cut together
 KEY = ["__k1", "__k2"]  # of the texts; elsewhere k1, k2
 
@@ -276,8 +276,12 @@ def hot_windows(texts: DataFrame, window: int, text_col: str = "text") -> DataFr
 
 
 def hot_spans(texts: DataFrame, window: int, text_col: str = "text") -> DataFrame:
-    """Spans of hot minimisers, by counting window digests with a map-side part."""
-    windows = materialize(hot_windows(texts, window, text_col).distinct(), "hot-windows")
+    """Spans of hot minimisers, by counting window digests with a map-side part.
+
+    A text that came from two tasks stands in two rows at least, so counting it twice finds
+    nothing that does not repeat.
+    """
+    windows = materialize(hot_windows(texts, window, text_col), "hot-windows")
     often = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where(F.col("n") > 1).select("w1", "w2")
     return windows.join(often, ["w1", "w2"], "left_semi").select("k1", "k2", "a", (F.col("a") + window).alias("b"))
 
