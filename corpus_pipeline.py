@@ -24,6 +24,12 @@ SHINGLE, RADIUS = 3, 2
 ORACLE_SQL = None
 
 
+def _as_before(result: DataFrame, docs: DataFrame) -> DataFrame:
+    """``result`` with the columns of ``docs`` in their order. A further column that is named
+    like one that a stage's operator adds is lost to the operator's own."""
+    return result.select(*[c for c in docs.columns if c in result.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject.
 
@@ -32,13 +38,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").select("doc_id", "quality")
     model = quality_model.fit(docs, labels.where(~quality_model.held_out("doc_id")))
     scored = quality_model.score(docs, model, score_col="__score")
-    return scored.where(F.col("__score") >= MIN_SCORE).select(*docs.columns)
+    return _as_before(scored.where(F.col("__score") >= MIN_SCORE), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand on many distinct sources; ``n_chars`` follows."""
-    cleaned = line_dedup.remove_boilerplate(docs)
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cleaned = line_dedup.remove_boilerplate(docs).drop("n_lines", "n_removed")
+    return _as_before(cleaned.withColumn("n_chars", F.length("text").cast("long")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +72,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix to the sources' target weights takes them."""
     sized = docs.withColumn("__size", mixing.word_count("text"))
-    return mixing.emit(mixing.mix(sized, "__size")).select(*docs.columns)
+    return _as_before(mixing.emit(mixing.mix(sized, "__size")), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
