@@ -36,6 +36,7 @@ import base64
 import hashlib
 import sys
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +47,13 @@ from pyspark.sql import types as T
 # Fixed value: the split pattern of the rank files, in which a blank belongs to what follows.
 BLANK_LED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-MEMO_PIECES = 400_000  # strings remembered, and as many of the time before
+MEMO_PIECES = 300_000  # strings remembered, and as many of the time before
 MAX_VOCAB_BYTES = 64 * 1024 * 1024
 ROWS_PER_QUERY = 4_000_000  # token-position rows that one recursive query may hold
 WORDS_PER_QUERY = 20_000
 LONG_PIECE = 64  # characters; longer pieces are contracted alone, all equal pairs of a round at once
 BYTES_PER_STEP = 4_000_000  # text bytes of a batch that are encoded and decoded together
-DUCK_MEMORY = "300MB"
+DUCK_MEMORY = "250MB"
 
 # One contraction per word and round. Every row knows its right neighbour, so a round is
 # hash joins only: ``npos``/``ntok`` are the position and token to the right (-1: none).
@@ -61,12 +62,13 @@ WITH RECURSIVE state(round, w, pos, tok, npos, ntok) AS (
     SELECT 0, w, pos, tok, npos, ntok FROM piece_tokens
   UNION ALL
     (WITH ranked AS (
-        SELECT s.w, s.pos, s.npos, m.merged FROM state s JOIN merges m ON m.l = s.tok AND m.r = s.ntok),
+        SELECT s.w, s.npos, m.merged * 4294967296 + s.pos AS place
+        FROM state s JOIN merges m ON m.pair = s.tok * 4294967296 + s.ntok),
     best AS (
-        SELECT w, min(merged::BIGINT * 4294967296 + pos) AS k FROM ranked GROUP BY w),
+        SELECT w, min(place) AS place, arg_min(npos, place) AS npos FROM ranked GROUP BY w),
     taken AS (
-        SELECT r.w, r.pos, r.npos, r.merged, n.npos AS after, n.ntok AS after_tok
-        FROM best b JOIN ranked r ON r.w = b.w AND r.pos = b.k % 4294967296 JOIN state n ON n.pos = r.npos)
+        SELECT b.w, b.place % 4294967296 AS pos, b.place // 4294967296 AS merged, b.npos, n.npos AS after, n.ntok AS after_tok
+        FROM best b JOIN state n ON n.pos = b.npos)
     SELECT s.round + 1, s.w, s.pos,
            CASE WHEN s.pos = t.pos THEN t.merged ELSE s.tok END,
            CASE WHEN s.pos = t.pos THEN t.after ELSE s.npos END,
@@ -76,7 +78,6 @@ WITH RECURSIVE state(round, w, pos, tok, npos, ntok) AS (
 )
 SELECT s.w, s.pos, s.tok, s.round = $rounds AS open
 FROM state s JOIN (SELECT w, max(round) AS round FROM state GROUP BY w) USING (w, round)
-ORDER BY s.pos
 """
 
 # All equal pairs of a word in one round (see the module's text), for long pieces.
@@ -88,7 +89,7 @@ WITH RECURSIVE state(round, w, pos, tok) AS (
         SELECT round, w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS next_tok FROM state),
     ranked AS (
         SELECT p.*, m.merged, m.solo, min(m.merged) OVER (PARTITION BY p.w) AS best
-        FROM pairs p LEFT JOIN merges m ON m.l = p.tok AND m.r = p.next_tok),
+        FROM pairs p LEFT JOIN merges m ON m.pair = p.tok * 4294967296 + p.next_tok),
     live AS (
         SELECT *, coalesce(merged = best, false) AS hit, row_number() OVER (PARTITION BY w ORDER BY pos) AS i
         FROM ranked WHERE best IS NOT NULL),
@@ -105,11 +106,10 @@ WITH RECURSIVE state(round, w, pos, tok) AS (
 )
 SELECT s.w, s.pos, s.tok, s.round = $rounds AS open
 FROM state s JOIN (SELECT w, max(round) AS round FROM state GROUP BY w) USING (w, round)
-ORDER BY s.pos
 """
 
 _DECODE = """
-SELECT i.doc, string_agg(v.hex, '' ORDER BY i.pos) AS hex
+SELECT i.doc, array_to_string(list(v.chars ORDER BY i.pos), '') AS chars
 FROM ids i JOIN vocab v ON v.id = i.id GROUP BY i.doc
 """
 
@@ -154,15 +154,16 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.duck = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCK_MEMORY})
         left, right, merged, solo = _merge_rows(self.ranks)
-        rows = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()),
-                         "merged": pa.array(merged, pa.int32()), "solo": pa.array(solo, pa.bool_())})
+        pair = np.array(left, dtype=np.int64) * 2**32 + np.array(right, dtype=np.int64)
+        rows = pa.table({"pair": pair, "merged": pa.array(merged, pa.int64()), "solo": pa.array(solo, pa.bool_())})
+        # A token's bytes as characters of the same numbers: DuckDB then concatenates text.
         words = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()),
-                          "hex": pa.array([t.hex() for t in self.ranks])})
+                          "chars": pa.array([t.decode("latin-1") for t in self.ranks])})
         for name, table in (("merges", rows), ("vocab", words)):
             self.duck.register("incoming", table)
             self.duck.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
             self.duck.unregister("incoming")
-        self.names = {i: str(i) for i in self.ranks.values()}
+        self.names = [b"%d" % i for i in range(max(self.ranks.values(), default=-1) + 1)]
         self.byte_ids = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
         # Texts that must not be cut before blanks: all of them under any other pattern.
         self.whole = regex.compile(r"\s (?:\s|$)" if pattern == BLANK_LED_PATTERN else "").search
@@ -187,25 +188,24 @@ class Codec:
             else:
                 first, *rest = t.split(" ")
                 parts.append(([first] if first else []) + [" " + x for x in rest])
-        self._learn({c for doc in parts for c in doc})
+        self._learn(set(chain.from_iterable(parts)))
         return [np.frombuffer(b"".join(map(self.memo.__getitem__, doc)), dtype=np.int32) for doc in parts]
 
-    def _missing(self, strings: Iterable[str]) -> list[str]:
+    def _missing(self, strings: set[str]) -> list[str]:
         """Those not remembered; what only the older half of the memo holds moves up."""
         out = []
-        for s in strings:
-            if s not in self.memo:
-                ids = self.older.get(s)
-                if ids is None:
-                    out.append(s)
-                else:
-                    self.memo[s] = ids
+        for s in strings.difference(self.memo):
+            ids = self.older.get(s)
+            if ids is None:
+                out.append(s)
+            else:
+                self.memo[s] = ids
         return out
 
-    def _learn(self, chunks: Iterable[str]) -> None:
+    def _learn(self, chunks: set[str]) -> None:
         chunks = self._missing(chunks)
         split = [self.split(c) for c in chunks]
-        new = self._missing({p for doc in split for p in doc})
+        new = self._missing(set(chain.from_iterable(split)))
         short = [p for p in new if len(p) <= LONG_PIECE]
         for at in range(0, len(short), WORDS_PER_QUERY):
             self._learn_pieces(short[at:at + WORDS_PER_QUERY], self._one)
@@ -241,22 +241,23 @@ class Codec:
             ends = np.append(cuts[1:], len(words)) * 4
             for i, start, end in zip(words[cuts].tolist(), (cuts * 4).tolist(), ends.tolist()):
                 self.memo[todo[i][0]] = ids[start:end]
-            w, pos, tok = (out[k][out["open"]] for k in ("w", "pos", "tok"))
+            w, pos, tok = (out[k][out["open"]].astype(np.int32) for k in ("w", "pos", "tok"))
 
     def _one(self, w, pos, tok, rounds):
         same = np.append(w[1:] == w[:-1], False)
         right = {"npos": np.where(same, np.append(pos[1:], -1), -1).astype(np.int32),
-                 "ntok": np.where(same, np.append(tok[1:], -1), -1).astype(np.int32)}
-        return self._query(_CONTRACT_ONE, {"w": w, "pos": pos, "tok": tok} | right, rounds)
+                 "ntok": np.where(same, np.append(tok[1:], -1), -1).astype(np.int64)}
+        return self._query(_CONTRACT_ONE, {"w": w, "pos": pos.astype(np.int64), "tok": tok.astype(np.int64)} | right, rounds)
 
     def _runs(self, w, pos, tok, rounds):
-        return self._query(_CONTRACT_RUNS, {"w": w, "pos": pos, "tok": tok}, rounds)
+        return self._query(_CONTRACT_RUNS, {"w": w, "pos": pos, "tok": tok.astype(np.int64)}, rounds)
 
     def _query(self, sql: str, rows: dict, rounds: int):
         self.duck.register("piece_tokens", pa.table(rows))
         out = self.duck.execute(sql, {"rounds": rounds}).fetchnumpy()
         self.duck.unregister("piece_tokens")
-        return {k: np.asarray(v) for k, v in out.items()}
+        order = np.argsort(out["pos"], kind="stable")
+        return {k: np.asarray(v)[order] for k, v in out.items()}
 
     def decode_batch(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of every id sequence."""
@@ -269,7 +270,7 @@ class Codec:
         if missing:
             raise ValueError(f"{missing} ids are not in the vocabulary")
         for doc, text in self.duck.execute(_DECODE).fetchall():
-            out[doc] = bytes.fromhex(text)
+            out[doc] = text.encode("latin-1")
         self.duck.unregister("ids")
         return out
 
@@ -363,7 +364,7 @@ def round_trip(df: DataFrame, vocabulary: bytes, pattern: str, text_col: str = "
             back = codec.decode_batch(ids)
             yield part, [
                 pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(" ".join(map(codec.names.__getitem__, x.tolist())).encode()).hexdigest() for x in ids]),
+                pa.array([hashlib.sha256(b" ".join(map(codec.names.__getitem__, x.tolist()))).hexdigest() for x in ids]),
                 pa.array([hashlib.sha256(b).hexdigest() for b in back]),
             ] + ([_ids_array(ids)] if keep_ids else [])
 
