@@ -3,7 +3,7 @@
 1. Vectors that are equal component by component become one row with a count, so a group
    of exact copies costs one row whatever its size.
 2. Unit centroids are fitted on a bounded sample (``sample_per_cell`` vectors for each
-   cell, at most ``MAX_CELLS`` cells); the number of cells grows with the number of
+   cell, at most ``MAX_CELLS`` cells and ``MAX_SAMPLE_VALUES`` numbers); the number of cells grows with the number of
    vectors up to that bound. Every vector is assigned, not only the sample.
 3. A vector's home is its nearest cell. It also visits every cell whose boundary with the
    home cell it lies close to: the distance to the bisecting plane is at most ``visit``.
@@ -43,6 +43,7 @@ from voltframe.session import materialize
 MAX_CELLS = 4096
 ROWS_PER_CELL = 256
 SAMPLE_PER_CELL = 16
+MAX_SAMPLE_VALUES = 4_000_000  # numbers of the sample that the driver fits the cells on
 VISIT = 0.1
 BLOCK_ROWS = 8192
 STEP_PRODUCTS = 4_000_000  # cosines held at once
@@ -71,17 +72,17 @@ def spherical_kmeans(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 11)
 
 def fit_cells(vectors: DataFrame, rows_per_cell: int = ROWS_PER_CELL, max_cells: int = MAX_CELLS,
               sample_per_cell: int = SAMPLE_PER_CELL) -> dict[int, np.ndarray]:
-    """Centroids by vector length, from a sample that ``max_cells * sample_per_cell`` bounds."""
-    n = vectors.count()
-    cells = max(1, min(max_cells, -(-n // rows_per_cell)))
-    rows = vectors.select("embedding").orderBy(F.xxhash64("embedding", F.lit(5))).limit(cells * sample_per_cell).collect()
-    by_dim: dict[int, list] = {}
-    for r in rows:
-        by_dim.setdefault(len(r[0]), []).append(r[0])
+    """Centroids by vector length, from a sample of at most ``max_cells * sample_per_cell``
+    vectors and ``MAX_SAMPLE_VALUES`` numbers."""
+    n, widest = vectors.agg(F.count(F.lit(1)), F.max("dim")).first()
+    cells = max(1, min(max_cells, -(-n // rows_per_cell), MAX_SAMPLE_VALUES // max(widest or 1, 1)))
+    rows = min(cells * sample_per_cell, max(1, MAX_SAMPLE_VALUES // max(widest or 1, 1)))
+    sample = vectors.select("dim", "embedding").orderBy(F.xxhash64("embedding", F.lit(5))).limit(rows).toArrow()
+    dims = np.asarray(sample.column("dim"))
     out = {}
-    for dim, own in by_dim.items():
-        x = _units(pa.array(own, pa.list_(pa.float64())), dim)
-        out[dim] = spherical_kmeans(x, max(1, cells * len(own) // len(rows)))
+    for dim in np.unique(dims).tolist():
+        own = sample.filter(pa.array(dims == dim)).column("embedding").combine_chunks()
+        out[dim] = spherical_kmeans(_units(own, dim), max(1, cells * len(own) // len(dims)))
     return out
 
 
