@@ -24,9 +24,10 @@ Steps and what moves:
    texts use one shuffle of them.
 
 Hot minimisers: one that occurs more than ``hot_limit`` times (a passage that a large part
-of the corpus shares) is not gathered in one bucket. Its windows are keyed one by one with
-a 128-bit digest and counted by an aggregation with a map-side part, which no key can make
-hot, and the repeated ones are joined back (adaptive execution splits that join).
+of the corpus shares) is not gathered in one bucket. Its packed strings are summed up by an
+aggregation with a map-side part, which no key can make hot; the distinct ones are cut into
+windows that are counted likewise by 128-bit digests, and the repeated ones are joined back
+(adaptive execution splits those joins).
 
 Text keys are two 64-bit hashes of the text. Words are maximal runs of characters other
 than blank, tab, line feed, vertical tab, form feed and carriage return, unchanged.
@@ -254,36 +255,57 @@ def bucket_spans(packed: DataFrame, window: int) -> DataFrame:
     return packed.repartition("mini").sortWithinPartitions("mini").mapInArrow(run, "k1 long, k2 long, a int, b int")
 
 
-def hot_windows(texts: DataFrame, window: int, text_col: str = "text") -> DataFrame:
-    """``w1, w2, k1, k2, a, weight``: the digest and place of each window of the runs."""
+def string_windows(strings: DataFrame, window: int) -> DataFrame:
+    """``s1, s2, n, weight, i, w1, w2`` of every window of ``strings`` (s1, s2, weight, packed): its
+    place in the string and its digest; ``n`` is the string's number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        names = ["w1", "w2", "k1", "k2", "a", "weight"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        for (k1, k2), weight, runs, words in _each_text(batches, text_col):
-            joined, starts, ends = _bounds(words)
-            rows = []
-            for r in runs:
-                for a in range(r["start"], r["start"] + r["n"]):
-                    digest = xxhash.xxh3_128_digest(joined[starts[a]:ends[a + window - 1]])
-                    rows.append((int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), k1, k2, a, weight))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        names = ["s1", "s2", "n", "weight", "i", "w1", "w2"]
+        for batch in batches:
+            for part in _slices(batch, "packed"):
+                at, i, n, digests = [], [], [], []
+                for row, packed in enumerate(part.column("packed").to_pylist()):
+                    joined, starts, ends = _bounds(packed.encode("utf-8").split(b" "))
+                    count = len(starts) - window + 1
+                    digests += [xxhash.xxh3_128_digest(joined[starts[j]:ends[j + window - 1]]) for j in range(count)]
+                    at += [row] * count
+                    i += range(count)
+                    n += [count] * count
+                halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+                own = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("s1").take(own), part.column("s2").take(own), pa.array(n, pa.int32()), part.column("weight").take(own),
+                     pa.array(i, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=names)
 
-    return texts.mapInArrow(run, "w1 long, w2 long, k1 long, k2 long, a int, weight long")
+    return strings.mapInArrow(run, "s1 long, s2 long, n int, weight long, i int, w1 long, w2 long")
 
 
 def hot_spans(texts: DataFrame, window: int, text_col: str = "text") -> DataFrame:
-    """Spans of hot minimisers, by counting window digests with a map-side part.
+    """Spans of hot minimisers.
+
+    Equal packed strings are summed up first, map-side, so what a large part of the corpus
+    shares is one row; only the distinct strings are cut into windows, whose digests are
+    counted by another such aggregation; the places found go back by the strings' keys.
 
     A text that came from two tasks stands in two rows at least, so counting it twice finds
     nothing that does not repeat.
     """
-    windows = materialize(hot_windows(texts, window, text_col), "hot-windows")
-    often = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where(F.col("n") > 1).select("w1", "w2")
-    return windows.join(often, ["w1", "w2"], "left_semi").select("k1", "k2", "a", (F.col("a") + window).alias("b"))
+    ids = {"s1": F.xxhash64("packed"), "s2": F.xxhash64(F.concat(F.lit("\n"), F.col("packed")))}
+    packed = materialize(pack(texts, window, text_col).drop("mini"), "hot-strings")
+    strings = packed.groupBy("packed").agg(F.sum("weight").alias("weight")).withColumns(ids)
+    windows = materialize(string_windows(strings.select("s1", "s2", "weight", "packed"), window), "hot-windows")
+    often = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("seen")).where(F.col("seen") > 1).select("w1", "w2")
+    places = windows.join(often, ["w1", "w2"], "left_semi").groupBy("s1", "s2", "n").agg(F.collect_list("i").alias("places"))
+    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") + window - 1).alias("b")))
+    each = F.transform("places", lambda i: F.struct(i.alias("a"), (i + window).alias("b")))
+    found = places.select("s1", "s2", F.when(F.size("places") == F.col("n"), whole).otherwise(each).alias("spans"))
+    return (
+        packed.withColumns(ids).select("s1", "s2", "k1", "k2", "start").join(found, ["s1", "s2"])
+        .select("k1", "k2", "start", F.inline("spans"))
+        .select("k1", "k2", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
+    )
 
 
 def without_spans(texts: DataFrame, text_col: str) -> DataFrame:
