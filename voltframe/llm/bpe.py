@@ -47,12 +47,12 @@ from pyspark.sql import types as T
 # Fixed value: the split pattern of the rank files, in which a blank belongs to what follows.
 BLANK_LED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-MEMO_PIECES = 300_000  # strings remembered, and as many of the time before
+MEMO_PIECES = 200_000  # strings remembered, and as many of the time before
 MAX_VOCAB_BYTES = 64 * 1024 * 1024
 ROWS_PER_QUERY = 4_000_000  # token-position rows that one recursive query may hold
 WORDS_PER_QUERY = 20_000
 LONG_PIECE = 64  # characters; longer pieces are contracted alone, all equal pairs of a round at once
-BYTES_PER_STEP = 4_000_000  # text bytes of a batch that are encoded and decoded together
+BYTES_PER_STEP = 2_000_000  # text bytes of a batch that are encoded and decoded together
 DUCK_MEMORY = "250MB"
 
 # One contraction per word and round. Every row knows its right neighbour, so a round is
@@ -313,6 +313,8 @@ def _mapped(df: DataFrame, drop: list[str], add: T.StructType, work) -> DataFram
             for part in work(batch):
                 piece, columns = part
                 yield pa.RecordBatch.from_arrays([piece.column(c) for c in names] + columns, names=names + add.names)
+            del batch
+            pa.default_memory_pool().release_unused()  # workers stay; a large batch's memory should not
 
     return df.mapInArrow(run, T.StructType(keep + list(add)))
 

@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 PASSAGE_WORDS = 128
 MAX_PASSAGES = 64
 HASHED = 32
-STEP_BYTES = 1_000_000  # text bytes encoded together
+STEP_BYTES = 250_000  # characters encoded together
 MAX_TRAINING_DOCS = 4000
 
 _CLASS = np.full(256, 8, dtype=np.int64)  # other punctuation
@@ -241,14 +241,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             at, texts, held = 0, [], 0
             for i in range(batch.num_rows + 1):
                 text = batch.column(text_col)[i].as_py() if i < batch.num_rows else None
-                if i == batch.num_rows or (texts and held + 4 * len(text or "") > 4 * STEP_BYTES):
+                if i == batch.num_rows or (texts and held + len(text or "") > STEP_BYTES):
                     if texts:
                         part = batch.slice(at, len(texts))
                         found = np.round(model.score(*encode_passages(texts)), 6)
                         yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(found, pa.float64())], names=[*names, score_col])
                     at, texts, held = i, [], 0
                 texts.append(text)
-                held += 4 * len(text or "")
+                held += len(text or "")
+            del batch
+            pa.default_memory_pool().release_unused()  # workers stay; a large batch's memory should not
 
     return docs.mapInArrow(run, T.StructType([*kept, T.StructField(score_col, T.DoubleType())]))
 

@@ -81,6 +81,8 @@ def with_fingerprints(docs: DataFrame, shingle: int, text_col: str = "text", out
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(text_col)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in names] + [pa.array(fps.view(np.int64))], names=[*names, out_col])
+            del batch
+            pa.default_memory_pool().release_unused()  # workers stay; a large batch's memory should not
 
     return docs.mapInArrow(run, T.StructType([*kept, T.StructField(out_col, T.LongType())]))
 
