@@ -54,7 +54,7 @@ from voltframe.session import materialize
 
 WINDOW = 35
 K = 16  # longer than most lines that pages share, so that those do not draw windows together
-HOT_LIMIT = 20_000
+HOT_LIMIT = 4_096
 STEP_BYTES = 2_000_000  # text bytes cut together
 KEY = ["__k1", "__k2"]  # of the texts; elsewhere k1, k2
 
