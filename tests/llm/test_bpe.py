@@ -50,13 +50,20 @@ def test_any_rank_order_short_and_long_pieces(seed, monkeypatch):
 
 
 def test_small_memory_bounds_change_nothing(monkeypatch):
-    for name, value in (("MEMO_PIECES", 3), ("ROWS_PER_QUERY", 10), ("WORDS_PER_QUERY", 2), ("BYTES_PER_STEP", 10)):
+    for name, value in (("MEMO_STRINGS", 3), ("ROWS_PER_QUERY", 10), ("WORDS_PER_QUERY", 2), ("BYTES_PER_STEP", 10)):
         monkeypatch.setattr(bpe, name, value)
     codec, encode = bpe.Codec(VOCABULARY, PATTERN), reference()
     for _ in range(2):
         assert [x.tolist() for x in codec.encode_batch(TEXTS[:8])] == [encode(t or "") for t in TEXTS[:8]]
 
 
+def test_long_strings_are_not_remembered():
+    codec, encode = bpe.Codec(VOCABULARY, PATTERN), reference()
+    texts = ["x" * 500 + " tail  two blanks " + "y" * 400, "z" * 300 + "," + "é" * 200, "a b " * 100]
+    assert [x.tolist() for x in codec.encode_batch(texts)] == [encode(t) for t in texts]
+    assert max(map(len, [*codec.led, *codec.bare])) <= bpe.LONG_PIECE
+
+
 def test_operators(spark):
     rows = [(i, t, "kept", 5) for i, t in enumerate(TEXTS)] + [(1, "again", None, 1), (1, "again", None, 1), (None, "x", None, 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens int")

@@ -17,7 +17,7 @@ That equals one contraction at a time unless joining the new token with a neighb
 outrank the pair itself; the few ids for which the vocabulary holds such an entry are
 marked ``solo`` and contracted one at a time.
 
-Memory: a worker remembers the ids of about twice ``MEMO_PIECES`` strings (bounded
+Memory: a worker remembers the ids of about twice ``MEMO_STRINGS`` strings (bounded
 memory only; a forgotten string is encoded again). A recursive query runs at most ``rounds``
 rounds, chosen from the number of rows, and the state it ends with starts the next one, so
 a text that is one single word of any length needs memory in proportion to its length.
@@ -47,12 +47,12 @@ from pyspark.sql import types as T
 # Fixed value: the split pattern of the rank files, in which a blank belongs to what follows.
 BLANK_LED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-MEMO_PIECES = 200_000  # strings remembered, and as many of the time before
+MEMO_STRINGS = 300_000  # strings remembered, and as many of the time before
 MAX_VOCAB_BYTES = 64 * 1024 * 1024
 ROWS_PER_QUERY = 4_000_000  # token-position rows that one recursive query may hold
 WORDS_PER_QUERY = 20_000
 LONG_PIECE = 64  # characters; longer pieces are contracted alone, all equal pairs of a round at once
-BYTES_PER_STEP = 2_000_000  # text bytes of a batch that are encoded and decoded together
+BYTES_PER_STEP = 3_000_000  # text bytes of a batch that are encoded and decoded together
 DUCK_MEMORY = "250MB"
 
 # One contraction per word and round. Every row knows its right neighbour, so a round is
@@ -167,70 +167,104 @@ class Codec:
         self.byte_ids = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
         # Texts that must not be cut before blanks: all of them under any other pattern.
         self.whole = regex.compile(r"\s (?:\s|$)" if pattern == BLANK_LED_PATTERN else "").search
-        self.memo: dict[str, bytes] = {}  # piece or blank-led part -> its ids as int32 bytes
-        self.older: dict[str, bytes] = {}
+        # Strings met -> their ids as int32 bytes: ``led`` has those that a blank leads, without
+        # the blank, ``bare`` the others.
+        self.led: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.long: list[tuple[dict[str, bytes], str]] = []
 
     def encode_batch(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Token ids of every text.
 
         Under the blank-led pattern a text is cut before each blank first, and the ids of a
         cut part are remembered: no match of that pattern goes over such a cut unless the
-        blank stands within a run of white space, and a text with such a run is not cut.
+        blank stands within a run of white space; a text with such a run is cut into the
+        pattern's matches instead.
         """
-        if len(self.memo) > MEMO_PIECES:
-            self.older, self.memo = self.memo, {}
-        parts = []
+        if len(self.led) + len(self.bare) > MEMO_STRINGS:
+            self.older, self.led, self.bare = (self.led, self.bare), {}, {}
+        heads, tails, seen = [], [], set()
         for t in texts:
             if not t:
-                parts.append([])
+                heads.append(())
+                tails.append(())
             elif self.whole(t):
-                parts.append([t])
+                heads.append(self.split(t))
+                tails.append(())
             else:
                 first, *rest = t.split(" ")
-                parts.append(([first] if first else []) + [" " + x for x in rest])
-        self._learn(set(chain.from_iterable(parts)))
-        return [np.frombuffer(b"".join(map(self.memo.__getitem__, doc)), dtype=np.int32) for doc in parts]
+                heads.append((first,) if first else ())
+                tails.append(rest)
+                seen.update(rest)
+        self._learn(seen, set(chain.from_iterable(heads)))
+        led, bare = self.led.__getitem__, self.bare.__getitem__
+        out = [np.frombuffer(b"".join(chain(map(bare, h), map(led, t))), dtype=np.int32) for h, t in zip(heads, tails)]
+        for memo, key in self.long:  # long strings are not worth remembering
+            memo.pop(key, None)
+        self.long = []
+        return out
 
-    def _missing(self, strings: set[str]) -> list[str]:
+    def _missing(self, strings: set[str], memo: dict[str, bytes], older: dict[str, bytes]) -> list[str]:
         """Those not remembered; what only the older half of the memo holds moves up."""
         out = []
-        for s in strings.difference(self.memo):
-            ids = self.older.get(s)
+        for s in strings.difference(memo):
+            ids = older.get(s)
             if ids is None:
                 out.append(s)
+                if len(s) > LONG_PIECE:
+                    self.long.append((memo, s))
             else:
-                self.memo[s] = ids
+                memo[s] = ids
         return out
 
-    def _learn(self, chunks: set[str]) -> None:
-        chunks = self._missing(chunks)
-        split = [self.split(c) for c in chunks]
-        new = self._missing(set(chain.from_iterable(split)))
-        short = [p for p in new if len(p) <= LONG_PIECE]
+    def _learn(self, led: set[str], bare: set[str]) -> None:
+        """Remember the ids of `` `` + each of ``led`` and of each of ``bare``."""
+        split = self.split
+        todo: list[tuple[dict[str, bytes], str, list[str]]] = []
+        pieces_led, pieces_bare = set(), set()
+        for key in self._missing(led, self.led, self.older[0]):
+            # A blank and letters are one match; anything else is left to the pattern.
+            if key.isascii() and key.isalpha():
+                pieces_led.add(key)
+                continue
+            todo.append((self.led, key, split(" " + key)))
+        todo += [(self.bare, key, split(key)) for key in self._missing(bare, self.bare, self.older[1])]
+        for _, _, pieces in todo:
+            for p in pieces:
+                if p[0] == " ":
+                    pieces_led.add(p[1:])
+                else:
+                    pieces_bare.add(p)
+        new = [(self.led, p, " " + p) for p in self._missing(pieces_led, self.led, self.older[0])]
+        new += [(self.bare, p, p) for p in self._missing(pieces_bare, self.bare, self.older[1])]
+        short = [x for x in new if len(x[2]) <= LONG_PIECE]
         for at in range(0, len(short), WORDS_PER_QUERY):
             self._learn_pieces(short[at:at + WORDS_PER_QUERY], self._one)
-        for p in new:
-            if len(p) > LONG_PIECE:
-                self._learn_pieces([p], self._runs)
-        ids = self.memo.__getitem__
-        self.memo.update((c, b"".join(map(ids, doc))) for c, doc in zip(chunks, split) if len(doc) > 1)
-
-    def _learn_pieces(self, pieces: list[str], contract) -> None:
+        for x in new:
+            if len(x[2]) > LONG_PIECE:
+                self._learn_pieces([x], self._runs)
+        ids = lambda p: self.led[p[1:]] if p[0] == " " else self.bare[p]
+        for memo, key, pieces in todo:
+            memo[key] = b"".join(map(ids, pieces))
+
+    def _learn_pieces(self, pieces: list[tuple[dict[str, bytes], str, str]], contract) -> None:
+        """Remember the ids of matches of the pattern, given as (memo, key, match)."""
         todo = []
-        for p in pieces:
+        for memo, key, p in pieces:
             data = p.encode("utf-8")
             whole = self.ranks.get(data)
             if whole is not None:
-                self.memo[p] = whole.to_bytes(4, sys.byteorder)
+                memo[key] = whole.to_bytes(4, sys.byteorder)
             else:
-                todo.append((p, data))
+                todo.append((memo, key, data))
         if not todo:
             return
-        data = np.frombuffer(b"".join(d for _, d in todo), dtype=np.uint8)
+        data = np.frombuffer(b"".join(d for _, _, d in todo), dtype=np.uint8)
         tok = self.byte_ids[data]
         if (tok < 0).any():
             raise ValueError("the vocabulary has no token for some byte")
-        w = np.repeat(np.arange(len(todo), dtype=np.int32), [len(d) for _, d in todo])
+        w = np.repeat(np.arange(len(todo), dtype=np.int32), [len(d) for _, _, d in todo])
         pos = np.arange(len(data), dtype=np.int32)
         while len(w):
             rounds = int(max(4, min(64, ROWS_PER_QUERY // len(w))))
@@ -240,7 +274,8 @@ class Codec:
             cuts = np.flatnonzero(np.diff(words, prepend=-1))
             ends = np.append(cuts[1:], len(words)) * 4
             for i, start, end in zip(words[cuts].tolist(), (cuts * 4).tolist(), ends.tolist()):
-                self.memo[todo[i][0]] = ids[start:end]
+                memo, key, _ = todo[i]
+                memo[key] = ids[start:end]
             w, pos, tok = (out[k][out["open"]].astype(np.int32) for k in ("w", "pos", "tok"))
 
     def _one(self, w, pos, tok, rounds):
