@@ -63,3 +63,20 @@ def test_many_cells_blocks_and_hot_groups(spark):
     assert got == want  # the exact margin finds every link
     found = sum(r[1] for r in result(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), rows_per_cell=32, block_rows=40))
     assert 0.99 <= found / sum(r[1] for r in want) <= 1
+
+
+def test_low_rank_and_clustered_vectors_lose_no_pair(spark):
+    """Pairs just above 0.9 among vectors that span few of their dimensions, or lie in clusters."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    flat = rng.normal(size=(500, 4))
+    clustered = rng.normal(size=(12, 24))[rng.integers(0, 12, 500)] + 0.35 * rng.normal(size=(500, 24))
+    for x in (unit(flat), unit(clustered)):
+        side = rng.normal(size=x.shape)
+        side = unit(side - (side * x).sum(1, keepdims=True) * x)
+        both = np.concatenate([x, 0.9005 * x + np.sqrt(1 - 0.9005**2) * side])
+        if x.shape[1] == 4:
+            both = both @ np.linalg.qr(rng.normal(size=(24, 24)))[0][:4]
+        rows = [(i, v.tolist()) for i, v in enumerate(both)]
+        vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert result(vectors, rows_per_cell=16) == brute(rows)

@@ -8,13 +8,15 @@
 3. A vector's home is its nearest cell. It also visits every cell whose boundary with the
    home cell it lies close to: the distance to the bisecting plane is at most ``visit``.
    For a pair at the threshold t on two sides of a plane, one of the two is within
-   sqrt(2 - 2t) / 2 of it (0.224 at 0.9), so ``visit`` at that value finds every pair; in
-   many dimensions such a pair's step is rarely straight across the plane. Measured on random
-   64-dimensional pairs at a cosine of exactly 0.9 (20,000 vectors, 50 to 800 cells), 0.07
-   finds 99.2 %, and the default of 0.1 finds 99.97 % or more (all from 0.92 on).
-4. A cell with more rows than ``block_rows`` is cut into blocks by a hash of the id, and
-   each pair of blocks is a task of its own, so no task holds a cell. Within a task one
-   matrix product gives the cosines of its rows at home with all others. Two vectors with the same home are compared there;
+   sqrt(2 - 2t) / 2 of it (0.224 at 0.9), so that margin, the default, finds every pair
+   whatever the vectors' distribution. A smaller ``visit`` costs less and loses pairs, the
+   more the fewer dimensions the vectors really span.
+   Neighbouring cells form regions of about ``block_rows`` vectors, and a vector travels
+   once to each region with a cell it visits, not to each cell: within a region all of its
+   rows at home meet anyway. From here on ``cell`` stands for the region.
+4. The rows at home in a region and its visitors are cut into blocks of ``block_rows`` by a
+   hash of the id, and each pair of blocks with rows at home is a task of its own, so no
+   task holds a region. Within a task one matrix product gives the cosines of its rows at home with all others. Two vectors with the same home are compared there;
    two with different homes where one visits the other's home, and counted in one cell
    only. What leaves a task is one count per vector and a spanning forest of its links.
 5. The forests become components, and a component's smallest id is its representative.
@@ -30,6 +32,7 @@ not linked. An empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +47,10 @@ MAX_CELLS = 4096
 ROWS_PER_CELL = 256
 SAMPLE_PER_CELL = 16
 MAX_SAMPLE_VALUES = 4_000_000  # numbers of the sample that the driver fits the cells on
-VISIT = 0.1
+ROUNDING = 1e-9  # of cosines, so that a pair at the very margin is found
 BLOCK_ROWS = 8192
 STEP_PRODUCTS = 4_000_000  # cosines held at once
+SENT_ROWS = 8192  # rows of one batch that leaves the assignment
 
 
 def _units(lists, dim: int) -> np.ndarray:
@@ -70,9 +74,15 @@ def spherical_kmeans(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 11)
     return centre
 
 
+def regions(centre: np.ndarray, rows: int, block_rows: int = BLOCK_ROWS) -> np.ndarray:
+    """The region of each cell: neighbouring centroids, about ``block_rows`` of ``rows`` vectors together."""
+    around = spherical_kmeans(centre, max(1, -(-rows // block_rows)))
+    return np.argmax(centre @ around.T, axis=1)
+
+
 def fit_cells(vectors: DataFrame, rows_per_cell: int = ROWS_PER_CELL, max_cells: int = MAX_CELLS,
-              sample_per_cell: int = SAMPLE_PER_CELL) -> dict[int, np.ndarray]:
-    """Centroids by vector length, from a sample of at most ``max_cells * sample_per_cell``
+              sample_per_cell: int = SAMPLE_PER_CELL, block_rows: int = BLOCK_ROWS) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Centroids and the regions they belong to by vector length, from a sample of at most ``max_cells * sample_per_cell``
     vectors and ``MAX_SAMPLE_VALUES`` numbers."""
     n, widest = vectors.agg(F.count(F.lit(1)), F.max("dim")).first()
     cells = max(1, min(max_cells, -(-n // rows_per_cell), MAX_SAMPLE_VALUES // max(widest or 1, 1)))
@@ -82,43 +92,55 @@ def fit_cells(vectors: DataFrame, rows_per_cell: int = ROWS_PER_CELL, max_cells:
     out = {}
     for dim in np.unique(dims).tolist():
         own = sample.filter(pa.array(dims == dim)).column("embedding").combine_chunks()
-        out[dim] = spherical_kmeans(_units(own, dim), max(1, cells * len(own) // len(dims)))
+        centre = spherical_kmeans(_units(own, dim), max(1, cells * len(own) // len(dims)))
+        out[dim] = centre, regions(centre, n * len(own) // len(dims), block_rows)
     return out
 
 
-def assign(vectors: DataFrame, centroids: dict[int, np.ndarray], visit: float = VISIT) -> DataFrame:
-    """Rows ``dim, cell, home, visits, rep, weight, embedding``: one for the home cell and one
-    for each cell visited. A length without centroids has one cell, -1."""
-    sent = vectors.sparkSession.sparkContext.broadcast(centroids)  # at most MAX_CELLS vectors
+def exact_visit(threshold: float) -> float:
+    """The least margin at which every pair with a cosine of ``threshold`` or more meets."""
+    return math.sqrt(max(2 - 2 * threshold, 0)) / 2
+
+
+def assign(vectors: DataFrame, fitted: dict[int, tuple[np.ndarray, np.ndarray]], visit: float) -> DataFrame:
+    """Rows ``dim, cell, home, visits, rep, weight, embedding``: one for the home region and
+    one for each region visited. A length without centroids has one region, -1."""
+    sent = vectors.sparkSession.sparkContext.broadcast(fitted)  # at most MAX_CELLS vectors
 
-    def placed(table: pa.RecordBatch, dim: int) -> pa.RecordBatch:
-        centre = sent.value.get(dim)
+    def placed(table: pa.RecordBatch, dim: int) -> Iterator[pa.RecordBatch]:
         n = table.num_rows
-        if centre is None:
+        if dim not in sent.value:
             home, who, cell = np.full(n, -1), np.arange(n), np.full(n, -1)
         else:
+            centre, region = sent.value[dim]
             near = _units(table.column("embedding"), dim) @ centre.T
-            home = near.argmax(axis=1)
-            apart = np.sqrt(np.maximum(2 - 2 * (centre[home] @ centre.T), 0))
-            inside = near[np.arange(n), home][:, None] - near <= visit * apart
-            inside[np.arange(n), home] = True
-            who, cell = np.nonzero(inside)
+            nearest = near.argmax(axis=1)
+            apart = np.sqrt(np.maximum(2 - 2 * (centre[nearest] @ centre.T), 0))
+            inside = near[np.arange(n), nearest][:, None] - near <= visit * apart + ROUNDING
+            home = region[nearest]
+            met = np.zeros((n, int(region.max()) + 1), dtype=bool)
+            for k in range(met.shape[1]):
+                met[:, k] = inside[:, region == k].any(axis=1)
+            met[np.arange(n), home] = True
+            who, cell = np.nonzero(met)
         ends = np.searchsorted(who, np.arange(n + 1))
         visits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cell, pa.int32()))
-        picked = pa.array(who)
-        return pa.RecordBatch.from_arrays(
-            [table.column("dim").take(picked), pa.array(cell, pa.int32()), pa.array(home[who], pa.int32()),
-             visits.take(picked), *(table.column(c).take(picked) for c in ("rep", "weight", "embedding"))],
-            names=["dim", "cell", "home", "visits", "rep", "weight", "embedding"])
+        for at in range(0, len(who), SENT_ROWS):
+            own = who[at:at + SENT_ROWS]
+            picked = pa.array(own)
+            yield pa.RecordBatch.from_arrays(
+                [table.column("dim").take(picked), pa.array(cell[at:at + SENT_ROWS], pa.int32()), pa.array(home[own], pa.int32()),
+                 visits.take(picked), *(table.column(c).take(picked) for c in ("rep", "weight", "embedding"))],
+                names=["dim", "cell", "home", "visits", "rep", "weight", "embedding"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = np.asarray(batch.column("dim"))
             for dim in np.unique(dims).tolist():
                 table = batch.filter(pa.array(dims == dim))
-                step = max(1, STEP_PRODUCTS // len(sent.value.get(dim, ())) if dim in sent.value else table.num_rows)
+                step = max(1, STEP_PRODUCTS // len(sent.value[dim][0]) if dim in sent.value else table.num_rows)
                 for at in range(0, table.num_rows, step):
-                    yield placed(table.slice(at, step), dim)
+                    yield from placed(table.slice(at, step), dim)
 
     kind = vectors.schema["embedding"].dataType.simpleString()
     return vectors.mapInArrow(run, f"dim int, cell int, home int, visits array<int>, rep long, weight long, embedding {kind}")
@@ -171,10 +193,13 @@ def _compare(x: pa.Table, threshold: float, same: bool) -> tuple[np.ndarray, np.
 
 def cell_links(assigned: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows ``edge, a, b``: an edge between ids, or (``edge`` false) an id and its links."""
-    place = ["dim", "cell"]
-    blocks = assigned.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"))
-    rows = assigned.join(blocks, place).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    place, at_home = ["dim", "cell"], F.col("home") == F.col("cell")
+    cut = lambda of: F.ceil(F.count(F.when(of, 1)) / F.lit(block_rows)).cast("int")
+    blocks = assigned.groupBy(*place).agg(cut(at_home).alias("own"), cut(~at_home).alias("guests")).where("own > 0")
+    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    rows = assigned.join(blocks, place).withColumn("block", F.when(at_home, part("own")).otherwise(F.col("own") + part("guests")))
+    # Blocks of visitors meet those of rows at home only.
+    others = F.sequence(F.lit(0), F.when(at_home, F.col("own") + F.col("guests")).otherwise(F.col("own")) - 1)
     tasks = rows.withColumn("other", F.explode(others)).select(
         *place, F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
         F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "home", "visits", "rep", "weight", "embedding")
@@ -188,8 +213,9 @@ def cell_links(assigned: DataFrame, threshold: float, block_rows: int = BLOCK_RO
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding",
-                    visit: float = VISIT, rows_per_cell: int = ROWS_PER_CELL, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``id_col, n_links, component_id, kept`` for every row of ``vectors``."""
+                    visit: float | None = None, rows_per_cell: int = ROWS_PER_CELL, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``id_col, n_links, component_id, kept`` for every row of ``vectors``; ``visit`` is
+    :func:`exact_visit` of the threshold unless given."""
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
     vec = F.col(vec_col)
     usable = F.coalesce(
@@ -206,7 +232,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     distinct = good.groupBy("k1", "k2").agg(
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("embedding").alias("embedding"))
     distinct = materialize(distinct.withColumn("dim", F.size("embedding")), "vector-classes")
-    assigned = assign(distinct.select("dim", "rep", "weight", "embedding"), fit_cells(distinct, rows_per_cell), visit)
+    assigned = assign(distinct.select("dim", "rep", "weight", "embedding"), fit_cells(distinct, rows_per_cell, block_rows=block_rows),
+                      exact_visit(threshold) if visit is None else visit)
     links = materialize(cell_links(materialize(assigned, "vector-cells"), threshold, block_rows), "vector-links")
 
     counts = links.where(~F.col("edge")).groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("others"))
