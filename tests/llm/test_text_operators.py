@@ -164,6 +164,26 @@ def test_random_strings_by_token_efficiency(spark):
     assert secrets_scan.scan(df.limit(0), VOCABULARY, public_tokenizers.PATTERN).count() == 0
 
 
+def test_secrets_joined_to_readable_names():
+    rng = np.random.default_rng(4)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    encode = secrets_scan._encoder(VOCABULARY, public_tokenizers.PATTERN)
+    for before, after in [("connection_authorization_header=", ""), ("config/production/credentials/", ""), ("client-authorization-", ""),
+                          ("session_cookie_value=", ""), ("", "_production_environment_variable"), ("deploy/client_authorization-", "=")]:
+        for n in (20, 24, 32, 40):
+            for _ in range(25):
+                secret = "".join(rng.choice(letters, n))
+                text = f"see {before}{secret}{after}, and more"
+                at = len("see " + before)
+                spans = secrets_scan.random_spans(text, [], encode)
+                assert any(a <= at and at + n <= b for _, a, b in spans), text
+    for secret in ("qZkVxLwTbRnYcQpMsDfG", "GvBqWzRtKxJpLmNcHdSf"):  # letters only
+        assert secrets_scan.random_spans(secret, [], encode) == [("random", 0, 20)]
+    for name in ("connection/authorization/header/value", "and/or/not/but/if/so/then", "a-b-c-d-e-f-g-h-i-j-k-l", "client_authorization_header=production_value",
+                 "=" * 40, "-" * 40, "client_authorization_header/deadbeef-e89b-12d3-a456-426614174000/production_environment"):
+        assert secrets_scan.random_spans(name, [], encode) == [], name
+
+
 # ------------------------------------------------------------------ HTML text
 PROSE = "The cat sat on the mat and it was the best of all the mats that were in the house at that time."
 

@@ -10,10 +10,15 @@ string takes many, because no merge was learned for it. Every run of ``MIN_RUN``
 characters of the base64 and identifier alphabets is encoded with a tiktoken vocabulary;
 fewer than ``max_ratio`` characters for a token expose it as random. Before that, runs
 are excluded that are digests of a known length (hex digits only), UUIDs, or identifiers:
-runs without both a letter and a digit, and names whose parts, cut at ``_``, ``-``, ``/``,
-``.`` and changes of case, are words with at most a short number at their end. Runs that
+runs without a letter, and names whose parts, cut at ``_``, ``-``, ``/``, ``+``, ``=`` and
+changes of case, are words with at most a short number at their end. Runs that
 touch a base span are not reported twice.
 
+A readable name before or after a secret (``session_cookie_value=...``) lowers the ratio of
+the whole run. A run that is not exposed as a whole is therefore cut at ``=``, then at
+``/``, then at ``_`` and ``-``: names at its ends and between its parts are left out, and
+the rest and its single parts are tested alike, as long as they have ``MIN_RUN`` characters.
+
 Documents are read as whole texts, one by one, in Arrow batches; the vocabulary goes out
 as a broadcast of its file's bytes (size checked in :mod:`voltframe.llm.bpe`). Nothing is
 shuffled and tasks hold no state.
@@ -46,8 +51,11 @@ _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 DIGEST_DIGITS = frozenset((32, 40, 48, 56, 64, 96, 128))
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
+_UUID_IN = re.compile(r"(?<![0-9a-zA-Z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-zA-Z])")
 _WORD_PART = re.compile(r"(?:[A-Z]?[a-z]{3,}|[A-Z]{2,})\d{0,4}|\d{1,4}|[a-z]{1,2}|[A-Z]")
 _CUT = re.compile(r"[_\-/+=]+")
+#: Parts of a run, level by level; the padding of a last part stays with it.
+_PARTS = (re.compile(r"[^=]+(?:=+\Z)?"), re.compile(r"[^/]+"), re.compile(r"[^_-]+"))
 
 Span = tuple[str, int, int]
 
@@ -64,23 +72,65 @@ def is_known(run: str) -> bool:
     """Whether a run is a digest of a known length or an identifier."""
     if _UUID.match(run) or (len(run) in DIGEST_DIGITS and _DIGEST.match(run)):
         return True
-    if not (re.search(r"[A-Za-z]", run) and re.search(r"[0-9]", run)):
+    if not re.search(r"[A-Za-z]", run):
         return True
-    # Names: at least three letters to each part on average, every part a word with a number.
+    return _is_name(run, short=not re.search(r"[0-9]", run))
+
+
+def _is_name(run: str, short: bool) -> bool:
+    """Whether every part of a run is made of words with numbers, with at least five
+    characters to each word on average; ``short``: or no part has more than one word."""
     parts = [p for p in _CUT.split(run) if p]
-    pieces = [x for p in parts for x in _WORD_PART.findall(p)]
-    return "".join(pieces) == "".join(parts) and len(pieces) * 5 <= len(run)
+    pieces = [_WORD_PART.findall(p) for p in parts]
+    # A long part must pass by itself: the other parts' words do not make up for it.
+    if any("".join(x) != p or (len(p) >= MIN_RUN and len(x) * 5 > len(p)) for x, p in zip(pieces, parts)):
+        return False
+    return sum(map(len, pieces)) * 5 <= len(run) or (short and all(len(x) == 1 for x in pieces))
+
+
+def _exposed(text: str, start: int, end: int, encode, max_ratio: float, level: int = 0) -> list[tuple[int, int]]:
+    """The run, or the parts of it, that the vocabulary needs many tokens for."""
+    run = text[start:end]
+    if len(run) < MIN_RUN or is_known(run):
+        return []
+    if len(run) < max_ratio * len(encode(run)):
+        return [(start, end)]
+    again = lambda spans, k: [x for a, b in spans for x in _exposed(text, start + a, start + b, encode, max_ratio, k)]
+    known = _UUID_IN.search(run)
+    if known:
+        return again([(0, known.start()), (known.end(), len(run))], level)
+    for k in range(level, len(_PARTS)):
+        parts = [m.span() for m in _PARTS[k].finditer(run)]
+        rest: list[list[tuple[int, int]]] = [[]]  # stretches of parts between names
+        for a, b in parts:
+            if _is_name(run[a:b], short=True):
+                rest.append([])
+            else:
+                rest[-1].append((a, b))
+        rest = [x for x in rest if x]
+        if not rest:
+            return []
+        first, last = rest[0][0][0], rest[-1][-1][1]
+        if first > 0 or last < len(run):
+            found = again([(first, last)], k)  # without the names at its ends
+        elif len(rest) > 1:
+            found = again([(x[0][0], x[-1][1]) for x in rest], k)
+        elif len(parts) > 1:
+            found = again(parts, k + 1)
+        else:
+            continue
+        return found
+    return []
 
 
 def random_spans(text: str, taken: list[Span], encode, max_ratio: float = MAX_RATIO) -> list[Span]:
-    """Runs that the vocabulary needs many tokens for."""
+    """Runs, and parts of runs, that the vocabulary needs many tokens for."""
     found = []
     for m in _RUN.finditer(text):
         start, end = m.span()
-        if any(a < end and start < b for _, a, b in taken) or is_known(m.group()):
+        if any(a < end and start < b for _, a, b in taken):
             continue
-        if end - start < max_ratio * len(encode(m.group())):
-            found.append(("random", start, end))
+        found += [("random", a, b) for a, b in _exposed(text, start, end, encode, max_ratio)]
     return found
 
 
