@@ -202,6 +202,26 @@ def test_main_text(html, text):
     assert html_text.main_text(html)[0] == text
 
 
+RUSSIAN = "Вчера вечером над городом прошла сильная гроза, и несколько улиц в старом районе остались без света до самого утра."
+POLISH = "Wczoraj wieczorem nad miastem przeszła gwałtowna burza, a kilka ulic w starej dzielnicy zostało bez prądu aż do rana."
+CHINESE = "昨天晚上一场强雷雨袭击了这座城市，老城区的几条街道直到早晨都没有电。" * 4
+LINKS = "<div><a href=1>Start</a> <a href=2>Archiv</a> <a href=3>Kontakt und noch ein Link, der einen langen Namen hat, wie es in Menüs vorkommt</a></div>"
+
+
+@pytest.mark.parametrize("html,text", [
+    (f"{LINKS}<div><p>Заголовок</p><p>{RUSSIAN}</p><p>{RUSSIAN}</p></div>{LINKS}", f"Заголовок {RUSSIAN} {RUSSIAN}"),
+    (f"{LINKS}<div>{POLISH}</div><div>{POLISH}</div>{LINKS}", f"{POLISH} {POLISH}"),
+    (f"{LINKS}<p>{CHINESE}</p><p>{CHINESE}</p>", f"{CHINESE} {CHINESE}"),
+    (f"{LINKS}<pre>{'x[i] = f(y[i]); ' * 20}</pre>{LINKS}", ("x[i] = f(y[i]); " * 20).strip()),
+    (f"{LINKS}<table><tr><td>Peter<td>12<tr><td>Anna<td>15</table>{LINKS}", "Peter 12 Anna 15"),
+    (f"<p>{RUSSIAN * 3}</p><p>{PROSE}</p>", f"{RUSSIAN * 3} {PROSE}"),  # one English notice does not decide
+    (f"<p>{PROSE * 3}</p><p>{'spam casino poker ' * 9}</p>", PROSE * 3),  # the stop words fit this page
+    (f"{LINKS}", ""),
+])
+def test_pages_that_the_stop_words_do_not_fit(html, text):
+    assert html_text.main_text(html)[0] == text
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF01}/pages.parquet")
     got = {r.page_id: r for r in html_text.extract(clashing(pages, ["n_chars", "n_blocks"])).collect()}

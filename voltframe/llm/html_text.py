@@ -10,8 +10,13 @@ words is good; one of middle length with some stop words is good too; a short on
 undecided. Outside the article zone a long block with hardly any stop word is bad; inside
 it is undecided, since lists, code and junk prose have none.
 
+The stop words are of four languages. If a page has no article zone and less than half of
+its long text with few links reaches the lower density, or if no block of it is good, they do not fit the page (another
+language, code, tables, lists), and length and links alone decide: a long block with few
+links is good, and so is a short one if the page has no long one.
+
 Second pass: undecided blocks take the label of their nearest decided neighbour; a tie
-goes to good inside the article zone and to bad outside. Without any decided neighbour a
+goes to good inside the article zone and where length and links decide, and to bad outside. Without any decided neighbour a
 block of the article zone is good, and so is one of a page that has no such zone. If a
 page has an article zone with text, blocks outside it are bad.
 
@@ -193,15 +198,22 @@ def page_blocks(html: str | None) -> list[tuple[str, int, bool]]:
     return parser.blocks
 
 
+def _linked(text: str, link_chars: int, inside: bool) -> bool:
+    return link_chars > (LINKS_INSIDE if inside else LINKS_OUTSIDE) * (len(text) - text.count(" "))
+
+
+def _stops(text: str) -> float:
+    words = _WORDS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+
+
 def first_pass(text: str, link_chars: int, inside: bool) -> int | None:
     """Label of one block by length, link density and stop-word density."""
-    solid = len(text) - text.count(" ")
-    if link_chars > (LINKS_INSIDE if inside else LINKS_OUTSIDE) * solid:
+    if _linked(text, link_chars, inside):
         return BAD
     if len(text) < LENGTH_LOW:
         return UNDECIDED
-    words = _WORDS.findall(text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+    stops = _stops(text)
     if stops >= STOP_HIGH or (stops >= STOP_LOW and len(text) <= LENGTH_HIGH) or (inside and stops >= STOP_LOW):
         return GOOD
     if inside or stops >= STOP_LOW:
@@ -209,7 +221,18 @@ def first_pass(text: str, link_chars: int, inside: bool) -> int | None:
     return BAD
 
 
-def second_pass(labels: list[int | None], inside: bool) -> list[int]:
+def _by_length(blocks: list[tuple[str, int, bool]], labels: list[int | None]) -> list[int | None] | None:
+    """Labels by length and links alone, if the stop words do not fit a page without an
+    article zone or left nothing of it good; otherwise nothing."""
+    plain = [text for text, link_chars, inside in blocks if not _linked(text, link_chars, inside)]
+    long = [text for text in plain if len(text) >= LENGTH_LOW]
+    fitting = sum(len(text) for text in long if _stops(text) >= STOP_LOW)
+    if GOOD in labels and 2 * fitting >= sum(map(len, long)):
+        return None
+    return [BAD if _linked(*b) else GOOD if not long or len(b[0]) >= LENGTH_LOW else UNDECIDED for b in blocks]
+
+
+def second_pass(labels: list[int | None], tie_good: bool) -> list[int]:
     """Undecided blocks take the label of the nearest decided one."""
     decided = [i for i, x in enumerate(labels) if x is not UNDECIDED]
     out, k = [], 0
@@ -223,7 +246,7 @@ def second_pass(labels: list[int | None], inside: bool) -> list[int]:
             else:
                 least = min(d for d, _ in near)
                 tied = {x for d, x in near if d == least}
-                label = tied.pop() if len(tied) == 1 else (GOOD if inside else BAD)
+                label = tied.pop() if len(tied) == 1 else (GOOD if tie_good else BAD)
         out.append(label)
     return out
 
@@ -233,7 +256,9 @@ def main_text(html: str | None) -> tuple[str, int]:
     blocks = page_blocks(html)
     inside = any(z for _, _, z in blocks)
     blocks = [b for b in blocks if b[2] or not inside]
-    labels = second_pass([first_pass(*b) for b in blocks], inside)
+    labels = [first_pass(*b) for b in blocks]
+    plain = None if inside else _by_length(blocks, labels)
+    labels = second_pass(plain or labels, inside or plain is not None)
     kept = [text for (text, _, _), label in zip(blocks, labels) if label == GOOD]
     return " ".join(kept), len(kept)
 
