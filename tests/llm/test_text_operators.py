@@ -222,6 +222,20 @@ def test_pages_that_the_stop_words_do_not_fit(html, text):
     assert html_text.main_text(html)[0] == text
 
 
+@pytest.mark.parametrize("opening,kept", [
+    ('article class="post tag-cookies"', True), ('article class="post category-social"', True), ('div class="entry-content comments-open"', True),
+    ('div id="content" class="has-related"', True), ('div class="content-with-comments"', True), ('article class="postCard tag-share"', True),
+    ('div class="entry-content comments"', False), ('article class="comment"', False), ('article class="comment-body"', False),
+    ('div class="post-comments"', False), ('div class="cookie-banner text-center"', False), ('div class="tag-cookies"', False),
+    ('div class="relatedPosts"', False), ('article class="post social"', False), ('article id="comment-42"', False),
+])
+def test_names_of_the_article_and_of_others(opening, kept):
+    tag = opening.split()[0]
+    page = f"<div><{opening}><p>{PROSE} Here.</p></{tag}><p>{PROSE}</p></div>"
+    got = html_text.main_text(page)[0]
+    assert (" Here." in got) == kept and (got == PROSE) == (not kept)
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF01}/pages.parquet")
     got = {r.page_id: r for r in html_text.extract(clashing(pages, ["n_chars", "n_blocks"])).collect()}

@@ -72,6 +72,8 @@ subscribe subscription toolbar widget
 # These count only where the same element is not named as the content as well.
 WEAK_WORDS = frozenset("aside header hidden search sidebar".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
+# Words that make the next one a part of the layout: content-with-comments.
+LAYOUT_WORDS = frozenset("with without has have no".split())
 #: A p, li, ... that opens ends the one before it.
 ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -92,13 +94,34 @@ def _names(value: str | None) -> set[str]:
     return set(_NAME.findall(value.lower())) | set(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
 
 
+def _names_other(token: str) -> bool:
+    """Whether a class or id is made of words for something other than the article, and of
+    words for its content, only: ``comment-body``, but not ``category-social``."""
+    for value in (token.lower(), re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()):
+        words = set(_NAME.findall(value))
+        if words & OTHER_WORDS and words <= OTHER_WORDS | WEAK_WORDS | CONTENT_WORDS:
+            return True
+    return False
+
+
+def _names_content(token: str) -> bool:
+    """Whether a class or id names the content: ``entry-content``, but not ``text-center`` or
+    ``post-comments``."""
+    words = _names(token)
+    if words & OTHER_WORDS and not words & LAYOUT_WORDS:
+        return False
+    return bool(words & (CONTENT_WORDS - {"text", "body"})) or (bool(words) and words <= CONTENT_WORDS)
+
+
 def _is_other(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
     if tag in OTHER_TAGS or (tag == "header" and not in_article):
         return True
     words: set[str] = set()
+    tokens: list[str] = []
     for key, value in attrs:
         if key in ("class", "id"):
             words |= _names(value)
+            tokens += (value or "").split()
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and value and _HIDDEN.search(value.lower())):
             return True
         elif key == "role" and value and value.lower() in OTHER_ROLES:
@@ -107,7 +130,12 @@ def _is_other(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -
         return False
     if words & OTHER_WORDS:
         # <div class="main-content with-comments"> names its layout, not its kind.
-        return not ({"main", "content"} <= words)
+        if {"main", "content"} <= words:
+            return False
+        # <article class="post tag-cookies"> and <div class="entry-content comments-open"> are
+        # the article; <div class="entry-content comments"> is not.
+        if any(map(_names_other, tokens)) or not (tag == "article" or any(map(_names_content, tokens))):
+            return True
     return bool(words & WEAK_WORDS) and not (words & CONTENT_WORDS) and not ("header" in words and in_article)
 
 
