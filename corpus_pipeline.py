@@ -48,25 +48,34 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id.
+    """One document of each near-duplicate group: the one with the smallest id, and of rows
+    that repeat that id in the group the one with the smallest text.
 
-    Rows that repeat an id are one document (the smallest text stays). Rows without an id
-    go if their group has a document with one, and stay if not.
+    Rows are told apart by id and fingerprint, so rows of one id stand each in the group of
+    their own text. Rows without an id go if their group has a document with one; a group
+    without any id keeps its smallest text.
     """
-    found = materialize(simhash.near_duplicates(docs.select("doc_id", "text"), SHINGLE, RADIUS), "near-duplicates")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), "fp").distinct()
-    named = docs.join(kept.where(F.col("__id").isNotNull()).select("__id").distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
-    repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1)
-    if repeated.limit(1).count():
-        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-        least = F.min(F.struct("text", *rest)).alias("__row")
-        named = named.groupBy("doc_id").agg(least).select("doc_id", "__row.*").select(*docs.columns)
-    nameless = docs.where(F.col("doc_id").isNull())
-    if found.where(F.col("doc_id").isNull()).limit(1).count():
-        marked = simhash.with_fingerprints(nameless.withColumn("__text", F.col("text")), SHINGLE, "__text", "fp")
-        nameless = marked.join(kept.where(F.col("__id").isNull()).select("fp").distinct(), "fp", "left_semi").select(*docs.columns)
-        return named.unionByName(nameless)
-    return named
+    prints = materialize(simhash.with_fingerprints(docs.select("doc_id", "text"), SHINGLE), "near-duplicate-prints")
+    # Groups are named by a fingerprint: an id may stand in more than one.
+    found = materialize(simhash.link_components(prints, RADIUS, "fp").withColumnRenamed("component_id", "group"), "near-duplicates")
+    first = found.groupBy("group").agg(F.min("doc_id").alias("__id"))
+    repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
+    again = repeated.limit(1).count() > 0
+    nameless = first.where(F.col("__id").isNull()).limit(1).count() > 0
+    unique = first.where(F.col("__id").isNotNull()).select("__id")
+    if again:
+        unique = unique.join(repeated, F.col("__id") == F.col("doc_id"), "left_anti")
+    named = docs.join(unique, F.col("doc_id") == F.col("__id"), "left_semi")
+    if not (again or nameless):
+        return named
+    # Ids that do not tell rows apart: the rows' fingerprints are needed.
+    unclear = docs.where(F.col("doc_id").isNull()).unionByName(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns))
+    marked = simhash.with_fingerprints(unclear.withColumn("__text", F.col("text")), SHINGLE, "__text", "__fp")
+    least = F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("__row")
+    rows = marked.groupBy("doc_id", "__fp").agg(least).withColumnRenamed("doc_id", "__doc")
+    chosen = found.join(first, "group").where(F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "fp", "group").distinct()
+    met = rows.join(chosen, F.col("__doc").eqNullSafe(F.col("doc_id")) & (F.col("__fp") == F.col("fp")))
+    return named.unionByName(met.groupBy("group").agg(F.min("__row").alias("__row")).select("__row.*").select(*docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

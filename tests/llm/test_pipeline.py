@@ -92,6 +92,22 @@ def test_one_document_of_each_near_duplicate_group_stays(stages):
     assert copies == [9100]
 
 
+def test_repeated_and_missing_ids_lose_no_text(spark, folder):
+    """Rows of one id with different texts, and groups without any id."""
+    other = " ".join(f"unlike{i * i}" for i in range(60))
+    third = " ".join(f"third{i * 7}" for i in range(60))
+    rows = [
+        (1, f"{PROSE} {PROSE}", "en", "a", 1), (5, f"{PROSE} {PROSE}", "en", "b", 1), (5, other, "en", "c", 1),  # the unique one of 5 stays
+        (6, third, "en", "x", 1), (6, third + "\n", "en", "x", 2), (7, third, "en", "y", 1),  # one row of a repeated id
+        (None, "no id here at all", "en", "p", 1), (None, "no id here at all", "en", "q", 1), (None, "no id here at all", "de", "r", 1),
+        (None, other, "en", "z", 1), (8, "alone", "en", "a", 1), (9, "", "en", "a", 1), (9, None, "en", "a", 1),
+    ]
+    wide = spark.createDataFrame(rows, SCHEMA).withColumn("fp", F.lit(1)).withColumn("group", F.lit(2))
+    got = corpus_pipeline.near_duplicates(spark, wide, folder)
+    want = [rows[0], rows[2], rows[3], rows[8], rows[10], rows[12]]
+    assert tuples(got) == sorted(want, key=str) and got.columns == wide.columns
+
+
 def test_mix_takes_copies_like_its_sql(stages):
     before, after = stages[3]
     taken = sql_rows(mixing.ORACLE_SQL, [tuple(r) for r in before.select(*COLUMNS).collect()])
