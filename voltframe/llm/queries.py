@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltframe.llm import line_dedup, mixing, quality_rules
+from voltframe.llm import filter_audit, line_dedup, mixing, quality_rules
 from voltframe.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,3 +132,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cleaned = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@register("op12_filter_audit", oracle=filter_audit.ORACLE_SQL)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of all documents, by language, in each of their 120 orders."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return filter_audit.audit(docs, labels)
