@@ -140,3 +140,15 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     return filter_audit.audit(docs, labels)
+
+
+@register("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure of all conversations after damage, and their cheapest repair."""
+    from voltframe.llm import conversation_repair
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.repair(conversation_repair.damage(rows), live_col="live")
+    return found.select(
+        F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+        F.col("digest").alias("repaired_sha256"))
