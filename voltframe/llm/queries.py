@@ -152,3 +152,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
         F.col("digest").alias("repaired_sha256"))
+
+
+@register("op13_recurrent_lm")
+def op13_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a recurrent model and under word counts, learned
+    from the documents that are not held out."""
+    from voltframe.llm import recurrent_lm
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = recurrent_lm.fit(docs.where(~recurrent_lm.held_out("doc_id")))
+    found = recurrent_lm.score(docs, model)
+    return found.select("doc_id", recurrent_lm.held_out("doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
