@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ T0 = dt.datetime(2024, 1, 1, 0)
 
 def gen(spark, rows):
     return spark.createDataFrame(
-        [(T0 + dt.timedelta(hours=h), r, f"{r} name", f[:3].upper(), f, "megawatthours", v) for r, h, f, v in rows],
+        [(T0 + dt.timedelta(hours=h), r, f"{r} name", (f or "")[:3].upper(), f, "megawatthours", v) for r, h, f, v in rows],
         "period timestamp_ntz, respondent string, respondent_name string, fueltype string, type_name string, "
         "value_units string, value double",
     )
@@ -122,10 +123,6 @@ def test_parse_requests_bad_json_gives_one_row_of_nulls(spark):
     assert (got[1].region, got[1].start, got[1].end) == ("CISO", dt.date(2024, 1, 2), dt.date(2024, 1, 3))
     for i in (2, 3):
         assert (got[i].region_raw, got[i].region, got[i].start, got[i].end) == (None, None, None, None)
-    every = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(9)]
-    fact_days = spark.createDataFrame([("CISO", d) for d in every], "region string, day date")
-    days = TL.request_days(TL.parse_requests(reqs), fact_days, ["region"])
-    assert sorted((r.request_id, r.day) for r in days.collect()) == [(1, dt.date(2024, 1, 2)), (1, dt.date(2024, 1, 3))]
 
 
 def test_sums_of_tiny_and_huge_values(spark):
@@ -158,12 +155,12 @@ def test_summary_lines(spark):
     ]
 
 
-def test_a_request_for_thousands_of_years_is_clipped(spark):
+def test_a_request_for_thousands_of_years_makes_one_row(spark):
     facts = gen(spark, [("CISO", 0, "Gas", 1.0), ("CISO", 30, "Gas", 2.0)])
     req = _requests(spark, [(1, "get_generation", "CISO", "0001-01-01", "9999-12-31"), (2, "get_generation", "PJM", "0001-01-01", "9999-12-31")])
     parsed = TL.parse_requests(req)
-    days = TL.request_days(parsed, TL.daily_rollup(facts, "type_name").withColumnRenamed("respondent", "region"), ["region"])
-    assert days.count() == 2
+    found = TL.range_totals(parsed.select("region", "start", "end"), facts, "type_name")
+    assert found.count() == 1
     assert [r.rows for r in TL.tool_generation(parsed, facts).collect()] == [2]
     assert [r.request_id for r in TL.tool_no_data(parsed, facts, reg(spark, [("CISO", 0, "D", 1.0)])).collect()] == [2]
 
@@ -179,3 +176,33 @@ def test_dispatch_results_of_every_kind(spark):
     assert got[4] == {"error": "unknown tool other"} and got[5] == {"error": "unknown tool None"}
     single = {r.request_id: json.loads(r.result) for r in TL.dispatch_results(req, facts, regf, True, TL.NOTE_NO_DATA_RETURNED).collect()}
     assert single[1]["period_start"] == "2024-01-01 00:00:00" and single[3]["note"] == TL.NOTE_NO_DATA_RETURNED
+
+
+def test_range_totals_equal_a_scan_per_request(spark):
+    """Random sparse facts (days without any, null values, null fuels) and random ranges, repeated ids included."""
+    rng = random.Random(4)
+    hours = [(rng.choice("AB"), rng.choice([0, 24 * 3, 24 * 3 + 1, 24 * 40, 24 * 41 + 5, 24 * 400, 24 * 402]), rng.choice(["Gas", "Sun", None]), rng.choice([1.5, -2.5, None, 1e6])) for _ in range(60)]
+    facts = gen(spark, hours)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=d) for d in (-3, 0, 1, 3, 4, 39, 40, 41, 100, 400, 402, 500)]
+    asked = [(i % 50, "get_generation", rng.choice("ABC"), str(rng.choice(days)), str(rng.choice(days))) for i in range(150)]
+    parsed = TL.parse_requests(_requests(spark, asked))
+    want = []
+    for i, _, region, start, end in asked:
+        inside = [(h, fuel, v) for r, h, fuel, v in hours if r == region and start <= str((dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)).date()) <= end]
+        for fuel in {f for _, f, _ in inside}:
+            own = [v for _, f, v in inside if f == fuel]
+            at = [dt.datetime(2024, 1, 1) + dt.timedelta(hours=h) for h, _, _ in inside]
+            want.append((i, region, len(inside), str(min(at)), str(max(at)), fuel, round(sum(v or 0.0 for v in own), 1) + 0.0))
+    got = [(r.request_id, r.region, r.rows, r.period_start, r.period_end, r.type_name, r.mwh) for r in TL.tool_generation(parsed, facts).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    inside = lambda region, start, end: any(r == region and start <= str((dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)).date()) <= end for r, h, _, _ in hours)
+    nothing = TL.tool_no_data(parsed, facts, reg(spark, [("A", 0, "D", 1.0)])).collect()
+    assert sorted(r.request_id for r in nothing) == sorted(i for i, _, *rng_ in asked if not inside(*rng_))
+
+
+def test_plans_of_the_tools_explode_no_days(spark):
+    facts, regf = gen(spark, [("CISO", 0, "Gas", 1.0)]), reg(spark, [("CISO", 0, "D", 3.0)])
+    parsed = TL.parse_requests(_requests(spark, [(1, "get_generation", "CISO", "2024-01-01", "2024-01-09")]))
+    for df in (TL.tool_generation(parsed, facts), TL.tool_interchange(parsed, regf), TL.tool_no_data(parsed, facts, regf)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "sequence(" not in plan and "BroadcastNestedLoop" not in df._jdf.queryExecution().executedPlan().toString()

@@ -46,6 +46,36 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))[:k]]
 
 
+def block_comparer(k: int, digits: int, out: T.StructType):
+    """For a cogroup of a block of rows (``c_id, c_vec``) and one of questions (``q_id, q_vec``): the best
+    ``k`` rows of the block for each question, as ``out`` (question id, row id, similarity)."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    names, types = out.names, [to_arrow_type(f.dataType) for f in out]
+
+    def compare(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        found: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
+        if rows.num_rows and asked.num_rows:
+            c_vec, q_vec = rows.column("c_vec").combine_chunks(), asked.column("q_vec").combine_chunks()
+            c_ids, q_ids = rows.column("c_id").combine_chunks(), asked.column("q_id").combine_chunks()
+            for dim in pc.unique(pc.drop_null(pc.list_value_length(q_vec))).to_pylist():
+                q, q_rows = _unit_rows(q_vec, dim)
+                c, c_rows = _unit_rows(c_vec, dim)
+                if not len(q) or not len(c):
+                    continue
+                keys = np.array(c_ids.take(pa.array(c_rows)).to_pylist())
+                for at in range(0, len(q), QUERY_TILE):
+                    scores = np.round(c @ q[at:at + QUERY_TILE].T, digits) + 0.0
+                    for j in range(scores.shape[1]):
+                        best = _best(keys, scores[:, j], k)
+                        found.append((q_ids.take(pa.array(np.full(len(best), q_rows[at + j]))), c_ids.take(pa.array(c_rows[best])), scores[best, j]))
+        if not found:
+            return pa.table([pa.array([], t) for t in types], names=names)
+        return pa.table([pa.concat_arrays([f[0] for f in found]), pa.concat_arrays([f[1] for f in found]), pa.array(np.concatenate([f[2] for f in found]))], names=names)
+
+    return compare
+
+
 def topk_cosine(
     corpus: DataFrame,
     queries: DataFrame,
@@ -77,32 +107,7 @@ def topk_cosine(
         T.StructField(corpus_id, corpus.schema[corpus_id].dataType),
         T.StructField("similarity_score", T.DoubleType()),
     ])
-    names = out.names
-
-    def compare(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        found: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
-        if rows.num_rows and asked.num_rows:
-            c_vec, q_vec = rows.column("c_vec").combine_chunks(), asked.column("q_vec").combine_chunks()
-            c_ids, q_ids = rows.column("c_id").combine_chunks(), asked.column("q_id").combine_chunks()
-            for dim in pc.unique(pc.drop_null(pc.list_value_length(q_vec))).to_pylist():
-                q, q_rows = _unit_rows(q_vec, dim)
-                c, c_rows = _unit_rows(c_vec, dim)
-                if not len(q) or not len(c):
-                    continue
-                keys = np.array(c_ids.take(pa.array(c_rows)).to_pylist())
-                for at in range(0, len(q), QUERY_TILE):
-                    scores = np.round(c @ q[at:at + QUERY_TILE].T, digits) + 0.0
-                    for j in range(scores.shape[1]):
-                        best = _best(keys, scores[:, j], k)
-                        found.append((q_ids.take(pa.array(np.full(len(best), q_rows[at + j]))), c_ids.take(pa.array(c_rows[best])), scores[best, j]))
-        if not found:
-            return pa.table([pa.array([], t) for t in types], names=names)
-        return pa.table([pa.concat_arrays([f[0] for f in found]), pa.concat_arrays([f[1] for f in found]), pa.array(np.concatenate([f[2] for f in found]))], names=names)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    types = [to_arrow_type(f.dataType) for f in out]
-    best = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(compare, out)
+    best = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(block_comparer(k, digits, out), out)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity_score").desc(), F.col(corpus_id).asc())
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", corpus_id, "similarity_score")
 

@@ -4,10 +4,11 @@ A request is ``(request_id, tool, args)`` with ``args`` a JSON object
 ``{"region", "start", "end"}``. Each tool selects the facts of one region over an
 inclusive day range and summarises them. Done per request this is a range join of
 requests against facts: skewed (a handful of regions) and quadratic. Because ranges are
-whole days, facts are first reduced to one row per ``(respondent, day, key)`` with
-mergeable aggregates (decimal sum, count, min, max), each request is exploded into its
-days, and the two meet in a plain equi-join on ``(region, day)``. Every aggregate used
-is decomposable, so re-aggregating per request gives exactly the per-request answer.
+whole days and every aggregate is a difference of running totals (exact decimals, counts)
+or the first or last period, facts are reduced to running totals per region, key and day,
+and a request looks up two of them, at its end and before its start: two equi-joins on
+(region, day), whose rows do not grow with the length of the range. Ranges that several
+requests share are computed once.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from voltframe.constants import (
 )
 from voltframe.functions.parse import parse_iso_date, timestamp_text
 from voltframe.operators.summaries import DEC, series_label, to_double
+from voltframe.session import materialize
 
 TOOL_GENERATION = "get_generation"
 TOOL_INTERCHANGE = "get_demand_and_interchange"
@@ -71,21 +73,6 @@ def valid_range(start: Column, end: Column) -> Column:
     return start.isNotNull() & end.isNotNull() & (end >= start)
 
 
-def request_days(parsed: DataFrame, fact_days: DataFrame, on: list[str]) -> DataFrame:
-    """One row per (request, day in its inclusive range); reversed ranges give none.
-
-    ``fact_days`` has a ``day`` per key of ``on``. Ranges are clipped to the first and last
-    day that the key has facts for, so a request for thousands of years makes no more rows
-    than there are days with facts; a key without facts gives none.
-    """
-    bounds = fact_days.groupBy(*on).agg(F.min("day").alias("__first"), F.max("day").alias("__last"))
-    ok = parsed.where(F.col("region").isNotNull() & valid_range(F.col("start"), F.col("end")))
-    clipped = ok.join(bounds, on).select(
-        "request_id", "tool", "region", F.greatest("start", "__first").alias("__from"), F.least("end", "__last").alias("__to"))
-    return clipped.where(F.col("__from") <= F.col("__to")).select(
-        "request_id", "tool", "region", F.explode(F.sequence("__from", "__to")).alias("day"))
-
-
 def daily_rollup(facts: DataFrame, key: str) -> DataFrame:
     """``(respondent, day, key)`` -> decimal sum, row count, first and last period."""
     return facts.groupBy("respondent", F.to_date("period").alias("day"), key).agg(
@@ -96,21 +83,85 @@ def daily_rollup(facts: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _per_request(parsed: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    roll = daily_rollup(facts, key).withColumnRenamed("respondent", "region")
-    days = request_days(parsed, roll, ["region"])
-    joined = days.join(roll, ["region", "day"])
-    per_key = joined.groupBy("request_id", "region", key).agg(
-        F.coalesce(F.sum("sum_dec"), F.lit(0).cast(DEC)).alias("total_dec"),
-        F.sum("n").alias("n"),
-        F.min("first_period").alias("first_period"),
-        F.max("last_period").alias("last_period"),
+def prefix_sums(facts: DataFrame, key: str) -> DataFrame:
+    """Running totals of ``(region, key)`` up to and including each of its days with facts:
+    ``region, key, day, until_dec, until_n, first_period, last_period`` (the periods are the day's).
+
+    One row per region, key and day, whatever the facts hold.
+    """
+    w = Window.partitionBy("respondent", key).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    return daily_rollup(facts, key).select(
+        F.col("respondent").alias("region"), key, "day",
+        F.sum(F.coalesce("sum_dec", F.lit(0).cast(DEC))).over(w).alias("until_dec"), F.sum("n").over(w).alias("until_n"),
+        "first_period", "last_period",
     )
-    req = Window.partitionBy("request_id")
-    return (
-        per_key.withColumn("rows", F.sum("n").over(req))
-        .withColumn("period_start", timestamp_text(F.min("first_period").over(req)))
-        .withColumn("period_end", timestamp_text(F.max("last_period").over(req)))
+
+
+def range_totals(ranges: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Totals of every distinct ``(region, start, end)`` by ``key``: ``total_dec, n, first_period, last_period``,
+    a row for each key that has facts in the range.
+
+    A total over a range is the difference of two running totals: up to ``end``, and up to the day before
+    ``start``. What holds on the days asked for, most of which have no facts of their own, is found once for
+    each day that any range asks about: these days and the days with facts, a row each, are one small sorted
+    sequence per region and key, in which the last running total before a day and the first period after it are
+    carried along. Ranges then meet it in two equi-joins on (region, day). The rows after the joins are
+    ranges times keys, however long the ranges are.
+    """
+    sums = prefix_sums(facts, key)
+    span = sums.groupBy("region").agg(F.min("day").alias("__first"), F.max("day").alias("__last"))
+    # Clipped to the days with facts: the days asked about are then no more than the calendar of the facts.
+    clipped = ranges.join(span, "region").select(
+        "region", "start", "end", F.date_sub(F.greatest("start", "__first"), 1).alias("before"), F.least("end", "__last").alias("until"),
+    ).where(F.col("before") < F.col("until"))
+    asked = (
+        clipped.select("region", F.col("until").alias("day")).unionByName(clipped.select("region", F.col("before").alias("day"))).distinct()
+        .join(sums.select("region", key).distinct(), "region").withColumn("asked", F.lit(True))
+    )
+    # Facts of a day come before the question about it; read backwards, after it.
+    upto = Window.partitionBy("region", key).orderBy("day", F.col("asked").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("region", key).orderBy(F.col("day").desc(), F.col("asked").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    at = sums.unionByName(asked, allowMissingColumns=True).select(
+        "region", key, "day", "asked", F.last("until_dec", True).over(upto).alias("dec"), F.last("until_n", True).over(upto).alias("n"),
+        F.last("last_period", True).over(upto).alias("last"), F.last("first_period", True).over(after).alias("next"),
+    ).where("asked")
+    ends = at.select("region", key, F.col("day").alias("until"), F.col("dec").alias("end_dec"), F.col("n").alias("end_n"), F.col("last").alias("last_period"))
+    starts = at.select(F.col("region").alias("__r"), F.col(key).alias("__k"), F.col("day").alias("__d"), F.col("dec").alias("start_dec"), F.col("n").alias("start_n"), F.col("next").alias("first_period"))
+    both = clipped.join(ends, ["region", "until"])
+    met = both.join(starts, (both["region"] == F.col("__r")) & (F.col("before") == F.col("__d")) & F.col(key).eqNullSafe(F.col("__k")))
+    n = F.coalesce("end_n", F.lit(0)) - F.coalesce("start_n", F.lit(0))
+    return met.select(
+        "region", "start", "end", key, (F.col("end_dec") - F.coalesce("start_dec", F.lit(0))).cast("decimal(38,9)").alias("total_dec"), n.alias("n"),
+        "first_period", "last_period",
+    ).where(F.col("n") > 0)
+
+
+RANGE = ["region", "start", "end"]
+
+
+def _ranges(parsed: DataFrame) -> DataFrame:
+    """The distinct valid ranges asked for; each is computed once, however many requests share it."""
+    return parsed.where(F.col("region").isNotNull() & valid_range(F.col("start"), F.col("end"))).select(*RANGE).distinct()
+
+
+def generation_ranges(ranges: DataFrame, generation: DataFrame) -> DataFrame:
+    """Generation of every range by fuel: ``rows, period_start, period_end, type_name, fuel_rank, mwh``."""
+    per = range_totals(ranges, generation, "type_name")
+    whole = Window.partitionBy(*RANGE)
+    return per.select(
+        *RANGE, F.sum("n").over(whole).cast("long").alias("rows"),
+        timestamp_text(F.min("first_period").over(whole)).alias("period_start"), timestamp_text(F.max("last_period").over(whole)).alias("period_end"),
+        "type_name", F.row_number().over(whole.orderBy(F.col("total_dec").desc(), F.col("type_name"))).alias("fuel_rank"),
+        to_double("total_dec", 1).alias("mwh"),
+    )
+
+
+def interchange_ranges(ranges: DataFrame, region_facts: DataFrame) -> DataFrame:
+    """Demand, net generation and interchange of every range: ``rows, type, series, total_mwh``."""
+    per = range_totals(ranges, region_facts.where(F.col("type").isin(*REGION_TYPES)), "type")
+    return per.select(
+        *RANGE, F.sum("n").over(Window.partitionBy(*RANGE)).cast("long").alias("rows"), "type",
+        series_label("type").alias("series"), to_double("total_dec", 1).alias("total_mwh"),
     )
 
 
@@ -119,50 +170,45 @@ def tool_generation(parsed: DataFrame, generation: DataFrame, bounds: bool = Tru
 
     Long rows ``request_id, region, rows, [period_start, period_end], type_name,
     fuel_rank, mwh`` with ``mwh`` rounded to 1 decimal and ranks largest-first.
-    ``bounds=False`` is the agent variant without the period bounds.
+    ``bounds=False`` is the agent variant without the period bounds. Rows that repeat a
+    request id are requests each.
     """
-    per = _per_request(parsed, generation, "type_name")
-    rank_w = Window.partitionBy("request_id").orderBy(F.col("total_dec").desc(), F.col("type_name"))
-    cols = ["request_id", "region", F.col("rows").cast("long").alias("rows")]
-    if bounds:
-        cols += ["period_start", "period_end"]
-    cols += ["type_name", F.row_number().over(rank_w).alias("fuel_rank"),
-             to_double("total_dec", 1).alias("mwh")]
-    return per.select(*cols)
+    return _generation_rows(parsed, generation_ranges(_ranges(parsed), generation), bounds)
+
+
+def _generation_rows(parsed: DataFrame, found: DataFrame, bounds: bool) -> DataFrame:
+    period = ["period_start", "period_end"] if bounds else []
+    return parsed.join(found, RANGE).select("request_id", "region", "rows", *period, "type_name", "fuel_rank", "mwh")
 
 
 def tool_interchange(parsed: DataFrame, region_facts: DataFrame) -> DataFrame:
     """Demand / net generation / interchange tool: ``request_id, region, rows, type,
     series, total_mwh`` (1 decimal). Only D, NG and TI are selected (the type facet);
     a type without rows is absent."""
-    facet = region_facts.where(F.col("type").isin(*REGION_TYPES))
-    per = _per_request(parsed, facet, "type")
-    return per.select(
-        "request_id", "region", F.col("rows").cast("long").alias("rows"), "type",
-        series_label("type").alias("series"), to_double("total_dec", 1).alias("total_mwh"),
-    )
+    return _interchange_rows(parsed, interchange_ranges(_ranges(parsed), region_facts))
+
+
+def _interchange_rows(parsed: DataFrame, found: DataFrame) -> DataFrame:
+    return parsed.join(found, RANGE).select("request_id", "region", "rows", "type", "series", "total_mwh")
+
+
+def _no_data(parsed: DataFrame, tool: str, found: DataFrame, note: str) -> DataFrame:
+    """Requests to ``tool`` whose range is not among ``found``."""
+    return parsed.where(F.col("tool") == tool).join(found.select(*RANGE).distinct(), RANGE, "left_anti").select(
+        "request_id", "tool", "region", F.lit(0).cast("long").alias("rows"), F.lit(note).alias("note"))
 
 
 def tool_no_data(parsed: DataFrame, generation: DataFrame, region_facts: DataFrame,
                  note: str = NOTE_NO_DATA) -> DataFrame:
     """Known-tool requests whose selection is empty: ``request_id, tool, region, rows=0, note``.
 
-    Found with a left-anti join of requests against the (region, day) keys that have
-    rows; no per-request scan. ``note`` is the agent's text by default; the
-    single-turn tool's text is ``NOTE_NO_DATA_RETURNED``.
+    Found with a left-anti join of requests against the ranges that have totals. ``note``
+    is the agent's text by default; the single-turn tool's text is ``NOTE_NO_DATA_RETURNED``.
     """
-    known = parsed.where(F.col("tool").isin(*KNOWN_TOOLS))
-    gen_keys = generation.select(F.col("respondent").alias("region"), F.to_date("period").alias("day")) \
-        .distinct().withColumn("tool", F.lit(TOOL_GENERATION))
-    reg_keys = region_facts.where(F.col("type").isin(*REGION_TYPES)) \
-        .select(F.col("respondent").alias("region"), F.to_date("period").alias("day")) \
-        .distinct().withColumn("tool", F.lit(TOOL_INTERCHANGE))
-    keys = gen_keys.unionByName(reg_keys)
-    has_data = request_days(known, keys, ["tool", "region"]) \
-        .join(keys, ["tool", "region", "day"], "left_semi").select("request_id").distinct()
-    return known.join(has_data, "request_id", "left_anti").select(
-        "request_id", "tool", "region", F.lit(0).cast("long").alias("rows"), F.lit(note).alias("note")
-    )
+    one = range_totals(_ranges(parsed.where(F.col("tool") == TOOL_GENERATION)), generation.withColumn("__all", F.lit(0)), "__all")
+    facet = region_facts.where(F.col("type").isin(*REGION_TYPES)).withColumn("__all", F.lit(0))
+    two = range_totals(_ranges(parsed.where(F.col("tool") == TOOL_INTERCHANGE)), facet, "__all")
+    return _no_data(parsed, TOOL_GENERATION, one, note).unionByName(_no_data(parsed, TOOL_INTERCHANGE, two, note))
 
 
 def tool_unknown(parsed_or_raw: DataFrame) -> DataFrame:
@@ -225,20 +271,26 @@ def dispatch_results(requests: DataFrame, generation: DataFrame, region_facts: D
     parsed = parse_requests(requests)
     one = parsed.where(F.col("tool") == TOOL_GENERATION)
     two = parsed.where(F.col("tool") == TOOL_INTERCHANGE)
+    # Read twice: for the answers, and for the requests that have none.
+    made = materialize(generation_ranges(_ranges(one), generation), "generation-ranges")
+    flows = materialize(interchange_ranges(_ranges(two), region_facts), "interchange-ranges")
     name = lambda df, tool: df.select("request_id", F.lit(tool).alias("tool"), "result")
-    empty = tool_no_data(parsed, generation, region_facts, note).select(
+    empty = _no_data(parsed, TOOL_GENERATION, made, note).unionByName(_no_data(parsed, TOOL_INTERCHANGE, flows, note)).select(
         "request_id", "tool", F.to_json(F.struct("region", "rows", "note")).alias("result"))
     unknown = tool_unknown(parsed).select("request_id", "tool", F.to_json(F.struct("error")).alias("result"))
+    # A JSON answer per range, then the requests that ask for it.
+    as_request = F.struct(*RANGE).alias("request_id")
+    gen = tool_results_json(made.withColumn("request_id", as_request), bounds).select("request_id.*", "result")
+    inter = interchange_results_json(flows.withColumn("request_id", as_request)).select("request_id.*", "result")
     return (
-        name(tool_results_json(tool_generation(one, generation, bounds), bounds), TOOL_GENERATION)
-        .unionByName(name(interchange_results_json(tool_interchange(two, region_facts)), TOOL_INTERCHANGE))
+        name(one.join(gen, RANGE), TOOL_GENERATION).unionByName(name(two.join(inter, RANGE), TOOL_INTERCHANGE))
         .unionByName(empty).unionByName(unknown)
     )
 
 
 __all__ = [
     "KNOWN_TOOLS", "NOTE_NO_DATA", "NOTE_NO_DATA_RETURNED", "TOOL_GENERATION", "TOOL_INTERCHANGE",
-    "dispatch_requests", "dispatch_results", "interchange_results_json", "parse_requests", "region_code", "request_days",
+    "dispatch_requests", "dispatch_results", "interchange_results_json", "parse_requests", "prefix_sums", "range_totals", "region_code",
     "tool_generation", "tool_interchange", "tool_no_data", "tool_results_json", "tool_unknown",
     "valid_range", "valid_region",
 ]

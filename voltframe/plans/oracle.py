@@ -445,6 +445,15 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity_score
 SELECT label, CAST(rank AS INTEGER) AS rank, vec_id, similarity_score FROM rk WHERE rank <= {DEFAULT_K}
 """
 
+SQL["topk_index_exact"] = f"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+           WHERE list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
+sc AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.x, v.x), 6) AS similarity_score
+       FROM v q, v WHERE q.vec_id % 50 = 0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, vec_id) AS rank FROM sc)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, similarity_score FROM rk WHERE rank <= {DEFAULT_K}
+"""
+
 
 def hashed_sql(src: str, id_col: str, text_col: str, name: str) -> str:
     """CTEs ``{name}_v(id, bucket, x FLOAT)`` and ``{name}_n(id, n)`` for the hashing vectoriser."""

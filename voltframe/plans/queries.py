@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voltframe.constants import DEFAULT_K, NOTE_NO_DATA_RETURNED, REGION_TYPES
+from voltframe.operators import ann_index as AN
 from voltframe.operators import chunks as CH
 from voltframe.operators import cite as CT
 from voltframe.operators import ingest as IN
@@ -358,6 +359,30 @@ def q_topk_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select(F.col("query_id").alias("label"), "rank", "vec_id", "similarity_score")
 
 
+def vector_index(spark: SparkSession, vectors: DataFrame) -> AN.VectorIndex:
+    """An index of ``vectors`` in the shared folder."""
+    return AN.build(vectors, scratch_path(spark, f"vector-index-{uuid.uuid4().hex}"), "vec_id")
+
+
+def asked_vectors(vectors: DataFrame) -> DataFrame:
+    """The questions put to the index: the rows whose id is divisible by 50."""
+    return vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@register("topk_lsh")
+def q_topk_lsh(spark: SparkSession, sf: str) -> DataFrame:
+    """Approximate nearest neighbours from the probed cells of an index over all vectors."""
+    vectors = R.table(spark, sf, "embeddings")
+    return AN.search(vector_index(spark, vectors), asked_vectors(vectors), k=DEFAULT_K)
+
+
+@register("topk_index_exact")
+def q_topk_index_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The same questions, with every cell read that can hold a nearer vector."""
+    vectors = R.table(spark, sf, "embeddings")
+    return AN.search(vector_index(spark, vectors), asked_vectors(vectors), k=DEFAULT_K, exact=True)
+
+
 def doc_chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Chunk vectors of every document, materialised once in the shared checkpoint folder
     (the top-k and the metadata join both read it)."""
