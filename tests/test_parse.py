@@ -64,6 +64,9 @@ BAD_PAGES = {
     body([record()], total="abc"): "page: total not an integer",
     body([record()], total="1.5"): "page: total not an integer",
     body([record()], total=None): "page: total not an integer",
+    '{"response": "busy"}': "page: response missing",
+    body([record()], total="99999999999999"): "page: total out of range",
+    body([record()], total=10**30): "page: total out of range",
     '{"response": {"total": "3"}}': "page: data not a list of records",
     '{"response": {"total": "3", "data": {"period": "x"}}}': "page: data not a list of records",
 }
@@ -125,3 +128,23 @@ def test_manifest_sizes_lost_pages_and_requests(spark):
 def test_dates_are_strict(spark):
     df = spark.createDataFrame([("2025-06-01",), (" 2025-06-01",), ("2025-06-01 ",), ("2025-6-1",), ("2025-02-30",), (None,)], "t string")
     assert [r[0] for r in df.select(parse_iso_date("t")).collect()] == [dt.date(2025, 6, 1)] + [None] * 5
+
+
+def test_one_bad_element_is_one_reject(spark):
+    """Elements of any other type beside good records; nested values and unknown keys do no harm."""
+    mixed = [record(), 5, "text", None, [record()], True, record(value="x"), record(extra={"a": [1]}, value=2)]
+    good, rejects = LP.parse_pages(pages(spark, body(mixed, total="8"), body([7], total="1")))
+    assert sorted(r.value for r in good.collect()) == [2.0, 88.25]
+    got = sorted((r.reject_reason, r.raw_record) for r in rejects.collect())
+    assert [g for g in got if g[0] == "record: not an object"] == sorted(("record: not an object", json.dumps(x, separators=(",", ":"), sort_keys=True)) for x in [*mixed[1:6], 7])
+    assert [json.loads(g[1])["value"] for g in got if g[0] != "record: not an object"] == ["x"]
+    with pytest.raises(Exception, match="invalid record"):
+        LP.parse_pages(pages(spark, body([record(), 5], total="2")), mode="strict")[0].collect()
+
+
+def test_manifest_of_long_and_impossible_requests(spark):
+    rows = [("long", 0, body([], total="100000")), ("wild", 0, body([], total="99999999999999")), ("minus", 0, body([], total="-4"))]
+    found = LP.page_manifest(spark.createDataFrame(rows, "key string, page_offset long, body string"), "key", 10)
+    got = {r.key: r for r in found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("page_offset").alias("last"), F.sum("expected_rows").alias("rows")).collect()}
+    assert (got["long"].n, got["long"].last, got["long"].rows) == (10_000, 99_990, 100_000)
+    assert (got["wild"].n, got["wild"].rows) == (1, None) and got["minus"].n == 1

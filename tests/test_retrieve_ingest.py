@@ -134,3 +134,68 @@ def test_metadata_of_hits(spark):
     rows = RT.hits_with_metadata(RT.topk_cosine(vecs, qs, k=3), vecs).collect()
     assert len(rows) == 6 and all(r.chunk_text == f"text {r.page_number}" for r in rows)
     assert all(r.source_pdf == ("a.pdf" if r.page_number % 2 else "") for r in rows)
+
+
+PAGES = "source_pdf string, page_number int, page_text string"
+
+
+def test_store_reads_only_the_buckets_of_a_batch(spark):
+    """Each document's chunks lie in its bucket; a batch's anti-join reads its documents' buckets only."""
+    from pyspark.sql import functions as F
+
+    from voltframe.sources import store as ST
+
+    path = os.path.join(tempfile.mkdtemp(prefix="vf-store-"), "store")
+    ST.create_store(spark, path, 16)
+    pages = spark.createDataFrame([(f"d{i}.pdf", 1, f"text {i}") for i in range(100)], PAGES)
+    ingest(pages, path, batch="all")
+    assert ST.create_store(spark, path, 99) == 16  # fixed when the store was created
+    assert read_store(spark, path).columns == ["chunk_id", "source_pdf", "page_number", "chunk_index", "text", "embedding"]
+    few = pages.where("source_pdf IN ('d3.pdf', 'd4.pdf')")
+    ids = ST.stored_ids(spark, path, few)
+    plan = ids._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "ReadSchema: struct<chunk_id:string>" in plan
+    read = {r.f.split("bucket=")[1].split("/")[0] for r in ids.select(F.input_file_name().alias("f")).distinct().collect()}
+    own = {str(r.b) for r in few.select(ST.bucket_of("source_pdf", 16).alias("b")).distinct().collect()}
+    assert read == own and len(own) <= 2
+    assert {r.n_new for r in ingest(few, path).collect()} == {0}
+    # Names that make one hash input ("a|1" page 2, "a" page 1 with text "2|...") share a bucket.
+    both = spark.createDataFrame([("a|1",), ("a",)], "s string").select(ST.bucket_of("s", 1 << 20).alias("b"))
+    assert len({r.b for r in both.collect()}) == 1
+
+
+def test_batch_names_replays_and_unnamed_batches(spark):
+    """A name stands for its pages: a replay keeps the log, other pages are refused, an unnamed batch is logged
+    beside them, an empty one too, in the order of the first runs."""
+    import pytest
+
+    from voltframe.operators.ingest import BatchNameReused, ingest_log
+
+    store = os.path.join(tempfile.mkdtemp(prefix="vf-store-"), "store")
+    page = lambda *names: spark.createDataFrame([(f"{n}.pdf", 1, f"words of {n}") for n in names], PAGES)
+    assert [(r.source_pdf, r.n_new) for r in ingest(page("a"), store, batch="0").collect()] == [("a.pdf", 1)]
+    with pytest.raises(BatchNameReused):
+        ingest(page("b"), store, batch="0")
+    assert read_store(spark, store).count() == 1
+    ingest(page("b", "a"), store)
+    assert [(r.source_pdf, r.n_new) for r in ingest(page("a"), store, batch="0").collect()] == [("a.pdf", 1)]
+    ingest(page("c").limit(0), store, batch="x/../y z")
+    ingest(page("c"), store, batch="")
+    log = ingest_log(spark, store, names=True).orderBy("batch_id").collect()
+    assert [(r.n_embedded, r.n_skipped, r.embedded_so_far) for r in log] == [(1, 0, 1), (1, 1, 2), (0, 0, 2), (1, 0, 3)]
+    assert [log[i].batch for i in (0, 2, 3)] == ["0", "x/../y z", ""] and len(log[1].batch) == 32
+
+
+def test_a_batch_reads_the_stored_ids_once(spark):
+    """Statistics and append take their marks from one written join with the store."""
+    from voltframe.operators import ingest as IN
+    from voltframe.sources import store as ST
+
+    store, calls = os.path.join(tempfile.mkdtemp(prefix="vf-store-"), "store"), []
+    real = ST.stored_ids
+    IN.stored_ids = lambda *a: calls.append(a) or real(*a)
+    try:
+        ingest(spark.createDataFrame([("a.pdf", 1, "x y")], PAGES), store)
+    finally:
+        IN.stored_ids = real
+    assert len(calls) == 1

@@ -31,6 +31,51 @@ def test_stream_ingest_picks_up_only_new_files(spark):
     assert log[-1].embedded_so_far == 3
 
 
+def deliver(spark, folder, rows):
+    spark.createDataFrame(rows, "source_pdf string, page_number int, page_text string").coalesce(1).write.mode("append").parquet(folder)
+
+
+def chunks_of(df):
+    return {(r.chunk_id, r.source_pdf, r.page_number, r.chunk_index, r.text) for r in df.collect()}
+
+
+def test_a_document_over_many_deliveries_equals_one_batch(spark):
+    """Pages in order over four micro-batches, with empty pages, long pages and gaps in the numbers."""
+    from voltframe.operators.chunks import chunk_pages
+
+    base = tempfile.mkdtemp(prefix="vf-split-")
+    src, store, ckpt = (os.path.join(base, x) for x in ("src", "store", "ckpt"))
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    pages = [(f"d{d}.pdf", p, "" if (d + p) % 4 == 0 else words(f"{d}x{p}x", 1700 if p == 4 else 3 + 60 * (p % 3))) for d in range(6) for p in (1, 2, 4, 5, 8, 9, 10)]
+    for low, high in ((0, 1), (2, 4), (5, 8), (9, 10)):
+        deliver(spark, src, [r for r in pages if low <= r[1] <= high])
+    ingest_stream(spark, src, store, ckpt, max_files_per_trigger=1)
+    whole = spark.createDataFrame(pages, "source_pdf string, page_number int, page_text string")
+    assert chunks_of(read_store(spark, store)) == chunks_of(chunk_pages(whole))
+    assert len(ingest_log(spark, store).collect()) == 4
+    # A second run of the query, with pages of every document delivered again and one new page.
+    deliver(spark, src, [r for r in pages if r[1] in (2, 9)] + [("d1.pdf", 11, "the end")])
+    before = read_store(spark, store).count()
+    ingest_stream(spark, src, store, ckpt)
+    after = chunks_of(read_store(spark, store))
+    assert len(after) == before + 1 and after == chunks_of(chunk_pages(whole.unionByName(spark.createDataFrame([("d1.pdf", 11, "the end")], whole.schema))))
+
+
+def test_late_pages_and_a_second_stream_on_the_same_store(spark):
+    """A late page is carried into from its predecessor; a stream with a new checkpoint logs under its own name."""
+    base = tempfile.mkdtemp(prefix="vf-late-")
+    src, store = os.path.join(base, "src"), os.path.join(base, "store")
+    deliver(spark, src, [("a.pdf", 1, "one"), ("a.pdf", 3, "three")])
+    deliver(spark, src, [("a.pdf", 2, "two"), ("a.pdf", 4, "four")])
+    ingest_stream(spark, src, store, os.path.join(base, "c1"), max_files_per_trigger=1)
+    assert {r.text for r in read_store(spark, store).collect()} == {"one", "onethree", "onetwo", "threefour"}
+    other = os.path.join(base, "other")
+    deliver(spark, other, [("b.pdf", 1, "bee")])
+    ingest_stream(spark, other, store, os.path.join(base, "c2"))
+    log = ingest_log(spark, store, names=True).collect()
+    assert sorted(r.n_embedded for r in log) == [1, 2, 2] and len({r.batch.split("/")[0] for r in log}) == 2
+
+
 def test_tool_table_functions(spark):
     events = R.table(spark, SF001, "events")
     register_tool_functions(spark, R.generation_from_events(events), R.region_from_events(events))

@@ -118,7 +118,19 @@ def chunk_windows(windows: DataFrame, bucket_width: int = CARRY_BUCKET) -> DataF
     # shuffle by bytes into very few tasks, so the partition count is explicit: the
     # session's shuffle partitions, which a job sizes to its input.
     n_parts = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first_text = first_windows_with_carry(first, n_parts, bucket_width)
+    return _chunks(first_windows_with_carry(first, n_parts, bucket_width), windows)
+
+
+def chunk_windows_with(windows: DataFrame, carries: DataFrame) -> DataFrame:
+    """Windows -> chunks, where the text carried into a page is given: ``carries`` has one
+    ``source_pdf, page_number, carry`` for each page that is carried into."""
+    first = windows.where((F.col("window") == 0) & (F.col("n_tokens") > 0))
+    met = first.join(carries.select("source_pdf", "page_number", "carry"), ["source_pdf", "page_number"], "left")
+    return _chunks(met.select("source_pdf", "page_number", "window", F.concat(F.coalesce("carry", F.lit("")), F.col("raw")).alias("raw")), windows)
+
+
+def _chunks(first_text: DataFrame, windows: DataFrame) -> DataFrame:
+    """Chunks of the first windows as given and of the later ones among ``windows``."""
     rest = windows.where(F.col("window") > 0).select("source_pdf", "page_number", "window", "raw")
     # "Strips to empty" is tested as "has no non-whitespace character": the same rows, but a
     # scan that stops at the first character instead of a second strip (a filter on the
@@ -132,6 +144,12 @@ def chunk_windows(windows: DataFrame, bucket_width: int = CARRY_BUCKET) -> DataF
     )
 
 
+def page_tails(pages: DataFrame) -> DataFrame:
+    """``source_pdf, page_number, tail`` of the pages with tokens: what each carries into the next."""
+    tok = pages.select("source_pdf", "page_number", tokenize(normalize_text("page_text")).alias("tokens"))
+    return tok.where(F.size("tokens") > 0).select("source_pdf", "page_number", _tail_text(F.col("tokens")).alias("tail"))
+
+
 def chunk_pages(pages: DataFrame, normalized: bool = False, materialize_windows: bool = True,
                 bucket_width: int = CARRY_BUCKET) -> DataFrame:
     """Pages ``(source_pdf, page_number, page_text)`` -> chunks

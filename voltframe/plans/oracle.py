@@ -234,6 +234,11 @@ r AS (SELECT CASE page % 5 WHEN {R.PAGE_CUT_OFF} THEN 'page: not JSON' WHEN {R.P
 SELECT reject_reason, count(*) AS pages FROM r WHERE reject_reason IS NOT NULL GROUP BY reject_reason
 """
 
+SQL["page_source_range"] = f"""
+WITH p AS ({SQL["page_parse"]})
+SELECT * FROM p WHERE respondent = 'CISO' AND period >= TIMESTAMP '2024-01-03 00:00:00' AND period < TIMESTAMP '2024-01-10 00:00:00'
+"""
+
 # ---------------------------------------------------------------- step 4: tools over requests
 SQL["alias_lookup"] = f"""
 WITH q AS ({REQ}) SELECT request_id, region_raw, region FROM q
@@ -433,6 +438,18 @@ SELECT CAST(0 AS BIGINT) AS batch_id, half AS n_chunks, half AS n_embedded, CAST
 UNION ALL SELECT 1, n, n - half, half, n, half FROM h, a
 """
 
+SQL["ingest_log_batches"] = f"""
+WITH {chunks_sql(PAGES_CONV)},
+k AS (SELECT CAST(regexp_extract(source_pdf, '[0-9]+') AS BIGINT) % 3 AS part FROM chunks),
+n AS (SELECT count(*) FILTER (part = 0) AS a, count(*) FILTER (part <= 1) AS b, count(*) AS c FROM k)
+SELECT CAST(0 AS BIGINT) AS batch_id, a AS n_chunks, a AS n_embedded, CAST(0 AS BIGINT) AS n_skipped, a AS embedded_so_far,
+       CAST(0 AS BIGINT) AS skipped_so_far, 'monday' AS batch FROM n
+UNION ALL SELECT 1, b, b - a, a, b, a, 'tuesday' FROM n
+UNION ALL SELECT 2, c, c - b, b, c, a + b, 'unnamed' FROM n
+"""
+
+SQL["stream_split_document"] = SQL["cross_page_carry"]
+
 # ---------------------------------------------------------------- step 7: retrieval
 SQL["topk_cosine"] = f"""
 WITH ex AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),

@@ -164,6 +164,20 @@ def q_page_envelope_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return LP.reject_pages(saved_files(spark, sf)).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("pages"))
 
 
+@register("page_source_range")
+def q_page_source_range(spark: SparkSession, sf: str) -> DataFrame:
+    """One region and range, read through the data source of page files: its pages only."""
+    from voltframe.sources import page_source as PS
+
+    path = scratch_path(spark, f"page-files-{uuid.uuid4().hex}")
+    events = R.table(spark, sf, "events")
+    PS.register(spark)
+    PS.write_page_files(R.landed_generation_pages(events, R.SMALL_PAGE), path, "generation")
+    PS.write_page_files(R.landed_region_pages(events), path, "region")
+    good, _ = PS.read_range(spark, path, "CISO", "2024-01-03", "2024-01-09")
+    return good
+
+
 # ---------------------------------------------------------------- step 4: tools over requests
 @register("alias_lookup")
 def q_alias_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -340,14 +354,31 @@ def q_ingest_totals(spark: SparkSession, sf: str) -> DataFrame:
 def q_ingest_replay(spark: SparkSession, sf: str) -> DataFrame:
     """The log of three batches: half of the documents, the same batch replayed, and then all
     documents with every page delivered twice."""
-    from voltframe.streaming.incremental import ingest_log
-
     pages, store = pages_conv(spark, sf), fresh_store(spark)
     half = R.pages_from_conversations(R.table(spark, sf, "conversations").where(F.col("conv_id") % 2 == 0))
     IN.ingest(half, store, batch="0")
     IN.ingest(half, store, batch="0")
     IN.ingest(pages.unionByName(pages), store, batch="1")
-    return ingest_log(spark, store)
+    return IN.ingest_log(spark, store)
+
+
+@register("ingest_log_batches")
+def q_ingest_log_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The log of a store that got two named batches, a replay of the first, an attempt to use a
+    name again for other pages (refused), and a batch without a name."""
+    store = fresh_store(spark)
+    part = lambda n: R.pages_from_conversations(R.table(spark, sf, "conversations").where(F.col("conv_id") % 3 <= n))
+    IN.ingest(part(0), store, batch="monday")
+    IN.ingest(part(1), store, batch="tuesday")
+    IN.ingest(part(0), store, batch="monday")
+    try:
+        IN.ingest(part(2), store, batch="monday")
+        raise AssertionError("a name was taken for other pages")
+    except IN.BatchNameReused:
+        pass
+    IN.ingest(part(2), store)
+    log = IN.ingest_log(spark, store, names=True)
+    return log.withColumn("batch", F.when(F.col("batch").isin("monday", "tuesday"), F.col("batch")).otherwise("unnamed"))
 
 
 # ---------------------------------------------------------------- step 7: retrieval
@@ -456,6 +487,20 @@ def q_stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return ST.read_store(spark, os.path.join(base, "store")).select("chunk_id", "source_pdf", "page_number", "chunk_index")
 
 
+@register("stream_split_document")
+def q_stream_split_document(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations whose pages arrive in three files and three micro-batches: the carry over
+    each cut comes from keyed state."""
+    from voltframe.streaming.incremental import ingest_stream
+
+    base = os.path.join(checkpoint_dir(spark), "stream-split", uuid.uuid4().hex)
+    pages = pages_conv(spark, sf)
+    for part in (F.col("page_number") <= 2, F.col("page_number").between(3, 4), F.col("page_number") > 4):
+        pages.where(part).coalesce(1).write.mode("append").parquet(os.path.join(base, "pages"))
+    ingest_stream(spark, os.path.join(base, "pages"), os.path.join(base, "store"), os.path.join(base, "_checkpoint"), max_files_per_trigger=1)
+    return ST.read_store(spark, os.path.join(base, "store")).select("chunk_id", "source_pdf", "page_number", "chunk_index", "text")
+
+
 @register("tool_table_function")
 def q_tool_table_function(spark: SparkSession, sf: str) -> DataFrame:
     from voltframe.plans.sql_functions import register_tool_functions

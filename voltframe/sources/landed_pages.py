@@ -7,8 +7,10 @@ unquoted numbers both work) and exploded into records. Record validation never r
 by default: every record gets a ``reject_reason`` (NULL when good), and callers take the
 good side, the reject side, or ask for strict mode which fails the job on the first bad
 record like the source application's page validation. The same holds for pages: one whose
-envelope cannot be read (not JSON, no ``response``, ``total`` not an integer, ``data`` not
-a list of records) is a reject with its body, or an error in strict mode; no page vanishes.
+envelope cannot be read (not JSON, no ``response``, ``total`` not an integer or beyond
+``MAX_TOTAL``, ``data`` not a list) is a reject with its body, or an error in strict mode; no
+page vanishes. Bodies are decoded as VARIANT, whose list keeps every element whatever its
+type: an element that is no object is a reject of its own, and the records beside it count.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from voltframe.schema import RAW_GENERATION_RECORD, RAW_REGION_RECORD, envelope
 
 
 INTEGER = r"^\s*[+-]?\d+\s*$"
+MAX_TOTAL = 1_000_000_000  # records of one request; a page that states more is a reject
+PAGE_BLOCK = 4096  # expected pages listed from one row
 
 
 # ----------------------------------------------------------------------------- landing
@@ -80,33 +84,41 @@ def read_landed_pages(spark: SparkSession, path: str, one_page_per_file: bool =
 
 
 # ----------------------------------------------------------------------------- parsing
-def _page_reason(env: Column) -> Column:
+def _page_reason(page: Column, total: Column, data: Column) -> Column:
     """Why a page's envelope is unusable; NULL for a good page."""
-    response = env["response"]
+    response = F.schema_of_variant(F.try_variant_get(page, "$.response", "variant"))
+    number = total.try_cast("long")
     return (
-        F.when(F.try_parse_json(F.col("body")).isNull(), F.lit("page: not JSON"))
-        .when(response.isNull(), F.lit("page: response missing"))
-        .when(~F.coalesce(response["total"].rlike(INTEGER), F.lit(False)) | response["total"].try_cast("long").isNull(), F.lit("page: total not an integer"))
-        .when(response["data"].isNull(), F.lit("page: data not a list of records"))
+        F.when(page.isNull(), F.lit("page: not JSON"))
+        .when(~F.coalesce(response.startswith("OBJECT"), F.lit(False)), F.lit("page: response missing"))
+        .when(~F.coalesce(total.rlike(INTEGER), F.lit(False)), F.lit("page: total not an integer"))
+        .when(number.isNull() | (F.abs(number) > MAX_TOTAL), F.lit("page: total out of range"))
+        .when(data.isNull(), F.lit("page: data not a list of records"))
     )
 
 
 def read_envelopes(pages: DataFrame, record_schema: T.StructType, keep: list[str] | None = None) -> DataFrame:
-    """One row per page: ``keep, body, total, data, page_reason`` (NULL for a good page).
+    """One row per page: ``keep, body, total, data, page_reason`` (NULL for a good page); ``data`` is the
+    list of the page's elements as VARIANT.
 
     Decoded once: the columns come out of a one-element generator, so that filters on them
     stay above it.
     """
-    env = F.from_json(F.col("body"), envelope(record_schema))
-    decoded = pages.select(*(keep or []), "body", env.alias("__env")).select(
+    parsed = pages.select(*(keep or []), "body", F.inline_outer(F.array(F.struct(F.try_parse_json("body").alias("__page")))))
+    page = F.col("__page")
+    total, data = F.try_variant_get(page, "$.response.total", "string"), F.try_variant_get(page, "$.response.data", "array<variant>")
+    return parsed.select(
         *(keep or []), "body",
         F.inline_outer(F.array(F.struct(
-            F.col("__env.response.total").try_cast("long").alias("total"),
-            F.col("__env.response.data").alias("data"),
-            _page_reason(F.col("__env")).alias("page_reason"),
+            total.try_cast("long").alias("total"), data.alias("data"), _page_reason(page, total, data).alias("page_reason"),
         ))),
     )
-    return decoded
+
+
+def _record(element: Column, record_schema: T.StructType) -> Column:
+    """An element as a raw record, every scalar as text; NULL if it is no object."""
+    fields = [F.try_variant_get(element, f"$['{f.name}']", "string").alias(f.name) for f in record_schema.fields]
+    return F.when(F.schema_of_variant(element).startswith("OBJECT"), F.struct(*fields))
 
 
 def reject_pages(pages: DataFrame, record_schema: T.StructType = RAW_GENERATION_RECORD, keep: list[str] | None = None) -> DataFrame:
@@ -116,7 +128,8 @@ def reject_pages(pages: DataFrame, record_schema: T.StructType = RAW_GENERATION_
 
 
 def explode_envelope(pages: DataFrame, record_schema: T.StructType, keep: list[str] | None = None, strict: bool = False) -> DataFrame:
-    """One row per record of the readable pages: ``keep, total, record_pos, rec``.
+    """One row per element of the readable pages: ``keep, total, record_pos, rec, element``; ``rec`` is NULL
+    for an element that is no object.
 
     Unreadable pages are in :func:`reject_pages`; with ``strict`` they fail the job.
     """
@@ -128,8 +141,11 @@ def explode_envelope(pages: DataFrame, record_schema: T.StructType, keep: list[s
         data = F.when(F.col("page_reason").isNotNull(), fail).otherwise(data)
     else:
         data = F.when(F.col("page_reason").isNull(), data)
-    exploded = env.select(*keep, "total", F.posexplode_outer(data).alias("record_pos", "rec"))
-    return exploded.where(F.col("record_pos").isNotNull())  # a page without records
+    exploded = env.select(*keep, "total", F.posexplode_outer(data).alias("record_pos", "element"))
+    exploded = exploded.where(F.col("record_pos").isNotNull())  # a page without records
+    # The fields are taken out of the element once, whatever reads them later.
+    return exploded.select(*keep, "total", "record_pos", F.inline_outer(F.array(F.struct(
+        _record(F.col("element"), record_schema).alias("rec"), F.to_json("element").alias("element")))))
 
 
 def _either(a: str, b: str) -> Column:
@@ -174,7 +190,7 @@ def validate_records(exploded: DataFrame, kind: str = "generation", keep: list[s
     # Typed columns and reason are built in one projection and come out of a one-element
     # generator: a filter on ``reject_reason`` then stays above it, instead of being pushed
     # down with every parse check inlined and the parses run a second time.
-    checked = F.struct(*_typed(kind_col, columns), _reason(kind_col).alias("reject_reason"), F.col("rec").alias("raw"))
+    checked = F.struct(*_typed(kind_col, columns), _reason(kind_col).alias("reject_reason"), F.col("rec").alias("raw"), F.col("element").alias("raw_text"))
     return exploded.select(*(keep or []), F.inline_outer(F.array(checked)))
 
 
@@ -201,7 +217,7 @@ def parse_pages(pages: DataFrame, kind: str = "generation", mode: str = "quarant
             ],
         )
     rejects = checked.where(F.col("reject_reason").isNotNull()).select(
-        *(keep or []), F.to_json("raw").alias("raw_record"), "reject_reason"
+        *(keep or []), F.col("raw_text").alias("raw_record"), "reject_reason"
     )
     return good, rejects.unionByName(reject_pages(pages, schema, keep).withColumnRenamed("body", "raw_record"))
 
@@ -220,15 +236,15 @@ def page_manifest(pages: DataFrame, key_col: str, page_limit: int = PAGE_LIMIT,
         F.get_json_object("body", "$.response.total").try_cast("long").alias("total"),
         F.json_array_length(F.get_json_object("body", "$.response.data")).cast("long").alias("landed_rows"),
     )
-    totals = landed.groupBy(key_col).agg(F.max("total").alias("total"))
+    stated = F.when(F.col("total").between(0, MAX_TOTAL), F.col("total"))  # any other is a page reject
+    totals = landed.groupBy(key_col).agg(F.max(stated).alias("total"))
     if requests is not None:
         totals = requests.select(key_col).distinct().join(totals, key_col, "left")
-    n_pages = F.greatest(F.lit(1), F.ceil(F.coalesce("total", F.lit(0)) / page_limit))
-    expected = totals.select(
-        key_col,
-        "total",
-        F.explode(F.sequence(F.lit(0), (n_pages - 1).cast("int"))).alias("__p"),
-    ).select(
+    n_pages = F.greatest(F.lit(1).cast("long"), F.ceil(F.coalesce("total", F.lit(0)) / page_limit))
+    blocks = totals.select(key_col, "total", n_pages.alias("__n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n_pages - 1) / PAGE_BLOCK))).alias("__b"))
+    page = F.explode(F.sequence(F.col("__b") * PAGE_BLOCK, F.least(F.col("__n"), (F.col("__b") + 1) * PAGE_BLOCK) - 1))
+    # Dealt out by block, so that one long request does not list all its pages in one task.
+    expected = blocks.repartition(key_col, "__b").select(key_col, "total", page.alias("__p")).select(
         key_col,
         (F.col("__p") * page_limit).cast("long").alias("page_offset"),
         F.when(F.col("total").isNotNull(), F.least(F.lit(page_limit), F.col("total") - F.col("__p") * page_limit)).cast("long").alias("expected_rows"),

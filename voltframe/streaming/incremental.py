@@ -3,23 +3,37 @@
 New page files are picked up by a file-source stream; each micro-batch is ingested
 with :func:`voltframe.operators.ingest.ingest`, whose anti-join against the store makes a
 replayed batch a no-op, so the sink is idempotent under at-least-once delivery. The
-stream's checkpoint records which files were processed. Per-batch statistics are written
-to ``<store>/_ingest_log`` under the batch id, once: a replayed batch keeps its first log
-(running totals are a window over that log).
+stream's checkpoint records which files were processed. Per-batch statistics are logged
+once, under the query's id and the batch's number, so several streams (and streams with a
+new checkpoint) can feed one store.
 
-A document's pages must arrive in one file (as a document is ingested whole): the carry
-between pages is computed within a micro-batch.
+The pages of a document may arrive in several files and micro-batches: the carry between
+pages comes from keyed state (:mod:`voltframe.streaming.carry`). In the stream a page
+travels as it is, and beside it, from the stateful operator, the text carried into it; the
+two meet in the micro-batch. A micro-batch is written to the shared folder before anything
+reads it, so the stateful operator runs once.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltframe.operators.ingest import STATS, ingest, log_path
+from voltframe.operators.ingest import ingest, ingest_log
 from voltframe.schema import PAGES
+from voltframe.session import drop_materialized, materialize
+from voltframe.streaming.carry import carries
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def query_id(spark: SparkSession, checkpoint_location: str) -> str:
+    """Id of the streaming query that owns a checkpoint; it stays the same over restarts."""
+    return json.loads(spark.read.text(f"{checkpoint_location.rstrip('/')}/metadata").first()[0])["id"]
 
 
 def ingest_stream(
@@ -37,7 +51,9 @@ def ingest_stream(
     """Start (and with ``available_now`` run to completion) the incremental ingest.
 
     ``to_pages`` maps source rows to ``(source_pdf, page_number, page_text)`` when the
-    files hold something else. Returns the finished (or running) ``StreamingQuery``.
+    files hold something else. ``max_files_per_trigger`` bounds a micro-batch. The state
+    store is RocksDB, which keyed state needs. Returns the finished (or running)
+    ``StreamingQuery``.
     """
     reader = spark.readStream.format(source_format).schema(source_schema)
     if glob:
@@ -45,12 +61,21 @@ def ingest_stream(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     stream = reader.load(source_dir)
+    pages = (to_pages(stream) if to_pages else stream).select("source_pdf", F.col("page_number").cast("int").alias("page_number"), "page_text")
+    null = F.lit(None).cast("string")
+    both = pages.select("*", null.alias("carry"), F.lit(True).alias("is_page")).unionByName(
+        carries(pages).select("source_pdf", "page_number", null.alias("page_text"), "carry", F.lit(False).alias("is_page")))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        pages = to_pages(batch) if to_pages else batch
-        ingest(pages, store_path, batch=str(batch_id))
+        landed = materialize(batch, "stream-batch")
+        ingest(
+            landed.where("is_page").select("source_pdf", "page_number", "page_text"), store_path,
+            batch=f"{query_id(spark, checkpoint_location)}/{batch_id}",
+            carries=landed.where("NOT is_page").select("source_pdf", "page_number", "carry"))
+        drop_materialized(landed)
 
-    writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    writer = both.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     query = writer.start()
     if available_now:
@@ -58,16 +83,4 @@ def ingest_stream(
     return query
 
 
-def ingest_log(spark: SparkSession, store_path: str) -> DataFrame:
-    """Per-batch, per-document statistics with running totals per batch order."""
-    from pyspark.sql import Window
-
-    log = spark.read.schema(f"{STATS}, batch string").parquet(log_path(store_path))
-    per_batch = log.groupBy(F.col("batch").cast("long").alias("batch_id")).agg(
-        F.sum("n_chunks").alias("n_chunks"), F.sum("n_new").alias("n_embedded"), F.sum("n_skipped").alias("n_skipped")
-    )
-    w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)  # one row per batch
-    return per_batch.select(
-        "batch_id", "n_chunks", "n_embedded", "n_skipped",
-        F.sum("n_embedded").over(w).alias("embedded_so_far"), F.sum("n_skipped").over(w).alias("skipped_so_far"),
-    )
+__all__ = ["ingest_log", "ingest_stream", "query_id"]
