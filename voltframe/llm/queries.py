@@ -161,6 +161,8 @@ def op13_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voltframe.llm import recurrent_lm
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = recurrent_lm.fit(docs.where(~recurrent_lm.held_out("doc_id")))
-    found = recurrent_lm.score(docs, model)
+    learned = ~recurrent_lm.held_out("doc_id")
+    model = recurrent_lm.learn_counts(docs.where(learned))
+    encoded = recurrent_lm.encode(docs, model.counts)
+    found = recurrent_lm.score_encoded(encoded, recurrent_lm.learn_weights(encoded.where(learned), model))
     return found.select("doc_id", recurrent_lm.held_out("doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -11,7 +11,7 @@ end. The model gives a whole document its log10 probability:
   there a word has its share of the class's counts, ``(c + 0.5) / (N + 0.5 (V + 1))``, so
   every word, seen or not, has a probability.
 * The weights are learned by truncated backpropagation through time: gradients end at the edge
-  of a window of 16 tokens, the state does not.
+  of a window of 32 tokens, the state does not.
 
 Beside it stands the base score, the sum over tokens of ``log10((c + 0.5) / (N + 0.5 (V + 1)))``.
 
@@ -31,10 +31,10 @@ Plan and bounds:
   by word, and sums come back by row number. Frequent words never travel, rare ones have no hot key.
 * A round's weights (about 0.13 MB a task) are summed in ``SUMMANDS`` tasks as they stream by,
   then on the driver. The driver holds the frequent words and the weights, nothing else.
+* Texts are split into words a megabyte at a time and held as 2 bytes a token. These codes are
+  written to the shared folder once, for all rounds of learning and for scoring, with row
+  numbers that are thereby fixed; a lost executor repeats tasks of the pass it was in.
 * Scoring batches documents in lanes, the longest first; a lane that ends takes the next.
-  Texts are split a megabyte at a time, held as 2 bytes a token.
-* Scores of a pass are written to the shared folder, so a lost executor repeats tasks of
-  that pass only.
 
 Edge cases: a null text is empty and has the end alone. A row without an id is not held out.
 Rows that repeat an id are documents each. Without training documents all counts are 0 and the
@@ -64,16 +64,15 @@ CLASSES = 16
 SHAPES = 16
 HEAD_WORDS = 1 << 17
 HEAD_BYTES = 64
-FLUSH_WORDS = 400_000
+FLUSH_WORDS = 200_000
 HIDDEN = 16
 EMBED = 12
-WINDOW = 32  # tokens of a lane scored together
-TRAIN_WINDOW = 16  # tokens through which gradients go back
+WINDOW = 32  # tokens of a lane scored together, and through which gradients go back
 TRAIN_LANES = 128
 SCORE_LANES = 256
-GROUP_TOKENS = 3_000_000
+GROUP_TOKENS = 2_000_000
 PART_TOKENS = 1024  # of a document in training
-RATE = 0.01
+RATE = 0.012
 ROUNDS = 2
 SUMMANDS = 16
 END = 0  # code of the end; it also stands before the first token
@@ -322,7 +321,7 @@ class Learner:
         """Every token of ``docs`` once, in mixed order, long documents in parts, so that lanes stay filled."""
         parts = [d[k:k + PART_TOKENS + 1] for d in docs for k in range(0, len(d) - 1, PART_TOKENS)]
         order = np.random.default_rng(self.step).permutation(len(parts)).tolist()
-        each_window(parts, order, TRAIN_LANES, TRAIN_WINDOW, self._window)
+        each_window(parts, order, TRAIN_LANES, WINDOW, self._window)
 
     def _window(self, inputs, targets, live, doc, h):
         n = int(live.sum())
@@ -475,19 +474,68 @@ def _encoder(shared) -> Encoder:
     return _ENCODERS[counts.key]
 
 
-def train_round(docs: DataFrame, shared, layout: Layout, weights: dict[str, np.ndarray], text_col: str = "text",
-                group_tokens: int = GROUP_TOKENS) -> dict[str, np.ndarray]:
+def encode(docs: DataFrame, counts: Counts, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Documents as codes, written to the shared folder: texts are split into words once, for learning and for scoring.
+
+    A row number (``__row``), ``keep`` columns, ``codes`` (2 bytes each, an end before and behind), sums of ``log10(c + 0.5)`` over the
+    frequent words (``logs``) and over those of them without a code of their own (``shape_logs``), and the other
+    words with how often they stand there (``tail``).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared)
+
+        def group(part: pa.RecordBatch, held: list) -> pa.RecordBatch:
+            tails = [h[3] for h in held]
+            flat_words = pa.StructArray.from_arrays(
+                [pa.array([w for t in tails for w in t], pa.binary()), pa.array([n for t in tails for n in t.values()], pa.int64())], names=["word", "n"])
+            tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tails])]), pa.int32()), flat_words)
+            made = [pa.array([h[0].tobytes() for h in held], pa.binary()), pa.array([h[1] for h in held]), pa.array([h[2] for h in held]), tail]
+            return pa.RecordBatch.from_arrays([part.column(c) for c in ("__row", *keep)] + made, names=["__row", *keep, "codes", "logs", "shape_logs", "tail"])
+
+        for batch in batches:
+            text, at, held, size = batch.column("__text"), 0, [], 0
+            for i in range(batch.num_rows):
+                held.append(encoder.encode(text[i].as_buffer().to_pybytes()))
+                size += len(held[-1][0])
+                if size >= GROUP_TOKENS:
+                    yield group(batch.slice(at, len(held)), held)
+                    at, held, size = i + 1, [], 0
+            if held:
+                yield group(batch.slice(at, len(held)), held)
+            del batch, text
+            pa.default_memory_pool().release_unused()
+
+    wanted = docs.select(F.monotonically_increasing_id().alias("__row"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    kept = "".join(f"`{n}` {wanted.schema[n].dataType.simpleString()}, " for n in keep)
+    made = wanted.mapInArrow(run, f"__row long, {kept}codes binary, logs double, shape_logs double, tail array<struct<word: binary, n: bigint>>")
+    return materialize(made, "lm-codes")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], group_tokens: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows with their codes, about ``group_tokens`` tokens at a time."""
+    for batch in batches:
+        codes, at, held, size = batch.column("codes"), 0, [], 0
+        for i in range(batch.num_rows):
+            held.append(np.frombuffer(codes[i].as_buffer(), dtype=np.int16))
+            size += len(held[-1])
+            if size >= group_tokens or i == batch.num_rows - 1:
+                yield batch.slice(at, len(held)), held
+                at, held, size = i + 1, [], 0
+
+
+def train_round(codes: DataFrame, layout: Layout, weights: dict[str, np.ndarray], group_tokens: int = GROUP_TOKENS) -> dict[str, np.ndarray]:
     """Weights after every task went on from ``weights`` with its own documents, averaged by tokens."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, learner, held, size = _encoder(shared), Learner(weights, layout), [], 0
-        for batch in batches:
-            for text in batch.column("text"):
-                held.append(encoder.encode(text.as_buffer().to_pybytes())[0])
-                size += len(held[-1])
-                if size >= group_tokens:
-                    learner.learn(held)
-                    held, size = [], 0
+        learner, held, size = Learner(weights, layout), [], 0
+        for _, docs in _grouped(batches, group_tokens):
+            held += docs
+            size += sum(len(d) for d in docs)
+            if size >= group_tokens:
+                learner.learn(held)
+                held, size = [], 0
         learner.learn(held)
         if learner.tokens:
             task = TaskContext.get().partitionId()
@@ -502,8 +550,7 @@ def train_round(docs: DataFrame, shared, layout: Layout, weights: dict[str, np.n
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([tokens], pa.int64()), pa.array([total.astype(np.float64).tobytes()], pa.binary())], names=["task", "tokens", "weights"])
 
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = texts.mapInArrow(learn, "slot int, task int, tokens long, weights binary").repartition(SUMMANDS, "slot").sortWithinPartitions("task")
+    found = codes.mapInArrow(learn, "slot int, task int, tokens long, weights binary").repartition(SUMMANDS, "slot").sortWithinPartitions("task")
     rows = sorted(found.mapInArrow(add, "task int, tokens long, weights binary").collect(), key=lambda r: r["task"])
     if not rows:
         return weights
@@ -521,76 +568,68 @@ class Model:
     weights: dict[str, np.ndarray]
 
 
-def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, head_words: int = HEAD_WORDS, group_tokens: int = GROUP_TOKENS) -> Model:
-    """Counts and weights from all of ``docs``, each document in one of ``rounds``."""
-    spark = docs.sparkSession
+def learn_counts(docs: DataFrame, text_col: str = "text", head_words: int = HEAD_WORDS) -> Model:
+    """Counts of all words of ``docs``, and weights as they begin."""
     table = materialize(word_counts(docs, text_col), "lm-counts")
     counts = summarise(table, docs.select(text_col).count(), head_words)
-    layout, shared = counts.layout(), spark.sparkContext.broadcast(counts)
-    weights = counts.weights(layout)
+    layout = counts.layout()
+    return Model(counts, table, layout, counts.weights(layout))
+
+
+def learn_weights(encoded: DataFrame, model: Model, rounds: int = ROUNDS, group_tokens: int = GROUP_TOKENS) -> Model:
+    """``model`` after learning from all documents of ``encoded``, each in one of ``rounds``."""
+    weights = model.weights
     for k in range(rounds):
-        part = docs.where(F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(rounds)) == k)
-        weights = train_round(part, shared, layout, weights, text_col, group_tokens)
-    return Model(counts, table, layout, weights)
+        part = encoded.where(F.pmod(F.xxhash64("codes"), F.lit(rounds)) == k).select("codes")
+        weights = train_round(part, model.layout, weights, group_tokens)
+    return Model(model.counts, model.table, model.layout, weights)
+
+
+def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, head_words: int = HEAD_WORDS, group_tokens: int = GROUP_TOKENS) -> Model:
+    """Counts and weights from all of ``docs``."""
+    model = learn_counts(docs, text_col, head_words)
+    return learn_weights(encode(docs, model.counts, text_col, ()), model, rounds, group_tokens)
 
 
 def _log10(x: np.ndarray | float) -> np.ndarray:
     return np.log10(np.asarray(x, dtype=np.float64))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """``keep`` columns and ``n_tokens, n_known, train_tokens, base_score, score`` of every document."""
+def score_encoded(encoded: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """``keep`` columns and ``n_tokens, n_known, train_tokens, base_score, score`` of every document of
+    :func:`encode`."""
     c, layout, weights = model.counts, model.layout, model.weights
-    shared = docs.sparkSession.sparkContext.broadcast(c)
-    shape_total = _log10(c.shape_n + 0.5 * (c.shape_v + 1))
+    shape_total, first_shape = _log10(c.shape_n + 0.5 * (c.shape_v + 1)), c.own + 1
     end_log, all_total = float(_log10(c.docs + 0.5)), float(_log10(c.tokens + 0.5 * (c.distinct + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
-
-        def group(part: pa.RecordBatch, held: list) -> pa.RecordBatch:
-            codes = [h[0] for h in held]
+        for part, codes in _grouped(batches, group_tokens):
             net = log_probabilities(weights, layout, codes) / np.log(10)
-            rare = [np.bincount(x[x >= encoder.first_shape] - encoder.first_shape, minlength=SHAPES) for x in codes]
-            tails = [h[3] for h in held]
-            flat_words = pa.StructArray.from_arrays(
-                [pa.array([w for t in tails for w in t], pa.binary()), pa.array([n for t in tails for n in t.values()], pa.int64())], names=["word", "n"])
-            tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tails])]), pa.int32()), flat_words)
-            n = [len(x) - 1 for x in codes]
-            return pa.RecordBatch.from_arrays(
-                [part.column(i) for i in range(part.num_columns - 1)] + [
-                    pa.array(n, pa.int64()), pa.array([x - t.total() - (c.docs == 0) for x, t in zip(n, tails)], pa.int64()),
-                    pa.array([h[1] + end_log - x * all_total for h, x in zip(held, n)], pa.float64()),
-                    pa.array([x + h[2] - float(r @ shape_total) for x, h, r in zip(net, held, rare)], pa.float64()), tail],
-                names=["__row", *keep, "n_tokens", "__known", "__base", "__net", "__tail"])
-
-        for batch in batches:
-            text, at, held, size = batch.column("__text"), 0, [], 0
-            for i in range(batch.num_rows):
-                held.append(encoder.encode(text[i].as_buffer().to_pybytes()))
-                size += len(held[-1][0])
-                if size >= group_tokens:
-                    yield group(batch.slice(at, len(held)), held)
-                    at, held, size = i + 1, [], 0
-            if held:
-                yield group(batch.slice(at, len(held)), held)
-            del batch, text
-            pa.default_memory_pool().release_unused()
+            rare = np.array([np.bincount(x[x >= first_shape] - first_shape, minlength=SHAPES) @ shape_total for x in codes])
+            n = np.array([len(x) - 1 for x in codes])
+            logs, shape_logs, others = (np.asarray(part.column(x)) for x in ("logs", "shape_logs", "n_tail"))
+            made = [pa.array(n, pa.int64()), pa.array(n - others - (c.docs == 0), pa.int64()), pa.array(logs + end_log - n * all_total), pa.array(net + shape_logs - rare)]
+            yield pa.RecordBatch.from_arrays([part.column("__row"), *[part.column(x) for x in keep], *made], names=["__row", *keep, "n_tokens", "__known", "__base", "__net"])
 
-    wanted = docs.select(F.monotonically_increasing_id().alias("__row"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    kept = ", ".join(f"`{n}` {wanted.schema[n].dataType.simpleString()}" for n in keep)
-    out = f"__row long, {kept}, n_tokens long, __known long, __base double, __net double, __tail array<struct<word: binary, n: bigint>>"
-    scored = materialize(wanted.mapInArrow(run, out), "lm-scores")  # row numbers are fixed once they are written
+    rare = encoded.where(F.size("tail") > 0).select(F.col("__row").alias("__at"), F.inline("tail")).join(model.table.select("word", F.col("n").alias("__c")), "word", "left")
     # Decimal sums do not depend on the order of rows.
-    rare = scored.select(F.col("__row").alias("__at"), F.inline("__tail")).join(model.table.select("word", F.col("n").alias("__c")), "word", "left")
     log_c = (F.log10(F.coalesce(F.col("__c"), F.lit(0)) + 0.5) * F.col("n")).cast("decimal(30,12)")
     sums = rare.groupBy("__at").agg(F.sum(log_c).cast("double").alias("__logs"), F.sum(F.when(F.col("__c").isNotNull(), F.col("n")).otherwise(0)).alias("__more"))
-    met = scored.drop("__tail").join(sums, F.col("__row") == F.col("__at"), "left").na.fill(0, ["__logs", "__more"])
+    n_tail = F.aggregate("tail", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_tail")
+    wanted = encoded.select("__row", *keep, "codes", "logs", "shape_logs", n_tail)
+    kept = "".join(f"`{n}` {wanted.schema[n].dataType.simpleString()}, " for n in keep)
+    scored = wanted.mapInArrow(run, f"__row long, {kept}n_tokens long, __known long, __base double, __net double")
+    met = scored.join(sums, F.col("__row") == F.col("__at"), "left").na.fill(0, ["__logs", "__more"])
     return met.select(
         *keep, "n_tokens", (F.col("__known") + F.col("__more")).alias("n_known"), F.lit(c.tokens).cast("long").alias("train_tokens"),
         (F.col("__base") + F.col("__logs")).alias("base_score"), (F.col("__net") + F.col("__logs")).alias("score"))
 
 
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """:func:`score_encoded` of documents with texts."""
+    return score_encoded(encode(docs, model.counts, text_col, keep), model, keep, group_tokens)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows kept out of training: crc32 of the id as text, modulo 5, is 1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
