@@ -482,7 +482,7 @@ def q_stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     docs_schema = R.table(spark, sf, "documents").schema
     ingest_stream(
         spark, sf, os.path.join(base, "store"), os.path.join(base, "_checkpoint"),
-        to_pages=R.pages_from_documents, source_schema=docs_schema, glob="documents.parquet",
+        to_pages=R.pages_from_documents, source_schema=docs_schema, glob="documents.parquet", split_documents=False,
     )
     return ST.read_store(spark, os.path.join(base, "store")).select("chunk_id", "source_pdf", "page_number", "chunk_index")
 

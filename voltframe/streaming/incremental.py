@@ -47,13 +47,15 @@ def ingest_stream(
     glob: str | None = None,
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
+    split_documents: bool = True,
 ):
     """Start (and with ``available_now`` run to completion) the incremental ingest.
 
     ``to_pages`` maps source rows to ``(source_pdf, page_number, page_text)`` when the
-    files hold something else. ``max_files_per_trigger`` bounds a micro-batch. The state
-    store is RocksDB, which keyed state needs. Returns the finished (or running)
-    ``StreamingQuery``.
+    files hold something else. ``max_files_per_trigger`` bounds a micro-batch. Where every
+    document is known to arrive whole in one file, ``split_documents=False`` saves the keyed
+    state; the state store is RocksDB, which keyed state needs. Returns the finished (or
+    running) ``StreamingQuery``.
     """
     reader = spark.readStream.format(source_format).schema(source_schema)
     if glob:
@@ -63,18 +65,19 @@ def ingest_stream(
     stream = reader.load(source_dir)
     pages = (to_pages(stream) if to_pages else stream).select("source_pdf", F.col("page_number").cast("int").alias("page_number"), "page_text")
     null = F.lit(None).cast("string")
-    both = pages.select("*", null.alias("carry"), F.lit(True).alias("is_page")).unionByName(
-        carries(pages).select("source_pdf", "page_number", null.alias("page_text"), "carry", F.lit(False).alias("is_page")))
+    both = pages.select("*", null.alias("carry"), F.lit(True).alias("is_page"))
+    if split_documents:
+        both = both.unionByName(carries(pages).select("source_pdf", "page_number", null.alias("page_text"), "carry", F.lit(False).alias("is_page")))
+        spark.conf.set(STATE_STORE, ROCKSDB)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         landed = materialize(batch, "stream-batch")
         ingest(
             landed.where("is_page").select("source_pdf", "page_number", "page_text"), store_path,
             batch=f"{query_id(spark, checkpoint_location)}/{batch_id}",
-            carries=landed.where("NOT is_page").select("source_pdf", "page_number", "carry"))
+            carries=landed.where("NOT is_page").select("source_pdf", "page_number", "carry") if split_documents else None)
         drop_materialized(landed)
 
-    spark.conf.set(STATE_STORE, ROCKSDB)
     writer = both.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     query = writer.start()
