@@ -16,7 +16,8 @@ language, code, tables, lists), and length and links alone decide: a long block
 links is good, and so is a short one if the page has no long one.
 
 Second pass: undecided blocks take the label of their nearest decided neighbour; a tie
-goes to good inside the article zone and where length and links decide, and to bad outside. Without any decided neighbour a
+goes to good inside the article zone and where length and links decide, and to bad outside. Inside
+the article zone a block of links is left out, but says nothing about the blocks beside it. Without any decided neighbour a
 block of the article zone is good, and so is one of a page that has no such zone. If a
 page has an article zone with text, blocks outside it are bad.
 
@@ -36,6 +37,7 @@ named like a result column are replaced; others pass through.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -74,6 +76,14 @@ WEAK_WORDS = frozenset("aside header hidden search sidebar".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 # Words that make the next one a part of the layout: content-with-comments.
 LAYOUT_WORDS = frozenset("with without has have no".split())
+# Words that make the one before them a state, a use or a subject: menu-open, hidden-print, notice-of-election.
+STATE_WORDS = frozenset("open opened closed collapsed expanded active enabled disabled on off print of xs sm md lg".split())
+# Words whose elements are no wrappers of the article, however much prose they hold.
+NEVER_WORDS = frozenset("""
+ad ads advert advertisement advertising adverts comment comments commentlist consent cookie cookies copyright disqus footer gdpr
+newsletter recommended related replies reply respond sponsored
+""".split())
+WRAPS = 0.8  # share of a page's prose
 #: A p, li, ... that opens ends the one before it.
 ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -113,40 +123,60 @@ def _names_content(token: str) -> bool:
     return bool(words & (CONTENT_WORDS - {"text", "body"})) or (bool(words) and words <= CONTENT_WORDS)
 
 
-def _is_other(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+def _kind_words(token: str) -> set[str]:
+    """Words of a class or id, without those that state a layout."""
+    out: set[str] = set()
+    for value in (token.lower(), re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()):
+        words = _NAME.findall(value)
+        for before, word, after in zip(["", *words], words, [*words[1:], ""]):
+            if before not in LAYOUT_WORDS and after not in STATE_WORDS:
+                out.add(word)
+    return out
+
+
+PART, MAYBE, OTHER = 0, 1, 2  # of the page; other unless it wraps the article; other
+
+
+def _is_other(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> int:
+    if tag == "form":
+        return MAYBE
     if tag in OTHER_TAGS or (tag == "header" and not in_article):
-        return True
+        return OTHER
     words: set[str] = set()
     tokens: list[str] = []
     for key, value in attrs:
         if key in ("class", "id"):
-            words |= _names(value)
             tokens += (value or "").split()
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and value and _HIDDEN.search(value.lower())):
-            return True
+            return OTHER
         elif key == "role" and value and value.lower() in OTHER_ROLES:
-            return True
+            return OTHER
+    for token in tokens:
+        words |= _kind_words(token)
     if tag in ("html", "body", "main") or not words:
-        return False
+        return PART
+    kind = OTHER if words & NEVER_WORDS else MAYBE
     if words & OTHER_WORDS:
         # <div class="main-content with-comments"> names its layout, not its kind.
         if {"main", "content"} <= words:
-            return False
+            return PART
         # <article class="post tag-cookies"> and <div class="entry-content comments-open"> are
         # the article; <div class="entry-content comments"> is not.
         if any(map(_names_other, tokens)) or not (tag == "article" or any(map(_names_content, tokens))):
-            return True
-    return bool(words & WEAK_WORDS) and not (words & CONTENT_WORDS) and not ("header" in words and in_article)
+            return kind
+    return MAYBE if words & WEAK_WORDS and not (words & CONTENT_WORDS) and not ("header" in words and in_article) else PART
 
 
 class _Blocks(HTMLParser):
-    """Blocks ``[text parts, link characters, inside the article zone]`` of one page."""
+    """Blocks ``(text, link characters, inside the article zone, elements around it that may be other)`` of one page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # element, is other, opens the article zone
-        self.other = self.links = self.zone = 0
-        self.blocks: list[tuple[str, int, bool]] = []
+        self.open: list[tuple[str, int, bool]] = []  # element, kind, opens the article zone
+        self.count: Counter[str] = Counter()  # of open elements
+        self.other = self.links = self.zone = self.number = 0
+        self.maybe: list[int] = []  # numbers of the open elements that may be other
+        self.blocks: list[tuple[str, int, bool, tuple[int, ...]]] = []
         self.parts: list[str] = []
         self.link_chars = 0
 
@@ -154,12 +184,15 @@ class _Blocks(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append((text, self.link_chars, self.zone > 0))
+                self.blocks.append((text, self.link_chars, self.zone > 0, tuple(self.maybe)))
             self.parts, self.link_chars = [], 0
 
     def _pop(self) -> None:
-        tag, other, zone = self.open.pop()
-        self.other -= other
+        tag, kind, zone = self.open.pop()
+        self.count[tag] -= 1
+        self.other -= kind == OTHER
+        if kind == MAYBE:
+            self.maybe.pop()
         self.zone -= zone
         self.links -= tag == "a"
 
@@ -167,6 +200,13 @@ class _Blocks(HTMLParser):
         while len(self.open) > at:
             self._pop()
 
+    def _last(self, tag: str) -> int:
+        """Place of the innermost open ``tag``, of which there is one."""
+        at = len(self.open) - 1
+        while self.open[at][0] != tag:
+            at -= 1
+        return at
+
     def handle_starttag(self, tag, attrs) -> None:
         block = tag in BLOCK_TAGS
         if block:
@@ -175,31 +215,32 @@ class _Blocks(HTMLParser):
             self.parts.append(" ")
         if tag in VOID_TAGS:
             return
-        names = [t for t, _, _ in self.open]
-        if block and "p" in names[-6:]:  # a paragraph ends where the next block begins
-            self._close(len(names) - 1 - names[::-1].index("p"))
-        elif tag in ENDS_SAME and names and names[-1] in ENDS_SAME[tag]:
-            self._close(len(names) - 1)
-        if tag == "a" and self.links and "a" in [t for t, _, _ in self.open]:  # links do not nest
-            self._close([t for t, _, _ in self.open].index("a"))
-        other = _is_other(tag, attrs, self.zone > 0)
-        zone = not other and (tag in ("article", "main") or any(k == "role" and v == "main" for k, v in attrs) or any(k == "itemprop" and v == "articleBody" for k, v in attrs))
+        if block and any(x[0] == "p" for x in self.open[-6:]):  # a paragraph ends where the next block begins
+            self._close(self._last("p"))
+        elif tag in ENDS_SAME and self.open and self.open[-1][0] in ENDS_SAME[tag]:
+            self._close(len(self.open) - 1)
+        while tag == "a" and self.links:  # links do not nest
+            self._close(self._last("a"))
+        kind = _is_other(tag, attrs, self.zone > 0)
+        zone = kind == PART and (tag in ("article", "main") or any(k == "role" and v == "main" for k, v in attrs) or any(k == "itemprop" and v == "articleBody" for k, v in attrs))
         if zone and tag in ("article", "main") and self.other:
-            first = next(i for i, x in enumerate(self.open) if x[1])
+            first = next(i for i, x in enumerate(self.open) if x[1] == OTHER)
             if self.open[first][0] in ("nav", "header", "aside", "menu", "footer", "head", "title"):  # never closed
                 self._close(first)
-        self.open.append((tag, other, zone))
-        self.other += other
+        if kind == MAYBE:
+            self.number += 1
+            self.maybe.append(self.number)
+        self.open.append((tag, kind, zone))
+        self.count[tag] += 1
+        self.other += kind == OTHER
         self.zone += zone
         self.links += tag == "a"
 
     def handle_endtag(self, tag) -> None:
         if tag in BLOCK_TAGS:
             self.cut()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self._close(i)
-                return
+        if self.count[tag]:
+            self._close(self._last(tag))
 
     def handle_data(self, data) -> None:
         if not self.other:
@@ -208,6 +249,34 @@ class _Blocks(HTMLParser):
                 self.link_chars += len("".join(data.split()))
 
 
+def _prose(text: str, link_chars: int) -> int:
+    """Characters of a block that is long and has few links."""
+    return len(text) if len(text) >= LENGTH_LOW and not _linked(text, link_chars, False) else 0
+
+
+def _of_the_page(blocks: list[tuple[str, int, bool, tuple[int, ...]]]) -> list[tuple[str, int, bool]]:
+    """Blocks without those of elements that are other, as they do not hold most of the prose."""
+    held: Counter[int] = Counter()
+    total = 0
+    for text, link_chars, _, around in blocks:
+        size = _prose(text, link_chars)
+        total += size
+        for k in around if size else ():
+            held[k] += size
+    return [(t, n, z) for t, n, z, around in blocks if all(total and held[k] >= WRAPS * total for k in around)]
+
+
+def _without_false_zone(blocks: list[tuple[str, int, bool]]) -> list[tuple[str, int, bool]]:
+    """Blocks less an article zone that holds less than half of the prose of a run of blocks outside."""
+    zone = best = run = 0
+    for text, link_chars, inside in blocks:
+        size = _prose(text, link_chars)
+        zone += size if inside else 0
+        run = 0 if inside or _linked(text, link_chars, False) else run + (size if size and _stops(text) >= STOP_LOW else 0)
+        best = max(best, run)
+    return [b for b in blocks if not b[2]] if best > 2 * zone else blocks
+
+
 def page_blocks(html: str | None) -> list[tuple[str, int, bool]]:
     """``(text, link characters, inside the article zone)`` of a page's blocks that the
     markup does not rule out, in page order."""
@@ -223,7 +292,7 @@ def page_blocks(html: str | None) -> list[tuple[str, int, bool]]:
     parser.feed(html)
     parser.close()
     parser.cut()
-    return parser.blocks
+    return _without_false_zone(_of_the_page(parser.blocks))
 
 
 def _linked(text: str, link_chars: int, inside: bool) -> bool:
@@ -285,6 +354,8 @@ def main_text(html: str | None) -> tuple[str, int]:
     inside = any(z for _, _, z in blocks)
     blocks = [b for b in blocks if b[2] or not inside]
     labels = [first_pass(*b) for b in blocks]
+    if inside:  # a list of links in an article is left out by itself
+        blocks, labels = [b for b, x in zip(blocks, labels) if x is not BAD], [x for x in labels if x is not BAD]
     plain = None if inside else _by_length(blocks, labels)
     labels = second_pass(plain or labels, inside or plain is not None)
     kept = [text for (text, _, _), label in zip(blocks, labels) if label == GOOD]
