@@ -42,6 +42,7 @@ PASSAGE_WORDS = 128
 MAX_PASSAGES = 64
 HASHED = 32
 STEP_BYTES = 250_000  # characters encoded together
+LONG_WORD = 24  # bytes; longer words are hashed by sums, shorter ones byte by byte
 MAX_TRAINING_DOCS = 4000
 
 _CLASS = np.full(256, 8, dtype=np.int64)  # other punctuation
@@ -62,19 +63,24 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of the byte ranges, by running sums modulo 2^64."""
-    base = 0x100000001B3
+    """64-bit polynomial hashes of all bytes of the ranges, modulo 2^64."""
+    base = np.uint64(0x100000001B3)
     with np.errstate(over="ignore"):
-        longest = int((ends - starts).max(initial=0))
-        total = np.zeros(len(starts), dtype=np.uint64)
         size = ends - starts
-        live = np.arange(len(starts))
-        for k in range(min(longest, 24)):  # long words: their first and last bytes and their length
+        total = np.zeros(len(starts), dtype=np.uint64)
+        live = np.flatnonzero(size <= LONG_WORD)
+        for k in range(int(size[live].max(initial=0))):
             live = live[size[live] > k]
-            total[live] = total[live] * np.uint64(base) + data[starts[live] + k]
-        far = np.flatnonzero(size > 24)
-        for k in range(1, 9):
-            total[far] = total[far] * np.uint64(base) + data[ends[far] - k]
+            total[live] = total[live] * base + data[starts[live] + k]
+        far = np.flatnonzero(size > LONG_WORD)
+        for part in np.array_split(far, max(1, int(size[far].sum()) // STEP_BYTES)) if len(far) else []:
+            if not len(part):
+                continue
+            first = np.cumsum(size[part]) - size[part]
+            within = np.arange(int(size[part].sum())) - np.repeat(first, size[part])
+            power = np.cumprod(np.full(int(size[part].max()), base, dtype=np.uint64))
+            terms = power[within] * (data[np.repeat(starts[part], size[part]) + within].astype(np.uint64) + np.uint64(1))
+            total[part] = np.add.reduceat(terms, first)
         total = (total ^ (size.astype(np.uint64) << np.uint64(56))) * _ODD
         return total ^ (total >> np.uint64(29))
 
@@ -172,6 +178,25 @@ def _forward(w: dict[str, np.ndarray], x: np.ndarray, count: np.ndarray):
     return _sigmoid(z @ w["c"] + w["d"]), h, t, s, a, z
 
 
+def loss(w: dict[str, np.ndarray], x: np.ndarray, count: np.ndarray, label: np.ndarray) -> float:
+    """Mean cross-entropy of the bags' scores."""
+    p = _forward(w, x, count)[0]
+    return float(-np.mean(label * np.log(p) + (1 - label) * np.log(1 - p)))
+
+
+def gradient(w: dict[str, np.ndarray], x: np.ndarray, count: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of :func:`loss`, through the weighted sum and the attention back to the encodings."""
+    starts = np.cumsum(count) - count
+    p, h, t, s, a, z = _forward(w, x, count)
+    dp = (p - label) / len(label)
+    dz = np.repeat(dp[:, None] * w["c"], count, axis=0)
+    da = (dz * h).sum(axis=1)
+    de = a * (da - np.repeat(np.add.reduceat(a * da, starts), count))
+    dt, ds = de[:, None] * w["w"] * s * (1 - t**2), de[:, None] * w["w"] * t * s * (1 - s)
+    dh = (a[:, None] * dz + dt @ w["V"].T + ds @ w["U"].T) * (1 - h**2)
+    return {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ dp, "d": dp.sum(keepdims=True)}
+
+
 def train(x: np.ndarray, count: np.ndarray, label: np.ndarray, hidden: int = 16, gate: int = 8, epochs: int = 200,
           rate: float = 0.02, decay: float = 0.1, seed: int = 3) -> Model:
     """Fit the bag scorer by Adam on all bags at once; ``label`` is 0 or 1."""
@@ -184,16 +209,8 @@ def train(x: np.ndarray, count: np.ndarray, label: np.ndarray, hidden: int = 16,
     w = {"W": rng.normal(0, WIDTH**-0.5, (x.shape[1], hidden)), "b": np.zeros(hidden), "V": rng.normal(0, hidden**-0.5, (hidden, gate)),
          "U": rng.normal(0, hidden**-0.5, (hidden, gate)), "w": rng.normal(0, gate**-0.5, gate), "c": rng.normal(0, hidden**-0.5, hidden), "d": np.zeros(1)}
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
-    starts = np.cumsum(count) - count
     for step in range(1, epochs + 1):
-        p, h, t, s, a, z = _forward(w, x, count)
-        dp = (p - label) / len(label)
-        dz = np.repeat(dp[:, None] * w["c"], count, axis=0)
-        da = (dz * h).sum(axis=1)
-        de = a * (da - np.repeat(np.add.reduceat(a * da, starts), count))
-        dt, ds = de[:, None] * w["w"] * s * (1 - t**2), de[:, None] * w["w"] * t * s * (1 - s)
-        dh = (a[:, None] * dz + dt @ w["V"].T + ds @ w["U"].T) * (1 - h**2)
-        grad = {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ dp, "d": dp.sum(keepdims=True)}
+        grad = gradient(w, x, count, label)
         for k, g in grad.items():
             if g.ndim == 2:
                 g = g + decay * w[k] / len(label) ** 0.5
