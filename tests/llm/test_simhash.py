@@ -65,3 +65,12 @@ def test_components_of_chains_and_loops(spark):
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {i: 0 for i in range(1, 41)} | {202: 201, 203: 201}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_ids_next_to_the_largest_long_and_rows_without_one(spark):
+    """Rows without an id need no number of their own; two of their fingerprints are joined only if they link."""
+    top = 2**63 - 33
+    rows = [(top, 5), (None, 5), (None, 7), (None, 2**62 + 12345), (None, 12346 - 2**62), (3, -1), (None, -2)]
+    prints = spark.createDataFrame(rows, "doc_id long, fp long")
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.link_components(prints, 2).collect()}
+    assert got == {(top, 5): top, (None, 5): top, (None, 7): top, (None, 2**62 + 12345): None, (None, 12346 - 2**62): None, (3, -1): 3, (None, -2): 3}

@@ -258,20 +258,17 @@ def near_links(distinct: DataFrame, radius: int, bucket_limit: int = BUCKET_LIMI
 
 def link_components(fingerprints: DataFrame, radius: int, id_col: str = "doc_id", fp_col: str = "fp",
                     bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """``fingerprints`` with ``component_id``: the smallest id reachable over links."""
+    """``fingerprints`` with ``component_id``: the smallest id reachable over links, null in a component without ids.
+
+    The nodes that links join are the fingerprints themselves, so rows without an id take part like
+    any others, whatever numbers the ids use up.
+    """
     given = fingerprints.groupBy(F.col(fp_col).alias("fp")).agg(F.min(F.col(id_col).cast("long")).alias("least"))
-    # A fingerprint that only rows without id have still takes part, under a number that
-    # no id has been given: above all ids, so that it never becomes a component's name.
-    distinct = materialize(given.select("fp", "least"), "simhash-distinct")
-    top = distinct.agg(F.max("least")).first()[0] or 0
-    nameless = F.lit(top) + 1 + F.pmod("fp", F.lit((1 << 62) - 1))
-    nodes = distinct.select("fp", F.coalesce("least", nameless).alias("rep"))
-    linked = components(near_links(nodes, radius, bucket_limit)).select(F.col("node").alias("rep"), "component")
-    named = (
-        nodes.join(linked, "rep", "left")
-        .select(F.col("fp").alias(fp_col), F.coalesce("component", "rep").alias("component_id"))
-        .withColumn("component_id", F.when(F.col("component_id") <= top, F.col("component_id")))
-    )
+    distinct = materialize(given, "simhash-distinct")
+    linked = components(near_links(distinct.select("fp", F.col("fp").alias("rep")), radius, bucket_limit))
+    classes = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
+    names = classes.groupBy("class").agg(F.min("least").alias("component_id"))
+    named = classes.join(names, "class").select(F.col("fp").alias(fp_col), "component_id")
     return fingerprints.drop("component_id").join(named, fp_col)
 
 
