@@ -82,3 +82,17 @@ def test_lines_near_threshold_repeats_and_columns(spark):
     assert (52, "Nine sites\nbody x") in out
     assert {r.text for r in line_dedup.remove_boilerplate(df).where("doc_id = 3").collect()} == {"Ten sites\nbody"}  # a whole copy
     assert line_dedup.remove_boilerplate(df.limit(0)).count() == 0
+
+
+def test_lines_of_long_documents_cost_in_proportion(spark):
+    """Twelve long documents of shared lines, and many rows without an id."""
+    import time
+
+    long = "\n".join(f"line {i}" for i in range(20_000))
+    rows = [(i, f"{long}\nown {i}", "en", f"s{i}", 1) for i in range(12)]
+    rows += [(None, f"line {i}\nown text {i}\n\nline {i}", "en", f"s{i % 3}", 1) for i in range(300)]
+    began = time.time()
+    out = line_dedup.remove_boilerplate(frame(spark, rows)).collect()
+    assert time.time() - began < 60
+    assert sorted(r.text for r in out if r.doc_id is not None) == sorted(f"own {i}" for i in range(12))
+    assert sorted(r.text for r in out if r.doc_id is None) == sorted(f"own text {i}\n" for i in range(300)) and {r.n_removed for r in out} == {20_000, 2}

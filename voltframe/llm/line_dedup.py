@@ -10,8 +10,10 @@ estimate decides (the margin is many times the sketch's standard error).
 Plan: the lines are hashed once to a narrow table ``(id, site, key)`` in the shared
 folder (128-bit keys; texts do not move), which the sketches, the exact counts and the
 marking read. Marking is a left-semi join on the line key, which adaptive execution may
-split where a line is hot; the keys found are gathered per document (bounded by the
-document's own distinct lines) and meet the texts in one join on the id.
+split where a line is hot; the positions found are gathered per document (bounded by the
+document's own lines) and meet the texts in one join on the id and the text's hash, so
+rows without an id share no key. Positions are taken out by a set difference, whose cost
+grows with the lines and not with their square.
 
 A document all of whose lines are boilerplate is a copy rather than a page with furniture:
 it is left as it is, for a near-duplicate stage to judge (``keep_whole_copies``).
@@ -44,13 +46,16 @@ def _key(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """One row per line that is not blank: ``id, site, a, b``."""
-    line = F.explode(_lines(F.col(text_col))).alias("line")
+    """One row per line that is not blank: ``id, text_a, text_b`` (hashes of the text it stands in), its
+    position ``at`` there, ``site, a, b``."""
+    text = _key(F.col(text_col))
+    line = F.posexplode(_lines(F.col(text_col))).alias("at", "line")
     return (
-        docs.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("="), F.col(site_col)), F.lit("")).alias("site"), line)
+        docs.select(F.col(id_col).alias("id"), text["a"].alias("text_a"), text["b"].alias("text_b"),
+                    F.coalesce(F.concat(F.lit("="), F.col(site_col)), F.lit("")).alias("site"), line)
         .where(F.col("line").rlike(NOT_BLANK))
-        .select("id", "site", _key(F.col("line")).alias("key"))
-        .select("id", "site", "key.a", "key.b")
+        .select("id", "text_a", "text_b", "at", "site", _key(F.col("line")).alias("key"))
+        .select("id", "text_a", "text_b", "at", "site", "key.a", "key.b")
     )
 
 
@@ -76,17 +81,23 @@ def remove_boilerplate(docs: DataFrame, text_col: str = "text", site_col: str =
     """``docs`` with the text less its boilerplate lines, ``n_lines`` (lines not blank) and
     ``n_removed`` (long)."""
     lines = materialize(line_table(docs, text_col, site_col, id_col), "lines")
+    row = ["id", "text_a", "text_b"]
     found = (
         lines.join(boilerplate_keys(lines, min_sites, margin), ["a", "b"], "left_semi")
-        .groupBy(F.col("id").alias("__id")).agg(F.collect_set(F.struct("a", "b")).alias("__gone"))
+        .groupBy(*[F.col(c).alias(f"__{c}") for c in row]).agg(F.collect_set("at").alias("__gone"))
     )
     plain = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_removed")])
-    marked = plain.join(found, plain[id_col].eqNullSafe(found["__id"]), "left")
-    all_lines = _lines(F.col(text_col))
-    is_gone = lambda x: x.rlike(NOT_BLANK) & F.array_contains(F.col("__gone"), _key(x))
+    key = _key(F.col(text_col))
+    same = plain[id_col].eqNullSafe(found["__id"]) & (key["a"] == found["__text_a"]) & (key["b"] == found["__text_b"])
+    # Lines and the positions of those that stay come out of a generator: both are made once for each row.
+    split = _lines(F.col(text_col))
+    stays = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone"))
+    marked = plain.join(found, same, "left").select("*", F.inline_outer(F.array(F.struct(
+        split.alias("__lines"), F.when(F.col("__gone").isNotNull(), stays).alias("__stays")))))
+    all_lines = F.col("__lines")
     n_lines = F.coalesce(F.size(F.filter(all_lines, lambda x: x.rlike(NOT_BLANK))), F.lit(0))
-    kept = F.filter(all_lines, lambda x: ~is_gone(x))
-    n_gone = F.when(F.col("__gone").isNull() | F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(all_lines) - F.size(kept))
+    kept = F.transform("__stays", lambda i: F.get(all_lines, i))
+    n_gone = F.coalesce(F.size("__gone"), F.lit(0))
     marked = marked.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long")).withColumn("n_removed", n_gone.cast("long"))
     if keep_whole_copies:
         marked = marked.withColumn("n_removed", F.when(F.col("n_removed") == F.col("n_lines"), 0).otherwise(F.col("n_removed")).cast("long"))
