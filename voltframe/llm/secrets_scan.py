@@ -11,8 +11,11 @@ characters of the base64 and identifier alphabets is encoded with a tiktoken voc
 fewer than ``max_ratio`` characters for a token expose it as random. Before that, runs
 are excluded that are digests of a known length (hex digits only), UUIDs, or identifiers:
 runs without a letter, and names whose parts, cut at ``_``, ``-``, ``/``, ``+``, ``=`` and
-changes of case, are words with at most a short number at their end. Runs that
-touch a base span are not reported twice.
+changes of case, are words with at most a short number at their end. What looks like one word
+or several but is ``MIN_RUN`` characters long without a cut (letters of one case, base32) is
+taken for a name only if the vocabulary compresses it; letters of one case, of which some
+pairs and triples are tokens by chance, have to reach ``LETTER_RATIO``. Of a run that
+touches base spans, what lies outside them is tested.
 
 A readable name before or after a secret (``session_cookie_value=...``) lowers the ratio of
 the whole run. A run that is not exposed as a whole is therefore cut at ``=``, then at
@@ -47,6 +50,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # every shorter run would be dropped, and runs do not overlap
 MIN_RUN = 20
 MAX_RATIO = 2.0
+LETTER_RATIO = 2.2  # of letters of one case
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 DIGEST_DIGITS = frozenset((32, 40, 48, 56, 64, 96, 128))
@@ -68,32 +72,41 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def is_known(run: str) -> bool:
+def _too_many_tokens(run: str, encode, max_ratio: float) -> bool:
+    """Whether the vocabulary needs many tokens for a run."""
+    limit = max(max_ratio, LETTER_RATIO) if run.isalpha() and (run.islower() or run.isupper()) else max_ratio
+    return len(run) < limit * len(encode(run))
+
+
+def is_known(run: str, encode, max_ratio: float = MAX_RATIO) -> bool:
     """Whether a run is a digest of a known length or an identifier."""
     if _UUID.match(run) or (len(run) in DIGEST_DIGITS and _DIGEST.match(run)):
         return True
     if not re.search(r"[A-Za-z]", run):
         return True
-    return _is_name(run, short=not re.search(r"[0-9]", run))
+    return _is_name(run, not re.search(r"[0-9]", run), encode, max_ratio)
 
 
-def _is_name(run: str, short: bool) -> bool:
+def _is_name(run: str, short: bool, encode, max_ratio: float) -> bool:
     """Whether every part of a run is made of words with numbers, with at least five
-    characters to each word on average; ``short``: or no part has more than one word."""
+    characters to each word on average; ``short``: or no part has more than one word. A part as
+    long as a secret has to compress as well."""
     parts = [p for p in _CUT.split(run) if p]
     pieces = [_WORD_PART.findall(p) for p in parts]
     # A long part must pass by itself: the other parts' words do not make up for it.
     if any("".join(x) != p or (len(p) >= MIN_RUN and len(x) * 5 > len(p)) for x, p in zip(pieces, parts)):
         return False
-    return sum(map(len, pieces)) * 5 <= len(run) or (short and all(len(x) == 1 for x in pieces))
+    if not (sum(map(len, pieces)) * 5 <= len(run) or (short and all(len(x) == 1 for x in pieces))):
+        return False
+    return not any(len(p) >= MIN_RUN and _too_many_tokens(p, encode, max_ratio) for p in parts)
 
 
 def _exposed(text: str, start: int, end: int, encode, max_ratio: float, level: int = 0) -> list[tuple[int, int]]:
     """The run, or the parts of it, that the vocabulary needs many tokens for."""
     run = text[start:end]
-    if len(run) < MIN_RUN or is_known(run):
+    if len(run) < MIN_RUN or is_known(run, encode, max_ratio):
         return []
-    if len(run) < max_ratio * len(encode(run)):
+    if _too_many_tokens(run, encode, max_ratio):
         return [(start, end)]
     again = lambda spans, k: [x for a, b in spans for x in _exposed(text, start + a, start + b, encode, max_ratio, k)]
     known = _UUID_IN.search(run)
@@ -103,7 +116,7 @@ def _exposed(text: str, start: int, end: int, encode, max_ratio: float, level: i
         parts = [m.span() for m in _PARTS[k].finditer(run)]
         rest: list[list[tuple[int, int]]] = [[]]  # stretches of parts between names
         for a, b in parts:
-            if _is_name(run[a:b], short=True):
+            if _is_name(run[a:b], True, encode, max_ratio):
                 rest.append([])
             else:
                 rest[-1].append((a, b))
@@ -127,10 +140,11 @@ def random_spans(text: str, taken: list[Span], encode, max_ratio: float = MAX_RA
     """Runs, and parts of runs, that the vocabulary needs many tokens for."""
     found = []
     for m in _RUN.finditer(text):
-        start, end = m.span()
-        if any(a < end and start < b for _, a, b in taken):
-            continue
-        found += [("random", a, b) for a, b in _exposed(text, start, end, encode, max_ratio)]
+        at, end = m.span()
+        for a, b in [*sorted((a, b) for _, a, b in taken if a < end and at < b), (end, end)]:
+            if a > at:
+                found += [("random", *x) for x in _exposed(text, at, a, encode, max_ratio)]
+            at = max(at, b)
     return found
 
 
