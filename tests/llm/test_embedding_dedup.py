@@ -80,3 +80,23 @@ def test_low_rank_and_clustered_vectors_lose_no_pair(spark):
         rows = [(i, v.tolist()) for i, v in enumerate(both)]
         vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
         assert result(vectors, rows_per_cell=16) == brute(rows)
+
+
+def test_a_dense_block_is_compared_in_bounded_memory():
+    """A block whose vectors are all near each other: all links counted, one group, no list of all pairs."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    n = 6000
+    x = (np.array([1.0] + [0.0] * 15) + rng.normal(scale=0.02, size=(n, 16))).astype(np.float32)
+    table = pa.table({
+        "dim": pa.array([16] * n, pa.int32()), "cell": pa.array([0] * n, pa.int32()), "side": pa.array([0] * n, pa.int32()), "rep": pa.array(rng.permutation(n)),
+        "weight": pa.array([1] * n), "home": pa.array([0] * n, pa.int32()), "visits": pa.array([[0]] * n, pa.list_(pa.int32())), "embedding": pa.array(list(x))})
+    tracemalloc.start()
+    ids, links, u, v = embedding_dedup._compare(table, 0.9, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) == n and (links == n - 1).all() and set(v) == {0} and sorted(u) == list(range(1, n))
+    assert peak < 400e6, peak  # all 18 million pairs of four numbers would take 576 MB and more

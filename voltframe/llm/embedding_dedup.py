@@ -16,7 +16,9 @@
    rows at home meet anyway. From here on ``cell`` stands for the region.
 4. The rows at home in a region and its visitors are cut into blocks of ``block_rows`` by a
    hash of the id, and each pair of blocks with rows at home is a task of its own, so no
-   task holds a region. Within a task one matrix product gives the cosines of its rows at home with all others. Two vectors with the same home are compared there;
+   task holds a region. Within a task matrix products give the cosines of its rows at home with all others, some
+   two million at a time; links are counted and groups joined as they are found, so no task holds the pairs of a dense region.
+   Two vectors with the same home are compared there;
    two with different homes where one visits the other's home, and counted in one cell
    only. What leaves a task is one count per vector and a spanning forest of its links.
 5. The forests become components, and a component's smallest id is its representative.
@@ -49,7 +51,7 @@ SAMPLE_PER_CELL = 16
 MAX_SAMPLE_VALUES = 4_000_000  # numbers of the sample that the driver fits the cells on
 ROUNDING = 1e-9  # of cosines, so that a pair at the very margin is found
 BLOCK_ROWS = 8192
-STEP_PRODUCTS = 4_000_000  # cosines held at once
+STEP_PRODUCTS = 2_000_000  # cosines, and pairs found among them, held at once
 SENT_ROWS = 8192  # rows of one batch that leaves the assignment
 
 
@@ -161,32 +163,34 @@ def _compare(x: pa.Table, threshold: float, same: bool) -> tuple[np.ndarray, np.
     pairs = [(left[home[left] == cell], right, False)]
     if not same:
         pairs.append((right[home[right] == cell], left, True))
-    found = [(ids[:0].astype(np.int64),) * 2]
+    by_id = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), dtype=np.int64)
+    rank[by_id] = np.arange(len(ids))
+    # (row, region it visits) as one sorted number each, to look pairs up in.
+    sizes = np.diff(np.asarray(visits.offsets))
+    wide = int(max(home.max(initial=0), cell, 0)) + 2
+    visited = np.sort(np.repeat(np.arange(len(ids)), sizes) * wide + np.asarray(visits.flatten(), dtype=np.int64))
+    links, label = np.zeros(len(ids)), np.arange(len(ids))
     for own, others, swapped in pairs:
         step = max(1, STEP_PRODUCTS // max(len(others), 1))
         for at in range(0, len(own), step):
             i, j = np.nonzero(vec[own[at:at + step]] @ vec[others].T >= threshold)
             a, b = own[at + i], others[j]
             # Two rows at home meet twice: once from either side.
-            once = (home[b] != cell) | ((a < b) if same else np.full(len(a), not swapped))
-            found.append((a[once], b[once]))
-    a, b = (np.concatenate(x) for x in zip(*found))
-    at_home = (home[a] == cell).astype(int) + (home[b] == cell)
-    # Both at home: here. One at home: in the smaller of the two home cells, or here if the
-    # pair does not meet in that one.
-    out = np.where(home[a] == cell, home[b], home[a])
-    host = np.where(home[a] == cell, a, b)
-    there = np.zeros(len(a), dtype=bool)
-    for k in np.flatnonzero((at_home == 1) & (out < cell)):
-        there[k] = out[k] in visits[int(host[k])].as_py()
-    keep = (at_home == 2) | ((at_home == 1) & ~there)
-    a, b = a[keep], b[keep]
-    links = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
+            keep = (home[b] != cell) | ((a < b) if same else np.full(len(a), not swapped))
+            # One at home: counted in the smaller of the two home cells, or here if the pair does not meet in that one.
+            guest = np.flatnonzero(keep & (home[b] != cell) & (home[b] < cell))
+            asked = a[guest] * wide + home[b[guest]]
+            place = np.minimum(np.searchsorted(visited, asked), max(len(visited) - 1, 0))
+            keep[guest[visited[place] == asked] if len(visited) else guest[:0]] = False
+            a, b = a[keep], b[keep]
+            links += np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
+            # Only roots that this step joins: in a dense group, few after the first steps.
+            u, v = label[rank[a]], label[rank[b]]
+            apart = u != v
+            if apart.any():
+                label = forest(len(ids), u[apart], v[apart])[label]
     linked = np.flatnonzero(links)
-    by_id = np.argsort(ids, kind="stable")
-    rank = np.empty(len(ids), dtype=np.int64)
-    rank[by_id] = np.arange(len(ids))
-    label = forest(len(ids), rank[a], rank[b])
     node = np.flatnonzero(label != np.arange(len(ids)))
     return ids[linked], links[linked].astype(np.int64), ids[by_id[node]], ids[by_id[label[node]]]
 
