@@ -41,6 +41,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltframe.session import materialize
+
 LETTERS = "ABCDE"
 PIECE_BYTES = 1 << 20
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -94,7 +96,8 @@ def with_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mask_cells(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
     """Documents by failure mask: ``part, mask, n, good, toxic``, at most 32 rows a part."""
-    marked = with_masks(docs, id_col, text_col, part_col).groupBy("id", "digest", "part", "mask").agg(F.count(F.lit(1)).alias("n"))
+    marked = materialize(with_masks(docs, id_col, text_col, part_col), "filter-masks")  # read for rows with and without an id
+    marked = marked.groupBy("id", "digest", "part", "mask").agg(F.count(F.lit(1)).alias("n"))
     known = (
         labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
         .agg(F.max(F.coalesce((F.col("quality") == 1).cast("int"), F.lit(0))).alias("q"), F.max(F.coalesce((F.col("toxic") == 1).cast("int"), F.lit(0))).alias("t"))
