@@ -38,12 +38,17 @@ def _unit_rows(vectors: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]
     return m[ok] / norms[ok, None], rows[ok]
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the best k scores, equal ones by id."""
-    near = np.arange(len(scores))
-    if len(scores) > k:
-        near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-    return near[np.lexsort((ids[near], -scores[near]))[:k]]
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, column)`` of the best k scores of each row, equal ones by column."""
+    n = scores.shape[1]
+    if n <= k:
+        return np.repeat(np.arange(len(scores)), n), np.tile(np.arange(n), len(scores))
+    near = scores >= np.partition(scores, n - k, axis=1)[:, n - k, None]
+    for row in np.flatnonzero(np.count_nonzero(near, axis=1) > k):  # ties at the last place
+        own = np.flatnonzero(near[row])
+        near[row, own] = False
+        near[row, own[np.lexsort((own, -scores[row, own]))[:k]]] = True
+    return np.nonzero(near)
 
 
 def block_comparer(k: int, digits: int, out: T.StructType):
@@ -63,12 +68,12 @@ def block_comparer(k: int, digits: int, out: T.StructType):
                 c, c_rows = _unit_rows(c_vec, dim)
                 if not len(q) or not len(c):
                     continue
-                keys = np.array(c_ids.take(pa.array(c_rows)).to_pylist())
+                by_id = np.argsort(np.array(c_ids.take(pa.array(c_rows)).to_pylist()), kind="stable")
+                c, c_rows = c[by_id], c_rows[by_id]
                 for at in range(0, len(q), QUERY_TILE):
-                    scores = np.round(c @ q[at:at + QUERY_TILE].T, digits) + 0.0
-                    for j in range(scores.shape[1]):
-                        best = _best(keys, scores[:, j], k)
-                        found.append((q_ids.take(pa.array(np.full(len(best), q_rows[at + j]))), c_ids.take(pa.array(c_rows[best])), scores[best, j]))
+                    scores = np.round(q[at:at + QUERY_TILE] @ c.T, digits) + 0.0
+                    asks, hits = _best(scores, k)
+                    found.append((q_ids.take(pa.array(q_rows[at + asks])), c_ids.take(pa.array(c_rows[hits])), scores[asks, hits]))
         if not found:
             return pa.table([pa.array([], t) for t in types], names=names)
         return pa.table([pa.concat_arrays([f[0] for f in found]), pa.concat_arrays([f[1] for f in found]), pa.array(np.concatenate([f[2] for f in found]))], names=names)
