@@ -373,3 +373,69 @@ def damage(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     role = F.when(F.col("code") == 4, "user").otherwise(F.col("role"))
     copies = F.explode(F.when(F.col("code") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
     return hit.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("code") != 0).alias("live"), copies.alias("copy")).drop("copy")
+
+
+def _oracle() -> str:
+    """The damage, the statistics and the cheapest edits in DuckDB SQL; the programme carries whole edit strings.
+
+    Rows of one turn are ordered by role and text here."""
+    inserts = []
+    for start in range(4):
+        state = start
+        for k in range(MAX_INSERTS + 1):
+            inserts.append(f"({start}, {k}, {state})")
+            state = FOLLOWS[state]
+    moves = [f"({q}, 'D', NULL, {q}, 2)" for q in range(4)] + [f"({q}, 'R', NULL, {to}, 1)" for q, to in FOLLOWS.items()]
+    moves += [f"({q}, 'K', '{i}', {to}, 0)" for (q, i), to in KEEPS.items()]
+    white = "[\\x20\\x09-\\x0D]"
+    return f"""
+WITH RECURSIVE tab AS (
+    SELECT list(v ORDER BY n) AS t FROM (
+        SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+        FROM (SELECT range AS n FROM range(256)))),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+coded AS (SELECT conv_id, turn, role, text,
+                 xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i::BIGINT, 1))::BIGINT)),
+                                 lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS code
+          FROM keyed, tab),
+damaged AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+                   CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE code WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM coded),
+numbered AS (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, regexp_replace(text, '{white}+$', '') AS core,
+                    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+f AS (SELECT *, core = '' AS blank, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again,
+             lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) || left(role, 1) AS pair FROM numbered),
+rows AS (SELECT *, NOT blank AND again AS duplicate, NOT blank AND NOT again AND right(core, 1) NOT IN ('.', '!', '?') AS truncated FROM f),
+ins(q, k, mid) AS (VALUES {", ".join(inserts)}),
+moves(q, op, initial, dest, price) AS (VALUES {", ".join(moves)}),
+s AS (
+    SELECT DISTINCT c, 0::BIGINT AS i, 0 AS q, 0 AS cost, '' AS edits FROM rows
+    UNION ALL
+    SELECT c, i, q, best.cost, best.edits FROM (
+        SELECT s.c, s.i + 1 AS i, moves.dest AS q,
+               min({{'cost': s.cost + 5 * ins.k + price + CASE WHEN op <> 'D' AND truncated THEN 5 ELSE 0 END, 'edits': s.edits || repeat('I', ins.k) || op}}) AS best
+        FROM s JOIN rows ON rows.c = s.c AND rows.i = s.i + 1 JOIN ins ON ins.q = s.q JOIN moves ON moves.q = ins.mid
+        WHERE (op = 'D' OR NOT (blank OR duplicate)) AND (op <> 'K' OR moves.initial = left(role, 1))
+        GROUP BY s.c, s.i, moves.dest)),
+size AS (SELECT c, any_value(conv_id) AS conv_id, max(i) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (blank) AS blank,
+                count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+                count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY c),
+ends AS (SELECT s.c, min({{'cost': s.cost + 5 * ins.k, 'edits': s.edits || repeat('I', ins.k)}}) AS best
+         FROM s JOIN size ON size.c = s.c AND size.n = s.i JOIN ins ON ins.q = s.q WHERE ins.mid IN (0, 3) GROUP BY s.c),
+letters AS (SELECT c, unnest(string_split(best.edits, '')) AS op, unnest(range(1, length(best.edits) + 1)) AS p FROM ends WHERE best.edits <> ''),
+placed AS (SELECT *, count(*) FILTER (op <> 'I') OVER w AS i, count(*) FILTER (op <> 'D') OVER w AS j FROM letters
+           WINDOW w AS (PARTITION BY c ORDER BY p)),
+turns AS (SELECT x.*, rows.role, rows.text, max(CASE WHEN j = 1 AND op = 'K' AND left(rows.role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY x.c) AS led
+          FROM placed x LEFT JOIN rows ON rows.c = x.c AND rows.i = x.i AND x.op <> 'I' WHERE op <> 'D'),
+made AS (SELECT c, string_agg(CASE WHEN op = 'K' THEN role WHEN (j - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN op = 'I' THEN '' ELSE text END,
+                              chr(10) ORDER BY p) AS text FROM turns GROUP BY c),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT every.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.edits, '') AS audit, sha256(coalesce(made.text, '')) AS repaired_sha256
+FROM every LEFT JOIN size ON size.conv_id IS NOT DISTINCT FROM every.conv_id LEFT JOIN ends ON ends.c = size.c LEFT JOIN made ON made.c = size.c
+"""
+
+
+ORACLE_SQL = _oracle()

@@ -254,3 +254,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "id").alias("component_id"),
         (F.coalesce("component", "id").eqNullSafe(F.col("id"))).alias("kept"))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE v AS (
+    SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS x,
+           coalesce(vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+                    AND len(list_filter(embedding, lambda c: c <> 0)) > 0, false) AS usable
+    FROM embeddings),
+u AS (SELECT r, x, len(x) AS dim FROM v WHERE usable),
+e AS (SELECT a.r AS p, b.r AS q FROM u a JOIN u b ON a.dim = b.dim AND a.r <> b.r WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+reach AS (SELECT p, q FROM e UNION SELECT reach.p, e.q FROM reach JOIN e ON reach.q = e.p),
+c AS (SELECT p, min(o.vec_id) AS least FROM reach JOIN v o ON o.r = reach.q GROUP BY p),
+n AS (SELECT p, count(*) AS links FROM e GROUP BY p)
+SELECT v.vec_id, coalesce(n.links, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(c.least, v.vec_id)) AS component_id,
+       least(v.vec_id, coalesce(c.least, v.vec_id)) = v.vec_id AS kept
+FROM v LEFT JOIN n ON n.p = v.r LEFT JOIN c ON c.p = v.r
+"""

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltframe.llm import filter_audit, line_dedup, mixing, quality_rules
+from voltframe.llm import conversation_repair, embedding_dedup, filter_audit, line_dedup, mixing, quality_rules, substring_dedup
 from voltframe.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,11 +94,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.col("spans")).alias("spans"), count("random"))
 
 
-@register("op10_embedding_dedup")
+@register("op10_embedding_dedup", oracle=embedding_dedup.ORACLE_SQL)
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at cosine 0.9 or more among all vectors, and one vector kept of each group."""
-    from voltframe.llm import embedding_dedup
-
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
@@ -125,11 +123,9 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-@register("op4_substring_dedup")
+@register("op4_substring_dedup", oracle=substring_dedup.ORACLE_SQL)
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words that repeated 35-word windows cover."""
-    from voltframe.llm import substring_dedup
-
     cleaned = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
@@ -142,11 +138,9 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(docs, labels)
 
 
-@register("op11_conversation_repair")
+@register("op11_conversation_repair", oracle=conversation_repair.ORACLE_SQL)
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure of all conversations after damage, and their cheapest repair."""
-    from voltframe.llm import conversation_repair
-
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     found = conversation_repair.repair(conversation_repair.damage(rows), live_col="live")
     return found.select(

@@ -357,3 +357,17 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
         spans = spans.unionByName(hot_spans(with_runs(True), window, text_col))
     gathered = by_key(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), F.col("spans").alias("__spans"))
     return without_spans(keyed.join(gathered, KEY, "left"), text_col)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+win AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM starts),
+again AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, i + k.range AS pos FROM win JOIN again USING (h), range(35) k),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+kept AS (SELECT words.r, string_agg(word, ' ' ORDER BY words.pos) AS text, count(*) AS n
+         FROM words LEFT JOIN gone ON gone.r = words.r AND gone.pos = words.pos WHERE gone.r IS NULL GROUP BY words.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.r = d.r
+"""
