@@ -89,3 +89,22 @@ def test_tool_table_functions(spark):
                        LATERAL get_generation(r.reg, '2024-01-01', '2024-01-01') f""").collect()
     assert {r.k for r in lat} == {1, 2}
     assert all(r.registered for r in tool_registry(spark).collect())
+
+
+def test_table_argument_function_equals_the_tool(spark):
+    """All requests in one call: one scan of the facts, the same rows as the tool, ranges without facts absent."""
+    from pyspark.sql import functions as F
+
+    from voltframe.operators import tools as TL
+    from voltframe.plans import sql_functions as SF
+
+    facts = R.generation_from_events(R.table(spark, SF001, "events"))
+    parsed = TL.parse_requests(R.requests_from_customer(R.table(spark, SF001, "customer"))).where(F.col("tool") == TL.TOOL_GENERATION)
+    SF.register_range_function(spark, parsed, facts)
+    call = f"SELECT * FROM {SF.RANGE_FUNCTION}(TABLE({SF.RANGE_EVENTS}) PARTITION BY region ORDER BY (is_total DESC, day))"
+    found = spark.sql(call)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("event_type") >= 1
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [event_id") == 1
+    got = parsed.join(found, ["region", "start", "end"]).select("request_id", "region", "rows", "period_start", "period_end", "type_name", "fuel_rank", "mwh")
+    want = TL.tool_generation(parsed, facts, bounds=True)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect())) and got.count() > 0

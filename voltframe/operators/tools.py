@@ -139,7 +139,7 @@ def range_totals(ranges: DataFrame, facts: DataFrame, key: str) -> DataFrame:
 RANGE = ["region", "start", "end"]
 
 
-def _ranges(parsed: DataFrame) -> DataFrame:
+def valid_ranges(parsed: DataFrame) -> DataFrame:
     """The distinct valid ranges asked for; each is computed once, however many requests share it."""
     return parsed.where(F.col("region").isNotNull() & valid_range(F.col("start"), F.col("end"))).select(*RANGE).distinct()
 
@@ -173,7 +173,7 @@ def tool_generation(parsed: DataFrame, generation: DataFrame, bounds: bool = Tru
     ``bounds=False`` is the agent variant without the period bounds. Rows that repeat a
     request id are requests each.
     """
-    return _generation_rows(parsed, generation_ranges(_ranges(parsed), generation), bounds)
+    return _generation_rows(parsed, generation_ranges(valid_ranges(parsed), generation), bounds)
 
 
 def _generation_rows(parsed: DataFrame, found: DataFrame, bounds: bool) -> DataFrame:
@@ -185,7 +185,7 @@ def tool_interchange(parsed: DataFrame, region_facts: DataFrame) -> DataFrame:
     """Demand / net generation / interchange tool: ``request_id, region, rows, type,
     series, total_mwh`` (1 decimal). Only D, NG and TI are selected (the type facet);
     a type without rows is absent."""
-    return _interchange_rows(parsed, interchange_ranges(_ranges(parsed), region_facts))
+    return _interchange_rows(parsed, interchange_ranges(valid_ranges(parsed), region_facts))
 
 
 def _interchange_rows(parsed: DataFrame, found: DataFrame) -> DataFrame:
@@ -205,9 +205,9 @@ def tool_no_data(parsed: DataFrame, generation: DataFrame, region_facts: DataFra
     Found with a left-anti join of requests against the ranges that have totals. ``note``
     is the agent's text by default; the single-turn tool's text is ``NOTE_NO_DATA_RETURNED``.
     """
-    one = range_totals(_ranges(parsed.where(F.col("tool") == TOOL_GENERATION)), generation.withColumn("__all", F.lit(0)), "__all")
+    one = range_totals(valid_ranges(parsed.where(F.col("tool") == TOOL_GENERATION)), generation.withColumn("__all", F.lit(0)), "__all")
     facet = region_facts.where(F.col("type").isin(*REGION_TYPES)).withColumn("__all", F.lit(0))
-    two = range_totals(_ranges(parsed.where(F.col("tool") == TOOL_INTERCHANGE)), facet, "__all")
+    two = range_totals(valid_ranges(parsed.where(F.col("tool") == TOOL_INTERCHANGE)), facet, "__all")
     return _no_data(parsed, TOOL_GENERATION, one, note).unionByName(_no_data(parsed, TOOL_INTERCHANGE, two, note))
 
 
@@ -272,8 +272,8 @@ def dispatch_results(requests: DataFrame, generation: DataFrame, region_facts: D
     one = parsed.where(F.col("tool") == TOOL_GENERATION)
     two = parsed.where(F.col("tool") == TOOL_INTERCHANGE)
     # Read twice: for the answers, and for the requests that have none.
-    made = materialize(generation_ranges(_ranges(one), generation), "generation-ranges")
-    flows = materialize(interchange_ranges(_ranges(two), region_facts), "interchange-ranges")
+    made = materialize(generation_ranges(valid_ranges(one), generation), "generation-ranges")
+    flows = materialize(interchange_ranges(valid_ranges(two), region_facts), "interchange-ranges")
     name = lambda df, tool: df.select("request_id", F.lit(tool).alias("tool"), "result")
     empty = _no_data(parsed, TOOL_GENERATION, made, note).unionByName(_no_data(parsed, TOOL_INTERCHANGE, flows, note)).select(
         "request_id", "tool", F.to_json(F.struct("region", "rows", "note")).alias("result"))
@@ -292,5 +292,5 @@ __all__ = [
     "KNOWN_TOOLS", "NOTE_NO_DATA", "NOTE_NO_DATA_RETURNED", "TOOL_GENERATION", "TOOL_INTERCHANGE",
     "dispatch_requests", "dispatch_results", "interchange_results_json", "parse_requests", "prefix_sums", "range_totals", "region_code",
     "tool_generation", "tool_interchange", "tool_no_data", "tool_results_json", "tool_unknown",
-    "valid_range", "valid_region",
+    "valid_range", "valid_ranges", "valid_region",
 ]

@@ -258,6 +258,8 @@ SELECT per.request_id, region, rows, period_start, period_end, type_name,
 FROM per JOIN b ON per.request_id = b.request_id
 """
 
+SQL["tool_ranges_function"] = SQL["tool_generation"]
+
 SQL["tool_interchange"] = f"""
 WITH r AS (SELECT * FROM ({REG}) WHERE type IN ('D', 'NG', 'TI')), q AS ({REQ}),
 {_SEL.format(facts='r', tool='get_demand_and_interchange')},

@@ -509,6 +509,21 @@ def q_tool_table_function(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql("SELECT * FROM get_generation('caiso', '2024-01-03', '2024-01-09')")
 
 
+@register("tool_ranges_function")
+def q_tool_ranges_function(spark: SparkSession, sf: str) -> DataFrame:
+    """All generation requests through the table-argument function: one scan of the facts."""
+    from voltframe.plans.sql_functions import register_range_function
+
+    p = parsed_requests(spark, sf).where(F.col("tool") == TL.TOOL_GENERATION)
+    register_range_function(spark, p, generation(spark, sf))
+    p.createOrReplaceTempView("__vf_generation_requests")
+    return spark.sql("""
+        SELECT r.request_id, g.region, g.rows, g.period_start, g.period_end, g.type_name, CAST(g.fuel_rank AS BIGINT) AS fuel_rank, g.mwh
+        FROM __vf_generation_requests r
+        JOIN generation_of_ranges(TABLE(generation_range_events) PARTITION BY region ORDER BY (is_total DESC, day)) g
+          ON g.region = r.region AND g.start = r.start AND g.end = r.end""")
+
+
 @register("fuel_share_large")
 def q_fuel_share_large(spark: SparkSession, sf: str) -> DataFrame:
     """Fuel mix and shares over the large generation relation (lineitem)."""
