@@ -4,8 +4,9 @@ Corpus and queries are cut into blocks by a hash of their ids, and every pair of
 block and a query block is one task of a cogroup on the two block numbers: the corpus
 travels once for each query block (one, unless there are very many questions), the
 queries once for each corpus block. Nothing goes through the driver and nothing is
-broadcast. A task multiplies tiles of queries with its corpus block and lets exactly the
-best k rows of each query leave, ties broken by id, so equal rows (copies, or rows
+broadcast. A task multiplies tiles of queries with tiles of its corpus block, keeps the best
+of each query as it goes (what it holds beside the block follows the tiles), and lets exactly
+the best k rows of each query leave, ties broken by id, so equal rows (copies, or rows
 that share nothing with the question) do not add up. A final ``row_number`` per query
 (planned with a partial ``WindowGroupLimit``) keeps k of the blocks' rows.
 
@@ -27,15 +28,23 @@ from voltframe.constants import DEFAULT_K
 CORPUS_BLOCK = 16_384  # rows of the corpus held by one task
 QUERY_BLOCK = 4_096  # queries held by one task
 QUERY_TILE = 256  # queries multiplied at once
+CORPUS_TILE = 2_048  # rows of the corpus in double precision at once
 
 
-def _unit_rows(vectors: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of the rows of length ``dim`` with a norm, and which rows they are."""
-    rows = np.flatnonzero(np.asarray(pc.fill_null(pc.list_value_length(vectors), -1)) == dim)
-    m = np.asarray(vectors.take(pa.array(rows)).flatten(), dtype=np.float64).reshape(-1, dim)
+def _unit(vectors: pa.ListArray, rows: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of those of ``rows`` (all of length ``dim``) with a norm, and which rows they are."""
+    m = np.array(vectors.take(pa.array(rows)).flatten(), dtype=np.float64).reshape(-1, dim)
     norms = np.linalg.norm(m, axis=1)
     ok = norms > 0
-    return m[ok] / norms[ok, None], rows[ok]
+    if not ok.all():
+        m, norms, rows = m[ok], norms[ok], rows[ok]
+    m /= norms[:, None]
+    return m, rows
+
+
+def _rows_of(vectors: pa.ListArray, dim: int) -> np.ndarray:
+    """Rows of length ``dim``."""
+    return np.flatnonzero(np.asarray(pc.fill_null(pc.list_value_length(vectors), -1)) == dim)
 
 
 def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,16 +73,29 @@ def block_comparer(k: int, digits: int, out: T.StructType):
             c_vec, q_vec = rows.column("c_vec").combine_chunks(), asked.column("q_vec").combine_chunks()
             c_ids, q_ids = rows.column("c_id").combine_chunks(), asked.column("q_id").combine_chunks()
             for dim in pc.unique(pc.drop_null(pc.list_value_length(q_vec))).to_pylist():
-                q, q_rows = _unit_rows(q_vec, dim)
-                c, c_rows = _unit_rows(c_vec, dim)
-                if not len(q) or not len(c):
-                    continue
-                by_id = np.argsort(np.array(c_ids.take(pa.array(c_rows)).to_pylist()), kind="stable")
-                c, c_rows = c[by_id], c_rows[by_id]
-                for at in range(0, len(q), QUERY_TILE):
-                    scores = np.round(q[at:at + QUERY_TILE] @ c.T, digits) + 0.0
-                    asks, hits = _best(scores, k)
-                    found.append((q_ids.take(pa.array(q_rows[at + asks])), c_ids.take(pa.array(c_rows[hits])), scores[asks, hits]))
+                c_rows, asks = _rows_of(c_vec, dim), _rows_of(q_vec, dim)
+                c_rows = c_rows[np.asarray(pc.sort_indices(c_ids.take(pa.array(c_rows)), null_placement="at_start"))]
+                for at in range(0, len(asks), QUERY_TILE):
+                    q, q_rows = _unit(q_vec, asks[at:at + QUERY_TILE], dim)
+                    # The best so far stand before the next tile's rows, whose ids are higher: ties stay in order.
+                    best, hits, n = np.empty((len(q), 0)), np.empty((len(q), 0), dtype=np.int64), 0
+                    for lo in range(0, len(c_rows) if len(q) else 0, CORPUS_TILE):
+                        c, own = _unit(c_vec, c_rows[lo:lo + CORPUS_TILE], dim)
+                        scores = q @ c.T
+                        np.round(scores, digits, out=scores)
+                        scores += 0.0
+                        scores[np.isnan(scores)] = np.inf  # a vector with an infinite component
+                        n += len(own)
+                        scores = np.hstack([best, scores])
+                        row, column = _best(scores, k)
+                        best = scores[row, column].reshape(len(q), -1)
+                        old = hits.shape[1]
+                        hits = np.where(column < old, hits[row, np.minimum(column, old - 1)] if old else 0, own[np.maximum(column - old, 0)] if len(own) else 0).reshape(len(q), -1)
+                    asked_row, column = np.nonzero(np.isfinite(best) | (n <= k))
+                    scores = best[asked_row, column]
+                    scores[np.isinf(scores)] = np.nan
+                    if len(scores):
+                        found.append((q_ids.take(pa.array(q_rows[asked_row])), c_ids.take(pa.array(hits[asked_row, column])), scores))
         if not found:
             return pa.table([pa.array([], t) for t in types], names=names)
         return pa.table([pa.concat_arrays([f[0] for f in found]), pa.concat_arrays([f[1] for f in found]), pa.array(np.concatenate([f[2] for f in found]))], names=names)
