@@ -199,3 +199,83 @@ def test_a_batch_reads_the_stored_ids_once(spark):
     finally:
         IN.stored_ids = real
     assert len(calls) == 1
+
+
+def _peak(run) -> float:
+    """MB that ``run`` held at most."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_vectors_are_built_in_slices():
+    """What the vectoriser holds follows a slice, not an Arrow batch: vectors leave as they are made."""
+    import pyarrow as pa
+
+    from voltframe.operators import vectorize as VZ
+
+    texts = [None if i % 97 == 5 else " ".join(f"w{(i * 7 + j) % 300}" for j in range(i % 120)) for i in range(6000)]
+    made = list(VZ.embed_batches(iter([pa.array(texts)]), 384))
+    assert max(map(len, made)) <= VZ.SLICE_ROWS and sum(map(len, made)) == len(texts)
+    got = np.asarray(pa.concat_arrays(made).flatten()).reshape(-1, 384)
+    for i in (0, 5, 119, 511, 512, 5999):
+        want = np.zeros(384)
+        for term in (texts[i] or "").split():
+            code = VZ._Codes(384)[term]
+            want[code >> 1] += 1 - 2 * (code & 1)
+        assert np.allclose(got[i], want / (np.linalg.norm(want) or 1))
+    batch = pa.array(texts)
+    assert _peak(lambda: [None for _ in VZ.embed_batches(iter([batch]), 384)]) < 12
+
+
+def test_long_terms_are_not_memoised():
+    from voltframe.operators import vectorize as VZ
+
+    codes = VZ._Codes(384)
+    assert codes["x" * 1000] == codes["x" * 1000] and not codes
+    assert codes["grid"] == codes["grid"] and list(codes) == ["grid"]
+
+
+def test_block_is_compared_in_tiles():
+    """Ties over several tiles end as in one sort, and what a comparison holds follows the tiles."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    out = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("c_id", T.StringType()), T.StructField("s", T.DoubleType())])
+    rng = np.random.default_rng(3)
+    n, dim = 3 * RT.CORPUS_TILE + 17, 48
+    m = np.round(rng.normal(size=(40, dim)))[rng.integers(0, 40, n)].astype(np.float32)  # many copies
+    m[::50] = 0
+    ids = [f"{x:05d}" for x in rng.permutation(n)]
+    as_list = lambda x: pa.array(list(x), pa.list_(pa.from_numpy_dtype(x.dtype)))
+    q = np.vstack([m[1:300].astype(np.float64), np.zeros((1, dim))])
+    rows = pa.table({"c_id": pa.array(ids), "c_vec": as_list(m)})
+    asked = pa.table({"q_id": pa.array(range(len(q))), "q_vec": as_list(q)})
+    compare = RT.block_comparer(7, 6, out)
+    got = sorted((a, -s, i) for a, i, s in zip(*compare(rows, asked).to_pydict().values()))
+    ok = np.linalg.norm(m, axis=1) > 0
+    unit = m[ok] / np.linalg.norm(m[ok].astype(np.float64), axis=1)[:, None]
+    own, want = np.array(ids)[ok], []
+    for j, v in enumerate(q):
+        if v.any():
+            s = np.round(unit @ (v / np.linalg.norm(v)), 6) + 0.0
+            want += [(j, -s[i], str(own[i])) for i in np.lexsort((own, -s))[:7]]
+    assert [(a, i) for a, _, i in got] == [(a, i) for a, _, i in sorted(want)]
+    big = np.zeros((RT.CORPUS_BLOCK, 384), dtype=np.float32)
+    big[:, :2] = rng.normal(size=(RT.CORPUS_BLOCK, 2))
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(big) + 1, dtype=np.int32) * 384), pa.array(big.ravel()))
+    rows = pa.table({"c_id": pa.array([f"{i:064d}" for i in range(len(big))]), "c_vec": flat})
+    asked = pa.table({"q_id": pa.array(range(RT.QUERY_TILE)), "q_vec": flat.slice(0, RT.QUERY_TILE)})
+    assert _peak(lambda: compare(rows, asked)) < 40
+
+
+def test_infinite_components_keep_their_place(spark):
+    cdf = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("inf"), 1.0]), (3, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    qdf = spark.createDataFrame([(1, [1.0, 1.0])], "query_id long, embedding array<double>")
+    got = RT.topk_cosine(cdf, qdf, k=5, corpus_id="vec_id").collect()
+    assert sorted(r.vec_id for r in got) == [1, 2, 3]
