@@ -159,3 +159,26 @@ def test_long_document_and_rare_words_cross_groups(spark):
     got = sorted((tuple(r) for r in L.score(df, model, group_tokens=300).collect()), key=str)
     assert all(abs(a[5] - b[5]) < 1e-4 * abs(a[5]) for a, b in zip(got, sorted((tuple(r) for r in L.score(df, model).collect()), key=str)))
     assert [g[:4] for g in got] == [w[:4] for w in brute(rows)] and all(abs(g[4] - w[4]) < 1e-6 * abs(w[4]) for g, w in zip(got, brute(rows)))
+
+
+def test_scoring_holds_one_step_of_gates_and_limits_only_what_needs_it():
+    import tracemalloc
+
+    counts = np.arange(1001, 0, -1, dtype=np.float64)
+    layout = L.Layout.by_mass(counts)
+    assert layout.class_of.dtype.itemsize == 2  # sorts by radix
+    w = L.begin(layout, counts, np.ones(L.SHAPES))
+    inputs = np.random.default_rng(5).integers(0, layout.n_words, (L.WINDOW, L.SCORE_LANES)).astype(np.int16)
+    h = np.zeros((L.HIDDEN, L.SCORE_LANES), dtype=np.float32)
+    turned = L._turned(w)
+    assert turned[2]  # nothing comes near the limit
+    tracemalloc.start()
+    states = L._recur(turned, inputs, h)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * states.nbytes
+    assert np.allclose(states, L._recur((turned[0], turned[1], False), inputs, h, keep=True)[0], atol=1e-6)
+    wild = {k: v * 1000 for k, v in w.items()}  # far beyond it
+    assert not L._turned(wild)[2]
+    with np.errstate(over="raise"):
+        assert np.isfinite(L.log_probabilities(wild, layout, [inputs[:, 0], inputs[:, 1]])).all()

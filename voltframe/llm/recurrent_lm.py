@@ -98,7 +98,7 @@ def words_of(text: bytes) -> Iterator[list[bytes]]:
 class Layout:
     """Codes of the output: the end and ``n_words`` words in classes, then one code for each shape."""
 
-    class_of: np.ndarray  # of every code
+    class_of: np.ndarray  # of every code; 2 bytes each, which sort by radix
     first: np.ndarray  # first code of each word class, and the end of the last
 
     @classmethod
@@ -109,7 +109,7 @@ class Layout:
         own = np.minimum(at.astype(np.int64), classes - 1)
         own = np.unique(np.maximum.accumulate(own), return_inverse=True)[1]  # no class is empty
         n = int(own[-1]) + 1
-        return cls(np.concatenate([own, n + np.arange(SHAPES)]).astype(np.int32), np.searchsorted(own, np.arange(n + 1)))
+        return cls(np.concatenate([own, n + np.arange(SHAPES)]).astype(np.int16), np.searchsorted(own, np.arange(n + 1)))
 
     @property
     def n_words(self) -> int:
@@ -148,36 +148,51 @@ def unflat(v: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def _squash(x: np.ndarray) -> None:
-    """``1 / (1 + exp(x))`` in place."""
-    np.minimum(x, 80, out=x)
+def _within(w: np.ndarray, b: np.ndarray, limit: float = 80) -> bool:
+    """Whether ``w @ h + b`` stays within the limit for every state, as states lie between -1 and 1."""
+    return float((np.abs(w).sum(axis=1) + np.abs(b).max(axis=1)).max()) < limit
+
+
+def _squash(x: np.ndarray, within: bool) -> None:
+    """``1 / (1 + exp(x))`` in place; ``within``: no x is over 80."""
+    if not within:
+        np.minimum(x, 80, out=x)
     np.exp(x, out=x)
     x += 1
     np.reciprocal(x, out=x)
 
 
-def _recur(w: dict[str, np.ndarray], inputs: np.ndarray, h: np.ndarray, keep: bool = False):
+def _turned(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Of the unit: what each input code and the state before add to the gates, and whether no gate's input is over 80.
+
+    1 / (1 + exp(x)) of inputs turned round is the logistic function; of the candidate's, doubled, half of tanh + 1."""
+    turn = np.full((3 * HIDDEN, 1), -1, dtype=w["b"].dtype)
+    turn[2 * HIDDEN:] = -2
+    table, wh = (w["wx"] @ w["emb"] + w["b"]) * turn, w["wh"] * turn
+    return np.ascontiguousarray(table.T), wh, _within(wh, table)
+
+
+def _recur(turned: tuple[np.ndarray, np.ndarray, bool], inputs: np.ndarray, h: np.ndarray, keep: bool = False):
     """States after each step (steps x hidden x lanes); with ``keep`` also the gates (update, reset and
     candidate, after their functions) and the candidate's share of the state before."""
     n, kind = HIDDEN, h.dtype
-    # 1 / (1 + exp(x)) of inputs turned round is the logistic function; of the candidate's, doubled, half of tanh + 1.
-    turn = np.full((3 * n, 1), -1, dtype=kind)
-    turn[2 * n:] = -2
-    table, wh = np.ascontiguousarray(((w["wx"] @ w["emb"] + w["b"]) * turn).T), w["wh"] * turn
+    table, wh, within = turned
     steps, width = inputs.shape
-    states, inner = np.empty((steps, n, width), kind), np.empty((steps if keep else 1, n, width), kind)
-    gates = np.ascontiguousarray(np.take(table, inputs.ravel(), axis=0).reshape(steps, width, 3 * n).transpose(0, 2, 1))
+    # Without ``keep`` one step's gates are all there is, so they stay in the processor's cache.
+    held = steps if keep else 1
+    states, inner, gates = np.empty((steps, n, width), kind), np.empty((held, n, width), kind), np.empty((held, 3 * n, width), kind)
     u, tmp = np.empty((3 * n, width), kind), np.empty((n, width), kind)
     for t in range(steps):
-        a, own = gates[t], inner[t if keep else 0]
+        a, own = gates[t if keep else 0], inner[t if keep else 0]
+        a[:] = np.take(table, inputs[t], axis=0).T
         np.matmul(wh, h, out=u)
         zr, c = a[:2 * n], a[2 * n:]
         zr += u[:2 * n]
-        _squash(zr)
+        _squash(zr, within)
         own[:] = u[2 * n:]
         np.multiply(zr[n:], own, out=tmp)
         c += tmp
-        _squash(c)
+        _squash(c, within)
         c *= 2
         c -= 1
         s = states[t]
@@ -188,28 +203,33 @@ def _recur(w: dict[str, np.ndarray], inputs: np.ndarray, h: np.ndarray, keep: bo
     return (states, gates, inner) if keep else states
 
 
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of each column, and the logarithms of the sums they were divided by. Logits end at +-80, so
-    nothing overflows and no share is zero."""
-    np.clip(logits, -80, 80, out=logits)
-    e = np.exp(logits)
-    total = np.ones(len(e), dtype=e.dtype) @ e
-    return e / total, np.log(total)
+def _softmax(logits: np.ndarray, own: np.ndarray, rows: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of the shares ``own`` of the columns ``rows``, and the sums that turn ``logits``, which hold
+    powers from here on, into shares. Logits end at +-80 (``within``: they are), so nothing overflows and no share is zero."""
+    if not within:
+        np.clip(logits, -80, 80, out=logits)
+    found = logits[own, rows]
+    np.exp(logits, out=logits)
+    total = np.ones(len(logits), dtype=logits.dtype) @ logits
+    return found - np.log(total), total
 
 
 def _output(w: dict[str, np.ndarray], layout: Layout, h: np.ndarray, codes: np.ndarray, at: np.ndarray, grad: bool = False):
     """Natural log probability of the codes (shapes: of their class) of the tokens ``at``, after the states
-    ``h`` (hidden x tokens); with ``grad`` also the gradients of their negative sum over weights and ``h``."""
+    ``h`` (tokens x hidden); with ``grad`` also the gradients of their negative sum over weights and ``h``."""
     own = layout.class_of[codes[at]]
     order = np.argsort(own, kind="stable")
     own, at_sorted = own[order], at[order]
-    codes, h, n_all = codes[at_sorted], np.take(h, at_sorted, axis=1), h.shape[1]
-    logits = w["wc"] @ h + w["bc"]
-    share, total = _softmax(logits)
+    codes, h, n_all = codes[at_sorted], np.take(h, at_sorted, axis=0).T, len(h)  # a token's state is one line of memory
+    within = _within(w["wc"], w["bc"]) and _within(w["wo"], w["bo"])
+    share = w["wc"] @ h
+    share += w["bc"]
     rows = np.arange(len(codes))
-    found = (logits[own, rows] - total).astype(np.float64)
+    found, total = _softmax(share, own, rows, within)
+    found = found.astype(np.float64)
     g = {}
     if grad:
+        share /= total
         share[own, rows] -= 1
         g = {"wc": share @ h.T, "bc": share.sum(axis=1, keepdims=True), "wo": np.zeros_like(w["wo"]), "bo": np.zeros_like(w["bo"])}
         dh = w["wc"].T @ share
@@ -219,12 +239,14 @@ def _output(w: dict[str, np.ndarray], layout: Layout, h: np.ndarray, codes: np.n
         if lo == hi or b - a == 1:
             continue
         part = h[:, lo:hi]
-        logits = w["wo"][a:b] @ part + w["bo"][a:b]
-        share, total = _softmax(logits)
-        within, here = codes[lo:hi] - a, rows[:hi - lo]
-        found[lo:hi] += logits[within, here] - total
+        share = w["wo"][a:b] @ part
+        share += w["bo"][a:b]
+        place, here = codes[lo:hi] - a, rows[:hi - lo]
+        logp, total = _softmax(share, place, here, within)
+        found[lo:hi] += logp
         if grad:
-            share[within, here] -= 1
+            share /= total
+            share[place, here] -= 1
             g["wo"][a:b] = share @ part.T
             g["bo"][a:b] = share.sum(axis=1, keepdims=True)
             dh[:, lo:hi] += w["wo"][a:b].T @ share
@@ -232,8 +254,8 @@ def _output(w: dict[str, np.ndarray], layout: Layout, h: np.ndarray, codes: np.n
     out[order] = found
     if not grad:
         return out
-    back = np.zeros((len(dh), n_all), dtype=dh.dtype)
-    back[:, at_sorted] = dh
+    back = np.zeros((n_all, len(dh)), dtype=dh.dtype)
+    back[at_sorted] = dh.T
     return out, g, back
 
 
@@ -242,25 +264,41 @@ def _tokens(x: np.ndarray) -> np.ndarray:
     return x.transpose(1, 0, 2).reshape(x.shape[1], -1)
 
 
+def _by_token(x: np.ndarray) -> np.ndarray:
+    """(steps x features x lanes) as tokens x features."""
+    return x.transpose(0, 2, 1).reshape(-1, x.shape[1])
+
+
 def loss_and_gradient(w: dict[str, np.ndarray], layout: Layout, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, h0: np.ndarray):
     """Negative log probability of a window (steps x lanes; ``live`` marks real tokens), its gradient
     by backpropagation through the window, and the states after it."""
     n, (steps, width) = HIDDEN, inputs.shape
-    states, gates, inner = _recur(w, inputs, h0, keep=True)
+    states, gates, inner = _recur(_turned(w), inputs, h0, keep=True)
     at = np.flatnonzero(live.ravel())
-    logp, g, d_out = _output(w, layout, _tokens(states), targets.ravel(), at, grad=True)
-    into = np.ascontiguousarray(d_out.reshape(n, steps, width).transpose(1, 0, 2))
+    logp, g, d_out = _output(w, layout, _by_token(states), targets.ravel(), at, grad=True)
+    into = np.ascontiguousarray(d_out.reshape(steps, width, n).transpose(0, 2, 1))
     z, r, c = gates[:, :n], gates[:, n:2 * n], gates[:, 2 * n:]
     before = np.concatenate([h0[None], states[:-1]])
-    to_z, to_c, to_r = (before - c) * z * (1 - z), (1 - z) * (1 - c * c), inner * r * (r - 1) / 2  # inner is turned round
-    da, du = np.empty_like(gates), np.empty_like(gates)
+    da, du, tmp = np.empty_like(gates), np.empty_like(gates), np.empty_like(h0)
     dh, back = np.zeros_like(h0), np.ascontiguousarray(w["wh"].T)
     for t in range(steps - 1, -1, -1):
         dh += into[t]
         d, e = da[t], du[t]
-        np.multiply(dh, to_z[t], out=d[:n])
-        np.multiply(dh, to_c[t], out=d[2 * n:])
-        np.multiply(d[2 * n:], to_r[t], out=d[n:2 * n])
+        to_z, to_r, to_c = d[:n], d[n:2 * n], d[2 * n:]  # slopes, then gradients, a step at a time in the cache
+        np.subtract(1, z[t], out=tmp)
+        np.subtract(before[t], c[t], out=to_z)
+        to_z *= z[t]
+        to_z *= tmp
+        to_z *= dh
+        np.multiply(c[t], c[t], out=to_c)
+        np.subtract(1, to_c, out=to_c)
+        to_c *= tmp
+        to_c *= dh
+        np.subtract(r[t], 1, out=tmp)
+        np.multiply(inner[t], r[t], out=to_r)
+        to_r *= tmp
+        to_r *= 0.5  # inner is turned round
+        to_r *= to_c
         e[:2 * n] = d[:2 * n]
         np.multiply(d[2 * n:], r[t], out=e[2 * n:])
         dh *= z[t]
@@ -270,7 +308,7 @@ def loss_and_gradient(w: dict[str, np.ndarray], layout: Layout, inputs: np.ndarr
     order = np.argsort(codes, kind="stable")
     first = np.flatnonzero(np.diff(codes[order], prepend=-1))
     d_table = np.zeros((3 * n, w["emb"].shape[1]), dtype=h0.dtype)
-    d_table[:, codes[order][first]] = np.add.reduceat(np.take(_tokens(da), order, axis=1), first, axis=1)
+    d_table[:, codes[order][first]] = np.add.reduceat(np.take(_by_token(da), order, axis=0), first, axis=0).T
     g["wx"] = d_table @ w["emb"].T
     g["emb"] = w["wx"].T @ d_table
     g["b"] = d_table.sum(axis=1, keepdims=True)
@@ -342,12 +380,12 @@ class Learner:
 
 def log_probabilities(w: dict[str, np.ndarray], layout: Layout, docs: list[np.ndarray], width: int = SCORE_LANES) -> np.ndarray:
     """Natural log probability of each document's codes, the state carried to its end."""
-    total = np.zeros(len(docs))
+    total, turned = np.zeros(len(docs)), _turned(w)
 
     def run(inputs, targets, live, doc, h):
-        states = _recur(w, inputs, h)
+        states = _recur(turned, inputs, h)
         at = np.flatnonzero(live.ravel())
-        logp = _output(w, layout, _tokens(states), targets.ravel(), at)
+        logp = _output(w, layout, _by_token(states), targets.ravel(), at)
         np.add.at(total, doc, np.bincount(at % len(doc), logp, len(doc)))
         return states[-1]
 
