@@ -220,7 +220,7 @@ def _output(w: dict[str, np.ndarray], layout: Layout, h: np.ndarray, codes: np.n
     own = layout.class_of[codes[at]]
     order = np.argsort(own, kind="stable")
     own, at_sorted = own[order], at[order]
-    codes, h, n_all = codes[at_sorted], np.take(h, at_sorted, axis=0).T, len(h)  # a token's state is one line of memory
+    codes, h, n_all = codes[at_sorted], np.ascontiguousarray(np.take(h, at_sorted, axis=0).T), len(h)
     within = _within(w["wc"], w["bc"]) and _within(w["wo"], w["bo"])
     share = w["wc"] @ h
     share += w["bc"]
@@ -265,7 +265,7 @@ def _tokens(x: np.ndarray) -> np.ndarray:
 
 
 def _by_token(x: np.ndarray) -> np.ndarray:
-    """(steps x features x lanes) as tokens x features."""
+    """(steps x features x lanes) as tokens x features, where a token's features are gathered at once."""
     return x.transpose(0, 2, 1).reshape(-1, x.shape[1])
 
 
@@ -308,7 +308,7 @@ def loss_and_gradient(w: dict[str, np.ndarray], layout: Layout, inputs: np.ndarr
     order = np.argsort(codes, kind="stable")
     first = np.flatnonzero(np.diff(codes[order], prepend=-1))
     d_table = np.zeros((3 * n, w["emb"].shape[1]), dtype=h0.dtype)
-    d_table[:, codes[order][first]] = np.add.reduceat(np.take(_by_token(da), order, axis=0), first, axis=0).T
+    d_table[:, codes[order][first]] = np.add.reduceat(np.ascontiguousarray(np.take(_by_token(da), order, axis=0).T), first, axis=1)
     g["wx"] = d_table @ w["emb"].T
     g["emb"] = w["wx"].T @ d_table
     g["b"] = d_table.sum(axis=1, keepdims=True)
