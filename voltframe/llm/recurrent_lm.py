@@ -216,11 +216,11 @@ def _softmax(logits: np.ndarray, own: np.ndarray, rows: np.ndarray, within: bool
 
 def _output(w: dict[str, np.ndarray], layout: Layout, h: np.ndarray, codes: np.ndarray, at: np.ndarray, grad: bool = False):
     """Natural log probability of the codes (shapes: of their class) of the tokens ``at``, after the states
-    ``h`` (tokens x hidden); with ``grad`` also the gradients of their negative sum over weights and ``h``."""
+    ``h`` (hidden x tokens); with ``grad`` also the gradients of their negative sum over weights and ``h``."""
     own = layout.class_of[codes[at]]
     order = np.argsort(own, kind="stable")
     own, at_sorted = own[order], at[order]
-    codes, h, n_all = codes[at_sorted], np.ascontiguousarray(np.take(h, at_sorted, axis=0).T), len(h)
+    codes, h, n_all = codes[at_sorted], np.ascontiguousarray(np.take(h.T, at_sorted, axis=0).T), h.shape[1]
     within = _within(w["wc"], w["bc"]) and _within(w["wo"], w["bo"])
     share = w["wc"] @ h
     share += w["bc"]
@@ -256,7 +256,7 @@ def _output(w: dict[str, np.ndarray], layout: Layout, h: np.ndarray, codes: np.n
         return out
     back = np.zeros((n_all, len(dh)), dtype=dh.dtype)
     back[at_sorted] = dh.T
-    return out, g, back
+    return out, g, back.T
 
 
 def _tokens(x: np.ndarray) -> np.ndarray:
@@ -275,8 +275,8 @@ def loss_and_gradient(w: dict[str, np.ndarray], layout: Layout, inputs: np.ndarr
     n, (steps, width) = HIDDEN, inputs.shape
     states, gates, inner = _recur(_turned(w), inputs, h0, keep=True)
     at = np.flatnonzero(live.ravel())
-    logp, g, d_out = _output(w, layout, _by_token(states), targets.ravel(), at, grad=True)
-    into = np.ascontiguousarray(d_out.reshape(steps, width, n).transpose(0, 2, 1))
+    logp, g, d_out = _output(w, layout, _by_token(states).T, targets.ravel(), at, grad=True)
+    into = np.ascontiguousarray(d_out.T.reshape(steps, width, n).transpose(0, 2, 1))
     z, r, c = gates[:, :n], gates[:, n:2 * n], gates[:, 2 * n:]
     before = np.concatenate([h0[None], states[:-1]])
     da, du, tmp = np.empty_like(gates), np.empty_like(gates), np.empty_like(h0)
@@ -385,7 +385,7 @@ def log_probabilities(w: dict[str, np.ndarray], layout: Layout, docs: list[np.nd
     def run(inputs, targets, live, doc, h):
         states = _recur(turned, inputs, h)
         at = np.flatnonzero(live.ravel())
-        logp = _output(w, layout, _by_token(states), targets.ravel(), at)
+        logp = _output(w, layout, _by_token(states).T, targets.ravel(), at)
         np.add.at(total, doc, np.bincount(at % len(doc), logp, len(doc)))
         return states[-1]
 
